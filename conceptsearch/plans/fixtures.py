@@ -35,6 +35,8 @@ MAX_LATENTS = 24
 QREL_DEPTH = 100
 DENSE_K = 50
 SPARSE_K = 1000
+N_POS = 3
+N_NEG = 12
 
 
 class Fixture:
@@ -105,3 +107,22 @@ class Fixture:
     # -- dense -----------------------------------------------------------
     def dense_run(self, k: int | None = DENSE_K) -> DataFrame:
         return dense_search(self.queries(), self.passages(), k, "qid", "docid", "v")
+
+    # -- text --------------------------------------------------------------
+    def corpus(self) -> DataFrame:
+        """``documents`` as a corpus: title = source, empty when doc_id % 3 = 0,
+        missing (null) when doc_id % 7 = 0."""
+        d = self.table("documents")
+        title = (F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string"))
+                  .when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source")))
+        return d.select("doc_id", title.alias("title"), F.col("text").alias("contents"))
+
+    def query_text(self) -> DataFrame:
+        """Query text: the document whose id equals the query id (if any)."""
+        return self.table("documents").select(F.col("doc_id").alias("qid"), "text")
+
+    def train_records(self) -> DataFrame:
+        from conceptsearch.operators.training_data import build_train_records
+        passages = self.passages().select(F.col("docid").alias("pid"), "label")
+        return build_train_records(self.dense_run(), self.queries().select("qid", "label"),
+                                   passages, N_POS, N_NEG, self.query_text())

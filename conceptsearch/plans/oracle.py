@@ -103,43 +103,43 @@ cte("run3", "SELECT qid, docid AS pid, rnk, round(score, 3) AS score FROM run",
 
 
 def trec_ctes(run: str, qrels: str, ks, measures=("ndcg", "map", "recall"),
-              scope: str = "inner") -> list[str]:
+              scope: str = "inner", prefix: str = "") -> list[str]:
     """trec_eval measures in SQL (score as FLOAT desc, pid as text desc);
-    the last CTE ``perq`` holds ``(qid, metric, value)``."""
+    the last CTE ``{prefix}perq`` holds ``(qid, metric, value)``."""
     k_max = max(ks)
-    evalq = (f"SELECT DISTINCT qid FROM {qrels}" if scope == "left" else
+    evalq_sql = (f"SELECT DISTINCT qid FROM {qrels}" if scope == "left" else
              f"SELECT DISTINCT qid FROM {qrels} WHERE qid IN (SELECT qid FROM {run})")
     ctes = [
-        f"evalq AS ({evalq})",
-        f"""ranked AS (SELECT * FROM (
+        f"{prefix}evalq AS ({evalq_sql})",
+        f"""{prefix}ranked AS (SELECT * FROM (
     SELECT r.qid, r.pid, row_number() OVER (PARTITION BY r.qid
         ORDER BY CAST(r.score AS FLOAT) DESC, CAST(r.pid AS VARCHAR) DESC) AS rk
-    FROM {run} r WHERE r.qid IN (SELECT qid FROM evalq)) WHERE rk <= {k_max})""",
-        f"""judged AS (SELECT ranked.qid, ranked.rk, coalesce(j.rel, 0) AS rel FROM ranked
-    LEFT JOIN {qrels} j ON j.qid = ranked.qid AND j.pid = ranked.pid)""",
-        """hits AS (SELECT *, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END)
-    OVER (PARTITION BY qid ORDER BY rk) AS h FROM judged)""",
-        f"""ideal AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS pos
+    FROM {run} r WHERE r.qid IN (SELECT qid FROM {prefix}evalq)) WHERE rk <= {k_max})""",
+        f"""{prefix}judged AS (SELECT {prefix}ranked.qid, {prefix}ranked.rk, coalesce(j.rel, 0) AS rel FROM {prefix}ranked
+    LEFT JOIN {qrels} j ON j.qid = {prefix}ranked.qid AND j.pid = {prefix}ranked.pid)""",
+        f"""{prefix}hits AS (SELECT *, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY qid ORDER BY rk) AS h FROM {prefix}judged)""",
+        f"""{prefix}ideal AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS pos
     FROM {qrels} WHERE rel > 0)""",
-        f"nrel AS (SELECT qid, count(*) AS num_rel FROM {qrels} WHERE rel >= 1 GROUP BY qid)",
+        f"{prefix}nrel AS (SELECT qid, count(*) AS num_rel FROM {qrels} WHERE rel >= 1 GROUP BY qid)",
     ]
     parts = []
     for k in ks:
         if "ndcg" in measures:
             parts.append(f"""SELECT e.qid, 'NDCG@{k}' AS metric, coalesce(
-    (SELECT sum(CASE WHEN rel > 0 THEN rel / log2(rk + 1) ELSE 0 END) FROM judged
-     WHERE judged.qid = e.qid AND rk <= {k})
-    / NULLIF((SELECT sum(rel / log2(pos + 1)) FROM ideal WHERE ideal.qid = e.qid AND pos <= {k}), 0),
-    0.0) AS value FROM evalq e""")
+    (SELECT sum(CASE WHEN rel > 0 THEN rel / log2(rk + 1) ELSE 0 END) FROM {prefix}judged
+     WHERE {prefix}judged.qid = e.qid AND rk <= {k})
+    / NULLIF((SELECT sum(rel / log2(pos + 1)) FROM {prefix}ideal WHERE {prefix}ideal.qid = e.qid AND pos <= {k}), 0),
+    0.0) AS value FROM {prefix}evalq e""")
         if "map" in measures:
             parts.append(f"""SELECT e.qid, 'MAP@{k}' AS metric, coalesce(
-    (SELECT sum(CASE WHEN rel >= 1 THEN h / rk ELSE 0 END) FROM hits WHERE hits.qid = e.qid AND rk <= {k})
-    / NULLIF((SELECT num_rel FROM nrel WHERE nrel.qid = e.qid), 0), 0.0) AS value FROM evalq e""")
+    (SELECT sum(CASE WHEN rel >= 1 THEN h / rk ELSE 0 END) FROM {prefix}hits WHERE {prefix}hits.qid = e.qid AND rk <= {k})
+    / NULLIF((SELECT num_rel FROM {prefix}nrel WHERE {prefix}nrel.qid = e.qid), 0), 0.0) AS value FROM {prefix}evalq e""")
         if "recall" in measures:
             parts.append(f"""SELECT e.qid, 'Recall@{k}' AS metric, coalesce(
-    (SELECT CAST(count(*) AS DOUBLE) FROM judged WHERE judged.qid = e.qid AND rk <= {k} AND rel >= 1)
-    / NULLIF((SELECT num_rel FROM nrel WHERE nrel.qid = e.qid), 0), 0.0) AS value FROM evalq e""")
-    ctes.append("perq AS (" + "\nUNION ALL\n".join(parts) + ")")
+    (SELECT CAST(count(*) AS DOUBLE) FROM {prefix}judged WHERE {prefix}judged.qid = e.qid AND rk <= {k} AND rel >= 1)
+    / NULLIF((SELECT num_rel FROM {prefix}nrel WHERE {prefix}nrel.qid = e.qid), 0), 0.0) AS value FROM {prefix}evalq e""")
+    ctes.append(f"{prefix}perq AS (" + "\nUNION ALL\n".join(parts) + ")")
     return ctes
 
 
@@ -149,6 +149,10 @@ def with_trec(run: str, qrels: str, ks, measures=("ndcg", "map", "recall"), scop
     return sql(final, *deps, extra=trec_ctes(run, qrels, ks, measures, scope))
 
 
+def trec_avg(prefix: str) -> str:
+    return f"SELECT metric, round(avg(value), 5) AS value FROM {prefix}perq GROUP BY metric"
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["sae_pre_activation"] = sql("SELECT vec_id, latent, round(z, 6) AS z FROM pre_all", "pre_all")
@@ -217,3 +221,5 @@ ORACLE["qrels_inner"] = with_trec("run3", "qrels_g", (10,), ("ndcg",), "inner",
 ORACLE["qrels_left"] = with_trec("run3", "qrels_g", (10,), ("ndcg",), "left",
                                  final="SELECT qid, round(value, 6) AS ndcg10 FROM perq",
                                  deps=("run3", "qrels_g"))
+
+from conceptsearch.plans import oracle_training  # noqa: E402,F401

@@ -221,3 +221,5 @@ def q_qrels_left(spark, sf):
 
 
 _ = (MAX_LATENTS, query_saturation)
+
+from conceptsearch.plans import queries_training  # noqa: E402,F401

@@ -23,6 +23,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
