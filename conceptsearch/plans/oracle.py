@@ -223,3 +223,4 @@ ORACLE["qrels_left"] = with_trec("run3", "qrels_g", (10,), ("ndcg",), "left",
                                  deps=("run3", "qrels_g"))
 
 from conceptsearch.plans import oracle_training  # noqa: E402,F401
+from conceptsearch.plans import oracle_sae  # noqa: E402,F401
