@@ -15,7 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from conceptsearch.plans.registry import QUERIES  # noqa: E402
+from conceptsearch.plans.catalog import QUERIES  # noqa: E402
 from conceptsearch.session import build_session  # noqa: E402
 
 HEADLINE = [

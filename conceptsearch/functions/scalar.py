@@ -23,6 +23,14 @@ SPARSE_TOP_K = 1000
 
 # Fixed value: the marker that precedes a latent description in a reply.
 INTERPRETATION_MARKER = "[interpretation]:"
+# Whitespace that splits tokens and is stripped around fields (the same class
+# in Spark and DuckDB).
+WHITESPACE = r"[ \t\n\r\f]"
+
+
+def strip_ws(c) -> Column:
+    """Remove surrounding whitespace (Python ``str.strip()`` on ASCII text)."""
+    return F.regexp_replace(_col(c), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def _col(c) -> Column:
@@ -93,7 +101,7 @@ def parse_shard_name(name) -> tuple[Column, Column]:
 
 def parse_interpretation(text) -> Column:
     """H4: text after the last interpretation marker, trimmed; whole text if absent."""
-    return F.trim(F.substring_index(_col(text), INTERPRETATION_MARKER, -1))
+    return strip_ws(F.substring_index(_col(text), INTERPRETATION_MARKER, -1))
 
 
 def round_score(c, digits: int) -> Column:

@@ -10,6 +10,7 @@ tokens, the fixture scorer an inner product.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from conceptsearch.functions.scalar import dot, l2_normalize
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+_WS = re.compile(r"[ \t\n\r\f]+")
 
 
 def hashing_encoder(dim: int) -> Encoder:
@@ -32,7 +34,7 @@ def hashing_encoder(dim: int) -> Encoder:
             out = []
             for text in pdf["text"]:
                 v = np.zeros(dim)
-                toks = [t for t in (text or "").split() if t]
+                toks = [t for t in _WS.split(text or "") if t]
                 for t in toks:
                     hit = cache.get(t)
                     if hit is None:
@@ -71,6 +73,17 @@ def inner_product_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
                             "score": np.einsum("ij,ij->i", a, b)})
 
 
+def cosine_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pair scorer: cosine of the two vectors of each pair."""
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        a = np.stack(pdf["qv"].to_numpy())
+        b = np.stack(pdf["dv"].to_numpy())
+        s = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+        yield pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "score": s})
+
+
 def pair_score(pairs: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame,
                scorer: Scorer = inner_product_scorer, digits: int = 5) -> DataFrame:
     """Score (query, document) pairs with ``scorer``, rounded.

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from conceptsearch.functions.scalar import dot, log_softmax
 
+BLOCK_STRIDE = 1_000_000_000
+
 
 def running_mean(df: DataFrame, epoch_col: str, step_col: str, value_col: str,
                  weight_col: str | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
@@ -21,9 +23,11 @@ def running_mean(df: DataFrame, epoch_col: str, step_col: str, value_col: str,
     spread over many tasks: steps are cut into chunks of ``chunk_rows``
     consecutive step ids, each chunk gets its running sums, and the chunk
     totals (a small table) give every chunk its offset.
+    Sums keep the input types, so decimal values give exact sums (and an
+    exact quotient) whatever the order of addition.
     Output ``(epoch, step, running_mean)``.
     """
-    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    w = F.col(weight_col) if weight_col else F.lit(1)
     base = df.select(F.col(epoch_col).alias("epoch"), F.col(step_col).alias("step"),
                      (F.col(value_col) * w).alias("vw"), w.alias("w"),
                      F.floor(F.col(step_col) / chunk_rows).alias("chunk"))
@@ -34,8 +38,8 @@ def running_mean(df: DataFrame, epoch_col: str, step_col: str, value_col: str,
     before = Window.partitionBy("epoch").orderBy("chunk") \
                    .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("epoch", "chunk",
-                            F.coalesce(F.sum("t_vw").over(before), F.lit(0.0)).alias("o_vw"),
-                            F.coalesce(F.sum("t_w").over(before), F.lit(0.0)).alias("o_w"))
+                            F.coalesce(F.sum("t_vw").over(before), F.lit(0)).alias("o_vw"),
+                            F.coalesce(F.sum("t_w").over(before), F.lit(0)).alias("o_w"))
     return local.join(offsets, ["epoch", "chunk"]).select(
         "epoch", "step", ((F.col("s_vw") + F.col("o_vw")) / (F.col("s_w") + F.col("o_w")))
         .alias("running_mean"))
@@ -76,9 +80,10 @@ def in_batch_scores(queries: DataFrame, keys: DataFrame, use_all_pairs: bool = F
             "batch_id", F.col("p_row").alias("row_id"), F.lit("kk").alias("block"),
             F.col("o_row").alias("j"), dot("kv", "ov").alias("score"))
         extra = kq.unionByName(qq).unionByName(kk).join(n_keys, "batch_id").join(n_rows, "batch_id")
-        offset = (F.when(F.col("block") == "kq", F.col("nk"))
-                   .when(F.col("block") == "qq", F.col("nk") + F.col("nq"))
-                   .otherwise(F.col("nk") + 2 * F.col("nq")))
+        # extra blocks get their own column id ranges, never equal to a key id
+        offset = (F.when(F.col("block") == "kq", F.lit(BLOCK_STRIDE))
+                   .when(F.col("block") == "qq", F.lit(2 * BLOCK_STRIDE))
+                   .otherwise(F.lit(3 * BLOCK_STRIDE)))
         extra = extra.withColumn("col", offset + F.col("j")).drop("nk", "nq")
         out = out.unionByName(extra)
     return out.join(target, ["batch_id", "row_id"]).select(

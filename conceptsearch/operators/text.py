@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptsearch.functions.scalar import WHITESPACE
+
 # Special tokens and the default masking parameters.
 CLS, SEP, MASK = "[CLS]", "[SEP]", "[MASK]"
 MAX_PREDICTIONS = 512
@@ -82,7 +84,7 @@ def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """Whitespace tokens of whole texts, ``[CLS]`` first and ``[SEP]`` last;
     every ``piece_every``-th word (position % piece_every = piece_every - 1)
     is written as a ``##`` continuation piece.  Output ``(doc_id, pos, token)``."""
-    words = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: F.length(w) > 0)
+    words = F.filter(F.split(F.col(text_col), WHITESPACE + "+"), lambda w: F.length(w) > 0)
     marked = F.transform(words, lambda w, i: F.when(i % piece_every == piece_every - 1,
                                                     F.concat(F.lit("##"), w)).otherwise(w))
     toks = F.concat(F.array(F.lit(CLS)), marked, F.array(F.lit(SEP)))

@@ -126,3 +126,31 @@ class Fixture:
         passages = self.passages().select(F.col("docid").alias("pid"), "label")
         return build_train_records(self.dense_run(), self.queries().select("qid", "label"),
                                    passages, N_POS, N_NEG, self.query_text())
+
+    def qa_lines(self) -> DataFrame:
+        """QA query lines from ``conversations``: the first user turn is the
+        question, the words of the first assistant turn the answer list (a
+        Python literal).  Every third conversation's fields are wrapped in
+        quotes (inner quotes doubled); every tenth question is repeated later
+        with another answer list, which the reader must drop.
+        Output ``(line_no, conv_id, raw_question, raw_answers)``."""
+        c = self.table("conversations")
+        first = c.groupBy("conv_id").agg(
+            F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                     F.when(F.col("role") == "user", F.col("turn"))).alias("q"),
+            F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
+                     F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"))
+        q_clean = F.regexp_replace(F.coalesce("q", F.lit("")), '[\\t\\n\\r"]', " ")
+        words = F.filter(F.split(F.regexp_replace(F.coalesce("a", F.lit("")), "['\"\\\\\\\\]", ""),
+                                 "[ \\t\\n\\r\\f]+"), lambda w: F.length(w) > 0)
+        literal = F.concat(F.lit("["), F.array_join(F.transform(
+            words, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", "), F.lit("]"))
+        wrap = F.col("conv_id") % 3 == 0
+        raw_q = F.when(wrap, F.concat(F.lit('"say ""this"" '), q_clean, F.lit('"'))).otherwise(q_clean)
+        raw_a = F.when(wrap, F.concat(F.lit('"'), literal, F.lit('"'))).otherwise(literal)
+        base = first.select((F.col("conv_id") * 2).alias("line_no"), "conv_id",
+                            raw_q.alias("raw_question"), raw_a.alias("raw_answers"))
+        dups = base.filter(F.col("conv_id") % 10 == 0).select(
+            (F.lit(1_000_000) + F.col("conv_id")).alias("line_no"), "conv_id", "raw_question",
+            F.lit("['dup']").alias("raw_answers"))
+        return base.unionByName(dups)

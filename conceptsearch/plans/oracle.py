@@ -221,6 +221,3 @@ ORACLE["qrels_inner"] = with_trec("run3", "qrels_g", (10,), ("ndcg",), "inner",
 ORACLE["qrels_left"] = with_trec("run3", "qrels_g", (10,), ("ndcg",), "left",
                                  final="SELECT qid, round(value, 6) AS ndcg10 FROM perq",
                                  deps=("run3", "qrels_g"))
-
-from conceptsearch.plans import oracle_training  # noqa: E402,F401
-from conceptsearch.plans import oracle_sae  # noqa: E402,F401

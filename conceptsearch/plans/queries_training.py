@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conceptsearch.functions.scalar import (dot, l2_normalize, parse_shard_name,
                                             reciprocal_rank_score)
 from conceptsearch.operators import metrics, sae, text, training_data as td
-from conceptsearch.operators.embed import pair_score
+from conceptsearch.operators.embed import cosine_scorer, pair_score
 from conceptsearch.operators.search import _dense_block, dense_search, rank_within, topk_merge
 from conceptsearch.plans.fixtures import THETA, Fixture
 from conceptsearch.plans.registry import _r, _sparse_run3, register
@@ -179,16 +179,6 @@ def q_first_positive(spark, sf):
               .select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id")
 
 
-def _cosine_scorer(batches):
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        a = np.stack(pdf["qv"].to_numpy())
-        b = np.stack(pdf["dv"].to_numpy())
-        s = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-        yield pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "score": s})
-
-
 def _vecs(fx: Fixture):
     q = fx.queries().select(F.col("qid").alias("id"), "v")
     p = fx.passages().select(F.col("docid").alias("id"), "v")
@@ -200,7 +190,7 @@ def _merged_run(fx: Fixture) -> DataFrame:
     head_pairs = td.rank_cut(original, 20).select(F.col("qid").cast("string").alias("query_id"),
                                                   F.col("pid").cast("string").alias("doc_id"))
     q, p = _vecs(fx)
-    head = pair_score(head_pairs, q, p, _cosine_scorer, 5).select(
+    head = pair_score(head_pairs, q, p, cosine_scorer, 5).select(
         F.col("query_id").cast("long").alias("qid"), F.col("doc_id").cast("long").alias("pid"), "score")
     return td.rerank_tail_merge(head, original, 20)
 
@@ -215,7 +205,7 @@ def q_pair_score(spark, sf):
     fx = Fixture(spark, sf)
     pairs = td.pairs_union(_records(fx), 4)
     q, p = _vecs(fx)
-    return pair_score(pairs, q, p, _cosine_scorer, 5)
+    return pair_score(pairs, q, p, cosine_scorer, 5)
 
 
 @register("row_presence_guard")
@@ -242,7 +232,7 @@ def q_merge_teacher_scores(spark, sf):
     rec = _records(fx)
     pairs = td.pairs_union(rec, 4).filter(F.col("doc_id").cast("long") % 5 != 0)
     q, p = _vecs(fx)
-    teacher = pair_score(pairs, q, p, _cosine_scorer, 5)
+    teacher = pair_score(pairs, q, p, cosine_scorer, 5)
     return _flat(td.merge_teacher_scores(td.neg_cap(rec, 4), teacher))
 
 

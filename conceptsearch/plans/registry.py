@@ -221,6 +221,3 @@ def q_qrels_left(spark, sf):
 
 
 _ = (MAX_LATENTS, query_saturation)
-
-from conceptsearch.plans import queries_training  # noqa: E402,F401
-from conceptsearch.plans import queries_sae  # noqa: E402,F401
