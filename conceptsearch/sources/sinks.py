@@ -105,10 +105,9 @@ def write_descriptions(desc: DataFrame, path: str) -> None:
 
 def write_queries(queries: DataFrame, path: str) -> None:
     """``qid \\t text`` lines in ``line_no`` order (read by A2)."""
-    write_lines(_tsv(queries, ["qid", "text"]).withColumn("line_no", F.lit(0))
-                if "line_no" not in queries.columns else
-                queries.select(F.concat_ws("\t", F.col("qid").cast("string"), "text").alias("value"),
-                               "line_no"), path, ["line_no"])
+    lines = queries.select(F.concat_ws("\t", F.col("qid").cast("string"), "text").alias("value"),
+                           "line_no")
+    write_lines(lines, path, ["line_no"])
 
 
 def write_qrels(qrels: DataFrame, path: str, sep: str = "\t") -> None:
