@@ -58,12 +58,12 @@ def sparse_search(index: ConceptIndex, query_latents: DataFrame, k: int | None =
     """
     q = query_latents.select("qid", "latent", query_saturation(F.col("weight"), k2).alias("h_q"))
     postings = scored_postings(index, k1=k1, b=b)
-    n_query_rows = q.count()
-    if push_latents:
-        distinct = q.select("latent").distinct()
-        if distinct.count() <= MAX_PUSHED_LATENTS:
-            wanted = [r[0] for r in distinct.collect()]
-            postings = postings.filter(F.col("latent").isin(wanted))
+    # one small job: the query-side row count (broadcast decision) and its
+    # distinct latents (at most the model's latent count) for scan pruning
+    stats = q.agg(F.count("*").alias("n"), F.collect_set("latent").alias("latents")).first()
+    n_query_rows, wanted = stats["n"], stats["latents"]
+    if push_latents and len(wanted) <= MAX_PUSHED_LATENTS:
+        postings = postings.filter(F.col("latent").isin(sorted(wanted)))
     q_side = F.broadcast(q) if n_query_rows <= MAX_BROADCAST_QUERY_ROWS else q
     contrib = F.col("idf") * F.col("h_q") * F.col("h_d")
     scores = (postings.join(q_side, "latent")
@@ -134,10 +134,10 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
     """
     q = queries.select(F.col(qid_col).cast("long").alias("qid"),
                        F.col(vec_col).cast("array<double>").alias("v"))
-    n_q = q.count()
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n_q, dim = size["n"], size["dim"] or 0
     if n_q == 0:
         return passages.sparkSession.createDataFrame([], "qid long, pid long, rank long, score double")
-    dim = len(q.select("v").first()[0])
     rows_per_block = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
     n_blocks = (n_q + rows_per_block - 1) // rows_per_block
     parts = []

@@ -1,9 +1,9 @@
 """Text-side operators.
 
 Tokens are whitespace pieces (WordPiece is not available; SURVEY B3
-re-aims), with continuation pieces marked ``##``.  The token table is
-``(doc_id, pos, token)``; a document's tokens form one group, bounded by the
-document's length.
+re-aims), with continuation pieces marked ``##``.  A document's tokens stay
+one array in one row for masking, so masking is map-only (no shuffle of
+tokens); the exploded table ``(doc_id, pos, token)`` is used for pooling.
 
 Randomness (word shuffling, 80/10/10 replacement) is a seeded md5 of the
 position, identical in Spark and SQL and stable across task retries.
@@ -11,8 +11,13 @@ position, identical in Spark and SQL and stable across task retries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptsearch.functions.scalar import WHITESPACE
 
@@ -79,17 +84,25 @@ def contiguous_shard(df: DataFrame, pos_col: str, num_shards: int) -> DataFrame:
     return df.withColumn("shard", shard.cast("long"))
 
 
-def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                piece_every: int = 5) -> DataFrame:
-    """Whitespace tokens of whole texts, ``[CLS]`` first and ``[SEP]`` last;
-    every ``piece_every``-th word (position % piece_every = piece_every - 1)
-    is written as a ``##`` continuation piece.  Output ``(doc_id, pos, token)``."""
+def token_arrays(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                 piece_every: int = 5) -> DataFrame:
+    """Whitespace tokens of whole texts as one array per document, ``[CLS]``
+    first and ``[SEP]`` last; every ``piece_every``-th word (position %
+    piece_every = piece_every - 1) is written as a ``##`` continuation piece.
+    Output ``(doc_id, toks)``."""
     words = F.filter(F.split(F.col(text_col), WHITESPACE + "+"), lambda w: F.length(w) > 0)
     marked = F.transform(words, lambda w, i: F.when(i % piece_every == piece_every - 1,
                                                     F.concat(F.lit("##"), w)).otherwise(w))
     toks = F.concat(F.array(F.lit(CLS)), marked, F.array(F.lit(SEP)))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(toks).alias("pos", "token")) \
-               .select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
+    return docs.select(F.col(id_col).alias("doc_id"), toks.alias("toks"))
+
+
+def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                piece_every: int = 5) -> DataFrame:
+    """The token arrays exploded: ``(doc_id, pos, token)``."""
+    return token_arrays(docs, text_col, id_col, piece_every) \
+        .select("doc_id", F.posexplode("toks").alias("pos", "token")) \
+        .select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
 def _u01(*parts: Column) -> Column:
@@ -98,96 +111,158 @@ def _u01(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def word_mask_reference(doc_id: int, toks, prob: float, seed: int = 42,
+                        max_predictions: int = MAX_PREDICTIONS) -> list[int]:
+    """Plain-Python whole-word selection for one document: the brute-force
+    reference the tests hold ``whole_word_mask`` against."""
+    words: list[list[int]] = []
+    for i, t in enumerate(toks):
+        if t == CLS or t == SEP:
+            continue
+        if words and t.startswith("##"):
+            words[-1].append(i)
+        else:
+            words.append([i])
+    order = sorted(range(len(words)), key=lambda j: (
+        hashlib.md5(f"{seed}:{doc_id}:{words[j][0]}".encode()).hexdigest(), j))
+    target = min(max_predictions, max(1, int(round(len(toks) * prob))))
+    mask = [0] * len(toks)
+    taken = 0
+    for j in order:
+        if taken >= target:
+            break
+        if taken + len(words[j]) > target:
+            continue
+        for i in words[j]:
+            mask[i] = 1
+        taken += len(words[j])
+    return mask
+
+
+def _word_mask_np(doc_id: int, toks: np.ndarray, prob: float, seed: int,
+                  max_predictions: int) -> np.ndarray:
+    """One document's whole-word mask, vectorised with NumPy."""
+    n = len(toks)
+    mask = np.zeros(n, dtype=np.int32)
+    if n == 0:
+        return mask
+    special = (toks == CLS) | (toks == SEP)
+    piece = np.fromiter((t.startswith("##") for t in toks), dtype=bool, count=n)
+    ns = ~special
+    if not ns.any():
+        return mask
+    first_ns = int(np.argmax(ns))
+    start_flag = ns & (~piece)
+    start_flag[first_ns] = True
+    starts = np.flatnonzero(start_flag)
+    word_of = np.cumsum(start_flag) - 1            # word of every non-special token
+    lens = np.bincount(word_of[ns], minlength=starts.size)
+    keys = [hashlib.md5(f"{seed}:{doc_id}:{s}".encode()).hexdigest() for s in starts]
+    target = min(max_predictions, max(1, int(round(n * prob))))
+    chosen = np.zeros(starts.size, dtype=bool)
+    taken = 0
+    for j in sorted(range(starts.size), key=keys.__getitem__):
+        if taken >= target:
+            break
+        if taken + lens[j] > target:
+            continue
+        chosen[j] = True
+        taken += int(lens[j])
+    mask[ns] = chosen[word_of[ns]]
+    return mask
+
+
 def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
                     max_predictions: int = MAX_PREDICTIONS) -> DataFrame:
-    """Whole-word masking.
+    """Whole-word masking of each document's token array.
 
     Words are a non-``##`` token plus its following ``##`` pieces (specials
     never belong to a word).  Words are shuffled by ``md5(seed:doc:start)``
     and taken greedily while the masked piece count stays within
     ``min(max_predictions, max(1, round_half_even(n_tokens * mlm_prob)))``;
-    a word that would overshoot is skipped.  The greedy pass is an
-    ``aggregate`` over the document's shuffled word list (JVM side).
-    Output ``(doc_id, pos, token, masked)``.
+    a word that would overshoot is skipped.
+
+    Map-only: a document is one row, so no token is ever shuffled; the
+    sequential greedy pass is a small NumPy helper per row, run on Arrow
+    batches.  ``tokens``: ``(doc_id, toks)``; output adds ``mask array<int>``.
     """
-    special = F.col("token").isin(CLS, SEP)
-    w_doc = Window.partitionBy("doc_id").orderBy("pos")
-    first_ns = F.min(F.when(~special, F.col("pos"))).over(Window.partitionBy("doc_id"))
-    is_start = (~special) & ((~F.col("token").startswith("##")) | (F.col("pos") == first_ns))
-    t = (tokens.withColumn("is_start", is_start)
-               .withColumn("word", F.sum(F.col("is_start").cast("long")).over(
-                   w_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-               .withColumn("special", special))
-    n_tok = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    words = (t.filter(~F.col("special") & (F.col("word") > 0))
-              .groupBy("doc_id", "word")
-              .agg(F.min("pos").alias("start"), F.count("*").alias("len")))
-    target = F.least(F.lit(max_predictions),
-                     F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(mlm_prob), 0).cast("int")))
-    shuffled = F.array_sort(F.collect_list(F.struct(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"),
-                          F.col("start").cast("string"))).alias("h"),
-        F.col("word"), F.col("len").cast("int").alias("len"))))
-    per_doc = words.groupBy("doc_id").agg(shuffled.alias("ws")).join(n_tok, "doc_id") \
-                   .withColumn("target", target)
-    init = F.struct(F.lit(0).alias("t"), F.array().cast("array<bigint>").alias("c"))
-    greedy = F.aggregate("ws", init, lambda acc, w: F.when(
-        (acc["t"] < F.col("target")) & (acc["t"] + w["len"] <= F.col("target")),
-        F.struct((acc["t"] + w["len"]).alias("t"), F.array_append(acc["c"], w["word"]).alias("c"))
-    ).otherwise(acc))
-    chosen = per_doc.select("doc_id", F.explode(greedy["c"]).alias("word")) \
-                    .withColumn("masked", F.lit(1))
-    return (t.join(chosen, ["doc_id", "word"], "left")
-             .select("doc_id", "pos", "token",
-                     F.when(F.col("special"), 0).otherwise(F.coalesce("masked", F.lit(0)))
-                     .cast("int").alias("masked")))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def masks(doc_ids: pd.Series, toks: pd.Series) -> pd.Series:
+        return pd.Series([_word_mask_np(int(d), np.asarray(t, dtype=object), mlm_prob, seed,
+                                        max_predictions) for d, t in zip(doc_ids, toks)])
+
+    return tokens.withColumn("mask", masks(F.col("doc_id"), F.col("toks")))
+
+
+def explode_mask(masked: DataFrame, mask_col: str = "mask") -> DataFrame:
+    """Arrays to rows ``(doc_id, pos, token, masked)``."""
+    z = F.arrays_zip(F.col("toks").alias("token"), F.col(mask_col).alias("m"))
+    return masked.select("doc_id", F.posexplode(z).alias("pos", "p")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), F.col("p.token").alias("token"),
+        F.col("p.m").alias("masked"))
 
 
 def mask_tokens(masked: DataFrame, seed: int = 42, all_use_mask_token: bool = False) -> DataFrame:
     """Masked positions become ``[MASK]`` (80 %), a random token of the
     same document (10 %) or stay (10 %); labels keep the original token on
     masked positions and are null (the reference's -100) elsewhere.
-    Output ``(doc_id, pos, token, input_token, label)``."""
-    u_replace = _u01(F.lit(seed), F.lit("r"), F.col("doc_id"), F.col("pos"))
-    u_random = _u01(F.lit(seed), F.lit("x"), F.col("doc_id"), F.col("pos"))
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.lit("p"), F.col("doc_id").cast("string"),
-                      F.col("pos").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), n)
-    t = masked.withColumn("pick", pick)
-    lookup = masked.select("doc_id", F.col("pos").alias("pick"), F.col("token").alias("rand_token"))
-    t = t.join(lookup, ["doc_id", "pick"], "left")
-    is_m = F.col("masked") == 1
-    if all_use_mask_token:
-        inp = F.when(is_m, F.lit(MASK)).otherwise(F.col("token"))
-    else:
-        inp = (F.when(is_m & (u_replace < 0.8), F.lit(MASK))
-                .when(is_m & (u_random < 0.5), F.col("rand_token"))
-                .otherwise(F.col("token")))
-    return t.select("doc_id", "pos", "token", inp.alias("input_token"),
-                    F.when(is_m, F.col("token")).alias("label"))
+
+    Array functions on each document row (JVM side, no shuffle).
+    Input ``(doc_id, toks, mask)``; output adds ``inputs`` and ``labels``."""
+    doc = F.col("doc_id").cast("string")
+    n = F.size("toks")
+
+    def key(tag: str, i):
+        return F.concat_ws(":", F.lit(str(seed)), F.lit(tag), doc, i.cast("string"))
+
+    def u01(tag: str, i):
+        return F.conv(F.substring(F.md5(key(tag, i)), 1, 8), 16, 10).cast("double") / \
+            F.lit(4294967296.0)
+
+    def pick(i):
+        return F.pmod(F.conv(F.substring(F.md5(key("p", i)), 1, 8), 16, 10).cast("long"), n)
+
+    def replace(t, i):
+        m = F.col("mask")[i] == 1
+        if all_use_mask_token:
+            return F.when(m, F.lit(MASK)).otherwise(t)
+        return (F.when(m & (u01("r", i) < 0.8), F.lit(MASK))
+                 .when(m & (u01("x", i) < 0.5), F.col("toks")[pick(i)])
+                 .otherwise(t))
+
+    return masked.withColumn("inputs", F.transform("toks", replace)) \
+                 .withColumn("labels", F.transform("toks", lambda t, i: F.when(F.col("mask")[i] == 1, t)))
+
+
+def explode_masked_tokens(df: DataFrame) -> DataFrame:
+    """``mask_tokens`` arrays to rows ``(doc_id, pos, token, input_token, label)``."""
+    z = F.arrays_zip(F.col("toks").alias("token"), F.col("inputs").alias("input_token"),
+                     F.col("labels").alias("label"))
+    return df.select("doc_id", F.posexplode(z).alias("pos", "p")).select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), "p.token", "p.input_token", "p.label")
 
 
 def dual_mask(tokens: DataFrame, encoder_prob: float, decoder_prob: float,
               seed: int = 42) -> DataFrame:
     """Encoder mask at ``encoder_prob``; decoder mask = encoder mask OR an
     independent mask at (pd - pe) / (1 - pe), so it always contains the
-    encoder mask.  Output ``(doc_id, pos, token, enc_masked, dec_masked)``."""
-    enc = whole_word_mask(tokens, encoder_prob, seed).withColumnRenamed("masked", "enc_masked")
+    encoder mask.  Input ``(doc_id, toks)``; output adds ``enc`` and ``dec``."""
+    enc = whole_word_mask(tokens, encoder_prob, seed).withColumnRenamed("mask", "enc")
     extra = (decoder_prob - encoder_prob) / (1.0 - encoder_prob)
     if extra <= 1e-4:
-        return enc.withColumn("dec_masked", F.col("enc_masked"))
-    dec = whole_word_mask(tokens, extra, seed + 1).select("doc_id", "pos", F.col("masked").alias("m2"))
-    return enc.join(dec, ["doc_id", "pos"]) \
-              .select("doc_id", "pos", "token", "enc_masked",
-                      F.greatest("enc_masked", "m2").alias("dec_masked"))
+        return enc.withColumn("dec", F.col("enc"))
+    both = whole_word_mask(enc, extra, seed + 1)
+    return both.withColumn("dec", F.zip_with("enc", "mask", lambda a, b: F.greatest(a, b))) \
+               .drop("mask")
 
 
 def replace_ratio(masked_tokens: DataFrame) -> DataFrame:
     """Replaced tokens (input differs from a valid label) over attended
-    tokens.  One row ``(replaced, attended, ratio)``."""
-    replaced = (F.col("label").isNotNull() & (F.col("input_token") != F.col("token"))).cast("long")
-    agg = masked_tokens.agg(F.sum(replaced).alias("replaced"), F.count("*").alias("attended"))
+    tokens.  Input: ``mask_tokens`` output.  One row ``(replaced, attended, ratio)``."""
+    replaced = F.size(F.filter(F.arrays_zip(F.col("inputs").alias("i"), F.col("labels").alias("l")),
+                               lambda x: x["l"].isNotNull() & (x["i"] != x["l"])))
+    agg = masked_tokens.agg(F.sum(replaced).cast("long").alias("replaced"),
+                            F.sum(F.size("toks")).cast("long").alias("attended"))
     return agg.withColumn("ratio", F.col("replaced") / F.col("attended"))
 
 

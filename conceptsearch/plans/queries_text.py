@@ -28,24 +28,30 @@ def _tokens(fx: Fixture) -> DataFrame:
 
 
 def _wwm(fx: Fixture) -> DataFrame:
-    return text.whole_word_mask(_tokens(fx), MLM_PROB, 42)
+    return text.whole_word_mask(text.token_arrays(fx.table("documents")), MLM_PROB, 42)
 
 
 @register("whole_word_mask")
 def q_whole_word_mask(spark, sf):
-    return _wwm(Fixture(spark, sf)).filter("masked = 1").select("doc_id", "pos", "token")
+    return text.explode_mask(_wwm(Fixture(spark, sf))).filter("masked = 1") \
+               .select("doc_id", "pos", "token")
 
 
 @register("mask_tokens")
 def q_mask_tokens(spark, sf):
-    out = text.mask_tokens(_wwm(Fixture(spark, sf)), 42)
+    out = text.explode_masked_tokens(text.mask_tokens(_wwm(Fixture(spark, sf)), 42))
     return out.filter(F.col("label").isNotNull()).select("doc_id", "pos", "input_token", "label")
 
 
 @register("dual_mask")
 def q_dual_mask(spark, sf):
-    out = text.dual_mask(_tokens(Fixture(spark, sf)), ENC_PROB, DEC_PROB, 42)
-    return out.filter("dec_masked = 1").select("doc_id", "pos", "enc_masked", "dec_masked")
+    out = text.dual_mask(text.token_arrays(Fixture(spark, sf).table("documents")),
+                         ENC_PROB, DEC_PROB, 42)
+    z = F.arrays_zip(F.col("enc").alias("e"), F.col("dec").alias("d"))
+    rows = out.select("doc_id", F.posexplode(z).alias("pos", "p"))
+    return rows.filter("p.d = 1").select("doc_id", F.col("pos").cast("long").alias("pos"),
+                                         F.col("p.e").alias("enc_masked"),
+                                         F.col("p.d").alias("dec_masked"))
 
 
 @register("replace_ratio")

@@ -85,8 +85,8 @@ def test_contiguous_shard_sizes(spark):
 
 def test_whole_word_mask_greedy_skip(spark):
     toks = ["[CLS]", "a", "##b", "##c", "d", "e", "[SEP]"]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(toks)], "doc_id long, pos long, token string")
-    out = text.whole_word_mask(df, 0.3, seed=0).orderBy("pos").collect()
+    df = spark.createDataFrame([(1, toks)], "doc_id long, toks array<string>")
+    out = text.explode_mask(text.whole_word_mask(df, 0.3, seed=0)).orderBy("pos").collect()
     masked = [r["token"] for r in out if r["masked"] == 1]
     # target = round(7 * 0.3) = 2 pieces: the three-piece word never fits
     assert len(masked) <= 2 and masked
@@ -94,12 +94,28 @@ def test_whole_word_mask_greedy_skip(spark):
     assert out[0]["masked"] == 0 and out[-1]["masked"] == 0
 
 
+def test_whole_word_mask_equals_python_reference(spark):
+    rng = np.random.default_rng(5)
+    docs = []
+    for d in range(30):
+        n = int(rng.integers(0, 60))
+        toks = ["[CLS]"] + [("##" if rng.random() < 0.3 else "") + f"t{int(rng.integers(0, 9))}"
+                            for _ in range(n)] + ["[SEP]"]
+        if d % 7 == 0:
+            toks.insert(len(toks) // 2, "[SEP]")
+        docs.append((d, toks))
+    df = spark.createDataFrame(docs, "doc_id long, toks array<string>")
+    got = {r["doc_id"]: list(r["mask"]) for r in text.whole_word_mask(df, 0.2, seed=9).collect()}
+    for d, toks in docs:
+        assert got[d] == text.word_mask_reference(d, toks, 0.2, seed=9), d
+
+
 def test_dual_mask_contains_encoder_mask(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in range(5)],
                                  "doc_id long, text string")
-    out = text.dual_mask(text.token_table(docs), 0.2, 0.5).collect()
-    assert all(r["dec_masked"] >= r["enc_masked"] for r in out)
-    assert sum(r["dec_masked"] for r in out) > sum(r["enc_masked"] for r in out)
+    out = text.dual_mask(text.token_arrays(docs), 0.2, 0.5).collect()
+    assert all(d >= e for r in out for e, d in zip(r["enc"], r["dec"]))
+    assert sum(sum(r["dec"]) for r in out) > sum(sum(r["enc"]) for r in out)
 
 
 def test_qa_text_helpers(spark):
