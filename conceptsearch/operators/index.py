@@ -76,19 +76,24 @@ def build_index(codes: DataFrame, max_latents: int | None = None, id_col: str =
                                                   F.col("weight").alias("tf"))).alias("p")) \
                    .select(F.col("p.latent").alias("latent"), "docid",
                            F.col("p.tf").alias("tf"), "dl")
-    n_docs = stats.select("n").scalar()
     terms = (postings.groupBy("latent").agg(F.count("*").alias("df"))
-                     .withColumn("idf", idf_expr(n_docs, F.col("df"))))
+                     .withColumn("idf", idf_expr(_stats_scalar(stats)["n"], F.col("df"))))
     return ConceptIndex(postings=postings, terms=terms, doc_stats=doc_stats, stats=stats)
 
 
+def _stats_scalar(stats: DataFrame):
+    """``(n, avgdl)`` as one scalar subquery; every use shares one plan, so
+    Spark evaluates it once per query."""
+    return stats.select(F.struct("n", "avgdl").alias("s")).scalar()
+
+
 def scored_postings(index: ConceptIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Postings with idf and the document-side factor attached.
 
     ``terms`` has one row per latent (bounded by the model), so it is
     broadcast; avgdl is a scalar subquery.
     """
-    avgdl = index.stats.select("avgdl").scalar()
+    avgdl = _stats_scalar(index.stats)["avgdl"]
     return (index.postings.join(F.broadcast(index.terms.select("latent", "idf")), "latent")
                  .select("latent", "docid", "tf", "dl", "idf",
                          doc_saturation(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("h_d")))

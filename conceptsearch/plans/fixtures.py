@@ -20,6 +20,7 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._dense: dict = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -75,13 +77,23 @@ class Fixture:
         return sae.SaeModel.tied(self.dictionary(), self.bias)
 
     # -- sparse codes and index -----------------------------------------
-    def passage_codes(self) -> DataFrame:
+    # Intermediate results one query reads several times are persisted once
+    # per fixture (memory and disk; recomputed from lineage if lost).
+    @cached_property
+    def _passage_codes(self) -> DataFrame:
         return sae.encode_threshold(self.passages(), self.model, THETA, id_col="docid") \
-                  .withColumnRenamed("id", "docid")
+                  .withColumnRenamed("id", "docid").persist(StorageLevel.MEMORY_AND_DISK)
 
-    def query_codes(self) -> DataFrame:
+    @cached_property
+    def _query_codes(self) -> DataFrame:
         return sae.encode_threshold(self.queries(), self.model, THETA, id_col="qid") \
-                  .withColumnRenamed("id", "qid")
+                  .withColumnRenamed("id", "qid").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def passage_codes(self) -> DataFrame:
+        return self._passage_codes
+
+    def query_codes(self) -> DataFrame:
+        return self._query_codes
 
     def query_latents(self) -> DataFrame:
         return sae.explode_codes(self.query_codes(), "qid").withColumnRenamed("w", "weight")
@@ -106,7 +118,10 @@ class Fixture:
 
     # -- dense -----------------------------------------------------------
     def dense_run(self, k: int | None = DENSE_K) -> DataFrame:
-        return dense_search(self.queries(), self.passages(), k, "qid", "docid", "v")
+        if k not in self._dense:
+            self._dense[k] = dense_search(self.queries(), self.passages(), k, "qid", "docid", "v") \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+        return self._dense[k]
 
     # -- text --------------------------------------------------------------
     def corpus(self) -> DataFrame:

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming operator: no watermark, window, state store
+or late-data handling; every step is a bounded batch.  Nothing here adds
+semantics.  ``micro_batch`` only lets the batch retrieval operator serve
+query latents that arrive continuously (Structured Streaming
+``foreachBatch`` over the same ``sparse_search``).
+"""

@@ -1,0 +1,37 @@
+"""Serve the concept index to a stream of query latents.
+
+Each micro-batch of ``(qid, latent, weight)`` rows is scored with the batch
+operator ``sparse_search`` against a saved index and appended to a Parquet
+run table.  The streaming query's checkpoint folder (under the cluster's
+shared ``spark.checkpoint.dir`` when none is given) makes the sink
+exactly-once across restarts and executor loss.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from conceptsearch.operators.index import ConceptIndex
+from conceptsearch.operators.search import sparse_search
+from conceptsearch.session import checkpoint_dir
+
+
+def score_query_stream(query_latents: DataFrame, index: ConceptIndex, out_path: str,
+                       k: int = 1000, checkpoint: str | None = None, trigger_once: bool = False):
+    """Start a streaming query that writes each micro-batch's run to ``out_path``."""
+    spark = query_latents.sparkSession
+    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "streams", "score_query_stream")
+
+    def score(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        run = sparse_search(index, batch, k).withColumn("epoch", F.lit(epoch_id))
+        run.write.mode("append").parquet(out_path)
+
+    writer = query_latents.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+    if trigger_once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -1,0 +1,24 @@
+"""The batch retrieval operator served over a stream of query latents."""
+
+import os
+import uuid
+
+from conceptsearch.operators.search import sparse_search
+from conceptsearch.plans.fixtures import Fixture
+from conceptsearch.session import scratch_path
+from conceptsearch.sources import sinks
+from conceptsearch.streaming.micro_batch import score_query_stream
+
+
+def test_stream_equals_batch(spark):
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    base = scratch_path(spark, f"tests/stream-{uuid.uuid4().hex}")
+    sinks.save_index(fx.index(), base + "/index")
+    idx = sinks.load_index(spark, base + "/index")
+    fx.query_latents().write.parquet(base + "/queries")
+    stream = spark.readStream.schema("qid long, latent long, weight double").parquet(base + "/queries")
+    q = score_query_stream(stream, idx, base + "/run", checkpoint=base + "/ckpt", trigger_once=True)
+    q.awaitTermination(300)
+    got = {(r["qid"], r["docid"], r["rank"]) for r in spark.read.parquet(base + "/run").collect()}
+    exp = {(r["qid"], r["docid"], r["rank"]) for r in sparse_search(idx, fx.query_latents()).collect()}
+    assert got == exp and os.path.isdir(base + "/ckpt")
