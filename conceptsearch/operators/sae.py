@@ -75,15 +75,30 @@ class SaeModel:
         return spark.createDataFrame(pdf, "latent long, w_dec array<double>")
 
 
+def _partial_sums(df: DataFrame, vec_col: str) -> DataFrame:
+    """One row per Arrow batch: ``(n, s array<double>)``, the row count and the
+    element-wise vector sum, computed in NumPy."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(np.float64, copy=False)
+                yield pd.DataFrame({"n": [len(pdf)], "s": [x.sum(axis=0)]})
+
+    return df.select(F.col(vec_col).cast("array<double>").alias("v")) \
+             .mapInPandas(run, "n long, s array<double>")
+
+
 def mean_vector(df: DataFrame, vec_col: str = "v") -> np.ndarray:
     """Per-dimension mean of a vector column (``bias_pre`` of the fixture).
 
-    Partial averages per partition, one row per dimension reaches the driver.
+    NumPy partial sums per Arrow batch; only one row per batch is shuffled
+    and one row per dimension reaches the driver.
     """
-    rows = (df.select(F.posexplode(vec_col).alias("pos", "x"))
-              .groupBy("pos").agg(F.avg("x").alias("m"))
-              .orderBy("pos").collect())
-    return np.array([r["m"] for r in rows], dtype=np.float64)
+    parts = _partial_sums(df, vec_col)
+    rows = (parts.select("n", F.posexplode("s").alias("pos", "x"))
+                 .groupBy("pos").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
+                 .orderBy("pos").collect())
+    return np.array([r["s"] / r["n"] for r in rows], dtype=np.float64)
 
 
 def _matrix(series: pd.Series, d: int) -> np.ndarray:
@@ -393,6 +408,89 @@ def nmse(vectors: DataFrame, recon: DataFrame, id_col: str = "id", vec_col: str
     return agg.withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
 
 
+def nmse_bulk(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str = "v") -> DataFrame:
+    """E12 in bulk: two passes of NumPy partial sums, no per-dimension rows.
+
+    Pass 1 gives the mean vector (one row per batch).  Pass 2 reconstructs
+    every batch with the threshold mask and emits its sums of squared errors
+    against the reconstruction and against the mean.  One-row result
+    ``(mse, baseline_mse, nmse)``, row-weighted (SURVEY L13)."""
+    mean = mean_vector(vectors, vec_col)
+    bc = model.broadcast(vectors.sparkSession)
+    d = model.dim
+
+    def run(batches):
+        w_enc, w_dec, bias = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = _matrix(pdf["v"], d)
+            z = _pre(x, w_enc, bias)
+            r = (z * (z > theta)) @ w_dec.T + bias
+            yield pd.DataFrame({"n": [x.size], "se": [float(((x - r) ** 2).sum())],
+                                "be": [float(((x - mean) ** 2).sum())]})
+
+    parts = vectors.select(F.col(vec_col).cast("array<double>").alias("v")) \
+                   .mapInPandas(run, "n long, se double, be double")
+    return parts.agg((F.sum("se") / F.sum("n")).alias("mse"),
+                     (F.sum("be") / F.sum("n")).alias("baseline_mse")) \
+                .withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
+
+
+def sae_loss_bulk(vectors: DataFrame, model: SaeModel, k: int, dead: DataFrame,
+                  alpha: float = 1.0 / 32, batch_col: str = "batch_id", id_col: str = "id",
+                  vec_col: str = "v") -> DataFrame:
+    """E11 in bulk: per batch (one group of B rows, the batch-size
+    parameter) the BatchTopK reconstruction, the dead-latent auxiliary
+    reconstruction (top 2k dead pre-activations per row, decoded without
+    bias) and the sums of e^2 and (e - dead_recon)^2.  The dead-latent set
+    is model-sized and broadcast.  One-row result ``(loss, recon_mse)``."""
+    spark = vectors.sparkSession
+    dead_ids = np.array(sorted(r[0] for r in dead.filter("dead").select("latent").collect()),
+                        dtype=np.int64)
+    bc = model.broadcast(spark)
+    dead_bc = spark.sparkContext.broadcast(dead_ids)
+    d = model.dim
+
+    def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        w_enc, w_dec, bias = bc.value
+        pdf = pdf.sort_values("id", kind="stable")
+        x = _matrix(pdf["v"], d)
+        z = _pre(x, w_enc, bias)
+        flat = z.ravel()
+        keep_n = min(k * len(pdf), flat.size)
+        sel = np.zeros(flat.size, dtype=bool)
+        if keep_n == flat.size:
+            sel[:] = True
+        elif keep_n > 0:
+            cut = np.partition(flat, flat.size - keep_n)[flat.size - keep_n]
+            above = np.flatnonzero(flat > cut)
+            ties = np.flatnonzero(flat == cut)[: keep_n - above.size]
+            sel[above] = True
+            sel[ties] = True
+        sel = sel.reshape(z.shape)
+        r = (z * sel) @ w_dec.T + bias
+        dz = np.zeros_like(z)
+        dead_idx = dead_bc.value
+        if dead_idx.size:
+            zd = z[:, dead_idx]
+            n_aux = min(2 * k, dead_idx.size)
+            order = np.lexsort((np.broadcast_to(dead_idx, zd.shape), -zd), axis=1)[:, :n_aux]
+            rows = np.arange(z.shape[0])[:, None]
+            dz[rows, dead_idx[order]] = zd[rows, order]
+        ra = dz @ w_dec.T
+        e = x - r
+        return pd.DataFrame({"n": [x.size], "l": [float((e * e + alpha * (e - ra) ** 2).sum())],
+                             "e2": [float((e * e).sum())]})
+
+    parts = vectors.select(F.col(batch_col).cast("long").alias("batch_id"),
+                           F.col(id_col).cast("long").alias("id"),
+                           F.col(vec_col).cast("array<double>").alias("v")) \
+                   .groupBy("batch_id").applyInPandas(per_batch, "n long, l double, e2 double")
+    return parts.agg((F.sum("l") / F.sum("n")).alias("loss"),
+                     (F.sum("e2") / F.sum("n")).alias("recon_mse"))
+
+
 def gradient_pursuit(vectors: DataFrame, model: SaeModel, target_l0: int = 32,
                      id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """Batched gradient matching pursuit on the decoder directions,

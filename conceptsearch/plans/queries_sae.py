@@ -66,18 +66,14 @@ def q_dead_aux_recon(spark, sf):
 @register("sae_loss")
 def q_sae_loss(spark, sf):
     fx = Fixture(spark, sf)
-    bias = sae.bias_table(spark, fx.model.bias_pre)
-    out = sae.sae_loss(fx.passages().select(F.col("docid").alias("id"), "v"),
-                       _kept(fx), _aux(fx), fx.model.dictionary_df(spark), bias, ALPHA)
+    out = sae.sae_loss_bulk(_batched(fx), fx.model, BATCH_K, _dead(fx), ALPHA, "batch_id", "docid")
     return out.select(_r("loss", 9).alias("loss"), _r("recon_mse", 9).alias("recon_mse"))
 
 
 @register("nmse")
 def q_nmse(spark, sf):
     fx = Fixture(spark, sf)
-    codes = sae.encode_threshold(fx.vectors(), fx.model, THETA, "vec_id")
-    recon = sae.reconstruct(codes, fx.model).select("id", F.posexplode("v").alias("dim", "value"))
-    out = sae.nmse(fx.vectors().select(F.col("vec_id").alias("id"), "v"), recon)
+    out = sae.nmse_bulk(fx.vectors(), fx.model, THETA)
     return out.select(_r("mse", 9).alias("mse"), _r("baseline_mse", 9).alias("baseline_mse"),
                       _r("nmse", 9).alias("nmse"))
 
