@@ -84,6 +84,14 @@ def contiguous_shard(df: DataFrame, pos_col: str, num_shards: int) -> DataFrame:
     return df.withColumn("shard", shard.cast("long"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a small input: when the input has fewer partitions
+    than the cluster has cores (a few large row groups), redistribute it
+    round-robin; a large input is left as it is (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def token_arrays(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  piece_every: int = 5) -> DataFrame:
     """Whitespace tokens of whole texts as one array per document, ``[CLS]``
@@ -94,7 +102,8 @@ def token_arrays(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     marked = F.transform(words, lambda w, i: F.when(i % piece_every == piece_every - 1,
                                                     F.concat(F.lit("##"), w)).otherwise(w))
     toks = F.concat(F.array(F.lit(CLS)), marked, F.array(F.lit(SEP)))
-    return docs.select(F.col(id_col).alias("doc_id"), toks.alias("toks"))
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))) \
+        .select("doc_id", toks.alias("toks"))
 
 
 def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -139,36 +148,30 @@ def word_mask_reference(doc_id: int, toks, prob: float, seed: int = 42,
     return mask
 
 
-def _word_mask_np(doc_id: int, toks: np.ndarray, prob: float, seed: int,
+def _word_mask_np(toks: np.ndarray, order: np.ndarray, prob: float,
                   max_predictions: int) -> np.ndarray:
-    """One document's whole-word mask, vectorised with NumPy."""
+    """One document's whole-word mask given its word starts in shuffled
+    order: word lengths by ``searchsorted``/``bincount``, then the greedy pass."""
     n = len(toks)
     mask = np.zeros(n, dtype=np.int32)
-    if n == 0:
+    if n == 0 or order.size == 0:
         return mask
-    special = (toks == CLS) | (toks == SEP)
-    piece = np.fromiter((t.startswith("##") for t in toks), dtype=bool, count=n)
-    ns = ~special
-    if not ns.any():
-        return mask
-    first_ns = int(np.argmax(ns))
-    start_flag = ns & (~piece)
-    start_flag[first_ns] = True
-    starts = np.flatnonzero(start_flag)
-    word_of = np.cumsum(start_flag) - 1            # word of every non-special token
-    lens = np.bincount(word_of[ns], minlength=starts.size)
-    keys = [hashlib.md5(f"{seed}:{doc_id}:{s}".encode()).hexdigest() for s in starts]
+    ns = ~((toks == CLS) | (toks == SEP))
+    starts = np.sort(order)
+    pos = np.flatnonzero(ns)
+    word_of = np.searchsorted(starts, pos, side="right") - 1     # >= 0: first non-special starts a word
+    lens = np.bincount(word_of, minlength=starts.size)
     target = min(max_predictions, max(1, int(round(n * prob))))
     chosen = np.zeros(starts.size, dtype=bool)
     taken = 0
-    for j in sorted(range(starts.size), key=keys.__getitem__):
+    for j in np.searchsorted(starts, order):
         if taken >= target:
             break
         if taken + lens[j] > target:
             continue
         chosen[j] = True
         taken += int(lens[j])
-    mask[ns] = chosen[word_of[ns]]
+    mask[pos] = chosen[word_of]
     return mask
 
 
@@ -182,16 +185,35 @@ def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
     ``min(max_predictions, max(1, round_half_even(n_tokens * mlm_prob)))``;
     a word that would overshoot is skipped.
 
-    Map-only: a document is one row, so no token is ever shuffled; the
-    sequential greedy pass is a small NumPy helper per row, run on Arrow
-    batches.  ``tokens``: ``(doc_id, toks)``; output adds ``mask array<int>``.
+    Map-only: a document is one row, so no token is ever shuffled.  Word
+    starts and their md5 shuffle order are JVM array functions (every
+    row-level array is computed once, outside lambdas); the sequential
+    greedy pass is a small NumPy helper per row on Arrow batches.
+    ``tokens``: ``(doc_id, toks)``; output adds ``mask array<int>``.
     """
+    toks = F.col("toks")
+    n = F.size(toks)
+
+    def special(i):
+        return toks[i].isin(CLS, SEP)
+
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first_ns = F.element_at(F.filter(idx, lambda i: ~special(i)), 1)
+    heads = F.filter(idx, lambda i: (~special(i)) & (~toks[i].startswith("##")))
+    starts = F.array_sort(F.array_distinct(F.concat(
+        heads, F.when(first_ns.isNotNull(), F.array(first_ns)).otherwise(F.array().cast("array<int>")))))
+    doc = F.col("doc_id").cast("string")
+    keyed = F.transform(starts, lambda st: F.struct(
+        F.md5(F.concat_ws(":", F.lit(str(seed)), doc, st.cast("string"))).alias("h"), st.alias("s")))
+    order = F.transform(F.array_sort(keyed), lambda x: x["s"])
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def masks(doc_ids: pd.Series, toks: pd.Series) -> pd.Series:
-        return pd.Series([_word_mask_np(int(d), np.asarray(t, dtype=object), mlm_prob, seed,
-                                        max_predictions) for d, t in zip(doc_ids, toks)])
+    def masks(toks_s: pd.Series, order_s: pd.Series) -> pd.Series:
+        return pd.Series([_word_mask_np(np.asarray(t, dtype=object), np.asarray(o, dtype=np.int64),
+                                        mlm_prob, max_predictions)
+                          for t, o in zip(toks_s, order_s)])
 
-    return tokens.withColumn("mask", masks(F.col("doc_id"), F.col("toks")))
+    return tokens.withColumn("mask", masks(toks, order))
 
 
 def explode_mask(masked: DataFrame, mask_col: str = "mask") -> DataFrame:
