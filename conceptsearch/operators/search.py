@@ -130,7 +130,8 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
 
     Query vectors are broadcast in blocks of at most
     ``DENSE_QUERY_BLOCK_BYTES``; each block is one pass over the passages.
-    ``k=None`` ranks every passage (F4).  Output ``(qid, pid, rank, score)``.
+    ``k=None`` ranks every passage (F4, see ``rank_unbounded``).  Output
+    ``(qid, pid, rank, score)``.
     """
     q = queries.select(F.col(qid_col).cast("long").alias("qid"),
                        F.col(vec_col).cast("array<double>").alias("v"))
@@ -159,10 +160,32 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
     partial = parts[0]
     for p in parts[1:]:
         partial = partial.unionByName(p)
+    if k is None:
+        return rank_unbounded(partial)
     return rank_within(partial, ["qid"], [F.desc("score"), F.asc("pid")], k) \
         .select("qid", "pid", "rank", "score")
 
 
+def rank_unbounded(scores: DataFrame, qid_col: str = "qid", pid_col: str = "pid",
+                   score_col: str = "score") -> DataFrame:
+    """rank every candidate of every query (score desc, id asc) without a
+    cut, spread over the cluster however many candidates one query has.
+
+    A global sort range-partitions on (qid, score desc, pid), so one query's
+    candidates span many partitions; ``zipWithIndex`` numbers the sorted rows
+    (one small job counts the partitions); a query's rank is its row index
+    minus the index of its first row (a per-query minimum, partially
+    aggregated).  No window ever holds a whole query."""
+    spark = scores.sparkSession
+    ordered = scores.select(qid_col, pid_col, score_col) \
+                    .orderBy(F.col(qid_col), F.desc(score_col), F.asc(pid_col))
+    schema = ordered.schema.add("idx", "long")
+    indexed = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), schema)
+    first = indexed.groupBy(qid_col).agg(F.min("idx").alias("first_idx"))
+    return indexed.join(first, qid_col).select(
+        qid_col, pid_col, (F.col("idx") - F.col("first_idx") + 1).alias("rank"), score_col)
+
+
 def topk_merge(partials: DataFrame, k: int, qid_col: str = "qid", pid_col: str = "pid",
                score_col: str = "score") -> DataFrame:
     """merge partial top-k lists (any number of shards) into the global
