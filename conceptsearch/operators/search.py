@@ -33,6 +33,11 @@ MAX_BROADCAST_QUERY_ROWS = 2_000_000
 MAX_PUSHED_LATENTS = 32_768
 # Bytes of query vectors broadcast per block in dense search.
 DENSE_QUERY_BLOCK_BYTES = 128 << 20
+# (query, candidate) entries a task keeps per query block: bounds the running
+# top-k buffer (query block rows x k) in each Python worker.
+DENSE_MAX_TOPK_ENTRIES = 4_000_000
+# Bytes of one query-block x passage-chunk score matrix.
+DENSE_SCORE_CHUNK_BYTES = 64 << 20
 
 
 def rank_within(df: DataFrame, group_cols, order_cols, k: int | None,
@@ -84,39 +89,55 @@ def _local_topk(qidx: np.ndarray, pid: np.ndarray, score: np.ndarray, k: int):
     return qidx[keep], pid[keep], score[keep]
 
 
+def _chunks(batches, rows: int):
+    """Arrow batches re-cut into pieces of at most ``rows`` rows."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            piece = pdf.iloc[lo: lo + rows]
+            if len(piece):
+                yield piece
+
+
 def _dense_block(passages: DataFrame, q_ids: np.ndarray, q_mat: np.ndarray, k: int | None,
                  pid_col: str, vec_col: str) -> DataFrame:
+    """Score one broadcast query block against every passage partition.
+
+    Memory per task is bounded: a score matrix is at most
+    ``DENSE_SCORE_CHUNK_BYTES``; with a cut, the running top-k buffer holds
+    at most about 2 x block rows x k entries; without a cut every chunk is
+    emitted as soon as it is scored."""
     spark = passages.sparkSession
     bc = spark.sparkContext.broadcast((q_ids, q_mat))
 
     def run(batches):
         ids, mat = bc.value
-        buf_q, buf_p, buf_s = [], [], []
-        held = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        rows = max(1, DENSE_SCORE_CHUNK_BYTES // (8 * max(len(ids), 1)))
+        buf_q, buf_p, buf_s, held = [], [], [], 0
+        for pdf in _chunks(batches, rows):
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64, copy=False)
             pids = pdf["pid"].to_numpy(np.int64)
-            s = mat @ x.T                                   # (Q, b)
-            if k is not None and s.shape[1] > k:
+            s = mat @ x.T                                   # (queries, chunk rows)
+            if k is None:
+                qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
+                yield pd.DataFrame({"qid": ids[qi], "pid": pids[pj], "score": s[qi, pj]})
+                continue
+            if s.shape[1] > k:
                 kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                qi, pj = np.nonzero(s >= kth[:, None])     # ties kept, cut later
+                qi, pj = np.nonzero(s >= kth[:, None])     # ties kept, cut exactly below
             else:
                 qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
             buf_q.append(qi)
             buf_p.append(pids[pj])
             buf_s.append(s[qi, pj])
             held += qi.size
-            if k is not None and held > 4 * len(ids) * k:
+            if held > 2 * len(ids) * k:
                 a, b_, c = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
                                        np.concatenate(buf_s), k)
                 buf_q, buf_p, buf_s, held = [a], [b_], [c], a.size
-        if not buf_q:
+        if k is None or not buf_q:
             return
-        qi, pj, sc = np.concatenate(buf_q), np.concatenate(buf_p), np.concatenate(buf_s)
-        if k is not None:
-            qi, pj, sc = _local_topk(qi, pj, sc, k)
+        qi, pj, sc = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
+                                 np.concatenate(buf_s), k)
         yield pd.DataFrame({"qid": ids[qi], "pid": pj, "score": sc})
 
     src = passages.select(F.col(pid_col).cast("long").alias("pid"),
@@ -140,6 +161,8 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
     if n_q == 0:
         return passages.sparkSession.createDataFrame([], "qid long, pid long, rank long, score double")
     rows_per_block = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
+    if k is not None:
+        rows_per_block = max(1, min(rows_per_block, DENSE_MAX_TOPK_ENTRIES // k))
     n_blocks = (n_q + rows_per_block - 1) // rows_per_block
     parts = []
     if n_blocks == 1:

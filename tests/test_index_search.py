@@ -133,3 +133,17 @@ def test_topk_merge_equals_global_topk(spark):
     full = {(r["qid"], r["pid"]) for r in rank_within(df, ["qid"], [F.desc("score"), F.asc("pid")], 5)
             .collect()}
     assert merged == full
+
+
+def test_dense_search_with_query_blocks_and_chunks(spark, monkeypatch):
+    import conceptsearch.operators.search as search
+    monkeypatch.setattr(search, "DENSE_QUERY_BLOCK_BYTES", 8 * 8 * 3)   # 3 queries per block
+    monkeypatch.setattr(search, "DENSE_SCORE_CHUNK_BYTES", 8 * 16 * 5)  # tiny score chunks
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(10, 8))
+    p = rng.normal(size=(60, 8))
+    got = search.dense_search(_vectors(spark, range(10), q, "qid"),
+                              _vectors(spark, range(60), p, "pid").repartition(3), 4).collect()
+    s = q @ p.T
+    exp = {(qi, j) for qi in range(10) for j in sorted(range(60), key=lambda j: (-s[qi, j], j))[:4]}
+    assert {(r["qid"], r["pid"]) for r in got} == exp
