@@ -177,6 +177,8 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
         blocked = q.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
         for blk in range(n_blocks):
             pdf = blocked.filter(F.col("blk") == blk).select("qid", "v").toPandas()
+            if len(pdf) == 0:
+                continue
             parts.append(_dense_block(passages, pdf["qid"].to_numpy(np.int64),
                                       np.stack(pdf["v"].to_numpy()).astype(np.float64),
                                       k, pid_col, vec_col))
