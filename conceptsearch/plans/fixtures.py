@@ -5,9 +5,10 @@ Roles of the ``embeddings`` table, every row used:
 
 * ``queries``   - vectors with ``vec_id % 25 = 0`` (one in 25 acts as query);
 * ``passages``  - all other vectors;
-* ``dictionary``- data-initialised tied weights: the first 64 vectors by id
-  are the autoencoder's 64 latent directions (a model parameter; the
-  encoder then runs over every vector);
+* ``dictionary``- the autoencoder's 64 tied latent directions, initialised
+  like a linear layer's default: uniform in (-1/sqrt(d), 1/sqrt(d)), drawn
+  deterministically from ``md5("w:latent:dim")`` so that Spark and SQL give
+  the same weights (a model parameter; the encoder runs over every vector);
 * ``bias_pre``  - per-dimension mean of the passages.
 
 Qrels: for each query, the passages with the query's label among its exact
@@ -17,6 +18,7 @@ the MS MARCO threshold is 2).  At most 100 rows per query, never all pairs.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +33,7 @@ from conceptsearch.operators.search import dense_search, sparse_search
 # Fixed values of the fixture (not of the reference).
 QUERY_EVERY = 25
 DICTIONARY_SIZE = 64
-THETA = 0.2
+THETA = 0.1
 MAX_LATENTS = 24
 QREL_DEPTH = 100
 DENSE_K = 50
@@ -40,6 +42,14 @@ N_POS = 3
 N_NEG = 12
 
 
+def uniform_init(latent, dim, d: int):
+    """Weight (latent, dim): uniform in (-1/sqrt(d), 1/sqrt(d)) from the first
+    32 bits of ``md5("w:latent:dim")``."""
+    key = F.concat(F.lit("w:"), latent.cast("string"), F.lit(":"), dim.cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return (u * 2.0 - 1.0) / F.lit(math.sqrt(d))
+
+
 class Fixture:
     """Lazily built derived views for one scale-factor folder."""
 
@@ -65,8 +75,11 @@ class Fixture:
                    .select(F.col("vec_id").alias("docid"), "v", "label")
 
     def dictionary(self) -> DataFrame:
-        return self.vectors().filter(F.col("vec_id") < DICTIONARY_SIZE) \
-                   .select(F.col("vec_id").alias("latent"), F.col("v").alias("w"))
+        d = self.table("embeddings").select(F.max(F.size("embedding"))).first()[0]
+        return self.spark.range(DICTIONARY_SIZE).select(
+            F.col("id").alias("latent"),
+            F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
+                        lambda i: uniform_init(F.col("id"), i, d)).alias("w"))
 
     @cached_property
     def bias(self) -> np.ndarray:

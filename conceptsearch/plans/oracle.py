@@ -53,7 +53,10 @@ H_Q = f"((ql.weight * {_d(BM25_K2 + 1.0)}) / (ql.weight + {_d(BM25_K2)}))"
 cte("emb", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings")
 cte("qv", f"SELECT vec_id AS qid, v, label FROM emb WHERE vec_id % {QUERY_EVERY} = 0", "emb")
 cte("pv", f"SELECT vec_id AS docid, v, label FROM emb WHERE vec_id % {QUERY_EVERY} <> 0", "emb")
-cte("dict", f"SELECT vec_id AS latent, v AS w FROM emb WHERE vec_id < {DICTIONARY_SIZE}", "emb")
+cte("dict", f"""SELECT l AS latent, list_transform(range(d.d), lambda i:
+        (CAST(CAST(('0x' || substr(md5('w:' || l || ':' || i), 1, 8)) AS BIGINT) AS DOUBLE)
+         / CAST(4294967296.0 AS DOUBLE) * 2.0 - 1.0) / sqrt(CAST(d.d AS DOUBLE))) AS w
+        FROM range({DICTIONARY_SIZE}) t(l), (SELECT max(len(embedding)) AS d FROM embeddings) d""")
 cte("mu_t", """SELECT list(m ORDER BY i) AS mu FROM (
         SELECT i, avg(x) AS m FROM (
             SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pv) GROUP BY i)""", "pv")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from conceptsearch.plans.oracle import ORACLE, cte, sql
+from conceptsearch.plans.fixtures import THETA
+from conceptsearch.plans.oracle import ORACLE, _d, cte, sql
 from conceptsearch.plans.queries_sae import BATCH_K, BATCH_ROWS, DEAD_AFTER
 
 cte("bt_pre", f"SELECT docid // {BATCH_ROWS} AS batch_id, docid, latent, z FROM pre_p", "pre_p")
@@ -41,14 +42,14 @@ ORACLE["sae_loss"] = sql("""SELECT round(avg(e * e + (1.0 / 32) * (e - dr) * (e
         LEFT JOIN bt_dec s ON s.docid = x.docid AND s.i = x.i
         LEFT JOIN aux_dec a ON a.docid = x.docid AND a.i = x.i)""", "x_p", "bias_t", "bt_dec", "aux_dec")
 cte("x_all", "SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb", "emb")
-ORACLE["nmse"] = sql("""SELECT round(mse, 9) AS mse, round(bmse, 9) AS baseline_mse,
+ORACLE["nmse"] = sql(f"""SELECT round(mse, 9) AS mse, round(bmse, 9) AS baseline_mse,
         round(mse / bmse, 9) AS nmse FROM (
         SELECT avg((x.x - r.value) * (x.x - r.value)) AS mse,
                avg((x.x - m.mx) * (x.x - m.mx)) AS bmse
         FROM x_all x JOIN (SELECT e.vec_id, u.i, coalesce(c.s, 0.0) + u.b AS value
                            FROM emb e CROSS JOIN bias_t u LEFT JOIN (
                                SELECT k.vec_id, dec.i, sum(k.z * dec.wd) AS s
-                               FROM (SELECT * FROM pre_all WHERE z > CAST(0.2 AS DOUBLE)) k
+                               FROM (SELECT * FROM pre_all WHERE z > {_d(THETA)}) k
                                JOIN dec ON dec.latent = k.latent GROUP BY k.vec_id, dec.i) c
                            ON c.vec_id = e.vec_id AND c.i = u.i) r
              ON r.vec_id = x.vec_id AND r.i = x.i
