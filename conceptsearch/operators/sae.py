@@ -350,16 +350,22 @@ def dead_aux_codes(pre: DataFrame, dead: DataFrame, k: int) -> DataFrame:
                .filter(F.col("rn") <= 2 * k).drop("rn"))
 
 
+# Decoder entries (latents x width) up to which the exploded decoder is broadcast.
+MAX_BROADCAST_DECODER_ENTRIES = 4_000_000
+
+
 def decode_exploded(codes: DataFrame, dictionary: DataFrame, bias: DataFrame | None = None,
-                    id_col: str = "id") -> DataFrame:
+                    id_col: str = "id", model_entries: int | None = None) -> DataFrame:
     """Sparse x dense decode in relational form: one row per (id, dim).
 
-    ``codes`` is ``(id, latent, z)``; ``dictionary`` is ``(latent, w_dec)``
-    (model-sized, broadcast).  Used where the result is consumed per
-    dimension (losses, NMSE) rather than as vectors.
+    ``codes`` is ``(id, latent, z)``; ``dictionary`` is ``(latent, w_dec)``.
+    The exploded decoder (``model_entries`` = latents x width rows) is
+    broadcast only up to ``MAX_BROADCAST_DECODER_ENTRIES``; a larger model
+    joins by shuffle on ``latent``.  For whole vectors use ``reconstruct``.
     """
     dec = dictionary.select("latent", F.posexplode("w_dec").alias("dim", "wd"))
-    out = (codes.join(F.broadcast(dec), "latent")
+    small = model_entries is not None and model_entries <= MAX_BROADCAST_DECODER_ENTRIES
+    out = (codes.join(F.broadcast(dec) if small else dec, "latent")
                 .groupBy(id_col, "dim").agg(F.sum(F.col("z") * F.col("wd")).alias("value")))
     if bias is not None:
         out = (out.join(F.broadcast(bias), "dim")
@@ -377,26 +383,7 @@ def exploded_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "v")
                           F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x"))
 
 
-def sae_loss(vectors: DataFrame, kept: DataFrame, aux: DataFrame, dictionary: DataFrame,
-             bias: DataFrame, alpha: float = 1.0 / 32, id_col: str = "id",
-             vec_col: str = "v") -> DataFrame:
-    """Mean over rows and dimensions of e^2 + alpha (e - dead_recon)^2,
-    e = x - recon.  One-row result ``(loss, recon_mse)``."""
-    x = exploded_vectors(vectors, id_col, vec_col)
-    # Rows whose code is empty still reconstruct to the bias: start from all (id, dim).
-    recon = decode_exploded(kept.select("id", "latent", "z"), dictionary)
-    dead_recon = decode_exploded(aux.select("id", "latent", "z"), dictionary) \
-        .withColumnRenamed("value", "dr")
-    joined = (x.join(F.broadcast(bias), "dim")
-               .join(recon, ["id", "dim"], "left")
-               .join(dead_recon, ["id", "dim"], "left"))
-    e = F.col("x") - (F.coalesce(F.col("value"), F.lit(0.0)) + F.col("b"))
-    dr = F.coalesce(F.col("dr"), F.lit(0.0))
-    return joined.agg(F.avg(e * e + F.lit(alpha) * (e - dr) * (e - dr)).alias("loss"),
-                      F.avg(e * e).alias("recon_mse"))
-
-
-def nmse(vectors: DataFrame, recon: DataFrame, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+def nmse_from_recon(vectors: DataFrame, recon: DataFrame, id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """MSE of the reconstruction over MSE against the mean vector,
     row-weighted (SURVEY L13).  ``recon`` is ``(id, dim, value)``.
     One-row result ``(mse, baseline_mse, nmse)``."""
@@ -408,7 +395,7 @@ def nmse(vectors: DataFrame, recon: DataFrame, id_col: str = "id", vec_col: str
     return agg.withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
 
 
-def nmse_bulk(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str = "v") -> DataFrame:
+def nmse(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str = "v") -> DataFrame:
     """E12 in bulk: two passes of NumPy partial sums, no per-dimension rows.
 
     Pass 1 gives the mean vector (one row per batch).  Pass 2 reconstructs
@@ -437,7 +424,7 @@ def nmse_bulk(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str =
                 .withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
 
 
-def sae_loss_bulk(vectors: DataFrame, model: SaeModel, k: int, dead: DataFrame,
+def sae_loss(vectors: DataFrame, model: SaeModel, k: int, dead: DataFrame,
                   alpha: float = 1.0 / 32, batch_col: str = "batch_id", id_col: str = "id",
                   vec_col: str = "v") -> DataFrame:
     """E11 in bulk: per batch (one group of B rows, the batch-size

@@ -58,7 +58,8 @@ def q_dead_latents(spark, sf):
 @register("dead_aux_recon")
 def q_dead_aux_recon(spark, sf):
     fx = Fixture(spark, sf)
-    dec = sae.decode_exploded(_aux(fx), fx.model.dictionary_df(spark))
+    dec = sae.decode_exploded(_aux(fx), fx.model.dictionary_df(spark),
+                              model_entries=fx.model.n_latents * fx.model.dim)
     return dec.select(F.col("id").alias("docid"), F.col("dim").cast("long").alias("dim"),
                       _r("value").alias("value"))
 
@@ -66,14 +67,14 @@ def q_dead_aux_recon(spark, sf):
 @register("sae_loss")
 def q_sae_loss(spark, sf):
     fx = Fixture(spark, sf)
-    out = sae.sae_loss_bulk(_batched(fx), fx.model, BATCH_K, _dead(fx), ALPHA, "batch_id", "docid")
+    out = sae.sae_loss(_batched(fx), fx.model, BATCH_K, _dead(fx), ALPHA, "batch_id", "docid")
     return out.select(_r("loss", 9).alias("loss"), _r("recon_mse", 9).alias("recon_mse"))
 
 
 @register("nmse")
 def q_nmse(spark, sf):
     fx = Fixture(spark, sf)
-    out = sae.nmse_bulk(fx.vectors(), fx.model, THETA)
+    out = sae.nmse(fx.vectors(), fx.model, THETA)
     return out.select(_r("mse", 9).alias("mse"), _r("baseline_mse", 9).alias("baseline_mse"),
                       _r("nmse", 9).alias("nmse"))
 

@@ -7,6 +7,9 @@ order, and ``sources.text_formats.line_order`` reads them back in order.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,12 +78,21 @@ def write_latents(codes: DataFrame, path: str, id_col: str = "docid") -> None:
 
 
 def write_query_latents(codes: DataFrame, path: str, id_col: str = "qid") -> None:
-    """The query-latent object ``{qid: {ids, weight}}`` (read by A11).
-
-    One object per file by format; at scale use ``write_latents`` (JSONL)."""
-    obj = codes.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col(id_col).cast("string"), F.struct("ids", "weight")))).alias("m"))
-    obj.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+    """The query-latent object format ``{qid: {ids, weight}}`` (read by A11).
+
+    Each task writes one object holding its own partition's queries (one
+    file, one line), so no task ever holds more than its input partition;
+    the reader takes every file as one object and unions them."""
+    def one_object(batches):
+        obj = {}
+        for pdf in batches:
+            for q, ids, ws in zip(pdf["k"], pdf["ids"], pdf["weight"]):
+                obj[q] = {"ids": [int(i) for i in ids], "weight": [float(w) for w in ws]}
+        if obj:
+            yield pd.DataFrame({"value": [json.dumps(obj)]})
+
+    codes.select(F.col(id_col).cast("string").alias("k"), "ids", "weight") \
+         .mapInPandas(one_object, "value string").write.mode("overwrite").text(path)
 
 
 def save_index(index: ConceptIndex, path: str, partitions: int | None = None) -> None:
