@@ -49,10 +49,12 @@ class SaeModel:
 
     @classmethod
     def tied(cls, dictionary: DataFrame, bias_pre: np.ndarray,
-             latent_col: str = "latent", weight_col: str = "w") -> "SaeModel":
+             latent_col: str = "latent", weight_col: str = "w",
+             n_latents: int | None = None) -> "SaeModel":
         """Tied initialisation: decoder = encoder transposed (as the
-        reference initialises).  ``dictionary`` has one row per latent."""
-        m = dictionary.count()
+        reference initialises).  ``dictionary`` has one row per latent; its
+        size is checked before it is collected."""
+        m = n_latents if n_latents is not None else dictionary.count()
         d = int(len(bias_pre))
         if 2 * m * d * 8 > MAX_MODEL_BROADCAST_BYTES:
             raise ValueError(f"model of {m} x {d} exceeds the broadcast limit")

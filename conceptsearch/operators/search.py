@@ -156,21 +156,27 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
     """
     q = queries.select(F.col(qid_col).cast("long").alias("qid"),
                        F.col(vec_col).cast("array<double>").alias("v"))
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_q, dim = size["n"], size["dim"] or 0
-    if n_q == 0:
-        return passages.sparkSession.createDataFrame([], "qid long, pid long, rank long, score double")
-    rows_per_block = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
+    # A small query set (one block even at width 1024) is collected in one
+    # job; a larger one is counted first and split into hash blocks.
+    cap = DENSE_QUERY_BLOCK_BYTES // (8 * 1024)
     if k is not None:
-        rows_per_block = max(1, min(rows_per_block, DENSE_MAX_TOPK_ENTRIES // k))
-    n_blocks = (n_q + rows_per_block - 1) // rows_per_block
+        cap = max(1, min(cap, DENSE_MAX_TOPK_ENTRIES // k))
+    head = q.limit(cap + 1).toPandas()
     parts = []
-    if n_blocks == 1:
-        pdf = q.toPandas()
-        parts.append(_dense_block(passages, pdf["qid"].to_numpy(np.int64),
-                                  np.stack(pdf["v"].to_numpy()).astype(np.float64),
+    if len(head) == 0:
+        return passages.sparkSession.createDataFrame([], "qid long, pid long, rank long, score double")
+    head_bytes = 8 * len(head) * len(head["v"].iloc[0])
+    if len(head) <= cap and head_bytes <= DENSE_QUERY_BLOCK_BYTES:
+        parts.append(_dense_block(passages, head["qid"].to_numpy(np.int64),
+                                  np.stack(head["v"].to_numpy()).astype(np.float64),
                                   k, pid_col, vec_col))
     else:
+        size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+        n_q, dim = size["n"], size["dim"] or 1
+        rows_per_block = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
+        if k is not None:
+            rows_per_block = max(1, min(rows_per_block, DENSE_MAX_TOPK_ENTRIES // k))
+        n_blocks = (n_q + rows_per_block - 1) // rows_per_block
         # Hash blocks need no global ordering; the extra block leaves headroom
         # for uneven hashing.
         n_blocks += 1

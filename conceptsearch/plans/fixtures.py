@@ -75,7 +75,7 @@ class Fixture:
                    .select(F.col("vec_id").alias("docid"), "v", "label")
 
     def dictionary(self) -> DataFrame:
-        d = self.table("embeddings").select(F.max(F.size("embedding"))).first()[0]
+        d = len(self.bias)
         return self.spark.range(DICTIONARY_SIZE).select(
             F.col("id").alias("latent"),
             F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
@@ -87,7 +87,7 @@ class Fixture:
 
     @cached_property
     def model(self) -> sae.SaeModel:
-        return sae.SaeModel.tied(self.dictionary(), self.bias)
+        return sae.SaeModel.tied(self.dictionary(), self.bias, n_latents=DICTIONARY_SIZE)
 
     # -- sparse codes and index -----------------------------------------
     # Intermediate results one query reads several times are persisted once
