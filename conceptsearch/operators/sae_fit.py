@@ -15,18 +15,21 @@ The driver then clips the total gradient norm (100), normalises the decoder
 along the latent axis and projects its gradient (E14), and applies AdamW
 (lr, eps 6e-10, weight decay 0.01, betas 0.9/0.999).  Only the model
 (latents x input width) and per-step scalars ever reach the driver.
-The input is materialised once in the shared checkpoint folder.
+The input is written once to the shared checkpoint folder, partitioned by
+batch, so each step's scan is pruned to its own batch folder.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptsearch.operators.sae import SaeModel
-from conceptsearch.session import cut_lineage
+from conceptsearch.session import scratch_path
 
 # Optimiser defaults of the reference's training run.
 ADAM_EPS = 6e-10
@@ -67,9 +70,13 @@ def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
     visited in ``batch_id`` order every epoch.  Returns the model and a
     history table ``(epoch, step, batch_id, loss, cut)``."""
     spark = vectors.sparkSession
-    data = cut_lineage(vectors.select(F.col("id").cast("long").alias("id"),
-                                      F.col("v").cast("array<double>").alias("v"),
-                                      F.col("batch_id").cast("long").alias("batch_id")))
+    # materialised once, partitioned by batch: a step reads its own folder only
+    path = scratch_path(spark, f"sae_fit/input-{uuid.uuid4().hex}")
+    vectors.select(F.col("id").cast("long").alias("id"),
+                   F.col("v").cast("array<double>").alias("v"),
+                   F.col("batch_id").cast("long").alias("batch_id")) \
+           .write.partitionBy("batch_id").parquet(path)
+    data = spark.read.parquet(path)
     batch_ids = [r[0] for r in data.select("batch_id").distinct().orderBy("batch_id").collect()]
     sizes = {r[0]: r[1] for r in data.groupBy("batch_id").count().collect()}
     w_enc, w_dec, bias = init.w_enc.copy(), init.w_dec.copy(), init.bias_pre.copy()

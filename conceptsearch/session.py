@@ -53,14 +53,17 @@ def build_session(master: str | None = None, app_name: str = "conceptsearch",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A fallback is only used when the setting is absent (tests on a laptop);
-    a cluster always names a shared folder and that one wins.
+    A fallback is only used when the setting is absent on a local master
+    (tests on one machine); on a cluster the setting is required and wins.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         if fallback is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a shared "
+                                   "folder for checkpoints and scratch tables")
             fallback = tempfile.mkdtemp(prefix="conceptsearch-ckpt-")
         configured = fallback
         spark.conf.set("spark.checkpoint.dir", configured)
