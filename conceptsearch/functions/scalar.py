@@ -52,9 +52,14 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v, eps: float = 1e-12) -> Column:
-    """Divide by the Euclidean norm, floored at ``eps``."""
+    """Divide by the Euclidean norm, floored at ``eps``.
+
+    The norm is computed once per row and paired with the components
+    (a row-level expression inside a lambda would be re-evaluated for every
+    element, which is quadratic in the width)."""
+    v = _col(v)
     norm = F.greatest(l2_norm(v), F.lit(eps))
-    return F.transform(_col(v), lambda x: x / norm)
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def query_saturation(tf_q, k2: float = BM25_K2) -> Column:
