@@ -179,3 +179,16 @@ def test_fit_gradient_matches_finite_differences(spark):
 def test_mean_vector(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": [list(r) for r in X]}))
     assert sae.mean_vector(df, "v") == pytest.approx(X.mean(axis=0))
+
+
+def test_fit_runs_steps_and_moves_the_model(spark, model):
+    from conceptsearch.operators.sae_fit import fit_batchtopk
+    rows = [(i, [float(x) for x in X[i]], i // 10) for i in range(N)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, batch_id long")
+    fitted, hist = fit_batchtopk(df, model, k=2, epochs=2, lr=1e-2, dead_after=1)
+    h = hist.orderBy("step").collect()
+    assert [r["step"] for r in h] == list(range(1, 9))
+    assert all(np.isfinite(r["loss"]) for r in h)
+    assert not np.allclose(fitted.w_enc, model.w_enc)
+    # decoder rows (one per input dimension) are unit norm after each step
+    assert np.linalg.norm(fitted.w_dec, axis=1) == pytest.approx(np.ones(D), abs=0.2)

@@ -84,3 +84,18 @@ def test_sf0001_oracle_agreement(spark, name):
     got = sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in cols)
                  for r in df.collect())
     assert got == exp
+
+
+def test_vector_shards_numeric_order_beyond_ten(spark):
+    from conceptsearch.sources import vectors as vec
+    rows = [(i, [float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    path = scratch_path(spark, f"tests/shards-{os.getpid()}")
+    vec.write_vector_shards(df, path, worker=3, shard_rows=5)          # 12 shards
+    names = sorted(os.listdir(path))
+    assert "shard_3_10.parquet" in names and "shard_3_11.parquet" in names
+    got = {r["vec_id"]: r["v"][0] for r in vec.scan_vector_shards(spark, path).collect()}
+    assert got == {i: float(i) for i in range(60)}
+    # a second write to the same folder is skipped (resume)
+    vec.write_vector_shards(df.limit(1), path, worker=3, shard_rows=5)
+    assert vec.scan_vector_shards(spark, path).count() == 60
