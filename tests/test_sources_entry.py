@@ -99,3 +99,20 @@ def test_vector_shards_numeric_order_beyond_ten(spark):
     # a second write to the same folder is skipped (resume)
     vec.write_vector_shards(df.limit(1), path, worker=3, shard_rows=5)
     assert vec.scan_vector_shards(spark, path).count() == 60
+
+
+def test_run_sink_variants(spark):
+    run = spark.createDataFrame([("q", "d", 5, 0.123456), ("q", "e", 9, 0.9), ("q", "f", 7, 0.5)],
+                                "qid string, pid string, rank int, score double")
+    out = {}
+    for variant in ("round4", "full", "rank3"):
+        path = scratch_path(spark, f"tests/sink-{variant}-{os.getpid()}")
+        sinks.write_run(run, path, variant)
+        out[variant] = sorted(r[0] for r in spark.read.text(path).collect())
+    assert "q\td\t5\t0.1235" in out["round4"]
+    # full: ranks renumbered 1..n by score, full precision kept
+    assert out["full"] == ["q\td\t3\t0.123456", "q\te\t1\t0.9", "q\tf\t2\t0.5"]
+    assert out["rank3"] == ["q\td\t5", "q\te\t9", "q\tf\t7"]
+    got = {r["pid"]: r["score"] for r in tf.scan_run_lenient(spark, scratch_path(
+        spark, f"tests/sink-rank3-{os.getpid()}")).collect()}
+    assert got == {"d": 1 / 5, "e": 1 / 9, "f": 1 / 7}
