@@ -55,14 +55,16 @@ def in_batch_scores(queries: DataFrame, keys: DataFrame, use_all_pairs: bool = F
     ``queries``: ``(batch_id, row_id, v)``; ``keys``: ``(batch_id, key_id,
     row_id, slot, v)`` where slot 0 is the row's positive.  The target column
     of row r is its positive key.  Output ``(batch_id, row_id, block, col,
-    score, target)``; ``col`` is the column index of the concatenated matrix.
+    score, target, key_row, key_slot)``; ``col`` is the column index of the
+    concatenated matrix, ``key_row``/``key_slot`` the owner of a qk key.
     """
     q = queries.select("batch_id", "row_id", F.col("v").alias("qv"))
     k = keys.select("batch_id", "key_id", F.col("row_id").alias("k_row"), "slot", F.col("v").alias("kv"))
     n_keys = keys.groupBy("batch_id").agg(F.count("*").alias("nk"))
     n_rows = queries.groupBy("batch_id").agg(F.count("*").alias("nq"))
     qk = q.join(k, "batch_id").select("batch_id", "row_id", F.lit("qk").alias("block"),
-                                      F.col("key_id").alias("j"), dot("qv", "kv").alias("score"))
+                                      F.col("key_id").alias("j"), dot("qv", "kv").alias("score"),
+                                      F.col("k_row").alias("key_row"), F.col("slot").alias("key_slot"))
     target = k.filter(F.col("slot") == 0).select("batch_id", F.col("k_row").alias("row_id"),
                                                    F.col("key_id").alias("target"))
     out = qk.withColumn("col", F.col("j"))
@@ -84,16 +86,24 @@ def in_batch_scores(queries: DataFrame, keys: DataFrame, use_all_pairs: bool = F
         offset = (F.when(F.col("block") == "kq", F.lit(BLOCK_STRIDE))
                    .when(F.col("block") == "qq", F.lit(2 * BLOCK_STRIDE))
                    .otherwise(F.lit(3 * BLOCK_STRIDE)))
-        extra = extra.withColumn("col", offset + F.col("j")).drop("nk", "nq")
+        extra = extra.withColumn("col", offset + F.col("j")).drop("nk", "nq") \
+                     .withColumn("key_row", F.lit(None).cast("long")) \
+                     .withColumn("key_slot", F.lit(None).cast("int"))
         out = out.unionByName(extra)
     return out.join(target, ["batch_id", "row_id"]).select(
         "batch_id", "row_id", "block", F.col("col").cast("long").alias("col"), "score",
-        F.col("target").cast("long").alias("target"))
-
-
-def contrastive_loss(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Mean over rows of -log softmax(score / t)[target].  One row
-    ``(loss)``."""
+        F.col("target").cast("long").alias("target"), "key_row", "key_slot")
+
+
+def contrastive_loss(scores: DataFrame, temperature: float = 1.0,
+                     mask_hard_negatives: bool = False) -> DataFrame:
+    """Mean over rows of -log softmax(score / t)[target].  With
+    ``mask_hard_negatives`` a row's own hard negatives (its keys other than
+    the positive) leave the softmax.  One row ``(loss)``."""
+    if mask_hard_negatives:
+        own_negative = (F.col("block") == "qk") & (F.col("key_row") == F.col("row_id")) & \
+            (F.col("key_slot") > 0)
+        scores = scores.filter(~F.coalesce(own_negative, F.lit(False)))
     s = scores.withColumn("z", F.col("score") / F.lit(temperature))
     lp = s.withColumn("lp", log_softmax(F.col("z"), ["batch_id", "row_id"]))
     return lp.filter(F.col("col") == F.col("target")).agg((-F.avg("lp")).alias("loss"))
@@ -115,6 +125,24 @@ def kd_kl_loss(scores: DataFrame, teacher_col: str = "teacher", student_col: str
                 .withColumn("loss", F.col("kl") + F.lit(ce_weight) * F.col("ce"))
 
 
+def kd_biencoder_loss(scores: DataFrame, teacher: DataFrame, temperature: float = 1.0,
+                      ce_weight: float = 1.0, mask_hard_negatives: bool = False) -> DataFrame:
+    """Distillation loss of a bi-encoder batch.
+
+    KL(teacher || student) over each row's own group (its positive and hard
+    negatives, student = in-batch score / t), averaged over rows, plus
+    ``ce_weight`` x the in-batch cross-entropy (optionally without the row's
+    own hard negatives).  ``teacher``: ``(row_id, slot, teacher)``.
+    One row ``(kl, ce, loss)``."""
+    own = scores.filter((F.col("block") == "qk") & (F.col("key_row") == F.col("row_id"))) \
+                .select("row_id", F.col("key_slot").alias("slot"),
+                        (F.col("score") / F.lit(temperature)).alias("student"))
+    kd = own.join(teacher, ["row_id", "slot"])
+    kl = kd_kl_loss(kd, "teacher", "student", ("row_id",)).select("kl")
+    ce = contrastive_loss(scores, temperature, mask_hard_negatives).select("loss").scalar()
+    return kl.withColumn("ce", ce).withColumn("loss", F.lit(ce_weight) * F.col("ce") + F.col("kl"))
+
+
 def rdrop_loss(scores: DataFrame, first_col: str = "score1", second_col: str = "score2",
                group_cols=("query_id",), target_slot: int = 0, slot_col: str = "slot") -> DataFrame:
     """Symmetric KL between two scoring passes plus the mean

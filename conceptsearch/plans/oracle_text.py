@@ -168,10 +168,27 @@ cte("kd_lsm", """SELECT query_id, slot, teacher, student,
         FROM (SELECT *, max(teacher) OVER (PARTITION BY query_id) AS mt,
                         max(student) OVER (PARTITION BY query_id) AS ms FROM kd_t)
         WINDOW g AS (PARTITION BY query_id)""", "kd_t")
-ORACLE["kd_kl_loss"] = sql(f"""SELECT round(avg(kl), 9) AS kl, round(avg(ce), 9) AS ce,
-        round(avg(kl) + {KD_CE_WEIGHT!r} * avg(ce), 9) AS loss FROM (
-    SELECT query_id, sum(exp(t) * (t - s)) AS kl, sum(CASE WHEN slot = 0 THEN -s END) AS ce
-    FROM kd_lsm GROUP BY query_id)""", "kd_lsm")
+cte("kdb_own", f"""SELECT q.row_id, q.col % 4 AS slot, q.score / {TEMPERATURE!r} AS student, t.score AS teacher
+        FROM st_qk q JOIN groups_t g ON CAST(g.query_id AS BIGINT) // 25 = q.row_id AND g.slot = q.col % 4
+        JOIN tr_flat t ON t.query_id = g.query_id AND t.doc_id = g.doc_id
+        WHERE q.col // 4 = q.row_id""", "st_qk", "groups_t", "tr_flat")
+KDB_KL = f"""kl_t AS (
+        SELECT avg(kl) AS kl FROM (SELECT row_id, sum(exp(t) * (t - s)) AS kl FROM (
+            SELECT row_id,
+                teacher - max(teacher) OVER g - ln(sum(exp(teacher - mt)) OVER g) AS t,
+                student - max(student) OVER g - ln(sum(exp(student - ms)) OVER g) AS s
+            FROM (SELECT *, max(teacher) OVER (PARTITION BY row_id) AS mt,
+                            max(student) OVER (PARTITION BY row_id) AS ms FROM kdb_own)
+            WINDOW g AS (PARTITION BY row_id)) GROUP BY row_id))"""
+KDB_CE = f"""ce_t AS (SELECT -avg(lp) AS ce FROM (
+        SELECT col, target, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY row_id)) AS lp FROM (
+            SELECT row_id, col, target, score / {TEMPERATURE!r} AS z,
+                   max(score / {TEMPERATURE!r}) OVER (PARTITION BY row_id) AS m FROM st_qk
+            WHERE NOT (col // 4 = row_id AND col % 4 > 0)))
+        WHERE col = target)"""
+ORACLE["kd_kl_loss"] = sql(f"""SELECT round(kl, 9) AS kl, round(ce, 9) AS ce,
+    round({KD_CE_WEIGHT!r} * ce + kl, 9) AS loss FROM kl_t, ce_t""", "kdb_own", "st_qk",
+                           extra=[KDB_KL, KDB_CE])
 ORACLE["rdrop_loss"] = sql("""SELECT round(avg(kl) / 2, 9) AS kl, round(avg(ce), 9) AS ce,
         round(avg(kl) / 2 + avg(ce), 9) AS loss FROM (
     SELECT query_id, sum(exp(t) * (t - s) + exp(s) * (s - t)) AS kl,

@@ -195,8 +195,15 @@ def _kd_table(fx: Fixture) -> DataFrame:
 
 @register("kd_kl_loss")
 def q_kd_kl_loss(spark, sf):
-    out = losses.kd_kl_loss(_kd_table(Fixture(spark, sf)), "teacher", "score", ("query_id",),
-                            KD_CE_WEIGHT)
+    # teacher: the dense scores carried by the training records; student: the
+    # in-batch scores of each query's own group; hard negatives masked in CE
+    fx = Fixture(spark, sf)
+    rec = _records(fx)
+    kd = td.kd_label_join(td.group_doc_ids(rec, 3, 2), rec)
+    teacher = kd.select((F.col("query_id").cast("long") / 25).cast("long").alias("row_id"),
+                        F.col("slot").cast("int").alias("slot"), F.col("kd_label").alias("teacher"))
+    out = losses.kd_biencoder_loss(_score_table(fx, False), teacher, TEMPERATURE, KD_CE_WEIGHT,
+                                   mask_hard_negatives=True)
     return out.select(_r("kl", 9).alias("kl"), _r("ce", 9).alias("ce"), _r("loss", 9).alias("loss"))
 
 

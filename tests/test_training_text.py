@@ -169,3 +169,28 @@ def test_kd_kl_loss_matches_numpy(spark):
     kl = float(np.sum(np.exp(lsm(t)) * (lsm(t) - lsm(s))))
     assert out["kl"] == pytest.approx(kl)
     assert out["loss"] == pytest.approx(kl + 0.5 * -lsm(s)[0])
+
+
+def test_kd_biencoder_loss_with_hard_negative_mask(spark):
+    # two rows, two keys each (slot 0 positive, slot 1 hard negative)
+    s = np.array([[2.0, 1.0, 0.5, -1.0], [0.2, 0.1, 1.5, 0.3]])
+    rows = [(0, r, "qk", c, float(s[r, c]), 2 * r, c // 2, c % 2) for r in range(2) for c in range(4)]
+    scores = spark.createDataFrame(rows, "batch_id long, row_id long, block string, col long, score double, "
+                                         "target long, key_row long, key_slot int")
+    teacher = spark.createDataFrame([(0, 0, 3.0), (0, 1, 1.0), (1, 0, 2.0), (1, 1, 2.5)],
+                                    "row_id long, slot int, teacher double")
+    out = losses.kd_biencoder_loss(scores, teacher, 0.5, 0.3, mask_hard_negatives=True).first()
+
+    def lsm(x):
+        return x - x.max() - math.log(np.exp(x - x.max()).sum())
+    t = {0: np.array([3.0, 1.0]), 1: np.array([2.0, 2.5])}
+    kl = np.mean([np.sum(np.exp(lsm(t[r])) * (lsm(t[r]) - lsm(s[r, 2 * r: 2 * r + 2] / 0.5)))
+                  for r in range(2)])
+    ce = []
+    for r in range(2):
+        keep = [c for c in range(4) if not (c // 2 == r and c % 2 == 1)]
+        z = s[r, keep] / 0.5
+        ce.append(-lsm(z)[keep.index(2 * r)])
+    assert out["kl"] == pytest.approx(kl)
+    assert out["ce"] == pytest.approx(np.mean(ce))
+    assert out["loss"] == pytest.approx(0.3 * np.mean(ce) + kl)
