@@ -71,7 +71,8 @@ ORACLE["dual_mask"] = sql("""SELECT e.doc_id, e.pos, e.masked AS enc_masked,
     WHERE greatest(e.masked, d.masked) = 1""", "tokens",
                           extra=wwm_ctes("e_", ENC_PROB, 42) + wwm_ctes("d_", EXTRA, 43))
 
-SIGN = "CASE WHEN CAST(('0x' || substr(md5({x}), 9, 1)) AS INTEGER) % 2 = 0 THEN 1.0 ELSE -1.0 END"
+SIGN = ("CASE WHEN CAST(('0x' || substr(md5({x}), 9, 1)) AS INTEGER) % 2 = 0 "
+        "THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END")
 ORACLE["embed_batch"] = sql(f"""SELECT d.doc_id, CAST(r.dim AS BIGINT) AS dim,
         round(coalesce(s.v / n.n, 0.0), 9) AS value
     FROM documents d CROSS JOIN range({EMBED_DIM}) r(dim)

@@ -114,7 +114,8 @@ ORACLE["first_positive_filter"] = sql("""SELECT query_id,
 ORACLE["pair_score"] = sql("SELECT query_id, doc_id, score FROM cos_pairs", "cos_pairs")
 ORACLE["rerank_tail_merge"] = sql('SELECT qid, pid, rnk AS "rank", round(score, 6) AS score FROM merged',
                                   "merged")
-ORACLE["row_presence_guard"] = sql("""SELECT 'positives_length' AS "check",
+ORACLE["row_presence_guard"] = sql("""SELECT "check", CAST(violations AS BIGINT) AS violations FROM (
+    SELECT 'positives_length' AS "check",
         CAST(count(*) FILTER (WHERE len(coalesce(pos_ids, [])) <> len(coalesce(pos_scores, []))) AS BIGINT)
         AS violations FROM rec_lists
     UNION ALL SELECT 'negatives_length', count(*) FILTER (WHERE len(coalesce(neg_ids, []))
@@ -123,7 +124,7 @@ ORACLE["row_presence_guard"] = sql("""SELECT 'positives_length' AS "check",
     UNION ALL SELECT 'duplicate_pid', coalesce(sum(c - 1), 0) FROM
         (SELECT count(*) AS c FROM merged GROUP BY qid, pid)
     UNION ALL SELECT 'missing_query', count(*) FROM qv
-        WHERE CAST(qid AS VARCHAR) NOT IN (SELECT query_id FROM rec_lists)""",
+        WHERE CAST(qid AS VARCHAR) NOT IN (SELECT query_id FROM rec_lists))""",
                                    "rec_lists", "merged", "qv")
 ORACLE["group_doc_ids"] = sql("SELECT query_id, CAST(slot AS BIGINT) AS slot, doc_id FROM groups_t",
                               "groups_t")
