@@ -41,27 +41,36 @@ def evaluated_queries(run: DataFrame, qrels: DataFrame, scope: str = "inner") ->
     return q_qrels.join(run.select("qid").distinct(), "qid")
 
 
-def _ideal_dcg(qrels: DataFrame, ks) -> DataFrame:
+def _qrels_stats(qrels: DataFrame, ks) -> DataFrame:
+    """Per query: number of relevant judgements and ideal DCG at each k, from
+    one aggregate of the qrels by (qid, grade); positions are generated only
+    up to max(ks), so a query with millions of judgements stays cheap."""
     k_max = max(ks)
     counts = (qrels.filter(F.col("rel") > 0).groupBy("qid", "rel").agg(F.count("*").alias("n")))
-    w = Window.partitionBy("qid").orderBy(F.desc("rel")) \
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = counts.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
+    by_q = Window.partitionBy("qid")
+    w = by_q.orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = (counts.withColumn("end", F.sum("n").over(w))
+                   .withColumn("start", F.col("end") - F.col("n"))
+                   .withColumn("num_rel", F.sum("n").over(by_q)))
     pos = (spans.filter(F.col("start") < k_max)
-                .select("qid", "rel", F.explode(F.sequence(F.col("start") + 1,
-                                                           F.least(F.col("end"), F.lit(k_max))))
-                        .alias("pos")))
+                .select("qid", "rel", "num_rel",
+                        F.explode(F.sequence(F.col("start") + 1,
+                                             F.least(F.col("end"), F.lit(k_max)))).alias("pos")))
     gain = F.col("rel") / F.log2(F.col("pos") + 1)
-    return pos.groupBy("qid").agg(*[F.sum(F.when(F.col("pos") <= k, gain).otherwise(0.0))
+    return pos.groupBy("qid").agg(F.first("num_rel").alias("num_rel"),
+                                  *[F.sum(F.when(F.col("pos") <= k, gain).otherwise(0.0))
                                     .alias(f"idcg_{k}") for k in ks])
 
 
 def per_query_metrics(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str = "inner",
                       measures=("ndcg", "map", "recall")) -> DataFrame:
-    """Per-query NDCG@k, MAP@k, Recall@k in long form ``(qid, metric, value)``."""
+    """Per-query NDCG@k, MAP@k, Recall@k in long form ``(qid, metric, value)``.
+
+    The run is ranked once (trec order, cut at max k) and joined to its
+    judgements; per-query sums, qrels statistics and the query set all meet
+    on ``qid``."""
     k_max = max(ks)
-    queries = evaluated_queries(run, qrels, scope)
-    ranked = trec_rank(run.join(queries, "qid", "left_semi"), k_max)
+    ranked = trec_rank(run, k_max)
     judged = (ranked.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"], "left")
                     .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))))
     hit = (F.col("rel") >= 1).cast("int")
@@ -77,9 +86,9 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str =
                  F.sum(F.when(in_k, hit).otherwise(0)).alias(f"relret_{k}"),
                  F.sum(F.when(in_k, prec_at_hit).otherwise(0.0)).alias(f"ap_{k}")]
     per_q = judged.groupBy("qid").agg(*aggs)
-    num_rel = qrels.filter(F.col("rel") >= 1).groupBy("qid").agg(F.count("*").alias("num_rel"))
-    base = (queries.join(per_q, "qid", "left").join(num_rel, "qid", "left")
-                   .join(_ideal_dcg(qrels, ks), "qid", "left"))
+    qrels_q = qrels.select("qid").distinct()
+    queries = per_q.join(qrels_q, "qid") if scope != "left" else qrels_q.join(per_q, "qid", "left")
+    base = queries.join(_qrels_stats(qrels, ks), "qid", "left")
     cols = []
     for k in ks:
         if "ndcg" in measures:
