@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from conceptsearch.functions.scalar import parse_interpretation
 from conceptsearch.operators.search import rank_within
+from conceptsearch.operators.text import restrict_to_ids
 
 TOP_K_PASSAGES = 30   # Fixed value: passages per latent in the reference's description run
 
@@ -43,7 +44,9 @@ def prompt_text(top: DataFrame, corpus: DataFrame) -> DataFrame:
 
     One group per latent holds at most K rows (the F5 cut).
     Output ``(latent, prompt)``."""
-    texts = corpus.select(F.col("doc_id").alias("docid"), "contents")
+    # at most K passages per latent of the model: a proven bound, broadcast
+    texts = restrict_to_ids(corpus.select(F.col("doc_id").alias("docid"), "contents"),
+                            top.select("docid"), "docid", max_rows=None)
     piece = F.concat(F.lit("Example"), (F.col("rank") - 1).cast("string"), F.lit(": "),
                      F.coalesce("contents", F.lit("")), F.lit("\nActivation: "),
                      activation_text(F.col("act")), F.lit("\n"))

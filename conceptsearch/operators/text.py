@@ -34,11 +34,30 @@ def doc_input_text(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", text.alias("input_text"))
 
 
+# Wanted-id sets up to this many rows are broadcast to filter a large table
+# map-side before it is joined.
+MAX_BROADCAST_ID_ROWS = 5_000_000
+
+
+def restrict_to_ids(big: DataFrame, ids: DataFrame, key: str,
+                    max_rows: int | None = MAX_BROADCAST_ID_ROWS) -> DataFrame:
+    """Keep the rows of ``big`` whose ``key`` is in ``ids`` (one column,
+    same name), with a broadcast semi join when the id set is small: the
+    large table (a corpus) is filtered where it is read, never shuffled.
+    ``max_rows=None`` means the caller has proven the bound."""
+    wanted = ids.select(key).distinct()
+    if max_rows is not None and wanted.count() > max_rows:
+        return big
+    return big.join(F.broadcast(wanted), key, "left_semi")
+
+
 def join_corpus(pairs: DataFrame, corpus: DataFrame, how: str = "inner",
                 id_col: str = "doc_id") -> DataFrame:
     """Attach title and contents by document id (``left`` keeps ids
-    missing from the corpus, where the reference would fail)."""
+    missing from the corpus, where the reference would fail).  The corpus is
+    first cut to the wanted ids (broadcast semi join, size checked)."""
     c = corpus.select(F.col("doc_id").cast("string").alias("_cid"), "title", "contents")
+    c = restrict_to_ids(c, pairs.select(F.col(id_col).cast("string").alias("_cid")), "_cid")
     return pairs.join(c, F.col(id_col).cast("string") == F.col("_cid"), how).drop("_cid")
 
 

@@ -209,9 +209,11 @@ def readable_export(records: DataFrame, corpus: DataFrame, max_keep: int = 5) ->
     """C11: the first ``max_keep`` positives and negatives with title and
     contents.  Output rows ``(query_id, kind, pos, doc_id, title, contents,
     score)``; ids missing from the corpus keep null text."""
+    from conceptsearch.operators.text import restrict_to_ids
     flat = flatten_records(records).filter(F.col("pos") < max_keep)
     text = corpus.select(F.col("doc_id").cast("string").alias("doc_id"),
                          F.coalesce("title", F.lit("")).alias("title"), "contents")
+    text = restrict_to_ids(text, flat.select("doc_id"), "doc_id")
     return flat.join(text, "doc_id", "left") \
                .select("query_id", "kind", "pos", "doc_id", "title", "contents", "score")
 

@@ -53,3 +53,10 @@ def test_unbounded_rank_has_no_window(spark):
     for q in range(3):
         order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
         assert [got[(q, r[1])] for r in order] == list(range(1, 31))
+
+
+def test_corpus_is_filtered_by_broadcast_semi_join(spark):
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    pairs = spark.createDataFrame([("q", "1"), ("q", "5")], "query_id string, doc_id string")
+    p = plan(text.join_corpus(pairs, fx.corpus(), "left"))
+    assert "LeftSemi" in p and "BroadcastHashJoin" in p
