@@ -90,6 +90,30 @@ def _partial_sums(df: DataFrame, vec_col: str) -> DataFrame:
              .mapInPandas(run, "n long, s array<double>")
 
 
+def save_model(model: SaeModel, path: str) -> None:
+    """The model as a Parquet table under a shared folder: one row per latent
+    ``(latent, w_enc, w_dec)`` plus ``bias_pre`` on every row (model-sized)."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    pdf = pd.DataFrame({"latent": np.arange(model.n_latents, dtype=np.int64),
+                        "w_enc": list(model.w_enc), "w_dec": list(model.w_dec.T),
+                        "bias_pre": [model.bias_pre] * model.n_latents})
+    spark.createDataFrame(pdf, "latent long, w_enc array<double>, w_dec array<double>, "
+                               "bias_pre array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> SaeModel:
+    """Read a model written by ``save_model`` (size checked before collecting)."""
+    df = spark.read.parquet(path)
+    first = df.select(F.count("*").alias("m"), F.max(F.size("w_enc")).alias("d")).first()
+    if 2 * first["m"] * first["d"] * 8 > MAX_MODEL_BROADCAST_BYTES:
+        raise ValueError("model exceeds the broadcast limit")
+    pdf = df.orderBy("latent").toPandas()
+    w_enc = np.stack(pdf["w_enc"].to_numpy()).astype(np.float64)
+    w_dec = np.stack(pdf["w_dec"].to_numpy()).astype(np.float64).T.copy()
+    return SaeModel(w_enc=w_enc, w_dec=w_dec,
+                    bias_pre=np.asarray(pdf["bias_pre"].iloc[0], dtype=np.float64))
+
+
 def mean_vector(df: DataFrame, vec_col: str = "v") -> np.ndarray:
     """Per-dimension mean of a vector column (``bias_pre`` of the fixture).
 

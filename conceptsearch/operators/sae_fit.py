@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptsearch.operators.sae import SaeModel
+from conceptsearch.operators.sae import SaeModel, save_model
 from conceptsearch.session import scratch_path
 
 # Optimiser defaults of the reference's training run.
@@ -64,10 +64,13 @@ def _batch_cut(rows: DataFrame, bc, keep_n: int) -> tuple[float, int]:
 
 
 def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
-                  lr: float = 5e-5, alpha: float = 1.0 / 32, dead_after: int = 20
-                  ) -> tuple[SaeModel, DataFrame]:
+                  lr: float = 5e-5, alpha: float = 1.0 / 32, dead_after: int = 20,
+                  save_path: str | None = None) -> tuple[SaeModel, DataFrame]:
     """Fit from ``init`` over ``vectors`` ``(id, v, batch_id)``; batches are
-    visited in ``batch_id`` order every epoch.  Returns the model and a
+    visited in ``batch_id`` order every epoch.  With ``save_path`` the
+    weights are written after every epoch (``save_path/epoch=<n>``, see
+    ``sae.save_model``) so a lost driver restarts from the last epoch by
+    passing ``sae.load_model(...)`` as ``init``.  Returns the model and a
     history table ``(epoch, step, batch_id, loss, cut)``."""
     spark = vectors.sparkSession
     # materialised once, partitioned by batch: a step reads its own folder only
@@ -117,6 +120,8 @@ def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
             history.append((epoch, t, int(b), float(loss), float(cut)))
             bc.unpersist()
             state.unpersist()
+        if save_path:
+            save_model(SaeModel(w_enc=w_enc, w_dec=w_dec, bias_pre=bias), f"{save_path}/epoch={epoch}")
     hist = spark.createDataFrame(history, "epoch int, step int, batch_id long, loss double, cut double")
     return SaeModel(w_enc=w_enc, w_dec=w_dec, bias_pre=bias), hist
 

@@ -192,3 +192,26 @@ def test_fit_runs_steps_and_moves_the_model(spark, model):
     assert not np.allclose(fitted.w_enc, model.w_enc)
     # decoder rows (one per input dimension) are unit norm after each step
     assert np.linalg.norm(fitted.w_dec, axis=1) == pytest.approx(np.ones(D), abs=0.2)
+
+
+def test_model_save_load_round_trip(spark, model):
+    import uuid
+    from conceptsearch.session import scratch_path
+    path = scratch_path(spark, f"tests/model-{uuid.uuid4().hex}")
+    sae.save_model(model, path)
+    back = sae.load_model(spark, path)
+    assert np.array_equal(back.w_enc, model.w_enc)
+    assert np.array_equal(back.w_dec, model.w_dec)
+    assert np.array_equal(back.bias_pre, model.bias_pre)
+
+
+def test_fit_saves_every_epoch(spark, model):
+    import uuid
+    from conceptsearch.operators.sae_fit import fit_batchtopk
+    from conceptsearch.session import scratch_path
+    rows = [(i, [float(x) for x in X[i]], i // 20) for i in range(N)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, batch_id long")
+    path = scratch_path(spark, f"tests/fit-{uuid.uuid4().hex}")
+    fitted, _ = fit_batchtopk(df, model, k=2, epochs=2, lr=1e-2, save_path=path)
+    last = sae.load_model(spark, f"{path}/epoch=1")
+    assert np.allclose(last.w_enc, fitted.w_enc)
