@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from conceptsearch.operators import sae
 from conceptsearch.operators.index import ConceptIndex, build_index
 from conceptsearch.operators.search import dense_search, sparse_search
+from conceptsearch.session import ship_package
 
 # Fixed values of the fixture (not of the reference).
 QUERY_EVERY = 25
@@ -56,6 +57,7 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        ship_package(spark)
         self._dense: dict = {}
 
     def table(self, name: str) -> DataFrame:

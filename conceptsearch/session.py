@@ -47,9 +47,27 @@ def build_session(master: str | None = None, app_name: str = "conceptsearch",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers started by ``spark``.
+
+    Python UDFs are pickled by reference to their module, so a worker must be
+    able to import ``conceptsearch``.  The folder holding it is added to the
+    ``PYTHONPATH`` that Spark passes to every Python function it creates.  On
+    a cluster, ship the package with ``--py-files`` as well.
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(paths + [PACKAGE_ROOT])
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
