@@ -116,3 +116,9 @@ def test_run_sink_variants(spark):
     got = {r["pid"]: r["score"] for r in tf.scan_run_lenient(spark, scratch_path(
         spark, f"tests/sink-rank3-{os.getpid()}")).collect()}
     assert got == {"d": 1 / 5, "e": 1 / 9, "f": 1 / 7}
+
+
+def test_package_shipped_to_python_workers(spark):
+    from conceptsearch.session import PACKAGE_ROOT, ship_package
+    ship_package(spark)
+    assert PACKAGE_ROOT in spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
