@@ -4,8 +4,9 @@ Texts are cut into sentences, sentences are normalised (lower case, words of
 letters and digits only), and those in a catalogue of licence sentences give
 a sequence of identifiers.  An ordered rule names a licence by identifiers
 that must come in its order; other licence sentences may stand between them.
-Line ends are read both ways, as ends of sentences and as spaces, since
-licence texts are often wrapped; a rule may match in either reading.  Only
+Line ends are read both ways, as ends of sentences and (but for blank lines)
+as spaces, since licence texts are often wrapped; a rule may match in either
+reading.  Only
 DataFrame functions are used.
 
 Defined cases: a null or empty text has no sentences and no licences;
@@ -31,14 +32,14 @@ SENTENCES = {
     "mit-notice": "Released under the MIT License",
     "mit-notice-2": "Licensed under the MIT License",
     "mit-name": "MIT License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "mit-grant-head": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "apache-terms": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "apache-use": "you may not use this file except in compliance with the License",
-    "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl2-notice": "This work is licensed under the GNU General Public License, version 2",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -60,9 +61,9 @@ SENTENCES = {
 }
 RULES = (
     ("MIT", ("mit-notice",)), ("MIT", ("mit-notice-2",)), ("MIT", ("spdx-mit",)),
-    ("MIT", ("mit-grant", "mit-warranty")), ("MIT", ("mit-grant-head", "mit-condition", "mit-warranty")),
+    ("MIT", ("mit-grant", "mit-condition", "mit-warranty")),
     ("Apache-2.0", ("apache-notice",)), ("Apache-2.0", ("spdx-apache",)),
-    ("Apache-2.0", ("apache-terms", "apache-use", "apache-copy")),
+    ("Apache-2.0", ("apache-terms", "apache-use", "apache-copy", "apache-basis")),
     ("GPL-3.0", ("gpl3-notice",)), ("GPL-3.0", ("spdx-gpl3",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-copy")),
     ("GPL-2.0", ("gpl2-notice",)),
@@ -105,7 +106,8 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]
     marked = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), _END, "\u0001")
     out = docs.withColumn(flat, F.regexp_replace(marked, _OTHER, " "))
     out = out.withColumn(names["sentence_ids"], _identifiers(F.split(F.col(flat), "[\n\u0001]")))
-    wrapped = F.regexp_replace(F.translate(F.col(flat), "\n", " "), " {2,}", " ")
+    wrapped = F.translate(F.regexp_replace(F.col(flat), "\n *\n", "\u0001"), "\n", " ")
+    wrapped = F.regexp_replace(wrapped, " {2,}", " ")
     out = out.withColumn(names["wrapped_ids"], _identifiers(F.split(wrapped, "\u0001"))).drop(flat)
     readings = [F.concat(F.lit(","), F.array_join(F.col(names[k]).cast("array<string>"), ","), F.lit(","))
                 for k in ("sentence_ids", "wrapped_ids")]

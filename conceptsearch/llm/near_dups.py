@@ -13,12 +13,10 @@ similarity m / (a + b - m), which is at most the shingles' Jaccard similarity
 and equal to it when order is kept.  Pairs of ``SIMILAR`` or more are links,
 and groups are the connected components of equal texts and links.
 
-Pairs are not formed within buckets.  Every text is first compared with one
-leader of each of its buckets.  After the components of these links are
-known, only pairs from different components are open: buckets that still
-hold two components give all such pairs if those are few, and are split by
-the texts' other sketches and treated again if not; at the last level each
-component's leader is compared with the texts of the others.
+Within a bucket, an inverted list of its shingles gives every text's overlap
+with all others at once; texts whose overlap is enough are aligned unless
+links found before connect them, and only links that connect leave the task.
+So groups of copies give as many rows as they have texts, not pairs.
 
 Defined cases: texts of fewer than ``SHINGLE`` words are one shingle; null
 and blank texts are in no group; a group's id is its smallest document id
@@ -26,17 +24,20 @@ and blank texts are in no group; a group's id is its smallest document id
 an empty result.
 
 Scale: sketching is map-only; equal texts are one node, with map-side partial
-minima.  Candidates are linear in bucket sizes.  Buckets and hot leaders join
-on keys that Spark splits (skew join).  Labels move along links by
-minimum, with pointer jumping, written to the shared folder each round.
+minima.  Buckets of the same texts are handled once.  A large bucket is dealt
+into blocks of ``BLOCK_SHINGLES``, and every two blocks meet in a task of
+their own, so no task holds more than two.  Shingles travel as 32-bit hashes
+in text order; two different ones are equal by chance in 1 of 4e9.  Labels
+move along links by minimum, with pointer jumping, written to the shared
+folder each round.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +49,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES = 16
 KEPT = 3
-#: Open pairs of a bucket that are formed outright; larger ones are split.
-PAIRS_A_TEXT = 64
-LEVELS = 3
+#: Shingles of a bucket that one block holds.
+BLOCK_SHINGLES = 300_000
 
 
 def labelled_shingles(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,20 +134,57 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return chain / (n + m - chain) if chain >= need else 0.0
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(sorted labels, their places) of each text."""
+def place_of(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted labels and their places, from labels in text order."""
+    return np.unique(labels, return_index=True)
+
+
+def _labels(column: pa.Array) -> list[pa.Array]:
+    """32-bit labels of each text, in text order."""
+    out = []
     for _, piece in W.texts(column).pieces():
         owner, (word,) = W.word_hashes(piece)
         text, _, label = labelled_shingles(owner, word)
         ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(piece)))))
-        for k in range(len(piece)):
-            own = label[ends[k]:ends[k + 1]]
-            order = np.argsort(own)
-            yield own[order], order
-
-
-def _verify(left: pa.Array, right: pa.Array) -> list[pa.Array]:
-    return [pa.array([similarity(a, b) for a, b in zip(_parts(left), _parts(right), strict=True)], pa.float64())]
+        short = (label >> np.uint64(32)).astype("<u4")
+        out += [short[ends[k]:ends[k + 1]].tobytes() for k in range(len(piece))]
+    return [pa.array(out, pa.binary())]
+
+
+def _connect(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links a, b that connect the texts of one block, or those of one with
+    those of another; rows: node, labels, block, low, high."""
+    rows = rows.sort_values("node", kind="stable")
+    node, block = rows["node"].tolist(), rows["block"].to_numpy()
+    across = rows["low"].iat[0] != rows["high"].iat[0]
+    parts = [place_of(np.frombuffer(x, "<u4")) for x in rows["labels"]]
+    n = len(node)
+    size = np.array([len(p[0]) for p in parts])
+    owner = np.repeat(np.arange(n), size)
+    every = np.concatenate([p[0] for p in parts])
+    order = np.argsort(every, kind="stable")
+    holder = owner[order]                              # texts by label
+    first = np.searchsorted(every[order], every)
+    count = np.searchsorted(every[order], every, "right") - first
+    ends = np.concatenate(([0], np.cumsum(size)))
+    group = np.arange(n)
+    found = []
+    for i in range(n):
+        own = slice(ends[i], ends[i + 1])
+        c = count[own]
+        at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+        shared = np.bincount(holder[at], minlength=n)
+        near = shared >= SIMILAR / (1 + SIMILAR) * (size + size[i]) - 1e-9
+        near[:i + 1] = False
+        if across:
+            near &= block != block[i]
+        for j in np.flatnonzero(near & (group != group[i])):
+            if group[i] != group[j] and similarity(parts[i], parts[j]) > 0:
+                found.append((node[i], node[j]))
+                group[group == group[j]] = group[i]
+        if not (group != group[0]).any():
+            break
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def _min(column: str) -> Column:
@@ -163,21 +200,6 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             .groupBy("node").agg(_min("doc"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles")))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """a, b, similarity of the pairs that verify."""
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "doc"), "node")
-    rows = docs.select(F.unhex(F.md5(F.col(text))).alias("own"), F.col(doc_id).alias("own_doc"), F.col(text).alias("text"))
-    held = (rows.join(wanted, same(F.col("own_doc"), F.col("doc")) & (F.col("own") == F.col("node")))
-            .groupBy("node").agg(F.first("text").alias("text")))
-    held = materialise(held, "texts")
-    both = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-            .join(held.select(F.col("node").alias("b"), F.col("text").alias("right")), "b"))
-    return (with_arrays(both, ["left", "right"], {"similarity": "double"}, _verify)
-            .filter(F.col("similarity") >= SIMILAR).select("a", "b", "similarity"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, label of the nodes that have links: the smallest node of each
     connected component."""
@@ -199,85 +221,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, node, shingles of the buckets that hold more than one text."""
-    rows = nodes.select("node", "shingles", F.posexplode("keys").alias("s", "key"))
-    rows = rows.select(F.xxhash64("s", "key").alias("bucket"), "node", "shingles")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    return rows.join(shared.filter("leader <> last").drop("last"), "bucket")
-
-
-def _sizes_fit(left: str, right: str) -> Column:
-    """Texts whose lengths alone allow the similarity."""
-    return F.least(left, right) >= SIMILAR * F.greatest(left, right)
-
-
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that hold texts of more than one component."""
-    rows = buckets.join(labels, "node", "left").select(
-        "bucket", "node", "shingles", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"),
-                                       F.count(F.lit(1)).alias("texts")).filter("x <> y")
-    return rows.join(mixed.select("bucket", "texts"), "bucket")
-
-
-def _pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs of rows in one bucket that are of different components."""
-    right = other.select("bucket", F.col("node").alias("b"), F.col("label").alias("b_label"),
-                         F.col("shingles").alias("b_shingles"))
-    return (rows.join(right, "bucket").filter((F.col("label") != F.col("b_label")) & _sizes_fit("shingles", "b_shingles"))
-            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-
-
-def links(docs: DataFrame, nodes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Verified links a, b, similarity between distinct texts, and the
-    components' labels."""
-    buckets = materialise(_buckets(nodes), "buckets")
-    sized = nodes.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_shingles"))
-    stars = (buckets.filter("node <> leader").select("node", "leader", "shingles").distinct()
-             .join(sized, "leader").filter(_sizes_fit("shingles", "leader_shingles"))
-             .select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    found = materialise(_linked(stars, nodes, docs, text, doc_id), "links")
-    checked = [stars.select("a", "b")]
-    labels = components(found)
-    rows = materialise(_open(buckets.select("bucket", "node", "shingles"), labels), "open")
-    for level in range(LEVELS):
-        if not rows.limit(1).count():
-            break
-        small = rows.filter(F.col("texts") <= PAIRS_A_TEXT)
-        pairs = _pairs(small, small)
-        large = rows.filter(F.col("texts") > PAIRS_A_TEXT)
-        if level + 1 == LEVELS:
-            leaders = large.groupBy("bucket", "label").agg(F.min_by("node", "node").alias("node"),
-                                                           F.min_by("shingles", "node").alias("shingles"))
-            pairs = pairs.union(_pairs(large, leaders)).distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.limit(1).count():
-            found = materialise(found.union(_linked(pairs, nodes, docs, text, doc_id)), "links")
-            checked.append(pairs)
-            labels = components(found)
-        # a large bucket's texts by this bucket and each of their other sketches
-        keys = nodes.select("node", F.posexplode("keys").alias("s", "key"))
-        split = (large.select("bucket", "node", "shingles").join(keys, "node")
-                 .select(F.xxhash64("bucket", "s", "key").alias("bucket"), "node", "shingles",
-                         (F.xxhash64("s", "key") == F.col("bucket")).alias("own")).filter("not own").drop("own"))
-        rows = materialise(_open(split, labels), "open")
-    return found, labels
-
-
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """node, doc, label (the group), of distinct texts; and the links."""
+    """bucket, node, blocks of the buckets that hold more than one text; of
+    buckets with the same texts, one."""
+    rows = materialise(nodes.select("node", "shingles", F.posexplode("keys").alias("s", "key"))
+                       .select(F.xxhash64("s", "key").alias("bucket"), "node", "shingles"), "buckets")
+    sums = (rows.groupBy("bucket")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("x"),
+                 F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("y"), F.sum("shingles").alias("shingles"))
+            .filter("n > 1").groupBy("n", "x", "y").agg(_min("bucket"), F.first("shingles").alias("shingles")))
+    sums = sums.select("bucket", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    return rows.select("bucket", "node").join(sums, "bucket")
+
+
+def links(docs: DataFrame, nodes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Verified links a, b that connect all similar texts."""
+    buckets = materialise(_buckets(nodes), "shared")
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "doc"), "node")
+    rows = docs.select(F.unhex(F.md5(F.col(text))).alias("own"), F.col(doc_id).alias("own_doc"), F.col(text).alias("text"))
+    held = (rows.join(wanted, same(F.col("own_doc"), F.col("doc")) & (F.col("own") == F.col("node")))
+            .select("node", "text"))
+    held = materialise(with_arrays(held, ["text"], {"labels": "binary"}, _labels).drop("text")
+                       .groupBy("node").agg(F.first("labels").alias("labels")), "labels")
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks"))
+    met = (buckets.withColumn("block", block)
+           .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+           .select("bucket", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    return materialise(met.join(held, "node").groupBy("bucket", "low", "high")
+                       .applyInPandas(_connect, "a binary, b binary").distinct(), "links")
+
+
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """node, doc, label (the group) of each distinct text."""
     nodes = materialise(sketches(docs, text, doc_id), "sketches")
-    found, labels = links(docs, nodes, text, doc_id)
+    labels = components(links(docs, nodes, text, doc_id))
     return (nodes.select("node", "doc").join(labels, "node", "left")
-            .select("node", "doc", F.coalesce("label", "node").alias("label")), found)
+            .select("node", "doc", F.coalesce("label", "node").alias("label")))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group, the one of the smallest id, with its
     columns unchanged; blank and null texts all stay."""
-    nodes, _ = grouped(docs, text, doc_id)
+    nodes = materialise(grouped(docs, text, doc_id), "groups")
     first = nodes.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("x"))
     node, doc = fresh(docs, "node", "doc")
     own = F.unhex(F.md5(F.col(text)))
@@ -294,16 +278,11 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the group), n_links (verified links
-    to other texts) of every row; blank and null texts have class null."""
+    """doc_id, class_id (smallest id of the group) of every row; blank and
+    null texts have class null."""
     docs = docs.select("doc_id", "text")
-    nodes, found = grouped(docs)
-    nodes = materialise(nodes, "groups")
+    nodes = materialise(grouped(docs), "groups")
     smallest = nodes.groupBy("label").agg(F.min("doc").alias("class_id"))
-    degree = (found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node")
-              .agg(F.count(F.lit(1)).alias("n_links")))
-    of = (nodes.join(smallest, "label").join(degree, "node", "left")
-          .select(F.col("node").alias("of"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    of = nodes.join(smallest, "label").select(F.col("node").alias("of"), "class_id")
     out = docs.select("doc_id", F.unhex(F.md5("text")).alias("node"))
-    return (out.join(of, F.col("node") == F.col("of"), "left")
-            .select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    return out.join(of, F.col("node") == F.col("of"), "left").select("doc_id", "class_id")

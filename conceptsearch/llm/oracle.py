@@ -102,6 +102,7 @@ def _licenses() -> str:
                lambda s: list_position(known, trim(s))), lambda k: k > 0)"""
 
     other = r"[^a-z0-9\x{80}-\x{10FFFF}\x01\n]+"
+    paragraphs = "regexp_replace(t, '\\n *\\n', chr(1), 'g')"
     return f"""
 WITH marked AS (
   SELECT doc_id, [{known}] AS known,
@@ -109,7 +110,7 @@ WITH marked AS (
   FROM documents),
 read AS (
   SELECT doc_id, {ids("t", "[\\n\\x01]")} AS a,
-         {ids("regexp_replace(replace(t, chr(10), ' '), ' {2,}', ' ', 'g')", "\\x01")} AS b
+         {ids(f"regexp_replace(replace({paragraphs}, chr(10), ' '), ' {{2,}}', ' ', 'g')", "\\x01")} AS b
   FROM marked),
 coded AS (
   SELECT doc_id, len(a)::BIGINT AS sentences, ',' || array_to_string(a, ',') || ',' AS a,

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conceptsearch.llm.tables import fresh, text_bytes
@@ -52,6 +52,12 @@ def _range_of(key: Column, splitters: list[tuple[int, int]]) -> Column:
                        lambda at, step: F.when(F.get(held, at + step - 1) <= key, at + step).otherwise(at))
 
 
+def _literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A small table from values that are part of the plan."""
+    held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return spark.range(1).select(F.explode(held).alias("x")).select("x.*")
+
+
 def _sampled(rows: DataFrame, seed: int, per_range: Column, parts: Column) -> list[tuple[int, int]]:
     """Quantile boundaries of a size-weighted sample within each range.
     ``per_range``: samples expected from it; ``parts``: ranges to make of it."""
@@ -84,12 +90,9 @@ def splitters(rows: DataFrame, n_shards: int) -> tuple[list[tuple[int, int]], li
                 for r in sums if r["rows"] > 1 and (r["rows"] > most_rows or r["bytes"] > most_bytes)}
         if not over or seed == ROUNDS + 1:
             break
-        again = F.from_json(F.lit(json.dumps({str(k): {"bytes": b, "parts": 2 * int(x + 1)} for k, (b, x) in over.items()})),
-                            "map<string,struct<bytes:bigint,parts:int>>")
-        inside = (rows.withColumn("range", _range_of(F.col("key"), cuts))
-                  .filter(F.col("range").isin(list(over)))
-                  .withColumn("of", F.element_at(again, F.col("range").cast("string")))
-                  .select("key", "size", "range", "of.bytes", "of.parts"))
+        again = _literal_rows(rows.sparkSession, [{"range": k, "bytes": b, "parts": 2 * int(x + 1)}
+                                                  for k, (b, x) in over.items()], "range:int,bytes:bigint,parts:int")
+        inside = rows.withColumn("range", _range_of(F.col("key"), cuts)).join(F.broadcast(again), "range")
         more = sorted(set(cuts) | set(_sampled(inside, seed, F.col("parts") * SAMPLES_PER_RANGE, F.col("parts"))))
         if len(more) == len(cuts):
             break
@@ -113,9 +116,8 @@ def place(docs: DataFrame, n_shards: int = N_SHARDS, text: str = "text", doc_id:
         before.append({"r": r["range"], "n": rows, "b": size})
         rows, size = rows + r["rows"], size + r["bytes"]
     # one row a range: bounded by rows / RANGE_ROWS
-    ranges = F.broadcast(docs.sparkSession.range(1).select(F.explode(F.from_json(
-        F.lit(json.dumps(before)), "array<struct<r:int,n:bigint,b:bigint>>")).alias("x"))
-        .select(F.col("x.r").alias(part), F.col("x.n").alias(rows_before), F.col("x.b").alias(bytes_before)))
+    ranges = F.broadcast(_literal_rows(docs.sparkSession, before, "r:int,n:bigint,b:bigint")
+                         .toDF(part, rows_before, bytes_before))
     inside = Window.partitionBy(part).orderBy(key)
     running = F.sum(names["size"]).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = (keyed.withColumn(part, _range_of(F.col(key), cuts)).join(ranges, part)

@@ -182,8 +182,8 @@ def test_near_groups(docs, rows):
 
 
 def test_near_links_in_mixed_buckets(spark, monkeypatch):
-    """Buckets that hold several groups, split at every level."""
-    monkeypatch.setattr(near_dups, "PAIRS_A_TEXT", 3)
+    """Buckets that hold several groups, in one block and in many."""
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 500)
     rng = random.Random(9)
     passage = prose(40, rng)
     rows = []
@@ -208,7 +208,8 @@ def test_alignment_is_exact_for_labelled_shingles():
             cut = rng.randrange(len(b) + 1)
             b = b[cut:] + b[:cut]
         left, right = " ".join(a), " ".join(b)
-        x, y = (list(near_dups._parts(pa.array([t])))[0] for t in (left, right))
+        x, y = (near_dups.place_of(np.frombuffer(near_dups._labels(pa.array([t]))[0][0].as_py(), "<u4"))
+                for t in (left, right))
         want = brute.alignment(left, right)
         assert near_dups.similarity(x, y) == pytest.approx(want if want >= 0.8 else 0.0)
 
