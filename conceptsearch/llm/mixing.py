@@ -35,7 +35,7 @@ from conceptsearch.llm.tables import fresh, materialise, same, with_arrays
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
-BLOCK_UNITS = 20_000
+BLOCK_UNITS = 2_000
 FAN_IN = 4096
 SEED = 20240607
 
