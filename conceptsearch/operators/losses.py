@@ -106,7 +106,8 @@ def contrastive_loss(scores: DataFrame, temperature: float = 1.0,
         scores = scores.filter(~F.coalesce(own_negative, F.lit(False)))
     s = scores.withColumn("z", F.col("score") / F.lit(temperature))
     lp = s.withColumn("lp", log_softmax(F.col("z"), ["batch_id", "row_id"]))
-    return lp.filter(F.col("col") == F.col("target")).agg((-F.avg("lp")).alias("loss"))
+    hit = (F.col("block") == "qk") & (F.col("col") == F.col("target"))   # column ids are unique within a block
+    return lp.filter(hit).agg((-F.avg("lp")).alias("loss"))
 
 
 def kd_kl_loss(scores: DataFrame, teacher_col: str = "teacher", student_col: str = "score",

@@ -73,7 +73,7 @@ class SaeModel:
     def dictionary_df(self, spark: SparkSession) -> DataFrame:
         """Decoder directions as a table ``(latent, w_dec array<double>)``."""
         pdf = pd.DataFrame({"latent": np.arange(self.n_latents, dtype=np.int64),
-                            "w_dec": list(self.w_dec.T.astype(np.float64))})
+                            "w_dec": self.w_dec.T.astype(np.float64).tolist()})
         return spark.createDataFrame(pdf, "latent long, w_dec array<double>")
 
 
@@ -95,8 +95,8 @@ def save_model(model: SaeModel, path: str) -> None:
     ``(latent, w_enc, w_dec)`` plus ``bias_pre`` on every row (model-sized)."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     pdf = pd.DataFrame({"latent": np.arange(model.n_latents, dtype=np.int64),
-                        "w_enc": list(model.w_enc), "w_dec": list(model.w_dec.T),
-                        "bias_pre": [model.bias_pre] * model.n_latents})
+                        "w_enc": model.w_enc.tolist(), "w_dec": model.w_dec.T.tolist(),
+                        "bias_pre": [np.asarray(model.bias_pre).tolist()] * model.n_latents})
     spark.createDataFrame(pdf, "latent long, w_enc array<double>, w_dec array<double>, "
                                "bias_pre array<double>").write.mode("overwrite").parquet(path)
 
@@ -514,31 +514,49 @@ def gradient_pursuit(vectors: DataFrame, model: SaeModel, target_l0: int = 32,
 
     def run(batches):
         _, w_dec, bias = bc.value
-        dictionary = w_dec.T                       # (m, d)
+        atoms = np.ascontiguousarray(w_dec.T)
+        rows = max(1, PURSUIT_CELLS // max(len(atoms), target_l0 * d))
         for pdf in batches:
-            signal = _matrix(pdf["v"], d) - bias   # (b, d)
-            b = signal.shape[0]
-            weights = np.zeros((b, dictionary.shape[0]))
-            rows = np.arange(b)
-            for _ in range(target_l0):
-                residual = signal - weights @ dictionary
-                selected = weights != 0
-                inner = residual @ dictionary.T
-                selected[rows, np.argmax(inner, axis=1)] = True
-                grad = selected * inner
-                c = grad @ dictionary
-                num = np.einsum("bd,bd->b", c, residual)
-                den = np.einsum("bd,bd->b", c, c)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    step = np.where(den != 0, num / den, 0.0)
-                weights = np.maximum(weights + step[:, None] * grad, 0.0)
-            r, l = np.nonzero(weights)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(np.int64)[r],
-                                "latent": l.astype(np.int64), "w": weights[r, l]})
+            ids = pdf["id"].to_numpy(np.int64)
+            for first in range(0, len(pdf), rows):
+                x = _matrix(pdf["v"].iloc[first:first + rows], d) - bias
+                used, w = _pursue(x, atoms, target_l0)
+                row, slot = np.nonzero(w)
+                order = np.lexsort((used[row, slot], row))
+                row, slot = row[order], slot[order]
+                yield pd.DataFrame({"id": ids[first + row], "latent": used[row, slot], "w": w[row, slot]})
 
     return _input(vectors, id_col, vec_col).mapInPandas(run, "id long, latent long, w double")
 
 
+# Cells of the largest work array of one pursuit piece (64 MB of doubles).
+PURSUIT_CELLS = 8_000_000
+
+
+def _pursue(x: np.ndarray, atoms: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Latents used and their weights, ``rounds`` slots a row.  Only a row's
+    active atoms are kept: the least-squares slope on them, the best step
+    along it, and what it leaves of the row."""
+    n = len(x)
+    used = np.zeros((n, rounds), np.int64)
+    w = np.zeros((n, rounds))
+    left = x.copy()
+    for k in range(rounds):
+        best = np.argmax(left @ atoms.T, axis=1)
+        active = w != 0
+        known = (active & (used == best[:, None])).any(axis=1)
+        used[~known, k] = best[~known]           # slot k is free until now
+        active[~known, k] = True
+        basis = atoms[used] * active[:, :, None]
+        slope = np.einsum("nkd,nd->nk", basis, left)
+        along = np.einsum("nk,nkd->nd", slope, basis)
+        length = (along * along).sum(axis=1)
+        step = np.divide((along * left).sum(axis=1), length, out=np.zeros(n), where=length > 0)
+        w = np.maximum(w + step[:, None] * slope, 0.0)
+        left = x - np.einsum("nk,nkd->nd", w, basis)
+    return used, w
+
+
 def decoder_unit_norm(dictionary: DataFrame, grad: DataFrame | None = None) -> DataFrame:
     """Divide decoder weights by their norm along the latent axis (one
     norm per input dimension, SURVEY L14) and, when a gradient table is given,

@@ -11,8 +11,6 @@ position, identical in Spark and SQL and stable across task retries.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,9 +19,8 @@ from pyspark.sql import types as T
 
 from conceptsearch.functions.scalar import WHITESPACE
 
-# Special tokens and the default masking parameters.
+# Special tokens and model input lengths.
 CLS, SEP, MASK = "[CLS]", "[SEP]", "[MASK]"
-MAX_PREDICTIONS = 512
 Q_MAX_LEN, P_MAX_LEN, RERANK_MAX_LEN = 32, 144, 256
 
 
@@ -133,42 +130,8 @@ def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _u01(*parts: Column) -> Column:
-    """Uniform [0, 1) from the first 32 bits of md5(parts joined by ':')."""
-    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def word_mask_reference(doc_id: int, toks, prob: float, seed: int = 42,
-                        max_predictions: int = MAX_PREDICTIONS) -> list[int]:
-    """Plain-Python whole-word selection for one document: the brute-force
-    reference the tests hold ``whole_word_mask`` against."""
-    words: list[list[int]] = []
-    for i, t in enumerate(toks):
-        if t == CLS or t == SEP:
-            continue
-        if words and t.startswith("##"):
-            words[-1].append(i)
-        else:
-            words.append([i])
-    order = sorted(range(len(words)), key=lambda j: (
-        hashlib.md5(f"{seed}:{doc_id}:{words[j][0]}".encode()).hexdigest(), j))
-    target = min(max_predictions, max(1, int(round(len(toks) * prob))))
-    mask = [0] * len(toks)
-    taken = 0
-    for j in order:
-        if taken >= target:
-            break
-        if taken + len(words[j]) > target:
-            continue
-        for i in words[j]:
-            mask[i] = 1
-        taken += len(words[j])
-    return mask
-
-
 def _word_mask_np(toks: np.ndarray, order: np.ndarray, prob: float,
-                  max_predictions: int) -> np.ndarray:
+                  max_predictions: int | None) -> np.ndarray:
     """One document's whole-word mask given its word starts in shuffled
     order: word lengths by ``searchsorted``/``bincount``, then the greedy pass."""
     n = len(toks)
@@ -180,7 +143,9 @@ def _word_mask_np(toks: np.ndarray, order: np.ndarray, prob: float,
     pos = np.flatnonzero(ns)
     word_of = np.searchsorted(starts, pos, side="right") - 1     # >= 0: first non-special starts a word
     lens = np.bincount(word_of, minlength=starts.size)
-    target = min(max_predictions, max(1, int(round(n * prob))))
+    target = max(1, int(round(n * prob)))
+    if max_predictions is not None:
+        target = min(target, max_predictions)
     chosen = np.zeros(starts.size, dtype=bool)
     taken = 0
     for j in np.searchsorted(starts, order):
@@ -195,14 +160,15 @@ def _word_mask_np(toks: np.ndarray, order: np.ndarray, prob: float,
 
 
 def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
-                    max_predictions: int = MAX_PREDICTIONS) -> DataFrame:
+                    max_predictions: int | None = None) -> DataFrame:
     """Whole-word masking of each document's token array.
 
     Words are a non-``##`` token plus its following ``##`` pieces (specials
     never belong to a word).  Words are shuffled by ``md5(seed:doc:start)``
     and taken greedily while the masked piece count stays within
-    ``min(max_predictions, max(1, round_half_even(n_tokens * mlm_prob)))``;
-    a word that would overshoot is skipped.
+    ``max(1, round_half_even(n_tokens * mlm_prob))``; a word that would
+    overshoot is skipped.  Whole texts have no further bound;
+    ``max_predictions`` sets one for inputs already cut to a model's length.
 
     Map-only: a document is one row, so no token is ever shuffled.  Word
     starts and their md5 shuffle order are JVM array functions (every
@@ -322,10 +288,18 @@ def pool_mean(tokens: DataFrame, dim: int, attended_col: str | None = None) -> D
     t = tokens if attended_col is None else tokens.filter(F.col(attended_col) == 1)
     n = t.groupBy("doc_id").agg(F.count("*").alias("n"))
     sums = token_vectors(t, dim).groupBy("doc_id", "dim").agg(F.sum("x").alias("s"))
-    return sums.join(n, "doc_id").select("doc_id", "dim", (F.col("s") / F.col("n")).alias("value"))
+    return _every_dim(n, dim).join(sums, ["doc_id", "dim"], "left") \
+        .select("doc_id", "dim", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("value"))
+
+
+def _every_dim(docs: DataFrame, dim: int) -> DataFrame:
+    """Each row with every dimension of a vector."""
+    return docs.withColumn("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))))
 
 
 def pool_first(tokens: DataFrame, dim: int) -> DataFrame:
     """The first token's vector (the ``[CLS]`` position)."""
-    return token_vectors(tokens.filter(F.col("pos") == 0), dim) \
-        .select("doc_id", "dim", F.col("x").alias("value"))
+    first = tokens.filter(F.col("pos") == 0)
+    vectors = token_vectors(first, dim).select("doc_id", "dim", "x")
+    return _every_dim(first.select("doc_id"), dim).join(vectors, ["doc_id", "dim"], "left") \
+        .select("doc_id", "dim", F.coalesce("x", F.lit(0.0)).alias("value"))

@@ -178,9 +178,9 @@ class Fixture:
         wrap = F.col("conv_id") % 3 == 0
         raw_q = F.when(wrap, F.concat(F.lit('"say ""this"" '), q_clean, F.lit('"'))).otherwise(q_clean)
         raw_a = F.when(wrap, F.concat(F.lit('"'), literal, F.lit('"'))).otherwise(literal)
-        base = first.select((F.col("conv_id") * 2).alias("line_no"), "conv_id",
+        base = first.select(F.struct(F.lit(0).alias("again"), "conv_id").alias("line_no"), "conv_id",
                             raw_q.alias("raw_question"), raw_a.alias("raw_answers"))
         dups = base.filter(F.col("conv_id") % 10 == 0).select(
-            (F.lit(1_000_000) + F.col("conv_id")).alias("line_no"), "conv_id", "raw_question",
+            F.struct(F.lit(1).alias("again"), "conv_id").alias("line_no"), "conv_id", "raw_question",
             F.lit("['dup']").alias("raw_answers"))
         return base.unionByName(dups)

@@ -31,7 +31,7 @@ def wwm_ctes(p: str, prob: float, seed: int) -> list[str]:
         f"""{p}words AS (SELECT doc_id, word, min(pos) AS start, CAST(count(*) AS BIGINT) AS len
             FROM {p}st WHERE NOT special AND word > 0 GROUP BY doc_id, word)""",
         f"""{p}per AS (SELECT w.doc_id,
-            least(512, greatest(1, CAST(round_even(f.n * CAST({prob!r} AS DOUBLE), 0) AS BIGINT))) AS target,
+            greatest(1, CAST(round_even(f.n * CAST({prob!r} AS DOUBLE), 0) AS BIGINT)) AS target,
             list({{'word': w.word, 'len': w.len}}
                  ORDER BY md5('{seed}:' || w.doc_id || ':' || w.start), w.word) AS ws
             FROM {p}words w JOIN {p}fns f ON f.doc_id = w.doc_id GROUP BY w.doc_id, f.n)""",
@@ -80,12 +80,13 @@ ORACLE["embed_batch"] = sql(f"""SELECT d.doc_id, CAST(r.dim AS BIGINT) AS dim,
                FROM (SELECT doc_id, unnest(words) AS tok FROM tok_words) GROUP BY ALL) s
         ON s.doc_id = d.doc_id AND s.dim = r.dim
     LEFT JOIN (SELECT doc_id, len(words) AS n FROM tok_words) n ON n.doc_id = d.doc_id""", "tok_words")
-ORACLE["pool_mean"] = sql(f"""SELECT t.doc_id, {HEX8.format(x="t.token")} % {EMBED_DIM} AS dim,
-        round(sum({SIGN.format(x="t.token")}) / any_value(n.n), 9) AS value
-    FROM tokens t JOIN (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) n ON n.doc_id = t.doc_id
-    GROUP BY t.doc_id, dim""", "tokens")
-ORACLE["pool_first"] = sql(f"""SELECT doc_id, {HEX8.format(x="token")} % {EMBED_DIM} AS dim,
-        {SIGN.format(x="token")} AS value FROM tokens WHERE pos = 0""", "tokens")
+ORACLE["pool_mean"] = sql(f"""SELECT n.doc_id, r.dim, round(coalesce(s.v, 0) / n.n, 9) AS value
+    FROM (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) n CROSS JOIN range({EMBED_DIM}) r(dim)
+    LEFT JOIN (SELECT doc_id, {HEX8.format(x="token")} % {EMBED_DIM} AS dim, sum({SIGN.format(x="token")}) AS v
+               FROM tokens GROUP BY ALL) s ON s.doc_id = n.doc_id AND s.dim = r.dim""", "tokens")
+ORACLE["pool_first"] = sql(f"""SELECT t.doc_id, r.dim, CASE WHEN {HEX8.format(x="t.token")} % {EMBED_DIM} = r.dim
+        THEN {SIGN.format(x="t.token")} ELSE 0.0 END::DOUBLE AS value
+    FROM tokens t CROSS JOIN range({EMBED_DIM}) r(dim) WHERE pos = 0""", "tokens")
 
 cte("qa_first", """SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q,
         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id""")

@@ -36,10 +36,11 @@ def q_scan_corpus(spark, sf):
 def q_scan_queries(spark, sf):
     b = Fixture(spark, sf).table("benchmark")
     clean = F.regexp_replace("text", "[\\t\\n\\r]", " ")
-    first = b.select(F.col("item_id").alias("qid"), clean.alias("text"), F.col("item_id").alias("line_no"))
+    first = b.select(F.col("item_id").alias("qid"), clean.alias("text"),
+                     F.struct(F.lit(0).alias("again"), "item_id").alias("line_no"))
     again = b.filter(F.col("item_id") % 2 == 0).select(
         F.col("item_id").alias("qid"), F.concat(clean, F.lit(" (v2)")).alias("text"),
-        (F.col("item_id") + 1_000_000).alias("line_no"))
+        F.struct(F.lit(1).alias("again"), "item_id").alias("line_no"))
     path = _fresh(spark, "queries") + "/queries.tsv"
     sinks.write_queries(first.unionByName(again), path)
     return tf.scan_queries(spark, path)

@@ -49,8 +49,10 @@ QUERY_LATENTS_MAP = T.MapType(T.StringType(), T.StructType([
 
 def line_order(df: DataFrame) -> DataFrame:
     """Add ``line_key``: a struct that sorts like the lines of the files."""
+    path = F.col("_metadata.file_path")
+    part = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1)   # part files sort by number, not as text
     return df.withColumn("line_key", F.struct(
-        F.col("_metadata.file_path").alias("path"),
+        F.when(part != "", part.cast("long")).otherwise(F.lit(-1)).alias("part"), path.alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("seq")))
 
@@ -69,6 +71,15 @@ def _fields(value: Column, sep: str) -> Column:
     return F.split(strip(value), sep)
 
 
+def _exact_fields(value: Column, sep: str, least: int, most: int | None = None) -> Column:
+    """The fields of a line; a line with fewer or more than it may have fails
+    the read with the line's text."""
+    f = _fields(value, sep)
+    whole = (F.size(f) >= least) & ((F.size(f) <= most) if most else F.lit(True))
+    return F.when(whole, f) \
+            .otherwise(F.raise_error(F.concat(F.lit("malformed line: "), value)))
+
+
 def scan_corpus(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A1: JSONL / JSONL.gz corpus ``{id, title, contents}`` ->
     ``(doc_id long, title, contents)``.
@@ -84,8 +95,7 @@ def scan_corpus(spark: SparkSession, path: str, partitions: int | None = None) -
 
 def scan_queries(spark: SparkSession, path: str) -> DataFrame:
     """A2: ``qid \\t query`` lines; a repeated qid keeps its last line."""
-    lines = read_lines(spark, path).withColumn("f", _fields(F.col("value"), "\t"))
-    lines = lines.filter(F.size("f") == 2)
+    lines = read_lines(spark, path).withColumn("f", _exact_fields(F.col("value"), "\t", 2, 2))
     return (lines.groupBy(F.col("f")[0].alias("qid"))
                  .agg(F.max_by(F.col("f")[1], F.col("line_key")).alias("query")))
 
@@ -94,8 +104,8 @@ def scan_qa_queries(spark: SparkSession, path: str) -> DataFrame:
     """A3: ``question \\t answer-list`` lines; both fields unquoted (H2), the
     question is the key and its first occurrence wins (G4), answers parsed
     as a literal (H3).  Output ``(qid, query, answers)``."""
-    lines = read_lines(spark, path).withColumn("f", _fields(F.col("value"), "\t"))
-    lines = lines.filter(F.size("f") == 2).select(
+    lines = read_lines(spark, path).withColumn("f", _exact_fields(F.col("value"), "\t", 2, 2))
+    lines = lines.select(
         normalize_qa_text(F.col("f")[0]).alias("query"),
         normalize_qa_text(F.col("f")[1]).alias("raw_answers"), "line_key")
     first = (lines.groupBy("query")
@@ -108,8 +118,7 @@ def scan_qrels(spark: SparkSession, path: str, whitespace: bool = False) -> Data
     """A4: ``qid _ pid grade``; tab separated, or any blanks with
     ``whitespace=True``.  A repeated (qid, pid) keeps its last grade."""
     sep = r"\s+" if whitespace else "\t"
-    lines = read_lines(spark, path).withColumn("f", _fields(F.col("value"), sep))
-    lines = lines.filter(F.size("f") == 4)
+    lines = read_lines(spark, path).withColumn("f", _exact_fields(F.col("value"), sep, 4, 4))
     return (lines.groupBy(F.col("f")[0].alias("qid"), F.col("f")[2].alias("pid"))
                  .agg(F.max_by(F.col("f")[3].cast("int"), F.col("line_key")).alias("rel")))
 
@@ -117,8 +126,7 @@ def scan_qrels(spark: SparkSession, path: str, whitespace: bool = False) -> Data
 def scan_run_lenient(spark: SparkSession, path: str) -> DataFrame:
     """A5: ``qid pid rank [score]`` (tab); with three fields score = 1/rank.
     Order within a query is the ``rank`` column."""
-    f = _fields(F.col("value"), "\t")
-    lines = spark.read.text(path).withColumn("f", f).filter(F.size("f") >= 3)
+    lines = spark.read.text(path).withColumn("f", _exact_fields(F.col("value"), "\t", 3))
     rank = F.col("f")[2].cast("int")
     score = F.when(F.size("f") == 3, F.lit(1.0) / rank).otherwise(F.col("f")[3].cast("double"))
     return lines.select(F.col("f")[0].alias("qid"), F.col("f")[1].alias("pid"),

@@ -52,8 +52,9 @@ def write_vector_shards(vectors: DataFrame, path: str, worker: int = 0,
     about ``shard_rows`` rows in id order; a folder that already holds shards
     is left as is (resume: finished output is skipped).
 
-    One range repartition on the id; each shard is written by its own task,
-    then the part files are renamed through the cluster filesystem.
+    One range repartition on the id; each shard is written by its own task.
+    The part files get their shard names in a staging folder, and that folder
+    is renamed to ``path`` at once: a run that stops before leaves no shards.
     """
     spark = vectors.sparkSession
     fs, target = _hadoop_fs(spark, path)
@@ -67,10 +68,16 @@ def write_vector_shards(vectors: DataFrame, path: str, worker: int = 0,
     _, jtmp = _hadoop_fs(spark, tmp)
     parts = sorted(st.getPath().getName() for st in fs.listStatus(jtmp)
                    if st.getPath().getName().endswith(".parquet"))
-    fs.mkdirs(target)
+    _, staging = _hadoop_fs(spark, path.rstrip("/") + "._shards")
+    fs.delete(staging, True)
+    fs.mkdirs(staging)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     for i, name in enumerate(parts):
-        fs.rename(Path(jtmp, name), Path(target, f"shard_{worker}_{i}.parquet"))
+        fs.rename(Path(jtmp, name), Path(staging, f"shard_{worker}_{i}.parquet"))
+    fs.delete(target, True)        # an empty folder, see above
+    fs.mkdirs(target.getParent())
+    if not fs.rename(staging, target):
+        raise OSError(f"cannot publish the shards at {path}")
     fs.delete(jtmp, True)
 
 
