@@ -17,14 +17,18 @@ items with equal words are one, under their smallest id; rows that share id
 and text are one; a null id is an id; empty tables give an empty result.
 
 Scale: the documents' windows are hashed and probed in the scan.  The
-benchmark's hashes are broadcast when a count shows at most
-``MAX_BROADCAST_SEEDS`` of them, and shuffled with the windows otherwise.
-Diagonals join back to the documents by id; no key there is larger than a
-document.
+benchmark's hashes and items are broadcast when a count shows at most
+``MAX_BROADCAST_SEEDS`` hashes; then hits are compared where they are found,
+one for each run of hits, and only verdicts are shuffled.  Otherwise hashes
+are shuffled with the windows, and diagonals join back to the documents by
+id; no key there is larger than a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +50,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(cut, ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str) -> Column:
-    """All masks' hashes: place i of mask m is at m * (windows) + i."""
-    windows = F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))
-
-    def hashed(mask: tuple[int, ...], m: int) -> Column:
-        return F.transform(F.slice(words, 1, windows),
-                           lambda _, i: F.xxhash64(F.lit(m), *(F.get(F.col(words), i + k) for k in mask)))
-
-    return F.concat(*(hashed(mask, m) for m, mask in enumerate(MASKS)))
-
-
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, item (word hashes) of each distinct item that is long enough."""
     return (benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
@@ -65,34 +58,60 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def _places(rows: DataFrame, words: str, *keep: str) -> DataFrame:
-    """keep..., at, seed: a row for each window and mask."""
-    windows = F.size(words) - (WINDOW - 1)
-    return (rows.filter(windows > 0).select(*keep, windows.alias("windows"), F.posexplode(_seeds(words)).alias("at", "seed"))
-            .select(*keep, (F.col("at") % F.col("windows")).alias("at"), "seed"))
+    """keep..., words, at, mask, seed: a row for each window and mask."""
+    windows = (rows.select(*keep, words, F.posexplode(words).alias("at", "word"))
+               .filter(F.col("at") <= F.size(words) - WINDOW)
+               .select(*keep, words, "at", F.explode(F.array(*(F.lit(m) for m in range(len(MASKS))))).alias("mask")))
+    return windows.withColumn("seed", _by_mask(
+        lambda m, mask: F.xxhash64(F.lit(m), *(F.get(words, F.col("at") + k) for k in mask))))
+
+
+def _by_mask(value: Callable[[int, tuple[int, ...]], Column]) -> Column:
+    """The value for the row's mask."""
+    out = value(0, MASKS[0])
+    for m, mask in enumerate(MASKS[1:], 1):
+        out = F.when(F.col("mask") == m, value(m, mask)).otherwise(out)
+    return out
+
+
+def _run_goes_on() -> Column:
+    """Whether the window before, on the same diagonal, agrees as well."""
+    def agrees(_: int, mask: tuple[int, ...]) -> Column:
+        places = (F.get("words", F.col("at") + k - 1) == F.get("item", F.col("item_at") + k - 1) for k in mask)
+        return reduce(Column.__and__, places)
+
+    return F.coalesce(_by_mask(agrees), F.lit(False))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc, text_hash, item_id, best (agreeing words in the best span), agreed
     (in all), words (of the item): a row for each document and item."""
+    # an array of one, exploded: else filters on the words cut every text a second time
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"),
-                       word_hashes(F.col(text)).alias("words"))
+                       F.explode(F.array(word_hashes(F.col(text)))).alias("words"))
     held = materialise(items(benchmark), "items")
-    seeds = materialise(_places(held, "item", "item_id").withColumnRenamed("at", "item_at"), "seeds")
-    few = seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
-    windows = _places(rows, "words", "doc", "text_hash")
-    hits = windows.join(F.broadcast(seeds) if few else seeds, "seed")
+    seeds = _places(held, "item", "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
+    seeds = materialise(seeds, "seeds")
+    if seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
+        # an item has a window at least, so the items are bounded as well
+        hits = _places(rows, "words", "doc", "text_hash").join(F.broadcast(seeds), "seed")
+        own = F.broadcast(held.select("item", F.col("item_id").alias("own")))
+        hits = hits.join(own, same(F.col("item_id"), F.col("own"))).filter(~_run_goes_on())
+        return _compared(hits.withColumn("shift", F.col("at") - F.col("item_at")))
+    hits = _places(rows, "words", "doc", "text_hash").drop("words").join(seeds, "seed")
     diagonals = hits.select("doc", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     diagonals = materialise(diagonals, "diagonals").toDF("d_doc", "d_hash", "item_id", "shift")
-    return _compared(rows, diagonals.join(held, "item_id"))
+    diagonals = diagonals.join(held.select("item", F.col("item_id").alias("own")), same(F.col("item_id"), F.col("own")))
+    return _compared(rows.join(diagonals, same(F.col("doc"), F.col("d_doc")) & (F.col("text_hash") == F.col("d_hash"))))
 
 
-def _compared(rows: DataFrame, diagonals: DataFrame) -> DataFrame:
-    both = rows.join(diagonals, same(F.col("doc"), F.col("d_doc")) & (F.col("text_hash") == F.col("d_hash")))
+def _compared(diagonals: DataFrame) -> DataFrame:
+    """What ``contaminated`` gives, of doc, text_hash, words, item_id, item, shift."""
     # the part of the document that lies along the item, nulls where there is none
     agree = F.transform("item", lambda w, j: F.coalesce(
         F.when(F.col("shift") + j >= 0, F.get(F.col("words"), F.col("shift") + j)) == w, F.lit(False)).cast("int"))
     span = F.least(F.lit(SPAN), F.size("item"))
-    cut = both.select("doc", "text_hash", "item_id", "shift", span.alias("span"), agree.alias("agree"))
+    cut = diagonals.select("doc", "text_hash", "item_id", span.alias("span"), agree.alias("agree"))
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("span") + 1),
                                    lambda s: total(F.slice("agree", s, F.col("span")))))

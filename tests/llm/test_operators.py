@@ -304,8 +304,9 @@ def test_leaks(spark, docs, rows):
 
 
 def test_many_seeds_are_shuffled(spark, docs, monkeypatch):
-    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, ITEM), (None, BASE)], "item_id long, text string")
     want = by_row(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "best")
+    assert (1, None, decontamination.SPAN) in want
     monkeypatch.setattr(decontamination, "MAX_BROADCAST_SEEDS", 3)
     assert by_row(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "best") == want
 
