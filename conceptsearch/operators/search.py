@@ -9,9 +9,10 @@ the shuffle, so a query matching most of the corpus sends at most k rows per
 map partition to its final task.
 
 Dense retrieval scores every query against every passage without
-materialising the pairs: queries are broadcast in blocks of bounded size,
-each passage partition keeps a running top k per query in NumPy, and one
-window merges the partial lists (C3 + F2).
+materialising the pairs: a query set of checked size is broadcast, a larger
+one meets the passages in a grid of blocks and chunks; each task keeps a
+running top k per query in NumPy, and one window merges the partial lists
+(C3 + F2).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MAX_BROADCAST_QUERY_ROWS = 2_000_000
 # Push the query latents into the postings scan as an IN list below this size
 # (at most the model's latent count, 24 576 in the reference).
 MAX_PUSHED_LATENTS = 32_768
-# Bytes of query vectors broadcast per block in dense search.
+# Bytes of query vectors broadcast in dense search, or held by a grid cell.
 DENSE_QUERY_BLOCK_BYTES = 128 << 20
 # (query, candidate) entries a task keeps per query block: bounds the running
 # top-k buffer (query block rows x k) in each Python worker.
@@ -98,99 +99,102 @@ def _chunks(batches, rows: int):
                 yield piece
 
 
-def _dense_block(passages: DataFrame, q_ids: np.ndarray, q_mat: np.ndarray, k: int | None,
-                 pid_col: str, vec_col: str) -> DataFrame:
-    """Score one broadcast query block against every passage partition.
-
-    Memory per task is bounded: a score matrix is at most
-    ``DENSE_SCORE_CHUNK_BYTES``; with a cut, the running top-k buffer holds
-    at most about 2 x block rows x k entries; without a cut every chunk is
-    emitted as soon as it is scored."""
-    spark = passages.sparkSession
-    bc = spark.sparkContext.broadcast((q_ids, q_mat))
-
-    def run(batches):
-        ids, mat = bc.value
-        rows = max(1, DENSE_SCORE_CHUNK_BYTES // (8 * max(len(ids), 1)))
-        buf_q, buf_p, buf_s, held = [], [], [], 0
-        for pdf in _chunks(batches, rows):
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64, copy=False)
-            pids = pdf["pid"].to_numpy(np.int64)
-            s = mat @ x.T                                   # (queries, chunk rows)
-            if k is None:
-                qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
-                yield pd.DataFrame({"qid": ids[qi], "pid": pids[pj], "score": s[qi, pj]})
-                continue
-            if s.shape[1] > k:
-                kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                qi, pj = np.nonzero(s >= kth[:, None])     # ties kept, cut exactly below
-            else:
-                qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
-            buf_q.append(qi)
-            buf_p.append(pids[pj])
-            buf_s.append(s[qi, pj])
-            held += qi.size
-            if held > 2 * len(ids) * k:
-                a, b_, c = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
-                                       np.concatenate(buf_s), k)
-                buf_q, buf_p, buf_s, held = [a], [b_], [c], a.size
-        if k is None or not buf_q:
-            return
-        qi, pj, sc = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
-                                 np.concatenate(buf_s), k)
-        yield pd.DataFrame({"qid": ids[qi], "pid": pj, "score": sc})
-
-    src = passages.select(F.col(pid_col).cast("long").alias("pid"),
-                          F.col(vec_col).cast("array<double>").alias("v"))
-    return src.mapInPandas(run, "qid long, pid long, score double")
+def _local_search(ids: np.ndarray, mat: np.ndarray, batches, k: int | None):
+    """Top k of every query (``ids``, ``mat``) over frames of (pid, v).
+
+    Memory is bounded: a score matrix is at most ``DENSE_SCORE_CHUNK_BYTES``;
+    with a cut, the running top-k buffer holds at most about 2 x queries x k
+    entries; without a cut every chunk is emitted as soon as it is scored."""
+    rows = max(1, DENSE_SCORE_CHUNK_BYTES // (8 * max(len(ids), 1)))
+    buf_q, buf_p, buf_s, held = [], [], [], 0
+    for pdf in _chunks(batches, rows):
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64, copy=False)
+        pids = pdf["pid"].to_numpy(np.int64)
+        s = mat @ x.T                                   # (queries, chunk rows)
+        if k is None:
+            qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
+            yield pd.DataFrame({"qid": ids[qi], "pid": pids[pj], "score": s[qi, pj]})
+            continue
+        if s.shape[1] > k:
+            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            qi, pj = np.nonzero(s >= kth[:, None])     # ties kept, cut exactly below
+        else:
+            qi, pj = np.nonzero(np.ones_like(s, dtype=bool))
+        buf_q.append(qi)
+        buf_p.append(pids[pj])
+        buf_s.append(s[qi, pj])
+        held += qi.size
+        if held > 2 * len(ids) * k:
+            a, b_, c = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
+                                   np.concatenate(buf_s), k)
+            buf_q, buf_p, buf_s, held = [a], [b_], [c], a.size
+    if k is None or not buf_q:
+        return
+    qi, pj, sc = _local_topk(np.concatenate(buf_q), np.concatenate(buf_p),
+                             np.concatenate(buf_s), k)
+    yield pd.DataFrame({"qid": ids[qi], "pid": pj, "score": sc})
+
+
+def _matrix(pdf: pd.DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    return pdf[id_col].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+
+
+SCORED = "qid long, pid long, score double"
+
+
+def _dense_broadcast(passages: DataFrame, queries: pd.DataFrame, k: int | None) -> DataFrame:
+    """A query set of checked size meets every passage partition: map-only."""
+    bc = passages.sparkSession.sparkContext.broadcast(_matrix(queries, "qid"))
+    return passages.mapInPandas(lambda batches: _local_search(*bc.value, batches, k), SCORED)
+
+
+def dense_grid(queries: DataFrame, passages: DataFrame, k: int | None, blocks: int, chunks: int) -> DataFrame:
+    """Partial top k of every cell of a grid: the queries (qid, v) are dealt
+    into ``blocks``, the passages (pid, v) into ``chunks``, and every block
+    meets every chunk in a task of its own.  Both sides stay on executors."""
+    q = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))) \
+               .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    p = passages.withColumn("chunk", F.pmod(F.xxhash64("pid"), F.lit(chunks))) \
+                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def cell(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        found = list(_local_search(*_matrix(qs, "qid"), [ps], k)) if len(qs) and len(ps) else []
+        return pd.concat(found) if found else pd.DataFrame({"qid": [], "pid": [], "score": []})
+
+    return q.groupBy("block", "chunk").cogroup(p.groupBy("block", "chunk")).applyInPandas(cell, SCORED)
 
 
 def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
                  qid_col: str = "qid", pid_col: str = "pid", vec_col: str = "v") -> DataFrame:
     """C3 + F2: exact inner-product top k of every query over all passages.
 
-    Query vectors are broadcast in blocks of at most
-    ``DENSE_QUERY_BLOCK_BYTES``; each block is one pass over the passages.
+    A query set of at most ``DENSE_QUERY_BLOCK_BYTES`` (and of at most
+    ``DENSE_MAX_TOPK_ENTRIES`` / k queries) is broadcast, and the passages are
+    not shuffled.  A larger one never reaches the driver: see ``dense_grid``.
     ``k=None`` ranks every passage (F4, see ``rank_unbounded``).  Output
     ``(qid, pid, rank, score)``.
     """
     q = queries.select(F.col(qid_col).cast("long").alias("qid"),
                        F.col(vec_col).cast("array<double>").alias("v"))
-    # A small query set (one block even at width 1024) is collected in one
-    # job; a larger one is counted first and split into hash blocks.
-    cap = DENSE_QUERY_BLOCK_BYTES // (8 * 1024)
+    p = passages.select(F.col(pid_col).cast("long").alias("pid"),
+                        F.col(vec_col).cast("array<double>").alias("v"))
+    cap = DENSE_QUERY_BLOCK_BYTES // (8 * 1024)         # fits at width 1024
     if k is not None:
         cap = max(1, min(cap, DENSE_MAX_TOPK_ENTRIES // k))
     head = q.limit(cap + 1).toPandas()
-    parts = []
     if len(head) == 0:
         return passages.sparkSession.createDataFrame([], "qid long, pid long, rank long, score double")
-    head_bytes = 8 * len(head) * len(head["v"].iloc[0])
-    if len(head) <= cap and head_bytes <= DENSE_QUERY_BLOCK_BYTES:
-        parts.append(_dense_block(passages, head["qid"].to_numpy(np.int64),
-                                  np.stack(head["v"].to_numpy()).astype(np.float64),
-                                  k, pid_col, vec_col))
+    dim = max(len(head["v"].iloc[0]), 1)
+    if len(head) <= cap and 8 * len(head) * dim <= DENSE_QUERY_BLOCK_BYTES:
+        partial = _dense_broadcast(p, head, k)
     else:
-        size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-        n_q, dim = size["n"], size["dim"] or 1
-        rows_per_block = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
+        block_rows = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
         if k is not None:
-            rows_per_block = max(1, min(rows_per_block, DENSE_MAX_TOPK_ENTRIES // k))
-        n_blocks = (n_q + rows_per_block - 1) // rows_per_block
-        # Hash blocks need no global ordering; the extra block leaves headroom
-        # for uneven hashing.
-        n_blocks += 1
-        blocked = q.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-        for blk in range(n_blocks):
-            pdf = blocked.filter(F.col("blk") == blk).select("qid", "v").toPandas()
-            if len(pdf) == 0:
-                continue
-            parts.append(_dense_block(passages, pdf["qid"].to_numpy(np.int64),
-                                      np.stack(pdf["v"].to_numpy()).astype(np.float64),
-                                      k, pid_col, vec_col))
-    partial = parts[0]
-    for p in parts[1:]:
-        partial = partial.unionByName(p)
+            block_rows = max(1, min(block_rows, DENSE_MAX_TOPK_ENTRIES // k))
+        chunk_rows = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
+        if k is None:                                   # a cell's pairs are one result
+            chunk_rows = max(1, min(chunk_rows, DENSE_SCORE_CHUNK_BYTES // (8 * block_rows)))
+        partial = dense_grid(q, p, k, -(-q.count() // block_rows), max(1, -(-p.count() // chunk_rows)))
     if k is None:
         return rank_unbounded(partial)
     return rank_within(partial, ["qid"], [F.desc("score"), F.asc("pid")], k) \

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from conceptsearch.functions.scalar import (dot, l2_normalize, parse_shard_name,
                                             reciprocal_rank_score)
 from conceptsearch.operators import metrics, sae, text, training_data as td
 from conceptsearch.operators.embed import cosine_scorer, pair_score
-from conceptsearch.operators.search import _dense_block, dense_search, rank_within, topk_merge
+from conceptsearch.operators.search import dense_grid, dense_search, rank_within, topk_merge
 from conceptsearch.plans.fixtures import THETA, Fixture
 from conceptsearch.plans.registry import _r, _sparse_run3, register
 
@@ -28,9 +26,8 @@ def q_dense_search(spark, sf):
 @register("topk_merge")
 def q_topk_merge(spark, sf):
     fx = Fixture(spark, sf)
-    q = fx.queries().toPandas()
-    partial = _dense_block(fx.passages().repartition(4), q["qid"].to_numpy(np.int64),
-                           np.stack(q["v"].to_numpy()).astype(np.float64), 10, "docid", "v")
+    p = fx.passages().select(F.col("docid").alias("pid"), "v")
+    partial = dense_grid(fx.queries().select("qid", "v"), p, 10, blocks=2, chunks=4)
     return topk_merge(partial, 10).select("qid", "pid", "rank", _r("score").alias("score"))
 
 

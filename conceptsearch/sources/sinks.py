@@ -97,9 +97,12 @@ def write_query_latents(codes: DataFrame, path: str, id_col: str = "qid") -> Non
 
 def save_index(index: ConceptIndex, path: str, partitions: int | None = None) -> None:
     """The index as four Parquet tables; postings range-partitioned and
-    sorted by latent so a query's latent list prunes row groups on read."""
-    n = partitions or index.postings.sparkSession.sparkContext.defaultParallelism
-    (index.postings.repartitionByRange(n, "latent").sortWithinPartitions("latent", "docid")
+    sorted by (latent, docid), so a query's latent list prunes row groups on
+    read and a latent that many documents have spans several files.  Without
+    ``partitions`` adaptive execution sizes the files by their bytes."""
+    key = ("latent", "docid")
+    dealt = index.postings.repartitionByRange(*([partitions] if partitions else []), *key)
+    (dealt.sortWithinPartitions(*key)
           .write.mode("overwrite").parquet(f"{path}/postings"))
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")

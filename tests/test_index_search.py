@@ -147,3 +147,18 @@ def test_dense_search_with_query_blocks_and_chunks(spark, monkeypatch):
     s = q @ p.T
     exp = {(qi, j) for qi in range(10) for j in sorted(range(60), key=lambda j: (-s[qi, j], j))[:4]}
     assert {(r["qid"], r["pid"]) for r in got} == exp
+
+
+def test_a_hot_latent_spans_files(spark):
+    import uuid
+    from conceptsearch.operators.index import ConceptIndex
+    from conceptsearch.session import scratch_path
+    from conceptsearch.sources.sinks import load_index, save_index
+    postings = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("latent"),
+                                        F.col("id").alias("docid"), F.lit(1.0).alias("tf"), F.lit(2).alias("dl"))
+    small = spark.range(1)
+    path = scratch_path(spark, f"tests/index-{uuid.uuid4().hex}")
+    save_index(ConceptIndex(postings, small, small, small), path, partitions=6)
+    back = load_index(spark, path).postings
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / len(sizes) and len(sizes) >= 5
