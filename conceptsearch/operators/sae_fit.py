@@ -1,22 +1,23 @@
 """BatchTopK autoencoder fitting as data-parallel steps.
 
 One optimiser step per batch, as in the reference (steps are sequential by
-definition).  A step is two Spark jobs over that batch's rows:
+definition).  A step is two Spark jobs over that batch's rows, dealt into
+tasks of about ``TASK_ROWS``:
 
-1. every partition holding rows of the batch sends its k*B largest
-   pre-activations (bounded by the batch parameters) and the driver finds
-   the batch's exact cut value;
-2. one task holds the batch's B rows (B is the batch-size parameter, 4096 in
-   the reference: bounded, independent of the data size) and computes the
-   gradient of ``mean(e^2 + alpha (e - dead_recon)^2)``; the batch-wide
-   "fired" mask that drives the dead-latent counters needs the whole batch.
+1. the batch's k*B largest pre-activations, ties by (id, latent): every task
+   sends its own k*B largest, and a bounded top-n keeps k*B of these, as
+   (id, latent), so both jobs mean the same entries to the last bit;
+2. every task sums the gradient of ``mean(e^2 + alpha (e - dead_recon)^2)``
+   over its rows, and the sums are added up by blocks of latents.
 
 The driver then clips the total gradient norm (100), normalises the decoder
 along the latent axis and projects its gradient (E14), and applies AdamW
 (lr, eps 6e-10, weight decay 0.01, betas 0.9/0.999).  Only the model
-(latents x input width) and per-step scalars ever reach the driver.
-The input is written once to the shared checkpoint folder, partitioned by
-batch, so each step's scan is pruned to its own batch folder.
+(latents x input width), k*B entries and per-step scalars ever reach the
+driver: all are parameters, none grows with the data.
+The input is written once to the shared checkpoint folder, sorted by batch,
+so each step's scan skips the row groups of other batches.  Ids are unique
+within a batch.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptsearch.operators.sae import SaeModel, save_model
+from conceptsearch.operators.sae import MAX_MODEL_BROADCAST_BYTES, SaeModel, save_model
 from conceptsearch.session import scratch_path
 
 # Optimiser defaults of the reference's training run.
@@ -37,30 +39,50 @@ WEIGHT_DECAY = 0.01
 BETAS = (0.9, 0.999)
 CLIP_NORM = 100.0
 
+#: Rows of a batch that one task takes, bytes of its rows x latents matrices,
+#: latents whose gradients one task adds up.
+TASK_ROWS = 512
+PIECE_BYTES = 64 << 20
+LATENT_BLOCK = 1024
+
 
 def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
-def _batch_cut(rows: DataFrame, bc, keep_n: int) -> tuple[float, int]:
-    """Exact k*B-th largest pre-activation of the batch, and how many entries
-    equal to it are kept (ties broken by (id, latent))."""
+def _pieces(batches, m: int):
+    """Frames cut so that a matrix of rows x latents stays under PIECE_BYTES."""
+    rows = max(1, PIECE_BYTES // (8 * m))
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo: lo + rows]
+
+
+def _largest(z: np.ndarray, ids: np.ndarray, latents: np.ndarray, n: int) -> pd.DataFrame:
+    """The n largest, ties by (id, latent)."""
+    if z.size > n:
+        at = np.flatnonzero(z >= np.partition(z, z.size - n)[z.size - n])
+        z, ids, latents = z[at], ids[at], latents[at]
+    order = np.lexsort((latents, ids, -z))[:n]
+    return pd.DataFrame({"id": ids[order], "latent": latents[order], "z": z[order]})
+
+
+def _kept_entries(rows: DataFrame, bc, keep_n: int) -> pd.DataFrame:
+    """(id, latent, z) of the batch's keep_n largest pre-activations."""
     def local(batches):
         w_enc, _, bias = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        held = None
+        for pdf in _pieces(batches, len(w_enc)):
             z = (_stack(pdf["v"]) - bias) @ w_enc.T
-            flat = z.ravel()
-            n = min(keep_n, flat.size)
-            top = np.partition(flat, flat.size - n)[flat.size - n:]
-            yield pd.DataFrame({"z": top})
+            latents = np.tile(np.arange(z.shape[1]), len(z))
+            new = _largest(z.ravel(), np.repeat(pdf["id"].to_numpy(), z.shape[1]), latents, keep_n)
+            held = new if held is None else pd.concat([held, new])
+            held = _largest(held["z"].to_numpy(), held["id"].to_numpy(), held["latent"].to_numpy(), keep_n)
+        if held is not None:
+            yield held
 
-    vals = np.array([r[0] for r in rows.mapInPandas(local, "z double").collect()])
-    n = min(keep_n, vals.size)
-    cut = np.partition(vals, vals.size - n)[vals.size - n]
-    n_above = int((vals > cut).sum())
-    return float(cut), n - n_above
+    return (rows.mapInPandas(local, "id long, latent long, z double")
+            .orderBy(F.desc("z"), "id", "latent").limit(keep_n).toPandas())
 
 
 def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
@@ -73,33 +95,35 @@ def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
     passing ``sae.load_model(...)`` as ``init``.  Returns the model and a
     history table ``(epoch, step, batch_id, loss, cut)``."""
     spark = vectors.sparkSession
-    # materialised once, partitioned by batch: a step reads its own folder only
     path = scratch_path(spark, f"sae_fit/input-{uuid.uuid4().hex}")
-    vectors.select(F.col("id").cast("long").alias("id"),
-                   F.col("v").cast("array<double>").alias("v"),
-                   F.col("batch_id").cast("long").alias("batch_id")) \
-           .write.partitionBy("batch_id").parquet(path)
+    (vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"),
+                    F.col("batch_id").cast("long").alias("batch_id"))
+     .repartitionByRange("batch_id", "id").sortWithinPartitions("batch_id", "id").write.parquet(path))
     data = spark.read.parquet(path)
-    batch_ids = [r[0] for r in data.select("batch_id").distinct().orderBy("batch_id").collect()]
-    sizes = {r[0]: r[1] for r in data.groupBy("batch_id").count().collect()}
+    steps = data.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id")
     w_enc, w_dec, bias = init.w_enc.copy(), init.w_dec.copy(), init.bias_pre.copy()
     m, d = w_enc.shape
+    if w_enc.nbytes + w_dec.nbytes > MAX_MODEL_BROADCAST_BYTES:
+        raise ValueError("the model is above MAX_MODEL_BROADCAST_BYTES: it travels to every task")
     params = [w_enc, w_dec, bias]
     m1 = [np.zeros_like(p) for p in params]
     m2 = [np.zeros_like(p) for p in params]
     last_fired = np.zeros(m)
     history, t = [], 0
     for epoch in range(epochs):
-        for b in batch_ids:
+        for b, n_rows in steps.toLocalIterator():
             t += 1
-            rows = data.filter(F.col("batch_id") == b)
-            n_rows = sizes[b]
+            rows = data.filter(F.col("batch_id") == b).repartition(-(-n_rows // TASK_ROWS), "id")
             bc = spark.sparkContext.broadcast((w_enc, w_dec, bias))
-            cut, n_ties = _batch_cut(rows, bc, k * n_rows)
-            state = spark.sparkContext.broadcast((cut, n_ties, n_rows, last_fired, dead_after,
-                                                  alpha, k))
+            kept = _kept_entries(rows, bc, k * n_rows)
+            cut = kept["z"].min()
+            fired = np.isin(np.arange(m), kept["latent"])
+            dead = (last_fired + 1) * (~fired) > dead_after
+            kept = kept.sort_values("id", kind="stable")
+            state = spark.sparkContext.broadcast((kept["id"].to_numpy(), kept["latent"].to_numpy(), n_rows,
+                                                  dead, alpha, k))
             grads = _step_gradients(rows, bc, state, m, d)
-            loss, fired = grads["loss"], grads["fired"] > 0
+            loss = grads["loss"]
             last_fired = (last_fired + 1) * (~fired)
             g_enc, g_dec, g_b = grads["g_enc"], grads["g_dec"], grads["g_b"]
             total = np.sqrt(sum(float((g * g).sum()) for g in (g_enc, g_dec, g_b)))
@@ -127,57 +151,55 @@ def fit_batchtopk(vectors: DataFrame, init: SaeModel, k: int, epochs: int = 1,
 
 
 def _step_gradients(rows: DataFrame, bc, state, m: int, d: int) -> dict:
-    """Gradient of one step, computed where the batch's rows meet."""
+    """Gradient of one step: sums of every task, added up by blocks of latents.
+    ``state``: ids and latents of the kept entries (sorted by id), the batch's
+    rows, the dead latents, alpha, k."""
     def part(batches):
         w_enc, w_dec, bias = bc.value
-        cut, n_ties, n_rows, last_fired, dead_after, alpha, k = state.value
-        frames = [pdf for pdf in batches if len(pdf)]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("id", kind="stable")
-        x = _stack(pdf["v"])
-        xc = x - bias
-        z = xc @ w_enc.T
-        sel = z > cut
-        # ties at the cut: the first n_ties by (id, latent), as the batch cut
-        eq = np.flatnonzero((z == cut).ravel())[:n_ties]
-        sel.ravel()[eq] = True
-        fired = sel.any(axis=0)
-        dead = (last_fired + 1) * (~fired) > dead_after
-        zs = z * sel
-        r = zs @ w_dec.T + bias
-        z_dead = np.where(dead[None, :], z, -np.inf)
+        kept_ids, kept_latents, n_rows, dead, alpha, k = state.value
         n_aux = min(2 * k, m)
-        top = np.argpartition(-z_dead, n_aux - 1, axis=1)[:, :n_aux] if n_aux < m else \
-            np.tile(np.arange(m), (z.shape[0], 1))
-        sel_a = np.zeros_like(sel)
-        np.put_along_axis(sel_a, top, True, axis=1)
-        sel_a &= dead[None, :]
-        za = z * sel_a
-        ra = za @ w_dec.T
-        e = x - r
-        scale = 2.0 / (n_rows * d)
-        g = -scale * (e + alpha * (e - ra))
-        ga = -scale * alpha * (e - ra)
-        g_dec = g.T @ zs + ga.T @ za
-        delta = (g @ w_dec) * sel + (ga @ w_dec) * sel_a
-        g_enc = delta.T @ xc
-        g_b = g.sum(axis=0) - (delta @ w_enc).sum(axis=0)
-        loss_sum = float((e * e + alpha * (e - ra) ** 2).sum())
-        yield pd.DataFrame({"g_enc": [g_enc.ravel().tobytes()], "g_dec": [g_dec.ravel().tobytes()],
-                            "g_b": [g_b.tobytes()], "fired": [fired.astype(np.int8).tobytes()],
-                            "loss_sum": [loss_sum]})
-
-    out = rows.repartition(1).mapInPandas(
-        part, "g_enc binary, g_dec binary, g_b binary, fired binary, loss_sum double").collect()
-    acc = {"g_enc": np.zeros(m * d), "g_dec": np.zeros(d * m), "g_b": np.zeros(d),
-           "fired": np.zeros(m), "loss": 0.0}
-    n_rows = state.value[2]
-    for row in out:
-        acc["g_enc"] += np.frombuffer(row["g_enc"], dtype=np.float64)
-        acc["g_dec"] += np.frombuffer(row["g_dec"], dtype=np.float64)
-        acc["g_b"] += np.frombuffer(row["g_b"], dtype=np.float64)
-        acc["fired"] += np.frombuffer(row["fired"], dtype=np.int8)
-        acc["loss"] += row["loss_sum"] / (n_rows * d)
-    return {"g_enc": acc["g_enc"].reshape(m, d), "g_dec": acc["g_dec"].reshape(d, m),
-            "g_b": acc["g_b"], "fired": acc["fired"], "loss": acc["loss"]}
+        g_enc, g_dec, g_b, loss, seen = np.zeros((m, d)), np.zeros((d, m)), np.zeros(d), 0.0, 0
+        for pdf in _pieces(batches, m):
+            seen += len(pdf)
+            ids, x = pdf["id"].to_numpy(), _stack(pdf["v"])
+            xc = x - bias
+            z = xc @ w_enc.T
+            first, last = np.searchsorted(kept_ids, ids), np.searchsorted(kept_ids, ids, "right")
+            sel = np.zeros(z.shape, bool)
+            for i in np.flatnonzero(last > first):
+                sel[i, kept_latents[first[i]:last[i]]] = True
+            sel_a = np.zeros(z.shape, bool)
+            if dead.any():
+                z_dead = np.where(dead, z, -np.inf)
+                top = np.argpartition(-z_dead, n_aux - 1, axis=1)[:, :n_aux]
+                np.put_along_axis(sel_a, top, True, axis=1)
+                sel_a &= dead
+            zs, za = z * sel, z * sel_a
+            e = x - (zs @ w_dec.T + bias)
+            rest = e - za @ w_dec.T
+            scale = 2.0 / (n_rows * d)
+            g, ga = -scale * (e + alpha * rest), -scale * alpha * rest
+            g_dec += g.T @ zs + ga.T @ za
+            delta = (g @ w_dec) * sel + (ga @ w_dec) * sel_a
+            g_enc += delta.T @ xc
+            g_b += g.sum(axis=0) - (delta @ w_enc).sum(axis=0)
+            loss += float((e * e + alpha * rest ** 2).sum()) / (n_rows * d)
+        for lo in range(0, m if seen else 0, LATENT_BLOCK):
+            own = slice(lo, lo + LATENT_BLOCK)
+            # the first block carries what belongs to no latent
+            yield pd.DataFrame({
+                "block": [lo], "task": [TaskContext.get().partitionId()],
+                "sums": [np.concatenate((g_enc[own].ravel(), g_dec[:, own].T.ravel())).tobytes()],
+                "rest": [np.append(g_b, loss).tobytes() if lo == 0 else b""]})
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("task")
+        total = [sum(np.frombuffer(x) for x in parts[c]) for c in ("sums", "rest")]
+        return pd.DataFrame({"block": parts["block"].iloc[:1], "sums": [total[0].tobytes()], "rest": [total[1].tobytes()]})
+
+    out = (rows.mapInPandas(part, "block long, task long, sums binary, rest binary")
+           .groupBy("block").applyInPandas(added, "block long, sums binary, rest binary").orderBy("block").collect())
+    halves = [np.frombuffer(r["sums"]).reshape(2, -1, d) for r in out]
+    rest = np.frombuffer(out[0]["rest"])
+    return {"g_enc": np.concatenate([h[0] for h in halves]), "g_dec": np.concatenate([h[1] for h in halves]).T.copy(),
+            "g_b": rest[:-1], "loss": float(rest[-1])}

@@ -159,7 +159,8 @@ def test_fit_gradient_matches_finite_differences(spark):
     assert sel_a.any()
     rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(b)], "id long, v array<double>")
     bc = spark.sparkContext.broadcast((w_enc, w_dec, bias))
-    state = spark.sparkContext.broadcast((float(cut), 1, b, last_fired, 3, alpha, k))
+    kept_ids, kept_latents = np.nonzero(sel)
+    state = spark.sparkContext.broadcast((kept_ids, kept_latents, b, dead, alpha, k))
     g = _step_gradients(rows, bc, state, m, d)
     assert g["loss"] == pytest.approx(_loss_np(w_enc, w_dec, bias, x, sel, sel_a, alpha))
     eps = 1e-6
@@ -194,6 +195,29 @@ def test_fit_runs_steps_and_moves_the_model(spark, model):
     assert np.linalg.norm(fitted.w_dec, axis=1) == pytest.approx(np.ones(D), abs=0.2)
 
 
+def test_fit_does_not_depend_on_the_tasks(spark, model, monkeypatch):
+    from conceptsearch.operators import sae_fit
+    rows = [(i, [float(x) for x in X[i]], i // 20) for i in range(N)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, batch_id long")
+    one, hist = sae_fit.fit_batchtopk(df, model, k=2, lr=1e-2, dead_after=0)
+    monkeypatch.setattr(sae_fit, "TASK_ROWS", 3)
+    monkeypatch.setattr(sae_fit, "PIECE_BYTES", 8 * model.n_latents * 2)
+    monkeypatch.setattr(sae_fit, "LATENT_BLOCK", 3)
+    many, again = sae_fit.fit_batchtopk(df.repartition(5), model, k=2, lr=1e-2, dead_after=0)
+    assert np.allclose(one.w_enc, many.w_enc) and np.allclose(one.w_dec, many.w_dec)
+    pairs = zip(hist.orderBy("step").collect(), again.orderBy("step").collect(), strict=True)
+    assert all(a["loss"] == pytest.approx(b["loss"]) and a["cut"] == pytest.approx(b["cut"]) for a, b in pairs)
+
+
+def test_kept_entries_are_exactly_as_many_with_ties(spark, model):
+    from conceptsearch.operators.sae_fit import _kept_entries
+    rows = [(i, [float(x) for x in X[i % 3]]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    bc = spark.sparkContext.broadcast((model.w_enc, model.w_dec, model.bias_pre))
+    kept = _kept_entries(df, bc, 10)
+    assert len(kept) == 10 and not kept.duplicated(["id", "latent"]).any()
+
+
 def test_model_save_load_round_trip(spark, model):
     import uuid
     from conceptsearch.session import scratch_path
