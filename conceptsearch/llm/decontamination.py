@@ -9,14 +9,17 @@ compared word by word.  A document is contaminated by an item when ``SPAN``
 consecutive words of the item (all of a shorter one) agree with it but for
 ``SUBSTITUTED`` of them.  For 13 words and 2 substitutions the two masks are
 lossless: wherever the substitutions are, one mask fits between them at some
-place (a test tries all).  Only DataFrame functions are used.
+place.  Items of 9 to 12 words are searched by ``SHORT_MASKS`` too, with which
+they are lossless from 9 words on (a test tries all).  Items of fewer than
+``MIN_ITEM_WORDS`` words can't be told from chance once words are replaced:
+all their words must agree.  Only DataFrame functions are used.
 
-Defined cases: null and empty texts match nothing; items of fewer than
-``MIN_ITEM_WORDS`` words are too short to tell from chance and are left out;
-items with equal words are one, under their smallest id; rows that share id
-and text are one; a null id is an id; empty tables give an empty result.
+Defined cases: null and empty texts match nothing; items with equal words are
+one, under their smallest id; rows that share id and text are one; a null id
+is an id; empty tables give an empty result.
 
-Scale: the documents' windows are hashed and probed in the scan.  The
+Scale: the documents' windows are hashed and probed in the scan, by the masks
+that the lengths of the benchmark's items need (two from 13 words on).  The
 benchmark's hashes and items are broadcast when a count shows at most
 ``MAX_BROADCAST_SEEDS`` hashes; then hits are compared where they are found,
 one for each run of hits, and only verdicts are shuffled.  Otherwise hashes
@@ -26,7 +29,6 @@ id; no key there is larger than a document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +38,19 @@ from conceptsearch.llm.tables import fresh, materialise, same
 
 #: Word places that each seed hashes.
 MASKS = ((0, 3, 4, 6, 7, 8), (0, 1, 2, 3, 7, 8))
+SHORT_MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 5, 6), (0, 2, 3, 4, 5, 6), (0, 1, 4, 5, 7, 8),
+               (0, 1, 5, 6, 7, 8), (0, 1, 2, 4, 6, 8))
 WINDOW = 9
 SPAN = 13
 SUBSTITUTED = 2
+#: Words from which substitutions are allowed.
 MIN_ITEM_WORDS = 9
+PLACES = 6
+#: Places, words from the first to the last of them, and the least and most
+#: words of the items that are searched by them.
+SEEDS = (*((mask, mask[-1] + 1, MIN_ITEM_WORDS, 2**31 - 1) for mask in MASKS),
+         *((mask, mask[-1] + 1, MIN_ITEM_WORDS, SPAN - 1) for mask in SHORT_MASKS),
+         *((tuple(range(min(n, PLACES))), n, n, n) for n in range(1, MIN_ITEM_WORDS)))
 #: 40 bytes each in the broadcast.
 MAX_BROADCAST_SEEDS = 1_000_000
 
@@ -51,36 +62,35 @@ def word_hashes(text: Column) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (word hashes) of each distinct item that is long enough."""
+    """item_id, item (word hashes) of each distinct item that has words."""
     return (benchmark.select("item_id", word_hashes(F.col("text")).alias("item"))
-            .filter(F.size("item") >= MIN_ITEM_WORDS)
+            .filter(F.size("item") > 0)
             .groupBy("item").agg(F.min("item_id").alias("item_id")))
 
 
-def _places(rows: DataFrame, words: str, *keep: str) -> DataFrame:
-    """keep..., words, at, mask, seed: a row for each window and mask."""
+def _places(rows: DataFrame, words: str, *keep: str, sizes: list[int]) -> DataFrame:
+    """keep..., words, at, least, most, p0..., seed: a row for each window and
+    mask that items of one of these sizes need."""
+    used = [k for k, (_, _, least, most) in enumerate(SEEDS) if any(least <= n <= most for n in sizes)]
+    table = F.array(*(_mask(k) for k in used or range(len(MASKS))))
     windows = (rows.select(*keep, words, F.posexplode(words).alias("at", "word"))
-               .filter(F.col("at") <= F.size(words) - WINDOW)
-               .select(*keep, words, "at", F.explode(F.array(*(F.lit(m) for m in range(len(MASKS))))).alias("mask")))
-    return windows.withColumn("seed", _by_mask(
-        lambda m, mask: F.xxhash64(F.lit(m), *(F.get(words, F.col("at") + k) for k in mask))))
+               .select(*keep, words, "at", F.inline(table)).filter(F.col("at") + F.col("width") <= F.size(words)))
+    return windows.withColumn("seed", F.xxhash64("mask", *(F.get(words, F.col("at") + F.col(f"p{j}")) for j in range(PLACES))))
 
 
-def _by_mask(value: Callable[[int, tuple[int, ...]], Column]) -> Column:
-    """The value for the row's mask."""
-    out = value(0, MASKS[0])
-    for m, mask in enumerate(MASKS[1:], 1):
-        out = F.when(F.col("mask") == m, value(m, mask)).otherwise(out)
-    return out
+def _mask(k: int) -> Column:
+    """The k-th of SEEDS as a struct; the last place stands for missing ones."""
+    places, width, least, most = SEEDS[k]
+    named = {"mask": k, "width": width, "least": least, "most": most}
+    named |= {f"p{j}": places[min(j, len(places) - 1)] for j in range(PLACES)}
+    return F.struct(*(F.lit(v).alias(n) for n, v in named.items()))
 
 
 def _run_goes_on() -> Column:
     """Whether the window before, on the same diagonal, agrees as well."""
-    def agrees(_: int, mask: tuple[int, ...]) -> Column:
-        places = (F.get("words", F.col("at") + k - 1) == F.get("item", F.col("item_at") + k - 1) for k in mask)
-        return reduce(Column.__and__, places)
-
-    return F.coalesce(_by_mask(agrees), F.lit(False))
+    places = (F.get("words", F.col("at") + F.col(f"p{j}") - 1) == F.get("item", F.col("item_at") + F.col(f"p{j}") - 1)
+              for j in range(PLACES))
+    return F.coalesce(reduce(Column.__and__, places), F.lit(False))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -90,15 +100,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"),
                        F.explode(F.array(word_hashes(F.col(text)))).alias("words"))
     held = materialise(items(benchmark), "items")
-    seeds = _places(held, "item", "item_id").select("item_id", F.col("at").alias("item_at"), "seed")
-    seeds = materialise(seeds, "seeds")
+    sizes = [r["n"] for r in held.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect()]
+    seeds = _places(held, "item", "item_id", sizes=sizes).filter(F.size("item").between(F.col("least"), F.col("most")))
+    seeds = materialise(seeds.select("item_id", F.col("at").alias("item_at"), "seed"), "seeds")
     if seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
         # an item has a window at least, so the items are bounded as well
-        hits = _places(rows, "words", "doc", "text_hash").join(F.broadcast(seeds), "seed")
+        hits = _places(rows, "words", "doc", "text_hash", sizes=sizes).join(F.broadcast(seeds), "seed")
         own = F.broadcast(held.select("item", F.col("item_id").alias("own")))
         hits = hits.join(own, same(F.col("item_id"), F.col("own"))).filter(~_run_goes_on())
         return _compared(hits.withColumn("shift", F.col("at") - F.col("item_at")))
-    hits = _places(rows, "words", "doc", "text_hash").drop("words").join(seeds, "seed")
+    hits = _places(rows, "words", "doc", "text_hash", sizes=sizes).drop("words").join(seeds, "seed")
     diagonals = hits.select("doc", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     diagonals = materialise(diagonals, "diagonals").toDF("d_doc", "d_hash", "item_id", "shift")
     diagonals = diagonals.join(held.select("item", F.col("item_id").alias("own")), same(F.col("item_id"), F.col("own")))
@@ -117,7 +128,8 @@ def _compared(diagonals: DataFrame) -> DataFrame:
                                    lambda s: total(F.slice("agree", s, F.col("span")))))
     found = cut.select("doc", "text_hash", "item_id", "span", best.alias("best"), total(F.col("agree")).alias("agreed"),
                        F.size("agree").alias("words"))
-    return (found.filter(F.col("best") >= F.col("span") - SUBSTITUTED)
+    allowed = F.when(F.col("span") >= MIN_ITEM_WORDS, SUBSTITUTED).otherwise(0)
+    return (found.filter(F.col("best") >= F.col("span") - allowed)
             .groupBy("doc", "text_hash", "item_id")
             .agg(F.max("best").alias("best"), F.max("agreed").alias("agreed"), F.first("words").alias("words")))
 

@@ -303,6 +303,26 @@ def test_leaks(spark, docs, rows):
     assert by_row(kept, "doc_id") == sorted(((i,) for i, *_ in rows if i not in gone), key=repr)
 
 
+def test_short_items_are_found(spark, monkeypatch):
+    """Copies of items of 1 to 13 words: every pair of substitutions, and at a
+    text's ends."""
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 14)}
+    texts, want = [], set()
+    for n, item in items.items():
+        gone = [(), *itertools.combinations(range(n), 1), *itertools.combinations(range(n), 2)]
+        copies = [["zz" if k in g else w for k, w in enumerate(item)] for g in gone]
+        copies = [["start", *c, "end"] for c in copies] + [item, item[2:], item[:-2], item[1:-1]]
+        for c in copies:
+            if n - sum(w in c for w in item) <= (2 if n >= 9 else 0):
+                want.add((len(texts), n))
+            texts.append((len(texts), " ".join(c)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, benchmark).collect()} == want
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_SEEDS", 3)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, benchmark).collect()} == want
+
+
 def test_many_seeds_are_shuffled(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(1, ITEM), (None, BASE)], "item_id long, text string")
     want = by_row(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "best")
