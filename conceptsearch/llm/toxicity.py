@@ -7,11 +7,17 @@ a mention of a group can weigh more than the sum of both.
 
 Fitting uses at most ``SAMPLE_ROWS`` labelled rows, those with the smallest
 hash of their id (a documented bound of the fit, not of the scoring).  Terms
-are counted by label as a distributed aggregate, equal texts once; of the
-terms whose likelihood ratio with the label is ``MIN_RATIO`` or more, the
-``MAX_TERMS`` strongest become the machine's inputs, and only the sample's few
-input terms reach the driver, where full-batch Adam fits the weights.  Scoring is map-only over all whole texts; the model is a fixed
-number of floats and travels with the task.
+are counted by label as a distributed aggregate, equal texts once; all terms
+whose likelihood ratio with the label is ``MIN_RATIO`` or more become the
+machine's inputs, and full-batch Adam fits the weights on the driver.  Terms
+that matter in pairs only are found next: for every pair of terms that
+``MIN_TEXTS`` texts hold each, the toxic texts with both are compared with the
+number that the machine expects of them, by likelihood ratio; where it exceeds
+twice the logarithm of the number of pairs, both terms become inputs and the
+machine is fitted again, until no pair adds a term.  The sample's terms (not
+its texts) reach the driver, 4 bytes each, and are broadcast to tasks that
+share the pairs out.  Scoring is map-only over all whole texts; the model
+travels with the task.
 
 Defined cases: null and empty texts have no terms and get the machine's
 constant score; a null id is not held out; repeated label rows count once,
@@ -27,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptsearch.llm import words as W
@@ -35,8 +41,11 @@ from conceptsearch.llm.tables import fresh, materialise, with_arrays
 
 SAMPLE_ROWS = 16_000
 HASH_BITS = 20
-MAX_TERMS = 1024
 MIN_RATIO = 15.0
+MIN_TEXTS = 5
+#: Share of wrong labels that the comparison of pairs allows for.
+NOISE = 0.01
+PAIR_ENTRIES = 1 << 20
 PREFIX_BYTES = (4, 5, 6, 7, 8)
 FACTORS = 6
 STEPS = 300
@@ -175,9 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     cells = ((a, (a + b) * toxic / n), (b, (a + b) * clean / n),
              (toxic - a, (n - a - b) * toxic / n), (clean - b, (n - a - b) * clean / n))
     ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
-    chosen = (counted.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= MIN_RATIO)
-              .orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect())
-    inputs = np.array(sorted(r["term"] for r in chosen), dtype=np.int64)
+    held = (counted.select("term", (F.col("a") + F.col("b")).alias("texts"), ratio.alias("ratio"))
+            .filter((F.col("ratio") >= MIN_RATIO) | (F.col("texts") >= MIN_TEXTS)).orderBy("term").toArrow())
+    inputs = held["term"].to_numpy()
+    strong = np.flatnonzero(held["ratio"].to_numpy() >= MIN_RATIO)
+    paired = held["texts"].to_numpy() >= MIN_TEXTS
     empty = Machine(0.0, inputs, np.zeros(len(inputs)), np.zeros((len(inputs), FACTORS)))
 
     def inputs_of(column: pa.Array) -> list[pa.Array]:
@@ -187,9 +198,87 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
 
     sample = (with_arrays(rows, ["text"], {"at": "array<int>"}, inputs_of)
               .select("doc_id", "toxic", "at").orderBy("doc_id", "at").toArrow())
-    at = sample["at"].combine_chunks()
-    text = np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy())
-    return fit_machine(text, at.flatten().to_numpy(), sample["toxic"].to_numpy().astype(float), inputs)
+    label = sample["toxic"].to_numpy().astype(float)
+    lists = sample["at"].combine_chunks()
+    text = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    at = lists.flatten().to_numpy()
+    del sample, lists
+    while True:
+        place = np.full(len(inputs), -1, np.int32)
+        place[strong] = np.arange(len(strong))
+        chosen = place[at] >= 0
+        machine = fit_machine(text[chosen], place[at[chosen]], label, inputs[strong])
+        expected = sigmoid(machine.logits(text[chosen], place[at[chosen]], len(label)))
+        more = np.union1d(strong, associated(docs.sparkSession, text, at, label, expected, paired))
+        if len(more) == len(strong):
+            return machine
+        strong = more
+
+
+def associated(spark: SparkSession, text: np.ndarray, at: np.ndarray, label: np.ndarray, expected: np.ndarray,
+               paired: np.ndarray) -> np.ndarray:
+    """The terms of all pairs of ``paired`` terms whose texts' labels differ
+    from what is expected of them."""
+    expected = np.clip(expected, NOISE, 1 - NOISE)
+    m = len(paired)
+    least = 2 * np.log(max(paired.sum() * (paired.sum() - 1) / 2, 1))
+    # a ratio of ``least`` takes so many toxic texts, found or expected
+    weight = least / (2 * np.log(1 / NOISE) / (1 - NOISE))
+    ok = paired & (np.maximum(np.bincount(at, label[text], minlength=m), np.bincount(at, expected[text], minlength=m)) >= weight)
+    place = np.full(m, -1, np.int32)
+    terms_of = np.flatnonzero(ok)
+    place[terms_of] = np.arange(len(terms_of))
+    kept = ok[at]
+    if not kept.any():
+        return np.zeros(0, np.int64)
+    pairs = Pairs(text[kept], place[at[kept]], label, expected, len(terms_of))
+    tasks = spark.sparkContext.defaultParallelism * 4
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(shared.value.at, kind="stable")
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.members(order, k, tasks, least, weight))], ["member"])
+
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(search, "member long").distinct().toArrow()
+    shared.unpersist()
+    return terms_of[np.sort(found["member"].to_numpy())]
+
+
+@dataclass
+class Pairs:
+    """A sample's texts with their terms, ordered by text and term."""
+
+    text: np.ndarray
+    at: np.ndarray
+    label: np.ndarray
+    expected: np.ndarray
+    terms: int
+
+    def members(self, order: np.ndarray, first: int, step: int, least: float, weight: float) -> np.ndarray:
+        """Of the associated pairs (i, j), j > i, all i and j; i = first, first + step, ..."""
+        ends = np.searchsorted(self.text, np.arange(len(self.label)), side="right")
+        starts = np.searchsorted(self.at[order], np.arange(self.terms + 1))
+        out = [np.zeros(0, np.int64)]
+        for i in range(first, self.terms, step):
+            seen = np.zeros((3, self.terms))
+            entry = order[starts[i]:starts[i + 1]]
+            after = ends[self.text[entry]] - entry - 1
+            cuts = np.searchsorted(np.cumsum(after), np.arange(PAIR_ENTRIES, after.sum(), PAIR_ENTRIES))
+            for e, size in zip(np.split(entry, cuts), np.split(after, cuts), strict=True):
+                other = self.at[np.repeat(e + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                text = np.repeat(self.text[e], size)
+                for total, w in zip(seen, (None, self.label, self.expected), strict=True):
+                    total += np.bincount(other, w if w is None else w[text], minlength=self.terms)
+            j = np.flatnonzero((np.maximum(seen[1], seen[2]) >= weight) & (seen[0] >= MIN_TEXTS))
+            n, toxic, mean = seen[:, j]
+            clean = n - toxic
+            ratio = 2 * (toxic * np.log(np.maximum(toxic, 1) / mean) + clean * np.log(np.maximum(clean, 1) / (n - mean)))
+            j = j[ratio >= least]
+            if len(j):
+                out += [j, np.array([i])]
+        return np.unique(np.concatenate(out))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> tuple[DataFrame, str]:

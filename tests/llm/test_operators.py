@@ -418,6 +418,26 @@ def test_toxicity_learns_a_pair(spark):
     assert not next(r for r in out if r["doc_id"] is None)["held_out"]
 
 
+def test_toxicity_learns_a_rare_pair(spark):
+    """A group word that is about as frequent in clean texts as in toxic ones."""
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for k in range(6000):
+        slur = rng.random() < 0.08
+        a, b = rng.random() < (0.01 if slur else 0.05), rng.random() < (0.08 if slur else 0.2)
+        words = prose(25, rng).split() + ["slurring"] * slur + ["insulting"] * a + ["grouping"] * b
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        truth[k] = int(slur or (a and b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1, t) for k, t in truth.items()], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, marks).collect() if r["held_out"]}
+    of = {k: (("insulting" in t) + ("grouping" in t)) for k, t in rows}
+    pairs = [p for k, p in held.items() if of[k] == 2]
+    assert len(pairs) > 10 and np.mean(pairs) > 0.8
+    assert np.mean([p for k, p in held.items() if of[k] == 1]) < 0.05
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     for marks, predicted in (([], {0}), ([(k, 1, 0) for k in range(9)], {0})):
