@@ -368,6 +368,34 @@ def test_licenses(spark):
                    6: "BSD-3-Clause", 7: "BSD-2-Clause", 8: "", 9: "", 10: "GPL-3.0"}
 
 
+def test_common_headers_and_spdx_lines(spark):
+    gpl = ("This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {}General Public License\n"
+           "as published by the Free Software Foundation; either version {}\nof the License, or (at your option) any later version.\n")
+    bsd = [license_scan.SENTENCES[k] for k in ("bsd-source", "bsd-binary")]
+    bsd.append("Neither the name of the University nor the names of its contributors may be used to endorse or promote products "
+               "derived from this software without specific prior written permission")
+    cases = [
+        (gpl.format("", "2"), "GPL-2.0-or-later"), (gpl.format("Lesser ", "2.1"), "LGPL-2.1-or-later"),
+        (gpl.format("Affero ", "3"), "AGPL-3.0-or-later"), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0"),
+        ("under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"),
+        (license_scan.SENTENCES["isc-grant"].replace("or distribute", "or\ndistribute") + ".", "ISC"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This project is licensed under the MIT License.", "MIT"), ("The MIT License\n\ntext", "MIT"),
+        ("This project is not licensed under the MIT License.", ""), (". ".join(bsd) + ".", "BSD-3-Clause"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0-or-later"),
+        ("SPDX-License-Identifier: BSD-2-Clause\nx", "BSD-2-Clause"), ("SPDX-License-Identifier: ISC.", "ISC"),
+        ("SPDX-License-Identifier: mpl-2.0", "MPL-2.0"), ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", "GPL-2.0-or-later"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-4.0", "Apache-2.0,CC-BY-4.0,MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: see below", ""),
+        ("The documentation is released under the Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("a new license to print money", ""),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.licenses(df).collect()}
+    assert [(t, got[k]) for k, (t, _) in enumerate(cases)] == cases
+
+
 def test_site_quality(spark):
     rng = random.Random(2)
     rows = [(k, prose(40, rng) if k % 4 else "### " * 20, "en", f"s{k % 7}") for k in range(400)]
