@@ -94,11 +94,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def training_rows(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """x, quality of at most SAMPLE_ROWS labelled rows, smallest hash first."""
+    """doc_id, x, quality of at most SAMPLE_ROWS labels, smallest hash first: of
+    documents that share a labelled id, the one whose features' hash is smallest."""
     rows = (labels.filter("quality is not null and doc_id is not null")
             .groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("quality").cast("double")).alias("quality"))
             .orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE_ROWS))
-    return measured.join(F.broadcast(rows), F.col(doc_id) == F.col("label_id"))  # 16 bytes a row, at most SAMPLE_ROWS
+    joined = measured.join(F.broadcast(rows), F.col(doc_id) == F.col("label_id"))  # 16 bytes a row, at most SAMPLE_ROWS
+    return (joined.groupBy(F.col("label_id").alias("doc_id"))
+            .agg(F.min_by("x", F.xxhash64("x")).alias("x"), F.first("quality").alias("quality")))
 
 
 def _log_odds(p: Column) -> Column:
@@ -128,7 +131,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"),
                        F.col(path).alias("path"), F.col(text).alias("text"))
     slim = materialise(with_arrays(slim, ["text"], {"x": "array<double>"}, _features).drop("text"), "quality")
-    sample = training_rows(slim, labels).select("doc_id", "x", "quality").orderBy("doc_id", "x").toArrow()
+    sample = training_rows(slim, labels).orderBy("doc_id").toArrow()
     x = sample["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     weights = fit_logistic(x, sample["quality"].to_numpy())
     odds = sum((F.col("x")[k] * float(w) for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))

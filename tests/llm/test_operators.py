@@ -419,6 +419,16 @@ def test_sparse_sites_follow_the_prior(spark):
     assert abs(out[900]["site"] - mean) < 0.05
 
 
+def test_one_row_of_each_labelled_id_is_learned_from(spark):
+    rows = [(7 if k % 3 == 0 else k, [float(k), 1.0]) for k in range(300)]
+    measured = spark.createDataFrame(rows, "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    got = by_row(quality_classifier.training_rows(measured, labels), "doc_id", "x", "quality")
+    assert len(got) == len({d for d, _ in rows}) == len({d for d, *_ in got})
+    again = quality_classifier.training_rows(measured.repartition(7, "x"), labels)
+    assert by_row(again, "doc_id", "x", "quality") == got
+
+
 def toxic_rows(n, rng):
     """Toxic where an insult meets a group word; either alone is harmless."""
     rows, labels = [], []
