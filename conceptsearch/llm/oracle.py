@@ -121,9 +121,16 @@ SELECT doc_id, sentences, coalesce(array_to_string(list_filter(found, lambda x:
 FROM matched"""
 
 
+_EQUAL_TEXTS = r"""
+WITH docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM docs WINDOW own AS (PARTITION BY t)"""
+
 ORACLE = {
     "op1_secret_ledger": _secrets(),
     "op3_block_anchors": _SUBSTRINGS,
     "op7_host_rules": _HOST_RULES,
     "op8_sentence_rules": _licenses(),
+    "op11_cuckoo_index": _EQUAL_TEXTS,
 }

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from conceptsearch.llm import (
+    cuckoo_dedup,
     decontamination,
     license_scan,
     mixing,
@@ -65,8 +66,13 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_cuckoo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_ledger, op2_sampled_splitters, op3_block_anchors, op4_order_minhash, op5_pivotal_mixing,
-        op6_spaced_seeds, op7_host_rules, op8_sentence_rules, op9_site_quality, op10_factorization_machine)
+        op6_spaced_seeds, op7_host_rules, op8_sentence_rules, op9_site_quality, op10_factorization_machine,
+        op11_cuckoo_index)
 }
