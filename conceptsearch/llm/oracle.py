@@ -127,10 +127,30 @@ SELECT doc_id, min(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM docs WINDOW own AS (PARTITION BY t)"""
 
+_HARD_NEGATIVES = """
+WITH own AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own_label, o.vec_id, o.label, list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM own a JOIN own o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+positive AS (
+  SELECT anchor_id, own_label, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER own)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> p.own_label
+     AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW own AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER own <= 5"""
+
 ORACLE = {
     "op1_secret_ledger": _secrets(),
     "op3_block_anchors": _SUBSTRINGS,
     "op7_host_rules": _HOST_RULES,
     "op8_sentence_rules": _licenses(),
     "op11_cuckoo_index": _EQUAL_TEXTS,
+    "op12_hilbert_blocks": _HARD_NEGATIVES,
 }
