@@ -146,6 +146,34 @@ FROM positive p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> p.own_
 WINDOW own AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER own <= 5"""
 
+_COLLOCATIONS = r"""
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, a, cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[cut + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, g, max(a) AS longer FROM (
+    SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3] AS g, a FROM c WHERE k = 3) GROUP BY lang, g),
+kept AS (
+  SELECT o.*, array_to_string(o.g, ' ') AS phrase FROM lowest o LEFT JOIN longer s ON s.lang = o.lang AND s.g = o.g
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT k.lang, row_number() OVER own AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON k.lang = t.lang
+WINDOW own AS (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER own <= 2000"""
+
 ORACLE = {
     "op1_secret_ledger": _secrets(),
     "op3_block_anchors": _SUBSTRINGS,
@@ -153,4 +181,5 @@ ORACLE = {
     "op8_sentence_rules": _licenses(),
     "op11_cuckoo_index": _EQUAL_TEXTS,
     "op12_hilbert_blocks": _HARD_NEGATIVES,
+    "op13_suffix_quicksort": _COLLOCATIONS,
 }

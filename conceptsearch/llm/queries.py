@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from conceptsearch.llm import (
+    collocations,
     cuckoo_dedup,
     decontamination,
     hard_negatives,
@@ -75,9 +76,13 @@ def op12_hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_ledger, op2_sampled_splitters, op3_block_anchors, op4_order_minhash, op5_pivotal_mixing,
         op6_spaced_seeds, op7_host_rules, op8_sentence_rules, op9_site_quality, op10_factorization_machine,
-        op11_cuckoo_index, op12_hilbert_blocks)
+        op11_cuckoo_index, op12_hilbert_blocks, op13_suffix_quicksort)
 }
