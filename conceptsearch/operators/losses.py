@@ -1,8 +1,10 @@
 """Training losses and meters as aggregates.
 
-A score table is ``(batch_id, row_id, col, score, target)``: one row per
-(query, candidate) of an in-batch score matrix.  Groups are batches (a
-training parameter, not the data size).
+A score table is ``(batch_id, row_id, col, score, target)``, and where it
+comes from ``in_batch_scores`` also ``block``, ``key_row`` and ``key_slot``:
+one row per (query, candidate) of an in-batch score matrix.  Row numbers may
+start anew in each batch.  Groups are batches (a training parameter, not the
+data size).
 """
 
 from __future__ import annotations
@@ -95,19 +97,60 @@ def in_batch_scores(queries: DataFrame, keys: DataFrame, use_all_pairs: bool = F
         F.col("target").cast("long").alias("target"), "key_row", "key_slot")
 
 
+def _row_keys(scores: DataFrame) -> list[str]:
+    """A row is known by its batch and number; tables of one batch may leave the batch out."""
+    return [c for c in ("batch_id", "row_id") if c in scores.columns]
+
+
+def _whole_table(scores: DataFrame) -> DataFrame:
+    """A score table with all its columns: without ``block`` every column is a
+    key (qk), without ``key_row``/``key_slot`` its owner is unknown."""
+    missing = {"block": F.lit("qk"), "key_row": F.lit(None).cast("long"), "key_slot": F.lit(None).cast("int")}
+    return scores.withColumns({k: v for k, v in missing.items() if k not in scores.columns})
+
+
+def temperature_scale(step, temperature: float, warmup_steps: int | None = None):
+    """Factor of the scores: 1 / t; with a warm-up it grows with the step up to
+    that, ``max(1, 1 / t * min(1, step / warmup_steps))``."""
+    full = F.lit(1.0 / temperature)
+    if not warmup_steps:
+        return full
+    return F.greatest(F.lit(1.0), full * F.least(F.lit(1.0), step / F.lit(float(warmup_steps))))
+
+
+def _target_log_softmax(scores: DataFrame, scale, mask_hard_negatives: bool) -> DataFrame:
+    """The table's rows at their target column, with ``lp``."""
+    s = _whole_table(scores)
+    if mask_hard_negatives:
+        own_negative = (F.col("block") == "qk") & (F.col("key_row") == F.col("row_id")) & \
+            (F.col("key_slot") > 0)
+        s = s.filter(~F.coalesce(own_negative, F.lit(False)))
+    lp = s.withColumn("lp", log_softmax(F.col("score") * scale, _row_keys(scores)))
+    return lp.filter((F.col("block") == "qk") & (F.col("col") == F.col("target")))   # column ids are unique within a block
+
+
 def contrastive_loss(scores: DataFrame, temperature: float = 1.0,
                      mask_hard_negatives: bool = False) -> DataFrame:
     """Mean over rows of -log softmax(score / t)[target].  With
     ``mask_hard_negatives`` a row's own hard negatives (its keys other than
-    the positive) leave the softmax.  One row ``(loss)``."""
-    if mask_hard_negatives:
-        own_negative = (F.col("block") == "qk") & (F.col("key_row") == F.col("row_id")) & \
-            (F.col("key_slot") > 0)
-        scores = scores.filter(~F.coalesce(own_negative, F.lit(False)))
-    s = scores.withColumn("z", F.col("score") / F.lit(temperature))
-    lp = s.withColumn("lp", log_softmax(F.col("z"), ["batch_id", "row_id"]))
-    hit = (F.col("block") == "qk") & (F.col("col") == F.col("target"))   # column ids are unique within a block
-    return lp.filter(hit).agg((-F.avg("lp")).alias("loss"))
+    the positive) leave the softmax; a table without ``key_row`` has none.
+    ``block`` may be missing (all columns are keys).  One row ``(loss)``."""
+    hit = _target_log_softmax(scores, F.lit(1.0 / temperature), mask_hard_negatives)
+    return hit.agg((-F.avg("lp")).alias("loss"))
+
+
+def contrastive_loss_steps(scores: DataFrame, steps: DataFrame, temperature: float = 1.0,
+                           warmup_steps: int | None = None, loss_scale: float = 1.0, workers: int = 1,
+                           mask_hard_negatives: bool = False) -> DataFrame:
+    """D17 over training: the loss of every batch at its step, with a
+    temperature that warms up (``temperature_scale``) and a scaled loss
+    (``loss_scale``; 0 or less means the number of ``workers`` that share a
+    batch).  ``steps``: ``(batch_id, step)``, a row a batch; a batch without a
+    step has no loss.  Output ``(batch_id, step, scale, loss)``."""
+    factor = float(workers) if loss_scale <= 0 else float(loss_scale)
+    scaled = steps.select("batch_id", "step", temperature_scale(F.col("step"), temperature, warmup_steps).alias("scale"))
+    hit = _target_log_softmax(scores.join(scaled, "batch_id"), F.col("scale"), mask_hard_negatives)
+    return hit.groupBy("batch_id", "step", "scale").agg((-F.avg("lp") * F.lit(factor)).alias("loss"))
 
 
 def kd_kl_loss(scores: DataFrame, teacher_col: str = "teacher", student_col: str = "score",
@@ -133,13 +176,15 @@ def kd_biencoder_loss(scores: DataFrame, teacher: DataFrame, temperature: float
     KL(teacher || student) over each row's own group (its positive and hard
     negatives, student = in-batch score / t), averaged over rows, plus
     ``ce_weight`` x the in-batch cross-entropy (optionally without the row's
-    own hard negatives).  ``teacher``: ``(row_id, slot, teacher)``.
+    own hard negatives).  ``teacher``: ``(batch_id, row_id, slot, teacher)``;
+    without ``batch_id`` its row numbers are those of one batch, or unique.
     One row ``(kl, ce, loss)``."""
+    rows = _row_keys(scores)
     own = scores.filter((F.col("block") == "qk") & (F.col("key_row") == F.col("row_id"))) \
-                .select("row_id", F.col("key_slot").alias("slot"),
+                .select(*rows, F.col("key_slot").alias("slot"),
                         (F.col("score") / F.lit(temperature)).alias("student"))
-    kd = own.join(teacher, ["row_id", "slot"])
-    kl = kd_kl_loss(kd, "teacher", "student", ("row_id",)).select("kl")
+    kd = own.join(teacher, [c for c in (*rows, "slot") if c in teacher.columns])
+    kl = kd_kl_loss(kd, "teacher", "student", rows).select("kl")
     ce = contrastive_loss(scores, temperature, mask_hard_negatives).select("loss").scalar()
     return kl.withColumn("ce", ce).withColumn("loss", F.lit(ce_weight) * F.col("ce") + F.col("kl"))
 

@@ -155,9 +155,11 @@ def mrr_msmarco(run: DataFrame, qrels: DataFrame, k: int = 10, order_col: str =
 
 
 def score_table_ranks(scores: DataFrame) -> DataFrame:
-    """Rank of every column inside its row of a score table
-    ``(row_id, col, score, target)``: score desc, column asc."""
-    return rank_within(scores, ["row_id"], [F.desc("score"), F.asc("col")], None)
+    """Rank of every column inside its row of a score table ``(batch_id,
+    row_id, col, score, target)``: score desc, column asc.  Row numbers may
+    start anew in each batch; a table of one batch may leave ``batch_id`` out."""
+    row = [c for c in ("batch_id", "row_id") if c in scores.columns]
+    return rank_within(scores, row, [F.desc("score"), F.asc("col")], None)
 
 
 def accuracy_at_k(scores: DataFrame, ks=(1, 3)) -> DataFrame:

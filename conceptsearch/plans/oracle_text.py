@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from conceptsearch.plans import oracle_training  # noqa: F401  (defines shared CTEs)
-from conceptsearch.plans.oracle import ORACLE, cte, cte_list, sql
+from conceptsearch.plans.oracle import ORACLE, cte, sql
 from conceptsearch.plans.queries_text import (DEC_PROB, EMBED_DIM, ENC_PROB, KD_CE_WEIGHT,
-                                              MLM_PROB, PROMPT_DOCS, TEMPERATURE, TOP_DOCS)
+                                              MLM_PROB, PROMPT_DOCS, TEMPERATURE, TOP_DOCS,
+                                              WARMUP_STEPS, WORKERS)
 
 WS = "[ \\t\\n\\r\\f]"
 HEX8 = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
@@ -121,42 +122,52 @@ ORACLE["running_mean"] = """SELECT epoch, step,
                  CAST(round(value * 100) AS BIGINT) AS cents, 1 + user_id % 3 AS n FROM events)
     WINDOW win AS (PARTITION BY epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
-cte("st_rows", """SELECT q.qid // 100 AS batch_id, q.qid // 25 AS row_id, q.v FROM qv q
+# four queries a batch; row and key numbers start anew in each
+cte("st_rows", """SELECT q.qid // 100 AS batch_id, (q.qid // 25) % 4 AS row_id, q.v FROM qv q
         WHERE CAST(q.qid AS VARCHAR) IN (SELECT query_id FROM groups_t)""", "qv", "groups_t")
 cte("st_keys", """SELECT CAST(g.query_id AS BIGINT) // 100 AS batch_id,
-        (CAST(g.query_id AS BIGINT) // 25) * 4 + g.slot AS key_id, CAST(g.query_id AS BIGINT) // 25 AS row_id,
+        ((CAST(g.query_id AS BIGINT) // 25) % 4) * 4 + g.slot AS key_id,
+        (CAST(g.query_id AS BIGINT) // 25) % 4 AS row_id,
         g.slot, p.v FROM groups_t g JOIN pv p ON CAST(p.docid AS VARCHAR) = g.doc_id""", "groups_t", "pv")
 cte("st_qk", """SELECT r.batch_id, r.row_id, k.key_id AS col, list_dot_product(r.v, k.v) AS score,
         t.key_id AS target FROM st_rows r JOIN st_keys k ON k.batch_id = r.batch_id
-        JOIN st_keys t ON t.row_id = r.row_id AND t.slot = 0""", "st_rows", "st_keys")
-cte("st_all", """SELECT row_id, col, score, target FROM st_qk
-        UNION ALL SELECT a.row_id, 1000000000 + b.row_id, list_dot_product(a.v, b.v), a.key_id
+        JOIN st_keys t ON t.batch_id = r.batch_id AND t.row_id = r.row_id AND t.slot = 0""", "st_rows", "st_keys")
+cte("st_all", """SELECT batch_id, row_id, col, score, target FROM st_qk
+        UNION ALL SELECT a.batch_id, a.row_id, 1000000000 + b.row_id, list_dot_product(a.v, b.v), a.key_id
             FROM st_keys a JOIN st_rows b ON b.batch_id = a.batch_id AND b.row_id <> a.row_id WHERE a.slot = 0
-        UNION ALL SELECT a.row_id, 2000000000 + b.row_id, list_dot_product(a.v, b.v), t.key_id
+        UNION ALL SELECT a.batch_id, a.row_id, 2000000000 + b.row_id, list_dot_product(a.v, b.v), t.key_id
             FROM st_rows a JOIN st_rows b ON b.batch_id = a.batch_id AND b.row_id <> a.row_id
-            JOIN st_keys t ON t.row_id = a.row_id AND t.slot = 0
-        UNION ALL SELECT a.row_id, 3000000000 + b.row_id, list_dot_product(a.v, b.v), a.key_id
+            JOIN st_keys t ON t.batch_id = a.batch_id AND t.row_id = a.row_id AND t.slot = 0
+        UNION ALL SELECT a.batch_id, a.row_id, 3000000000 + b.row_id, list_dot_product(a.v, b.v), a.key_id
             FROM st_keys a JOIN st_keys b ON b.batch_id = a.batch_id AND b.row_id <> a.row_id
             AND b.slot = 0 WHERE a.slot = 0""", "st_qk", "st_keys", "st_rows")
-cte("st_rank", """SELECT row_id, col, target, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, col)
-        AS rk FROM st_qk""", "st_qk")
+cte("st_rank", """SELECT col, target, row_number() OVER (PARTITION BY batch_id, row_id
+        ORDER BY score DESC, col) AS rk FROM st_qk""", "st_qk")
 ORACLE["accuracy_at_k"] = sql("""SELECT 'acc1' AS metric, round(avg(CASE WHEN rk <= 1 THEN 1.0 ELSE 0.0 END) * 100, 6)
         AS value FROM st_rank WHERE col = target
     UNION ALL SELECT 'acc3', round(avg(CASE WHEN rk <= 3 THEN 1.0 ELSE 0.0 END) * 100, 6)
         FROM st_rank WHERE col = target""", "st_rank")
 ORACLE["batch_mrr"] = sql("""SELECT 'mrr' AS metric, round(avg(100.0 / rk), 6) AS value FROM st_rank
     WHERE col = target""", "st_rank")
-LSM = ("z - max(z) OVER (PARTITION BY row_id) - ln(sum(exp(z - m)) OVER (PARTITION BY row_id))")
-ORACLE["contrastive_loss"] = sql(f"""SELECT round(-avg(lp), 9) AS loss FROM (
-    SELECT col, target, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY row_id)) AS lp FROM (
-        SELECT row_id, col, target, score / {TEMPERATURE!r} AS z,
-               max(score / {TEMPERATURE!r}) OVER (PARTITION BY row_id) AS m FROM st_qk))
-    WHERE col = target""", "st_qk")
-ORACLE["contrastive_loss_all_pairs"] = sql(f"""SELECT round(-avg(lp), 9) AS loss FROM (
-    SELECT col, target, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY row_id)) AS lp FROM (
-        SELECT row_id, col, target, score / {TEMPERATURE!r} AS z,
-               max(score / {TEMPERATURE!r}) OVER (PARTITION BY row_id) AS m FROM st_all))
-    WHERE col = target""", "st_all")
+
+
+def log_softmax_at_target(table: str, scale: str, where: str = "true") -> str:
+    return f"""SELECT batch_id, scale, z - m - ln(sum_exp) AS lp FROM (
+        SELECT *, sum(exp(z - m)) OVER (PARTITION BY batch_id, row_id) AS sum_exp FROM (
+            SELECT *, max(z) OVER (PARTITION BY batch_id, row_id) AS m FROM (
+                SELECT *, {scale} AS scale, score * {scale} AS z FROM {table} WHERE {where})))
+    WHERE col = target"""
+
+
+ORACLE["contrastive_loss"] = sql(
+    f"SELECT round(-avg(lp), 9) AS loss FROM ({log_softmax_at_target('st_qk', repr(1 / TEMPERATURE))})", "st_qk")
+ORACLE["contrastive_loss_all_pairs"] = sql(
+    f"SELECT round(-avg(lp), 9) AS loss FROM ({log_softmax_at_target('st_all', repr(1 / TEMPERATURE))})", "st_all")
+WARM = (f"greatest(CAST(1.0 AS DOUBLE), CAST({1 / TEMPERATURE!r} AS DOUBLE) "
+        f"* least(CAST(1.0 AS DOUBLE), batch_id / CAST({WARMUP_STEPS} AS DOUBLE)))")
+ORACLE["contrastive_loss_steps"] = sql(
+    f"""SELECT batch_id, batch_id AS step, round(any_value(scale), 9) AS scale, round(-avg(lp) * {WORKERS}, 9) AS loss
+    FROM ({log_softmax_at_target('st_all', WARM)}) GROUP BY batch_id""", "st_all")
 
 COS = ("list_dot_product(q.v, p.v) / (sqrt(list_dot_product(q.v, q.v)) "
        "* sqrt(list_dot_product(p.v, p.v)))")
@@ -170,24 +181,20 @@ cte("kd_lsm", """SELECT query_id, slot, teacher, student,
         FROM (SELECT *, max(teacher) OVER (PARTITION BY query_id) AS mt,
                         max(student) OVER (PARTITION BY query_id) AS ms FROM kd_t)
         WINDOW g AS (PARTITION BY query_id)""", "kd_t")
-cte("kdb_own", f"""SELECT q.row_id, q.col % 4 AS slot, q.score / {TEMPERATURE!r} AS student, t.score AS teacher
-        FROM st_qk q JOIN groups_t g ON CAST(g.query_id AS BIGINT) // 25 = q.row_id AND g.slot = q.col % 4
+cte("kdb_own", f"""SELECT q.batch_id, q.row_id, q.col % 4 AS slot, q.score / {TEMPERATURE!r} AS student, t.score AS teacher
+        FROM st_qk q JOIN groups_t g ON CAST(g.query_id AS BIGINT) // 25 = q.batch_id * 4 + q.row_id AND g.slot = q.col % 4
         JOIN tr_flat t ON t.query_id = g.query_id AND t.doc_id = g.doc_id
         WHERE q.col // 4 = q.row_id""", "st_qk", "groups_t", "tr_flat")
-KDB_KL = f"""kl_t AS (
-        SELECT avg(kl) AS kl FROM (SELECT row_id, sum(exp(t) * (t - s)) AS kl FROM (
-            SELECT row_id,
+KDB_KL = """kl_t AS (
+        SELECT avg(kl) AS kl FROM (SELECT batch_id, row_id, sum(exp(t) * (t - s)) AS kl FROM (
+            SELECT batch_id, row_id,
                 teacher - max(teacher) OVER g - ln(sum(exp(teacher - mt)) OVER g) AS t,
                 student - max(student) OVER g - ln(sum(exp(student - ms)) OVER g) AS s
-            FROM (SELECT *, max(teacher) OVER (PARTITION BY row_id) AS mt,
-                            max(student) OVER (PARTITION BY row_id) AS ms FROM kdb_own)
-            WINDOW g AS (PARTITION BY row_id)) GROUP BY row_id))"""
-KDB_CE = f"""ce_t AS (SELECT -avg(lp) AS ce FROM (
-        SELECT col, target, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY row_id)) AS lp FROM (
-            SELECT row_id, col, target, score / {TEMPERATURE!r} AS z,
-                   max(score / {TEMPERATURE!r}) OVER (PARTITION BY row_id) AS m FROM st_qk
-            WHERE NOT (col // 4 = row_id AND col % 4 > 0)))
-        WHERE col = target)"""
+            FROM (SELECT *, max(teacher) OVER (PARTITION BY batch_id, row_id) AS mt,
+                            max(student) OVER (PARTITION BY batch_id, row_id) AS ms FROM kdb_own)
+            WINDOW g AS (PARTITION BY batch_id, row_id)) GROUP BY batch_id, row_id))"""
+KDB_CE = "ce_t AS (SELECT -avg(lp) AS ce FROM (" + log_softmax_at_target(
+    "st_qk", repr(1 / TEMPERATURE), "NOT (col // 4 = row_id AND col % 4 > 0)") + "))"
 ORACLE["kd_kl_loss"] = sql(f"""SELECT round(kl, 9) AS kl, round(ce, 9) AS ce,
     round({KD_CE_WEIGHT!r} * ce + kl, 9) AS loss FROM kl_t, ce_t""", "kdb_own", "st_qk",
                            extra=[KDB_KL, KDB_CE])
@@ -200,4 +207,3 @@ ORACLE["log_softmax"] = sql("SELECT query_id, CAST(slot AS BIGINT) AS slot, roun
                             "kd_lsm")
 ORACLE["eval_means"] = sql("""SELECT round(avg(teacher), 4) AS avg_kd_label, round(avg(student), 4) AS avg_student
     FROM kd_t""", "kd_t")
-_ = (cte_list, LSM)

@@ -20,6 +20,7 @@ ENC_PROB, DEC_PROB = 0.3, 0.5
 EMBED_DIM = 16
 TOP_DOCS, PROMPT_DOCS = 5, 3
 TEMPERATURE = 0.1
+WARMUP_STEPS, WORKERS = 5, 4
 KD_CE_WEIGHT = 0.2
 
 
@@ -146,18 +147,19 @@ def q_running_mean(spark, sf):
     return out.select("epoch", "step", F.round("running_mean", 6).cast("double").alias("running_mean"))
 
 
+def _row_of(query: str):
+    """Batch and row of a query id: four queries a batch, row numbers anew in each."""
+    n = (F.col(query).cast("long") / 25).cast("long")
+    return (n / 4).cast("long").alias("batch_id"), (n % 4).alias("row_id")
+
+
 def _score_table(fx: Fixture, all_pairs: bool) -> DataFrame:
     groups = td.group_doc_ids(_records(fx), 3, 2)
     q, p = _vecs(fx)
     qrows = groups.select(F.col("query_id").cast("long").alias("qid")).distinct() \
-        .join(q.withColumnRenamed("id", "qid"), "qid") \
-        .select((F.col("qid") / 100).cast("long").alias("batch_id"),
-                (F.col("qid") / 25).cast("long").alias("row_id"), "v")
+        .join(q.withColumnRenamed("id", "qid"), "qid").select(*_row_of("qid"), "v")
     keys = groups.join(p.select(F.col("id").cast("string").alias("doc_id"), "v"), "doc_id") \
-        .select((F.col("query_id").cast("long") / 100).cast("long").alias("batch_id"),
-                ((F.col("query_id").cast("long") / 25).cast("long") * 4 + F.col("slot"))
-                .alias("key_id"),
-                (F.col("query_id").cast("long") / 25).cast("long").alias("row_id"), "slot", "v")
+        .select(*_row_of("query_id"), "slot", "v").withColumn("key_id", F.col("row_id") * 4 + F.col("slot"))
     return losses.in_batch_scores(qrows, keys, all_pairs)
 
 
@@ -185,6 +187,15 @@ def q_contrastive_loss_all_pairs(spark, sf):
     return out.select(_r("loss", 9).alias("loss"))
 
 
+@register("contrastive_loss_steps")
+def q_contrastive_loss_steps(spark, sf):
+    """Every batch is a step, in the order of batches; the loss is scaled by the number of workers."""
+    scores = _score_table(Fixture(spark, sf), True)
+    steps = scores.select("batch_id").distinct().select("batch_id", F.col("batch_id").alias("step"))
+    out = losses.contrastive_loss_steps(scores, steps, TEMPERATURE, WARMUP_STEPS, loss_scale=0, workers=WORKERS)
+    return out.select("batch_id", "step", _r("scale", 9).alias("scale"), _r("loss", 9).alias("loss"))
+
+
 def _kd_table(fx: Fixture) -> DataFrame:
     rec = _records(fx)
     groups = td.kd_label_join(td.group_doc_ids(rec, 3, 2), rec)
@@ -200,8 +211,8 @@ def q_kd_kl_loss(spark, sf):
     fx = Fixture(spark, sf)
     rec = _records(fx)
     kd = td.kd_label_join(td.group_doc_ids(rec, 3, 2), rec)
-    teacher = kd.select((F.col("query_id").cast("long") / 25).cast("long").alias("row_id"),
-                        F.col("slot").cast("int").alias("slot"), F.col("kd_label").alias("teacher"))
+    teacher = kd.select(*_row_of("query_id"), F.col("slot").cast("int").alias("slot"),
+                        F.col("kd_label").alias("teacher"))
     out = losses.kd_biencoder_loss(_score_table(fx, False), teacher, TEMPERATURE, KD_CE_WEIGHT,
                                    mask_hard_negatives=True)
     return out.select(_r("kl", 9).alias("kl"), _r("ce", 9).alias("ce"), _r("loss", 9).alias("loss"))
