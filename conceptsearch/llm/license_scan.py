@@ -95,13 +95,15 @@ RULES = (
 #: A licence that another one on the same text includes is not reported.
 INCLUDED = {"BSD-2-Clause": "BSD-3-Clause"}
 
-_END = "[.!?;]+(?=\\s|$)"
-_OTHER = "[^a-z0-9\u0080-\U0010ffff\u0001\n]+"
+# No pattern repeats a group that can give back: such loops recurse once for
+# each turn, and end the executor on a long text.
+_END = "(?<![.!?;])[.!?;]++(?=\\s|$)"
+_OTHER = "[^\\p{L}\\p{M}\\p{N}\u0001\n]+"
 
 
 def normalised(sentence: str) -> str:
     """A sentence of the catalogue, as texts' sentences are normalised."""
-    return re.sub("[^a-z0-9\u0080-\U0010ffff]+", " ", sentence.lower()).strip()
+    return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
 def _slots() -> list[str]:
@@ -125,9 +127,9 @@ def _identifiers(sentences: Column) -> Column:
 _VERBS = "licensed|released|distributed|published|available|made available|provided|covered|offered"
 _NOTICE = (f"^(?:[a-z0-9 ]{{1,60}} (?<!not )(?:is|are) )?(?:(?:free software|open source) )?(?:{_VERBS}) (?:for use )?"
            "under (?:the )?(?:terms of )?(?:the )?(?:conditions of the )?(.+?)$")
-_SPDX_ID = "[A-Za-z0-9]+(?:[.:+-]+[A-Za-z0-9]+)*[+]?"
+_SPDX_ID = "[A-Za-z0-9]++(?:[.:+-]++[A-Za-z0-9]++)*+[+]?"
 _SPDX = ("(?i)SPDX-License-Identifier:[ \\t]*([( \\t]*" + _SPDX_ID
-         + "(?:[) \\t]*[ \\t)](?:and|or|with)[ \\t(][( \\t]*" + _SPDX_ID + ")*)")
+         + "(?:[) \\t]*[ \\t)](?:and|or|with)[ \\t(][( \\t]*" + _SPDX_ID + ")*+)")
 _GNU = ("gnu (lesser |library |affero )?general public license (?:as published by the free software foundation )?(?:either )?"
         "(?:version |v)([0-9])(?: ([0-9])(?![0-9]))?(?: of the license)?(?: as published by the free software foundation)?"
         "( or at your option any later version| or later)?")
@@ -172,10 +174,14 @@ def _spdx_names(text: Column) -> Column:
         F.when(F.lower(x["full"]).endswith("-or-later"), "-or-later").otherwise("")))
 
 
-def rule_pattern(sequence: tuple[str, ...]) -> str:
-    """What finds a rule in ``,number,number,``."""
-    numbers = [str(list(SENTENCES).index(s) + 1) for s in sequence]
-    return f",{',([0-9]+,)*'.join(numbers)},"
+def _matches(ids: Column, sequence: tuple[str, ...]) -> Column:
+    """Whether the rule's identifiers come in their order: one pass that waits
+    for the next of them."""
+    numbers = [list(SENTENCES).index(s) + 1 for s in sequence]
+    if len(numbers) == 1:
+        return F.array_contains(ids, numbers[0])
+    wanted = F.array(*map(F.lit, numbers))
+    return F.aggregate(ids, F.lit(0), lambda k, x: F.when(F.get(wanted, k) == x, k + 1).otherwise(k)) == len(numbers)
 
 
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -191,10 +197,9 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]
     out = out.withColumns({by_line: F.transform(F.split(F.col(flat), "[\n\u0001]"), lambda s: F.trim(s)),
                            by_wrap: F.transform(F.split(wrapped, "\u0001"), lambda s: F.trim(s))})
     out = out.withColumns({names["sentence_ids"]: _identifiers(F.col(by_line)), names["wrapped_ids"]: _identifiers(F.col(by_wrap))})
-    readings = [F.concat(F.lit(","), F.array_join(F.col(names[k]).cast("array<string>"), ","), F.lit(","))
-                for k in ("sentence_ids", "wrapped_ids")]
+    readings = [F.col(names[k]) for k in ("sentence_ids", "wrapped_ids")]
     matched = F.array_compact(F.array(*(
-        F.when(readings[0].rlike(rule_pattern(seq)) | readings[1].rlike(rule_pattern(seq)), F.lit(name)) for name, seq in RULES)))
+        F.when(_matches(readings[0], seq) | _matches(readings[1], seq), F.lit(name)) for name, seq in RULES)))
     plain = F.regexp_replace(F.col(flat), "[ \n\u0001]+", " ")
     none = F.array().cast("array<string>")
     raw = F.coalesce(F.col(text), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conceptsearch.llm.license_scan import INCLUDED, RULES, SENTENCES, normalised, rule_pattern
+from conceptsearch.llm.license_scan import INCLUDED, RULES, SENTENCES, normalised
 from conceptsearch.llm.secret_scan import RULES as SECRET_RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -89,11 +89,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source"""
 
 
+def _rule_pattern(sequence: tuple[str, ...]) -> str:
+    """What finds a rule in ``,number,number,``."""
+    numbers = [str(list(SENTENCES).index(s) + 1) for s in sequence]
+    return f",{',([0-9]+,)*'.join(numbers)},"
+
+
 def _licenses() -> str:
     """The reading by lines and the one that takes line ends as spaces."""
     known = ", ".join(_quoted(normalised(s)) for s in SENTENCES.values())
     rules = ", ".join(
-        f"CASE WHEN regexp_matches(a, '{rule_pattern(seq)}') OR regexp_matches(b, '{rule_pattern(seq)}') THEN '{name}' END"
+        f"CASE WHEN regexp_matches(a, '{_rule_pattern(seq)}') OR regexp_matches(b, '{_rule_pattern(seq)}') THEN '{name}' END"
         for name, seq in RULES)
     dropped = " AND ".join(f"NOT (x = '{less}' AND list_contains(found, '{more}'))" for less, more in INCLUDED.items())
 
@@ -101,7 +107,7 @@ def _licenses() -> str:
         return f"""list_filter(list_transform(string_split_regex({text}, '{ends}'),
                lambda s: list_position(known, trim(s))), lambda k: k > 0)"""
 
-    other = r"[^a-z0-9\x{80}-\x{10FFFF}\x01\n]+"
+    other = r"[^\p{L}\p{M}\p{N}\x01\n]+"
     paragraphs = "regexp_replace(t, '\\n *\\n', chr(1), 'g')"
     return f"""
 WITH marked AS (
