@@ -57,6 +57,8 @@ CHUNK_BYTES = 6 << 20
 BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 32
 FAN = 256
 SAMPLE_BYTES = 32 << 20
+#: Parts of a language that are ranked apart before they are ranked together.
+PARTS = 32
 #: Pairs with this share of the sample's suffixes are dealt by three words.
 HEAVY = 1000
 
@@ -398,7 +400,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     long = long.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
                        F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"),
                        F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (short.unionByName(long).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # the first of each part, then the first of these: a language is spread over PARTS tasks
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part")
+    best = (short.unionByName(long).select("*", part)
+            .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+            .filter(F.col("rank") <= top).drop("part", "rank"))
+    ranked = (best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+              .filter(F.col("rank") <= top))
     totals = kind(LANG).groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
