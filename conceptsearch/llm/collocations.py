@@ -53,7 +53,7 @@ TOP = 2000
 #: A phrase is dropped if a longer one has at least so many hundredths of its occurrences.
 SHARE = 50
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 32
 FAN = 256
 SAMPLE_BYTES = 32 << 20
