@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptsearch.operators.numbering import number_rows
 from conceptsearch.functions.scalar import (BM25_B, BM25_K1, BM25_K2, SPARSE_TOP_K,
                                             query_saturation)
 from conceptsearch.operators.index import ConceptIndex, scored_postings
@@ -206,19 +207,16 @@ def rank_unbounded(scores: DataFrame, qid_col: str = "qid", pid_col: str = "pid"
     """rank every candidate of every query (score desc, id asc) without a
     cut, spread over the cluster however many candidates one query has.
 
-    A global sort range-partitions on (qid, score desc, pid), so one query's
-    candidates span many partitions; ``zipWithIndex`` numbers the sorted rows
-    (one small job counts the partitions); a query's rank is its row index
-    minus the index of its first row (a per-query minimum, partially
-    aggregated).  No window ever holds a whole query."""
-    spark = scores.sparkSession
-    ordered = scores.select(qid_col, pid_col, score_col) \
-                    .orderBy(F.col(qid_col), F.desc(score_col), F.asc(pid_col))
-    schema = ordered.schema.add("idx", "long")
-    indexed = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), schema)
-    first = indexed.groupBy(qid_col).agg(F.min("idx").alias("first_idx"))
-    return indexed.join(first, qid_col).select(
-        qid_col, pid_col, (F.col("idx") - F.col("first_idx") + 1).alias("rank"), score_col)
+    Rows are numbered in the order (qid, score desc, pid) by ``number_rows``,
+    so one query's candidates span many partitions; a query's rank is its
+    row's place minus that of its first row (a per-query minimum, partially
+    aggregated).  No window ever holds a whole query.  The result has a row a
+    pair: where a depth is enough, ``dense_search`` with k keeps k a query."""
+    placed = number_rows(scores.select(qid_col, pid_col, score_col),
+                         [F.col(qid_col).asc(), F.col(score_col).desc(), F.col(pid_col).asc()], "_at")
+    first = placed.groupBy(qid_col).agg(F.min("_at").alias("_first"))
+    return placed.join(first, qid_col).select(
+        qid_col, pid_col, (F.col("_at") - F.col("_first") + 1).alias("rank"), score_col)
 
 
 def topk_merge(partials: DataFrame, k: int, qid_col: str = "qid", pid_col: str = "pid",

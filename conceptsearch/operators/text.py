@@ -11,6 +11,8 @@ position, identical in Spark and SQL and stable across task retries.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conceptsearch.functions.scalar import WHITESPACE
+from conceptsearch.operators.numbering import number_rows
+from conceptsearch.session import scratch_path
 
 # Special tokens and model input lengths.
 CLS, SEP, MASK = "[CLS]", "[SEP]", "[MASK]"
@@ -183,7 +187,7 @@ def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
         return toks[i].isin(CLS, SEP)
 
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    first_ns = F.element_at(F.filter(idx, lambda i: ~special(i)), 1)
+    first_ns = F.get(F.filter(idx, lambda i: ~special(i)), 0)      # null in a text without words
     heads = F.filter(idx, lambda i: (~special(i)) & (~toks[i].startswith("##")))
     starts = F.array_sort(F.array_distinct(F.concat(
         heads, F.when(first_ns.isNotNull(), F.array(first_ns)).otherwise(F.array().cast("array<int>")))))
@@ -209,36 +213,102 @@ def explode_mask(masked: DataFrame, mask_col: str = "mask") -> DataFrame:
         F.col("p.m").alias("masked"))
 
 
-def mask_tokens(masked: DataFrame, seed: int = 42, all_use_mask_token: bool = False) -> DataFrame:
-    """Masked positions become ``[MASK]`` (80 %), a random token of the
-    same document (10 %) or stay (10 %); labels keep the original token on
-    masked positions and are null (the reference's -100) elsewhere.
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """The distinct tokens of all documents with dense ids from 0 on, in the
+    order of the tokens: ``(token_id, token, n)``.  Counts are combined before
+    they move; ids come from ``number_rows``, so no task holds the vocabulary.
+    Input ``(doc_id, toks)``."""
+    counts = tokens.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return number_rows(counts, [F.col("token").asc()], "token_id").select("token_id", "token", "n")
 
-    Array functions on each document row (JVM side, no shuffle).
-    Input ``(doc_id, toks, mask)``; output adds ``inputs`` and ``labels``."""
-    doc = F.col("doc_id").cast("string")
-    n = F.size("toks")
 
-    def key(tag: str, i):
-        return F.concat_ws(":", F.lit(str(seed)), F.lit(tag), doc, i.cast("string"))
+def _hash_key(seed: int, tag: str, i) -> Column:
+    return F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("doc_id").cast("string"), i.cast("string"))
+
+
+def _uniform(seed: int, tag: str, i) -> Column:
+    return F.conv(F.substring(F.md5(_hash_key(seed, tag, i)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def _hash_number(seed: int, tag: str, i, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(_hash_key(seed, tag, i)), 1, digits), 16, 10).cast("long")
+
+
+def _label(mask_col: str) -> Column:
+    return F.transform("toks", lambda t, i: F.when(F.col(mask_col)[i] == 1, t))
+
 
-    def u01(tag: str, i):
-        return F.conv(F.substring(F.md5(key(tag, i)), 1, 8), 16, 10).cast("double") / \
-            F.lit(4294967296.0)
+def mask_tokens(masked: DataFrame, seed: int = 42, all_use_mask_token: bool = False,
+                vocab: DataFrame | None = None, mask_col: str = "mask", prefix: str = "") -> DataFrame:
+    """Masked positions become ``[MASK]`` (80 %), a random token (10 %)
+    or stay (10 %); labels keep the original token on masked positions and
+    are null (the reference's -100) elsewhere.
 
-    def pick(i):
-        return F.pmod(F.conv(F.substring(F.md5(key("p", i)), 1, 8), 16, 10).cast("long"), n)
+    The random token is one of ``vocab`` (``vocabulary``), each with the same
+    chance; without it, one of the same document, which needs no shuffle.
+    Input ``(doc_id, toks, mask)``; output adds ``inputs`` and ``labels``
+    (with ``prefix``).  With ``vocab`` the positions to replace, about one in
+    a hundred tokens at a mask rate of 15 %, meet the vocabulary by hashed id
+    and their documents by doc_id; documents are written once before."""
+    inputs, labels = f"{prefix}inputs", f"{prefix}labels"
+    if all_use_mask_token:
+        keep = F.transform("toks", lambda t, i: F.when(F.col(mask_col)[i] == 1, F.lit(MASK)).otherwise(t))
+        return masked.withColumn(inputs, keep).withColumn(labels, _label(mask_col))
+    if vocab is not None:
+        return _mask_from_vocabulary(masked, seed, vocab, mask_col, inputs, labels)
 
     def replace(t, i):
-        m = F.col("mask")[i] == 1
-        if all_use_mask_token:
-            return F.when(m, F.lit(MASK)).otherwise(t)
-        return (F.when(m & (u01("r", i) < 0.8), F.lit(MASK))
-                 .when(m & (u01("x", i) < 0.5), F.col("toks")[pick(i)])
+        m = F.col(mask_col)[i] == 1
+        return (F.when(m & (_uniform(seed, "r", i) < 0.8), F.lit(MASK))
+                 .when(m & (_uniform(seed, "x", i) < 0.5), F.col("toks")[F.pmod(_hash_number(seed, "p", i, 8), F.size("toks"))])
                  .otherwise(t))
 
-    return masked.withColumn("inputs", F.transform("toks", replace)) \
-                 .withColumn("labels", F.transform("toks", lambda t, i: F.when(F.col("mask")[i] == 1, t)))
+    return masked.withColumn(inputs, F.transform("toks", replace)).withColumn(labels, _label(mask_col))
+
+
+def _mask_from_vocabulary(masked: DataFrame, seed: int, vocab: DataFrame, mask_col: str,
+                          inputs: str, labels: str) -> DataFrame:
+    spark = masked.sparkSession
+    n = F.size("toks")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    drawn = F.filter(at, lambda i: (F.col(mask_col)[i] == 1) & (_uniform(seed, "r", i) >= 0.8)
+                     & (_uniform(seed, "x", i) < 0.5))
+    path = scratch_path(spark, f"masked-{uuid.uuid4().hex}")
+    masked.withColumn("_drawn", drawn).write.parquet(path)
+    rows = spark.read.parquet(path)
+    size = vocab.count()
+    picks = (rows.select("doc_id", F.explode("_drawn").alias("pos")).distinct()
+                 .withColumn("token_id", F.pmod(_hash_number(seed, "p", F.col("pos"), 15), F.lit(max(size, 1)))))
+    # by document: bounded by its own row, which holds all its tokens
+    found = (picks.join(vocab.select("token_id", "token"), "token_id")
+                  .groupBy(F.col("doc_id").alias("_doc"))
+                  .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_found")))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]), "left")
+
+    def replace(t, i):
+        m = F.col(mask_col)[i] == 1
+        return (F.when(m & (_uniform(seed, "r", i) < 0.8), F.lit(MASK))
+                 .when(F.array_contains("_drawn", i), F.try_element_at("_found", i)).otherwise(t))
+
+    return out.withColumn(inputs, F.transform("toks", replace)).withColumn(labels, _label(mask_col)) \
+              .drop("_drawn", "_doc", "_found")
+
+
+def clean_labels(toks: str = "toks") -> Column:
+    """The tokens as labels of their own, whatever is masked; special
+    tokens have none (null, the reference's -100)."""
+    return F.transform(toks, lambda t: F.when(~t.isin(CLS, SEP, MASK), t))
+
+
+def dual_mask_inputs(dual: DataFrame, seed: int = 42, vocab: DataFrame | None = None,
+                     all_use_mask_token: bool = False) -> DataFrame:
+    """H13 on both masks of H14: encoder and decoder inputs with labels of
+    their own (replacements are drawn independently), and the clean labels.
+    Input ``dual_mask``'s output; adds ``enc_inputs, enc_labels, dec_inputs,
+    dec_labels, labels``."""
+    enc = mask_tokens(dual, seed, all_use_mask_token, vocab, "enc", "enc_")
+    both = mask_tokens(enc, seed + 1, all_use_mask_token, vocab, "dec", "dec_")
+    return both.withColumn("labels", clean_labels())
 
 
 def explode_masked_tokens(df: DataFrame) -> DataFrame:

@@ -72,6 +72,39 @@ ORACLE["dual_mask"] = sql("""SELECT e.doc_id, e.pos, e.masked AS enc_masked,
     WHERE greatest(e.masked, d.masked) = 1""", "tokens",
                           extra=wwm_ctes("e_", ENC_PROB, 42) + wwm_ctes("d_", EXTRA, 43))
 
+cte("vocab", """SELECT row_number() OVER (ORDER BY token) - 1 AS token_id, token, n
+        FROM (SELECT token, count(*) AS n FROM tokens GROUP BY token)""", "tokens")
+
+
+def replaced(p: str, mask: str, seed: int) -> list[str]:
+    """Masked tokens with replacements from the vocabulary; ``{p}out`` is the result."""
+    def u(tag: str) -> str:
+        return f"""CAST({HEX8.format(x=f"'{seed}:{tag}:' || doc_id || ':' || pos")} AS DOUBLE) / 4294967296.0"""
+
+    return [f"""{p}dr AS (SELECT doc_id, pos, token, masked, {u("r")} AS u_r, {u("x")} AS u_x,
+        CAST('0x' || substr(md5('{seed}:p:' || doc_id || ':' || pos), 1, 15) AS BIGINT)
+            % (SELECT count(*) FROM vocab) AS pick FROM {mask})""",
+            f"""{p}out AS (SELECT d.doc_id, d.pos, d.token,
+        CASE WHEN d.masked = 1 AND d.u_r < 0.8 THEN '[MASK]'
+             WHEN d.masked = 1 AND d.u_x < 0.5 THEN v.token ELSE d.token END AS input_token,
+        CASE WHEN d.masked = 1 THEN d.token END AS label
+        FROM {p}dr d LEFT JOIN vocab v ON v.token_id = d.pick)"""]
+
+
+ORACLE["vocabulary"] = sql("SELECT token_id, token, n FROM vocab", "vocab")
+ORACLE["mask_tokens_vocabulary"] = sql(
+    "SELECT doc_id, pos, input_token, label FROM v_out WHERE label IS NOT NULL", "vocab",
+    extra=wwm_ctes("w1_", MLM_PROB, 42) + replaced("v_", "w1_mask", 42))
+ORACLE["dual_mask_inputs"] = sql("""SELECT e.doc_id, e.pos, e.input_token AS enc_inputs, e.label AS enc_labels,
+        d.input_token AS dec_inputs, d.label AS dec_labels,
+        CASE WHEN e.token NOT IN ('[CLS]', '[SEP]', '[MASK]') THEN e.token END AS labels
+    FROM ei_out e JOIN di_out d ON d.doc_id = e.doc_id AND d.pos = e.pos
+    WHERE d.label IS NOT NULL OR e.token IN ('[CLS]', '[SEP]', '[MASK]')""", "vocab",
+                                 extra=wwm_ctes("e_", ENC_PROB, 42) + wwm_ctes("d_", EXTRA, 43) + [
+    """both_mask AS (SELECT e.doc_id, e.pos, e.token, greatest(e.masked, d.masked) AS masked
+        FROM e_mask e JOIN d_mask d ON d.doc_id = e.doc_id AND d.pos = e.pos)""",
+    *replaced("ei_", "e_mask", 42), *replaced("di_", "both_mask", 43)])
+
 SIGN = ("CASE WHEN CAST(('0x' || substr(md5({x}), 9, 1)) AS INTEGER) % 2 = 0 "
         "THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END")
 ORACLE["embed_batch"] = sql(f"""SELECT d.doc_id, CAST(r.dim AS BIGINT) AS dim,

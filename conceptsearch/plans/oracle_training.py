@@ -53,7 +53,7 @@ ORACLE["topk_merge"] = sql("""SELECT qid, pid, "rank", round(score, 6) AS score
 ORACLE["rank_all"] = sql("""SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid)
     AS "rank", round(score, 6) AS score FROM dense_all""", "dense_all")
 ORACLE["dense_rank_on_save"] = sql("""SELECT qid, pid, row_number() OVER (PARTITION BY qid
-    ORDER BY score DESC, pid) AS "rank" FROM dense_run WHERE pid % 2 = 1""", "dense_run")
+    ORDER BY score DESC, pid) AS "rank" FROM dense_run""", "dense_run")
 ORACLE["truncate_run"] = sql("""SELECT qid, pid, score FROM (SELECT *, row_number() OVER
     (PARTITION BY qid ORDER BY score DESC, rnk) AS c FROM run3) WHERE c <= 10""", "run3")
 ORACLE["sort_queries"] = sql("""SELECT CAST(qid AS VARCHAR) AS qid_text,

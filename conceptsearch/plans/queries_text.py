@@ -44,6 +44,33 @@ def q_mask_tokens(spark, sf):
     return out.filter(F.col("label").isNotNull()).select("doc_id", "pos", "input_token", "label")
 
 
+@register("vocabulary")
+def q_vocabulary(spark, sf):
+    return text.vocabulary(text.token_arrays(Fixture(spark, sf).table("documents")))
+
+
+@register("mask_tokens_vocabulary")
+def q_mask_tokens_vocabulary(spark, sf):
+    """Random tokens come from the whole corpus."""
+    tokens = text.token_arrays(Fixture(spark, sf).table("documents"))
+    wwm = text.whole_word_mask(tokens, MLM_PROB, 42)
+    out = text.explode_masked_tokens(text.mask_tokens(wwm, 42, vocab=text.vocabulary(tokens)))
+    return out.filter(F.col("label").isNotNull()).select("doc_id", "pos", "input_token", "label")
+
+
+@register("dual_mask_inputs")
+def q_dual_mask_inputs(spark, sf):
+    """Both tracks' inputs where the decoder's mask is set, and where a label is missing."""
+    tokens = text.token_arrays(Fixture(spark, sf).table("documents"))
+    dual = text.dual_mask(tokens, ENC_PROB, DEC_PROB, 42)
+    out = text.dual_mask_inputs(dual, 42, text.vocabulary(tokens))
+    z = F.arrays_zip(*(F.col(c) for c in ("enc_inputs", "enc_labels", "dec_inputs", "dec_labels", "labels")))
+    rows = out.select("doc_id", F.posexplode(z).alias("pos", "p"))
+    return rows.filter("p.dec_labels IS NOT NULL OR p.labels IS NULL").select(
+        "doc_id", F.col("pos").cast("long").alias("pos"), *(f"p.{c}" for c in (
+            "enc_inputs", "enc_labels", "dec_inputs", "dec_labels", "labels")))
+
+
 @register("dual_mask")
 def q_dual_mask(spark, sf):
     out = text.dual_mask(text.token_arrays(Fixture(spark, sf).table("documents")),

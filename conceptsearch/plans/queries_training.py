@@ -9,6 +9,7 @@ from conceptsearch.functions.scalar import (dot, l2_normalize, parse_shard_name,
                                             reciprocal_rank_score)
 from conceptsearch.operators import metrics, sae, text, training_data as td
 from conceptsearch.operators.embed import cosine_scorer, pair_score
+from conceptsearch.operators.numbering import number_rows
 from conceptsearch.operators.search import dense_grid, dense_search, rank_within, topk_merge
 from conceptsearch.plans.fixtures import THETA, Fixture
 from conceptsearch.plans.registry import _r, _sparse_run3, register
@@ -40,9 +41,9 @@ def q_rank_all(spark, sf):
 
 @register("dense_rank_on_save")
 def q_dense_rank_on_save(spark, sf):
-    kept = _dense(Fixture(spark, sf)).filter(F.col("pid") % 2 == 1)
-    return rank_within(kept.drop("rank").withColumnRenamed("score", "s"), ["qid"],
-                       [F.desc("s"), F.asc("pid")], None).select("qid", "pid", "rank")
+    """Ranks as they are saved: every candidate's, in the order of its score."""
+    found = _dense(Fixture(spark, sf)).select("qid", "pid", F.col("score").alias("s"))
+    return rank_within(found, ["qid"], [F.desc("s"), F.asc("pid")], None).select("qid", "pid", "rank")
 
 
 @register("truncate_run")
@@ -53,10 +54,8 @@ def q_truncate_run(spark, sf):
 
 @register("sort_queries")
 def q_sort_queries(spark, sf):
-    ordered = Fixture(spark, sf).queries().select(F.col("qid").cast("string").alias("qid_text")) \
-        .orderBy("qid_text")
-    indexed = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-    return indexed.toDF("qid_text string, position long")
+    ids = Fixture(spark, sf).queries().select(F.col("qid").cast("string").alias("qid_text"))
+    return number_rows(ids, [F.col("qid_text").asc()])
 
 
 @register("rank_cut")
