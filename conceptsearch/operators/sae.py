@@ -4,8 +4,11 @@ The model is two weight matrices and a pre-bias: ``w_enc`` (m x d),
 ``w_dec`` (d x m) and ``bias_pre`` (d).  Its size is fixed by the model
 (latents x input width), not by the data, so it is broadcast once behind an
 explicit size check.  Vector arithmetic runs as NumPy GEMM inside
-``mapInPandas``/``applyInPandas`` on Arrow batches; the relational parts
-(masks, ranks, joins, aggregates) are DataFrame operations.
+``mapInArrow``/``applyInPandas`` on Arrow batches, cut into pieces whose
+rows x latents matrix stays under ``PIECE_CELLS``: at 24 576 latents a piece
+is 325 rows, 64 MB a matrix, and the encoders hold about five (the shifted
+rows, z, its mask and a partial sort).  The relational parts (masks, ranks,
+joins, aggregates) are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,8 +142,8 @@ def _pre(x: np.ndarray, w_enc: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return (x - bias) @ w_enc.T
 
 
-def _codes_frame(ids: np.ndarray, mask_rows: list, values: list) -> pd.DataFrame:
-    return pd.DataFrame({"id": ids.astype(np.int64), "ids": mask_rows, "weight": values})
+# Cells of the largest rows x latents matrix (64 MB of doubles) of one piece.
+PIECE_CELLS = 8_000_000
 
 
 def _input(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -146,23 +151,51 @@ def _input(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                           F.col(vec_col).cast("array<double>").alias("v"))
 
 
-def pre_activations(vectors: DataFrame, model: SaeModel, id_col: str = "id",
-                    vec_col: str = "v") -> DataFrame:
-    """z = (x - bias_pre) W_enc^T, one row per (id, latent)."""
+def _arrow_matrix(column: pa.Array, d: int) -> np.ndarray:
+    """The rows of an Arrow list column, all of width d, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """An Arrow list column: so many of the values for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
+
+
+def _map_pieces(vectors: DataFrame, model: SaeModel, id_col: str, vec_col: str, fn, schema, width: int | None = None) -> DataFrame:
+    """Map-only over vectors: ``fn(ids, x, (w_enc, w_dec, bias))`` gives the
+    Arrow columns for pieces of rows whose matrix of ``width`` (default: all
+    latents) stays under PIECE_CELLS, however many rows a batch has."""
     bc = model.broadcast(vectors.sparkSession)
     d = model.dim
+    rows = max(1, PIECE_CELLS // max(model.n_latents if width is None else width, d, 1))
+    names = [f.name for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]
 
     def run(batches):
-        w_enc, _, bias = bc.value
-        m = w_enc.shape[0]
-        for pdf in batches:
-            x = _matrix(pdf["v"], d)
-            z = _pre(x, w_enc, bias)
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), m),
-                                "latent": np.tile(np.arange(m, dtype=np.int64), len(pdf)),
-                                "z": z.ravel()})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                piece = batch.slice(lo, rows)
+                ids = piece.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(fn(ids, _arrow_matrix(piece.column(1), d), bc.value), names)
+
+    return _input(vectors, id_col, vec_col).mapInArrow(run, schema)
+
+
+def pre_activations(vectors: DataFrame, model: SaeModel, id_col: str = "id",
+                    vec_col: str = "v") -> DataFrame:
+    """z = (x - bias_pre) W_enc^T, one row per (id, latent).  The result
+    is rows x latents by definition; the encoders never make these rows."""
+    def piece(ids, x, weights):
+        z = _pre(x, weights[0], weights[2])
+        n, m = z.shape
+        return [pa.array(np.repeat(ids, m)), pa.array(np.tile(np.arange(m), n)), pa.array(z.ravel())]
+
+    return _map_pieces(vectors, model, id_col, vec_col, piece, "id long, latent long, z double")
 
-    return _input(vectors, id_col, vec_col).mapInPandas(run, "id long, latent long, z double")
+
+def _masked_codes(ids: np.ndarray, z: np.ndarray, mask: np.ndarray) -> list[pa.Array]:
+    """Codes of the marked entries, latents ascending."""
+    counts = mask.sum(axis=1)
+    return [pa.array(ids), _lists(counts, np.nonzero(mask)[1]), _lists(counts, z[mask])]
 
 
 def encode_threshold(vectors: DataFrame, model: SaeModel, theta: float,
@@ -172,53 +205,39 @@ def encode_threshold(vectors: DataFrame, model: SaeModel, theta: float,
     Output ``(id, ids array<long>, weight array<double>)``, one row per input
     vector, so empty codes still count as documents downstream.
     """
-    bc = model.broadcast(vectors.sparkSession)
-    d = model.dim
-
-    def run(batches):
-        w_enc, _, bias = bc.value
-        for pdf in batches:
-            z = _pre(_matrix(pdf["v"], d), w_enc, bias)
-            mask = z > theta
-            id_lists, w_lists = [], []
-            for r in range(z.shape[0]):
-                cols = np.flatnonzero(mask[r])
-                id_lists.append(cols.astype(np.int64))
-                w_lists.append(z[r, cols])
-            yield _codes_frame(pdf["id"].to_numpy(), id_lists, w_lists)
+    def piece(ids, x, weights):
+        z = _pre(x, weights[0], weights[2])
+        return _masked_codes(ids, z, z > theta)
 
-    return _input(vectors, id_col, vec_col).mapInPandas(run, CODE_SCHEMA)
+    return _map_pieces(vectors, model, id_col, vec_col, piece, CODE_SCHEMA)
 
 
-def _select_k(z: np.ndarray, k: int, largest: bool):
-    id_lists, w_lists = [], []
-    m = z.shape[1]
+def _top(z: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest entries in their order; of equal
+    entries the first columns.  A partial selection: only k a row are sorted."""
+    n, m = z.shape
     k = min(k, m)
-    for r in range(z.shape[0]):
-        row = z[r]
-        key = -row if largest else row
-        # stable order on (value, latent id): lexsort sorts by last key first
-        order = np.lexsort((np.arange(m), key))[:k]
-        id_lists.append(order.astype(np.int64))
-        w_lists.append(row[order])
-    return id_lists, w_lists
+    if n == 0 or k == 0:
+        return np.zeros((n, k), np.int64)
+    cut = -np.partition(-z, k - 1, axis=1)[:, k - 1:k]
+    above, equal = z > cut, z == cut
+    equal &= np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)
+    columns = np.nonzero(above | equal)[1].reshape(n, k)
+    order = np.argsort(-np.take_along_axis(z, columns, 1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, 1)
 
 
 def encode_topk(vectors: DataFrame, model: SaeModel, k: int, id_col: str = "id",
                 vec_col: str = "v", largest: bool = True) -> DataFrame:
     """E3 (largest) / E4 (smallest): the k extreme pre-activations of each row,
     in score order, no sign filter.  Ties broken by latent id."""
-    bc = model.broadcast(vectors.sparkSession)
-    d = model.dim
-
-    def run(batches):
-        w_enc, _, bias = bc.value
-        for pdf in batches:
-            z = _pre(_matrix(pdf["v"], d), w_enc, bias)
-            id_lists, w_lists = _select_k(z, k, largest)
-            yield _codes_frame(pdf["id"].to_numpy(), id_lists, w_lists)
+    def piece(ids, x, weights):
+        z = _pre(x, weights[0], weights[2])
+        columns = _top(z if largest else -z, k)
+        counts = np.full(len(ids), columns.shape[1])
+        return [pa.array(ids), _lists(counts, columns.ravel()), _lists(counts, np.take_along_axis(z, columns, 1).ravel())]
 
-    return _input(vectors, id_col, vec_col).mapInPandas(run, CODE_SCHEMA)
+    return _map_pieces(vectors, model, id_col, vec_col, piece, CODE_SCHEMA)
 
 
 def encode_bottomk(vectors: DataFrame, model: SaeModel, k: int, id_col: str = "id",
@@ -227,31 +246,41 @@ def encode_bottomk(vectors: DataFrame, model: SaeModel, k: int, id_col: str = "i
     return encode_topk(vectors, model, k, id_col, vec_col, largest=False)
 
 
+MARKED_CODE_SCHEMA = T.StructType([*CODE_SCHEMA.fields, T.StructField("n_above", T.IntegerType())])
+
+
 def encode_min_active(vectors: DataFrame, model: SaeModel, theta: float, min_active: int,
                       id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """E5: latents above theta (ascending id), topped up per row with the next
-    largest pre-activations until ``min_active`` entries exist."""
-    bc = model.broadcast(vectors.sparkSession)
-    d = model.dim
-
-    def run(batches):
-        w_enc, _, bias = bc.value
-        for pdf in batches:
-            z = _pre(_matrix(pdf["v"], d), w_enc, bias)
-            m = z.shape[1]
-            id_lists, w_lists = [], []
-            for r in range(z.shape[0]):
-                row = z[r]
-                chosen = np.flatnonzero(row > theta)
-                if len(chosen) < min_active:
-                    order = np.lexsort((np.arange(m), -row))
-                    extra = order[~np.isin(order, chosen)][: min_active - len(chosen)]
-                    chosen = np.concatenate([chosen, extra])
-                id_lists.append(chosen.astype(np.int64))
-                w_lists.append(row[chosen])
-            yield _codes_frame(pdf["id"].to_numpy(), id_lists, w_lists)
-
-    return _input(vectors, id_col, vec_col).mapInPandas(run, CODE_SCHEMA)
+    largest pre-activations until ``min_active`` entries exist.
+
+    The first ``n_above`` entries of a row are those above theta, the others
+    are top-ups: they count as codes, but the reconstruction leaves them out
+    (``threshold_part``)."""
+    def piece(ids, x, weights):
+        z = _pre(x, weights[0], weights[2])
+        mask = z > theta
+        above = mask.sum(axis=1)
+        short = np.flatnonzero(above < min(min_active, z.shape[1]))
+        top = _top(z[short], min_active)                       # its first are those above theta
+        extra = np.arange(top.shape[1]) >= above[short, None]
+        counts = above.copy()
+        counts[short] += extra.sum(axis=1)
+        start = np.cumsum(counts) - counts
+        columns = np.zeros(int(counts.sum()), np.int64)
+        row, column = np.nonzero(mask)
+        columns[start[row] + np.arange(len(row)) - (np.cumsum(above) - above)[row]] = column
+        row, place = np.nonzero(extra)
+        columns[start[short[row]] + place] = top[row, place]
+        values = z[np.repeat(np.arange(len(ids)), counts), columns]
+        return [pa.array(ids), _lists(counts, columns), _lists(counts, values), pa.array(above, pa.int32())]
+
+    return _map_pieces(vectors, model, id_col, vec_col, piece, MARKED_CODE_SCHEMA)
+
+
+def threshold_part(codes: DataFrame) -> DataFrame:
+    """The codes above theta of ``encode_min_active``: what its reconstruction uses."""
+    return codes.withColumns({c: F.slice(c, F.lit(1), F.col("n_above")) for c in ("ids", "weight")}).drop("n_above")
 
 
 def explode_codes(codes: DataFrame, id_col: str = "id", keep_pos: bool = False) -> DataFrame:
@@ -275,24 +304,67 @@ def nest_codes(exploded: DataFrame, id_col: str = "id", order_col: str = "latent
                     .select(id_col, F.col("p.latent").alias("ids"), F.col("p.w").alias("weight")))
 
 
+def _decode(counts: np.ndarray, latents: np.ndarray, weights: np.ndarray, atoms: np.ndarray) -> np.ndarray:
+    """Sums of weighted decoder directions for rows of so many entries each,
+    in pieces whose directions stay under PIECE_CELLS."""
+    out = np.zeros((len(counts), atoms.shape[1]))
+    ends, row = np.cumsum(counts), 0
+    most = max(1, PIECE_CELLS // max(atoms.shape[1], 1))
+    while row < len(counts):
+        first = ends[row] - counts[row]
+        last = max(row + 1, int(np.searchsorted(ends, first + most, "right")))
+        some = np.flatnonzero(counts[row:last])
+        if len(some):
+            own = slice(first, ends[last - 1])
+            starts = (ends - counts)[row:last][some] - first
+            out[row + some] = np.add.reduceat(atoms[latents[own]] * weights[own, None], starts, axis=0)
+        row = last
+    return out
+
+
 def reconstruct(codes: DataFrame, model: SaeModel, id_col: str = "id",
                 with_bias: bool = True) -> DataFrame:
-    """Z W_dec^T (+ bias_pre) from sparse codes ``(id, ids, weight)``."""
+    """Z W_dec^T (+ bias_pre) from sparse codes ``(id, ids, weight)``.
+    Codes of ``encode_min_active`` are decoded from their part above theta."""
+    if "n_above" in codes.columns:
+        codes = threshold_part(codes)
     bc = model.broadcast(codes.sparkSession)
 
     def run(batches):
         _, w_dec, bias = bc.value
-        for pdf in batches:
-            out = []
-            for ids, ws in zip(pdf["ids"], pdf["weight"]):
-                ids = np.asarray(ids, dtype=np.int64)
-                ws = np.asarray(ws, dtype=np.float64)
-                v = w_dec[:, ids] @ ws if len(ids) else np.zeros(w_dec.shape[0])
-                out.append(v + bias if with_bias else v)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(np.int64), "v": out})
+        atoms = np.ascontiguousarray(w_dec.T)
+        for batch in batches:
+            counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = _decode(counts, batch.column(1).flatten().to_numpy(zero_copy_only=False),
+                        batch.column(2).flatten().to_numpy(zero_copy_only=False), atoms)
+            v = v + bias if with_bias else v
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.full(len(v), v.shape[1]), v.ravel())], ["id", "v"])
 
     return (codes.select(F.col(id_col).cast("long").alias("id"), "ids", "weight")
-                 .mapInPandas(run, "id long, v array<double>"))
+                 .mapInArrow(run, "id long, v array<double>"))
+
+
+def _batch_kept(x: np.ndarray, w_enc: np.ndarray, bias: np.ndarray, keep_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of the ``keep_n`` largest pre-activations of a batch, in
+    the order of places (row * latents + latent); of equal ones the first.
+    Pieces of rows are selected one after another, so no more than a piece
+    and twice what is kept is held."""
+    m = max(len(w_enc), 1)
+    step = max(1, PIECE_CELLS // m)
+    places, values = np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, len(x), step):
+        z = _pre(x[lo:lo + step], w_enc, bias).ravel()
+        at = np.arange(z.size) + lo * m
+        for _ in range(2):          # the piece by itself, then with what is held
+            if z.size > keep_n:
+                cut = np.partition(z, z.size - keep_n)[z.size - keep_n] if keep_n else np.inf
+                keep = z > cut
+                keep[np.flatnonzero(z == cut)[:keep_n - np.count_nonzero(keep)]] = True
+                z, at = z[keep], at[keep]
+            if _ == 0:
+                z, at = np.concatenate((values, z)), np.concatenate((places, at))
+        places, values = at, z
+    return places, values
 
 
 def batch_topk(vectors: DataFrame, model: SaeModel, k: int, batch_col: str = "batch_id",
@@ -310,23 +382,10 @@ def batch_topk(vectors: DataFrame, model: SaeModel, k: int, batch_col: str = "ba
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         w_enc, _, bias = bc.value
         pdf = pdf.sort_values("id", kind="stable")
-        z = _pre(_matrix(pdf["v"], d), w_enc, bias)
-        flat = z.ravel()
-        keep_n = min(k * len(pdf), flat.size)
-        if keep_n == 0:
-            idx = np.zeros(0, dtype=np.int64)
-        elif keep_n == flat.size:
-            idx = np.arange(flat.size)
-        else:
-            cut = np.partition(flat, flat.size - keep_n)[flat.size - keep_n]
-            above = np.flatnonzero(flat > cut)
-            ties = np.flatnonzero(flat == cut)[: keep_n - above.size]
-            idx = np.sort(np.concatenate([above, ties]))
-        m = z.shape[1]
-        rows, lat = np.divmod(idx, m)
-        return pd.DataFrame({"batch_id": np.full(idx.size, pdf["batch_id"].iloc[0], dtype=np.int64),
-                             "id": pdf["id"].to_numpy(np.int64)[rows],
-                             "latent": lat.astype(np.int64), "z": flat[idx]})
+        places, z = _batch_kept(_matrix(pdf["v"], d), w_enc, bias, k * len(pdf))
+        rows, lat = np.divmod(places, max(len(w_enc), 1))
+        return pd.DataFrame({"batch_id": np.full(len(z), pdf["batch_id"].iloc[0], dtype=np.int64),
+                             "id": pdf["id"].to_numpy(np.int64)[rows], "latent": lat, "z": z})
 
     return (vectors.select(F.col(batch_col).cast("long").alias("batch_id"),
                            F.col(id_col).cast("long").alias("id"),
@@ -366,14 +425,23 @@ def dead_latents(kept: DataFrame, n_latents: int, dead_after: int = 20) -> DataF
                        .withColumn("dead", F.col("since_fired") > F.lit(dead_after)))
 
 
-def dead_aux_codes(pre: DataFrame, dead: DataFrame, k: int) -> DataFrame:
+def dead_aux_codes(vectors: DataFrame, model: SaeModel, dead: DataFrame, k: int,
+                   id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """E10 (codes): per row the 2k largest pre-activations among dead latents
-    (fewer if fewer latents are dead).  Dead latents are a model-sized table."""
-    dead_ids = dead.filter("dead").select("latent")
-    w = Window.partitionBy("id").orderBy(F.desc("z"), F.asc("latent"))
-    return (pre.join(F.broadcast(dead_ids), "latent", "left_semi")
-               .withColumn("rn", F.row_number().over(w))
-               .filter(F.col("rn") <= 2 * k).drop("rn"))
+    (fewer if fewer latents are dead), in score order, ties by latent.
+
+    Map-only: a piece of rows meets the dead latents' directions alone, so
+    rows x latents never become rows.  Dead latents are a model-sized table."""
+    own = np.array(sorted(r[0] for r in dead.filter("dead").select("latent").collect()), np.int64)
+    part = SaeModel(model.w_enc[own], model.w_dec[:, own], model.bias_pre)
+
+    def piece(ids, x, weights):
+        z = _pre(x, weights[0], weights[2])
+        columns = _top(z, 2 * k)
+        counts = np.full(len(ids), columns.shape[1])
+        return [pa.array(ids), _lists(counts, own[columns].ravel()), _lists(counts, np.take_along_axis(z, columns, 1).ravel())]
+
+    return _map_pieces(vectors, part, id_col, vec_col, piece, CODE_SCHEMA)
 
 
 # Decoder entries (latents x width) up to which the exploded decoder is broadcast.
@@ -409,18 +477,6 @@ def exploded_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "v")
                           F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x"))
 
 
-def nmse_from_recon(vectors: DataFrame, recon: DataFrame, id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """MSE of the reconstruction over MSE against the mean vector,
-    row-weighted (SURVEY L13).  ``recon`` is ``(id, dim, value)``.
-    One-row result ``(mse, baseline_mse, nmse)``."""
-    x = exploded_vectors(vectors, id_col, vec_col)
-    means = x.groupBy("dim").agg(F.avg("x").alias("mean_x"))
-    joined = x.join(recon, ["id", "dim"]).join(F.broadcast(means), "dim")
-    agg = joined.agg(F.avg((F.col("x") - F.col("value")) ** 2).alias("mse"),
-                     F.avg((F.col("x") - F.col("mean_x")) ** 2).alias("baseline_mse"))
-    return agg.withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
-
-
 def nmse(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str = "v") -> DataFrame:
     """E12 in bulk: two passes of NumPy partial sums, no per-dimension rows.
 
@@ -429,22 +485,14 @@ def nmse(vectors: DataFrame, model: SaeModel, theta: float, vec_col: str = "v")
     against the reconstruction and against the mean.  One-row result
     ``(mse, baseline_mse, nmse)``, row-weighted (SURVEY L13)."""
     mean = mean_vector(vectors, vec_col)
-    bc = model.broadcast(vectors.sparkSession)
-    d = model.dim
 
-    def run(batches):
-        w_enc, w_dec, bias = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _matrix(pdf["v"], d)
-            z = _pre(x, w_enc, bias)
-            r = (z * (z > theta)) @ w_dec.T + bias
-            yield pd.DataFrame({"n": [x.size], "se": [float(((x - r) ** 2).sum())],
-                                "be": [float(((x - mean) ** 2).sum())]})
-
-    parts = vectors.select(F.col(vec_col).cast("array<double>").alias("v")) \
-                   .mapInPandas(run, "n long, se double, be double")
+    def piece(ids, x, weights):
+        w_enc, w_dec, bias = weights
+        z = _pre(x, w_enc, bias)
+        r = np.where(z > theta, z, 0.0) @ w_dec.T + bias
+        return [pa.array([x.size]), pa.array([float(((x - r) ** 2).sum())]), pa.array([float(((x - mean) ** 2).sum())])]
+
+    parts = _map_pieces(vectors.withColumn("_no_id", F.lit(0)), model, "_no_id", vec_col, piece, "n long, se double, be double")
     return parts.agg((F.sum("se") / F.sum("n")).alias("mse"),
                      (F.sum("be") / F.sum("n")).alias("baseline_mse")) \
                 .withColumn("nmse", F.try_divide(F.col("mse"), F.col("baseline_mse")))
@@ -469,32 +517,22 @@ def sae_loss(vectors: DataFrame, model: SaeModel, k: int, dead: DataFrame,
         w_enc, w_dec, bias = bc.value
         pdf = pdf.sort_values("id", kind="stable")
         x = _matrix(pdf["v"], d)
-        z = _pre(x, w_enc, bias)
-        flat = z.ravel()
-        keep_n = min(k * len(pdf), flat.size)
-        sel = np.zeros(flat.size, dtype=bool)
-        if keep_n == flat.size:
-            sel[:] = True
-        elif keep_n > 0:
-            cut = np.partition(flat, flat.size - keep_n)[flat.size - keep_n]
-            above = np.flatnonzero(flat > cut)
-            ties = np.flatnonzero(flat == cut)[: keep_n - above.size]
-            sel[above] = True
-            sel[ties] = True
-        sel = sel.reshape(z.shape)
-        r = (z * sel) @ w_dec.T + bias
-        dz = np.zeros_like(z)
-        dead_idx = dead_bc.value
-        if dead_idx.size:
-            zd = z[:, dead_idx]
-            n_aux = min(2 * k, dead_idx.size)
-            order = np.lexsort((np.broadcast_to(dead_idx, zd.shape), -zd), axis=1)[:, :n_aux]
-            rows = np.arange(z.shape[0])[:, None]
-            dz[rows, dead_idx[order]] = zd[rows, order]
-        ra = dz @ w_dec.T
-        e = x - r
-        return pd.DataFrame({"n": [x.size], "l": [float((e * e + alpha * (e - ra) ** 2).sum())],
-                             "e2": [float((e * e).sum())]})
+        m, atoms, dead_idx = max(len(w_enc), 1), np.ascontiguousarray(w_dec.T), dead_bc.value
+        places, z = _batch_kept(x, w_enc, bias, k * len(pdf))
+        counts = np.bincount(places // m, minlength=len(x))
+        loss = squares = 0.0
+        step = max(1, PIECE_CELLS // m)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        for lo in range(0, len(x), step):
+            hi = min(lo + step, len(x))
+            own = slice(first[lo], first[hi])
+            e = x[lo:hi] - _decode(counts[lo:hi], places[own] % m, z[own], atoms) - bias
+            zd = _pre(x[lo:hi], w_enc[dead_idx], bias)
+            top = _top(zd, 2 * k)
+            aux = _decode(np.full(hi - lo, top.shape[1]), dead_idx[top].ravel(), np.take_along_axis(zd, top, 1).ravel(), atoms)
+            loss += float((e * e + alpha * (e - aux) ** 2).sum())
+            squares += float((e * e).sum())
+        return pd.DataFrame({"n": [x.size], "l": [loss], "e2": [squares]})
 
     parts = vectors.select(F.col(batch_col).cast("long").alias("batch_id"),
                            F.col(id_col).cast("long").alias("id"),

@@ -170,6 +170,10 @@ ORACLE["sae_encode_bottomk"] = sql("""SELECT vec_id, "rank", latent, round(z, 6)
 ORACLE["sae_encode_min_active"] = sql(f"""SELECT vec_id, latent, round(z, 6) AS w FROM (
     SELECT vec_id, latent, z, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, latent) AS rn
     FROM pre_all) WHERE z > {_d(THETA)} OR rn <= 8""", "pre_all")
+ORACLE["sae_min_active_marks"] = sql(f"""SELECT vec_id, latent, z > {_d(THETA)} AS above,
+    CASE WHEN z <= {_d(THETA)} THEN rn END AS rank FROM (
+    SELECT vec_id, latent, z, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, latent) AS rn
+    FROM pre_all) WHERE z > {_d(THETA)} OR rn <= 8""", "pre_all")
 cte("dec", "SELECT latent, unnest(w) AS wd, generate_subscripts(w, 1) AS i FROM dict", "dict")
 cte("bias_t", "SELECT unnest(mu) AS b, generate_subscripts(mu, 1) AS i FROM mu_t", "mu_t")
 ORACLE["sae_reconstruct"] = sql(f"""SELECT e.vec_id, CAST(b.i - 1 AS BIGINT) AS dim,
@@ -179,6 +183,7 @@ ORACLE["sae_reconstruct"] = sql(f"""SELECT e.vec_id, CAST(b.i - 1 AS BIGINT) AS
         FROM (SELECT vec_id, latent, z FROM pre_all WHERE z > {_d(THETA)}) k
         JOIN dec ON k.latent = dec.latent GROUP BY k.vec_id, dec.i) c
     ON c.vec_id = e.vec_id AND c.i = b.i""", "emb", "bias_t", "pre_all", "dec")
+ORACLE["sae_min_active_recon"] = ORACLE["sae_reconstruct"]
 ORACLE["truncate_latents"] = sql("""SELECT docid, "rank", latent, round(w, 6) AS w FROM (
     SELECT docid, latent, w, row_number() OVER (PARTITION BY docid ORDER BY w DESC, latent) AS "rank"
     FROM lat_p) WHERE "rank" <= 3""", "lat_p")

@@ -28,8 +28,7 @@ def _dead(fx: Fixture) -> DataFrame:
 
 
 def _aux(fx: Fixture) -> DataFrame:
-    pre = sae.pre_activations(fx.passages(), fx.model, "docid")
-    return sae.dead_aux_codes(pre, _dead(fx), BATCH_K)
+    return sae.dead_aux_codes(fx.passages(), fx.model, _dead(fx), BATCH_K, "docid")
 
 
 @register("sae_encode_batchtopk")
@@ -58,10 +57,9 @@ def q_dead_latents(spark, sf):
 @register("dead_aux_recon")
 def q_dead_aux_recon(spark, sf):
     fx = Fixture(spark, sf)
-    dec = sae.decode_exploded(_aux(fx), fx.model.dictionary_df(spark),
-                              model_entries=fx.model.n_latents * fx.model.dim)
-    return dec.select(F.col("id").alias("docid"), F.col("dim").cast("long").alias("dim"),
-                      _r("value").alias("value"))
+    recon = sae.reconstruct(_aux(fx).filter(F.size("ids") > 0), fx.model, with_bias=False)
+    return recon.select(F.col("id").alias("docid"), F.posexplode("v").alias("dim", "value")) \
+                .select("docid", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
 
 
 @register("sae_loss")

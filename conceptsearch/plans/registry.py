@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from conceptsearch.operators import metrics, sae
 from conceptsearch.operators.index import scored_postings, truncate_latents
-from conceptsearch.functions.scalar import bm25_term, query_saturation
-from conceptsearch.plans.fixtures import MAX_LATENTS, THETA, Fixture
+from conceptsearch.functions.scalar import bm25_term
+from conceptsearch.plans.fixtures import THETA, Fixture
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -78,6 +78,25 @@ def q_encode_min_active(spark, sf):
     return sae.explode_codes(codes).select(F.col("id").alias("vec_id"), "latent", _r("w").alias("w"))
 
 
+@register("sae_min_active_marks")
+def q_min_active_marks(spark, sf):
+    """Codes with their origin: above the threshold, or topped up."""
+    fx = Fixture(spark, sf)
+    codes = sae.encode_min_active(fx.vectors(), fx.model, THETA, 8, "vec_id")
+    return codes.select("id", "n_above", F.posexplode("ids").alias("pos", "latent")).select(
+        F.col("id").alias("vec_id"), "latent", (F.col("pos") < F.col("n_above")).alias("above"),
+        F.when(F.col("pos") >= F.col("n_above"), F.col("pos") + 1).cast("long").alias("rank"))
+
+
+@register("sae_min_active_recon")
+def q_min_active_recon(spark, sf):
+    """The reconstruction of topped-up codes uses those above the threshold only."""
+    fx = Fixture(spark, sf)
+    recon = sae.reconstruct(sae.encode_min_active(fx.vectors(), fx.model, THETA, 8, "vec_id"), fx.model)
+    return recon.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("dim", "value")) \
+                .select("vec_id", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
+
+
 @register("sae_reconstruct")
 def q_reconstruct(spark, sf):
     fx = Fixture(spark, sf)
@@ -219,5 +238,3 @@ def q_qrels_left(spark, sf):
     per_q = metrics.per_query_metrics(_sparse_run3(fx), fx.qrels_graded(), (10,), "left", ("ndcg",))
     return per_q.select("qid", _r("value").alias("ndcg10"))
 
-
-_ = (MAX_LATENTS, query_saturation)
