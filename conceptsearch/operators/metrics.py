@@ -186,3 +186,16 @@ def run_counts(run: DataFrame, qrels: DataFrame) -> DataFrame:
     both = r.unionByName(q, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
     return both.unpivot([], names, "metric", "value").select(
         "metric", F.col("value").cast("long").alias("value"))
+
+
+def index_counts(index) -> DataFrame:
+    """Load statistics of an index, long form: size of the vocabulary,
+    postings, documents, documents without a posting, and avgdl.  ``index`` is
+    a ``ConceptIndex``; each of its tables is read once."""
+    terms = index.terms.agg(F.count("*").alias("vocabulary"), F.sum("df").alias("postings"))
+    docs = index.doc_stats.agg(F.count("*").alias("documents"), F.count_if(F.col("dl") == 0).alias("empty_documents"),
+                               F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl"))
+    names = ["vocabulary", "postings", "documents", "empty_documents", "avgdl"]
+    both = terms.unionByName(docs, allowMissingColumns=True).agg(
+        *[F.coalesce(F.max(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    return both.unpivot([], names, "metric", "value")

@@ -595,6 +595,43 @@ def _pursue(x: np.ndarray, atoms: np.ndarray, rounds: int) -> tuple[np.ndarray,
     return used, w
 
 
+#: Latents whose gradients one task adds up.
+GRADIENT_BLOCK = 1024
+
+
+def decoder_gradient(vectors: DataFrame, model: SaeModel, theta: float, id_col: str = "id",
+                     vec_col: str = "v") -> DataFrame:
+    """Gradient of the mean squared reconstruction error (threshold codes) by
+    the decoder: ``(latent, g array<double>)``, a row a latent.
+
+    Every task adds up its own rows and sends blocks of latents; what moves
+    and what a task holds is bounded by the model, not by the data."""
+    bc = model.broadcast(vectors.sparkSession)
+    m, d = model.n_latents, model.dim
+    rows = max(1, PIECE_CELLS // max(m, d, 1))
+
+    def part(batches):
+        w_enc, w_dec, bias = bc.value
+        atoms, g, n = np.ascontiguousarray(w_dec.T), np.zeros((m, d)), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                x = _arrow_matrix(batch.slice(lo, rows).column(1), d)
+                z = _pre(x, w_enc, bias)
+                z[z <= theta] = 0.0
+                g += z.T @ (z @ atoms + bias - x)
+                n += len(x)
+        for lo in range(0, m if n else 0, GRADIENT_BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([n]), pa.array([g[lo:lo + GRADIENT_BLOCK].tobytes()], pa.binary())],
+                                             ["block", "n", "sums"])
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in parts["sums"]).reshape(-1, d) * (2.0 / (parts["n"].sum() * d))
+        return pd.DataFrame({"latent": np.arange(len(total)) + parts["block"].iat[0], "g": list(total)})
+
+    return (_input(vectors, id_col, vec_col).mapInArrow(part, "block long, n long, sums binary")
+            .groupBy("block").applyInPandas(added, "latent long, g array<double>"))
+
+
 def decoder_unit_norm(dictionary: DataFrame, grad: DataFrame | None = None) -> DataFrame:
     """Divide decoder weights by their norm along the latent axis (one
     norm per input dimension, SURVEY L14) and, when a gradient table is given,

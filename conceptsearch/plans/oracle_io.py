@@ -37,4 +37,13 @@ ORACLE["sink_latents"] = ORACLE["scan_passage_latents"]
 ORACLE["scan_query_latents"] = sql("SELECT qid, latent, round(weight, 6) AS weight FROM lat_q", "lat_q")
 ORACLE["sink_metrics"] = ORACLE["macro_average"]
 ORACLE["index_save_load"] = ORACLE["build_inverted_index"]
+ORACLE["index_load_counts"] = sql("""SELECT 'vocabulary' AS metric, CAST(count(*) AS DOUBLE) AS value FROM terms
+    UNION ALL SELECT 'postings', CAST(count(*) AS DOUBLE) FROM post
+    UNION ALL SELECT 'documents', CAST(count(*) AS DOUBLE) FROM dstats
+    UNION ALL SELECT 'empty_documents', CAST(count(*) FILTER (dl = 0) AS DOUBLE) FROM dstats
+    UNION ALL SELECT 'avgdl', round(coalesce(avg(CAST(dl AS DOUBLE)), 0.0), 9) FROM dstats
+    UNION ALL SELECT 'saved_documents', CAST(n AS DOUBLE) FROM istats
+    UNION ALL SELECT 'saved_avgdl', round(avgdl, 9) FROM istats""", "terms", "post", "dstats", "istats")
+ORACLE["index_load_tables"] = sql("""SELECT 'term' AS kind, latent AS id, df AS n, round(idf, 9) AS idf FROM terms
+    UNION ALL SELECT 'document', docid, dl, CAST(NULL AS DOUBLE) FROM dstats""", "terms", "dstats")
 ORACLE["sink_descriptions"] = ORACLE["describe_latents"]

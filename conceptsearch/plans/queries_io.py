@@ -190,6 +190,29 @@ def q_index_save_load(spark, sf):
     return idx.postings.select("latent", "docid", _r("tf").alias("tf"), "dl")
 
 
+@register("index_load_counts")
+def q_index_load_counts(spark, sf):
+    """Statistics of a saved index as it is loaded, beside those it was saved with."""
+    path = _fresh(spark, "index")
+    sinks.save_index(Fixture(spark, sf).index(), path)
+    idx = sinks.load_index(spark, path)
+    saved = idx.stats.select(F.lit("saved_documents").alias("metric"), F.col("n").cast("double").alias("value")).unionByName(
+        idx.stats.select(F.lit("saved_avgdl").alias("metric"), F.col("avgdl").alias("value")))
+    return metrics.index_counts(idx).unionByName(saved).select("metric", _r("value", 9).alias("value"))
+
+
+@register("index_load_tables")
+def q_index_load_tables(spark, sf):
+    """Terms and document lengths of a saved index as they are loaded."""
+    path = _fresh(spark, "index")
+    sinks.save_index(Fixture(spark, sf).index(), path)
+    idx = sinks.load_index(spark, path)
+    terms = idx.terms.select(F.lit("term").alias("kind"), F.col("latent").alias("id"), F.col("df").alias("n"), _r("idf", 9).alias("idf"))
+    docs = idx.doc_stats.select(F.lit("document").alias("kind"), F.col("docid").alias("id"), F.col("dl").alias("n"),
+                                F.lit(None).cast("double").alias("idf"))
+    return terms.unionByName(docs)
+
+
 @register("sink_descriptions")
 def q_sink_descriptions(spark, sf):
     path = _fresh(spark, "desc")

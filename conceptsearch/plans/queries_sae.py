@@ -12,6 +12,8 @@ from conceptsearch.plans.registry import _r, register
 BATCH_ROWS = 20    # fixture batch: passages with the same docid // 20
 BATCH_K = 2        # fixture BatchTopK k (k * B entries kept per batch)
 DEAD_AFTER = 3     # fixture dead threshold in batches
+GRADIENT_STEP = 0.5   # step of the fixture's decoder
+PURSUIT_ROUNDS = 8
 ALPHA = 1.0 / 32   # Fixed value: auxiliary loss weight of the reference
 
 
@@ -80,15 +82,20 @@ def q_nmse(spark, sf):
 @register("gradient_pursuit")
 def q_gradient_pursuit(spark, sf):
     fx = Fixture(spark, sf)
-    out = sae.gradient_pursuit(fx.vectors(), fx.model, 8, "vec_id")
+    out = sae.gradient_pursuit(fx.vectors(), fx.model, PURSUIT_ROUNDS, "vec_id")
     return out.select(F.col("id").alias("vec_id"), "latent", _r("w").alias("w"))
 
 
 @register("decoder_unit_norm")
 def q_decoder_unit_norm(spark, sf):
+    """The decoder after a plain gradient step over all vectors, normalised,
+    with the gradient's part along it removed."""
     fx = Fixture(spark, sf)
-    out = sae.decoder_unit_norm(fx.model.dictionary_df(spark))
-    return out.select("latent", F.col("dim").cast("long").alias("dim"), _r("w", 9).alias("w"))
+    grad = sae.decoder_gradient(fx.vectors(), fx.model, THETA, "vec_id")
+    stepped = fx.model.dictionary_df(spark).join(grad, "latent").select(
+        "latent", F.zip_with("w_dec", "g", lambda w, g: w - F.lit(GRADIENT_STEP) * g).alias("w_dec"))
+    out = sae.decoder_unit_norm(stepped, grad)
+    return out.select("latent", F.col("dim").cast("long").alias("dim"), _r("w", 9).alias("w"), _r("g", 9).alias("g"))
 
 
 @register("sae_fit")
