@@ -12,7 +12,9 @@ lossless: wherever the substitutions are, one mask fits between them at some
 place.  Items of 9 to 12 words are searched by ``SHORT_MASKS`` too, with which
 they are lossless from 9 words on (a test tries all).  Items of fewer than
 ``MIN_ITEM_WORDS`` words can't be told from chance once words are replaced:
-all their words must agree.  Only DataFrame functions are used.
+all their words must agree.  Such an item that more than ``COMMON_SHARE`` of
+all documents hold is common language ("the") and removes no document; it is
+still reported.  Only DataFrame functions are used.
 
 Defined cases: null and empty texts match nothing; items with equal words are
 one, under their smallest id; rows that share id and text are one; a null id
@@ -45,6 +47,13 @@ SPAN = 13
 SUBSTITUTED = 2
 #: Words from which substitutions are allowed.
 MIN_ITEM_WORDS = 9
+#: Share of all documents from which on a shorter item counts as common words:
+#: it is reported by ``leaks`` and ``item_report``, but removes nothing.
+COMMON_SHARE = 0.01
+#: An item in so few documents removes them, however small the table is.
+COMMON_LEAST = 10
+#: Common items that are named in the plan; more of them are joined.
+MAX_COMMON = 1000
 PLACES = 6
 #: Places, words from the first to the last of them, and the least and most
 #: words of the items that are searched by them.
@@ -57,7 +66,7 @@ MAX_BROADCAST_SEEDS = 1_000_000
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the text's words: letters and digits, lower-cased."""
-    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\u0080-\U0010ffff]+")
+    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+")
     return F.transform(F.array_remove(cut, ""), lambda w: F.xxhash64(w))
 
 
@@ -134,9 +143,28 @@ def _compared(diagonals: DataFrame) -> DataFrame:
             .agg(F.max("best").alias("best"), F.max("agreed").alias("agreed"), F.first("words").alias("words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that no item contaminates, with their columns unchanged."""
-    bad = materialise(contaminated(docs, benchmark, text, doc_id).select("doc", "text_hash").distinct(), "contaminated")
+def item_report(found: DataFrame, documents: int, common_share: float = COMMON_SHARE) -> DataFrame:
+    """item_id, words, found (distinct documents that hold the item) and
+    removes (whether ``decontaminate`` takes them out) of each item that was
+    found, from rows of ``contaminated``."""
+    return (found.groupBy("item_id").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("found"))
+            .withColumn("removes", (F.col("words") >= MIN_ITEM_WORDS) | (F.col("found") <= max(COMMON_LEAST, common_share * documents))))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                  common_share: float = COMMON_SHARE) -> DataFrame:
+    """The documents that no item contaminates, with their columns unchanged.
+    Items that ``item_report`` finds to be common words remove nothing; a
+    ``common_share`` of 1 lets every item remove."""
+    found = materialise(contaminated(docs, benchmark, text, doc_id), "found")
+    common = item_report(found, docs.count(), common_share).filter(~F.col("removes")).select("item_id")
+    common = [r["item_id"] for r in common.limit(MAX_COMMON + 1).collect()]
+    if len(common) <= MAX_COMMON:
+        harmful = found.filter(~F.coalesce(F.col("item_id").isin(common), F.lit(False))) if common else found
+    else:
+        report = item_report(found, docs.count(), common_share).filter("removes").select(F.col("item_id").alias("own"))
+        harmful = found.join(report, same(F.col("item_id"), F.col("own")), "left_semi")
+    bad = materialise(harmful.select("doc", "text_hash").distinct(), "contaminated")
     bad_id, bad_hash = fresh(docs, "bad_id", "bad_hash")
     bad = bad.toDF(bad_id, bad_hash)
     return docs.join(bad, same(F.col(doc_id), F.col(bad_id)) & (F.xxhash64(F.col(text)) == F.col(bad_hash)), "left_anti")
