@@ -11,9 +11,12 @@ Roles of the ``embeddings`` table, every row used:
   the same weights (a model parameter; the encoder runs over every vector);
 * ``bias_pre``  - per-dimension mean of the passages.
 
-Qrels: for each query, the passages with the query's label among its exact
-dense top 100 are relevant, graded ``1 + docid % 3`` (so grade 3 exists and
-the MS MARCO threshold is 2).  At most 100 rows per query, never all pairs.
+Qrels: passages and queries are dealt into pools of about ``JUDGED_POOL``
+passages by a hash of their ids; a query's relevant passages are those of its
+label in its pool, graded ``1 + docid % 3`` (so grade 3 exists and the MS
+MARCO threshold is 2).  So what is judged depends on no ranking, and its size
+grows with the queries, not with all pairs.  One more topic, after the last
+vector id, is judged (label 0) and has no run.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ QUERY_EVERY = 25
 DICTIONARY_SIZE = 64
 THETA = 0.1
 MAX_LATENTS = 24
-QREL_DEPTH = 100
+JUDGED_POOL = 1000
 DENSE_K = 50
 SPARSE_K = 1000
 N_POS = 3
@@ -121,12 +124,17 @@ class Fixture:
 
     # -- judgements ------------------------------------------------------
     def qrels_graded(self) -> DataFrame:
-        q = self.queries().select("qid", F.col("label").alias("qlabel"))
-        near = self.dense_run(QREL_DEPTH).select("qid", "pid")
         p = self.passages().select(F.col("docid").alias("pid"), "label")
-        return (near.join(q, "qid").join(p, "pid")
-                    .filter(F.col("label") == F.col("qlabel"))
-                    .select("qid", "pid", (F.lit(1) + F.col("pid") % 3).cast("int").alias("rel")))
+        q = self.queries().select("qid", "label").unionByName(
+            self.vectors().select((F.max("vec_id") + 1).alias("qid"), F.lit(0).alias("label")))
+        pools = max(1, p.count() // JUDGED_POOL)
+
+        def pool(column: str):
+            digest = F.md5(F.concat(F.lit("j:"), F.col(column).cast("string")))
+            return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(pools)).alias("pool")
+
+        return (q.select("qid", "label", pool("qid")).join(p.select("pid", "label", pool("pid")), ["label", "pool"])
+                 .select("qid", "pid", (F.lit(1) + F.col("pid") % 3).cast("int").alias("rel")))
 
     def qrels_binary(self) -> DataFrame:
         return self.qrels_graded().select("qid", "pid", F.lit(1).alias("rel"))
@@ -158,18 +166,17 @@ class Fixture:
                                    passages, N_POS, N_NEG, self.query_text())
 
     def qa_lines(self) -> DataFrame:
-        """QA query lines from ``conversations``: the first user turn is the
-        question, the words of the first assistant turn the answer list (a
-        Python literal).  Every third conversation's fields are wrapped in
-        quotes (inner quotes doubled); every tenth question is repeated later
-        with another answer list, which the reader must drop.
-        Output ``(line_no, conv_id, raw_question, raw_answers)``."""
+        """QA query lines from ``conversations``: every user turn is a
+        question, the words of the assistant turn that follows it the answer
+        list (a Python literal).  Every third conversation's fields are
+        wrapped in quotes (inner quotes doubled); every tenth conversation's
+        questions are repeated later with another answer list, which the
+        reader must drop.
+        Output ``(line_no, conv_id, turn, raw_question, raw_answers)``."""
         c = self.table("conversations")
-        first = c.groupBy("conv_id").agg(
-            F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                     F.when(F.col("role") == "user", F.col("turn"))).alias("q"),
-            F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
-                     F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"))
+        answers = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+        turns = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q")) \
+                 .join(answers, ["conv_id", "turn"], "left")
         q_clean = F.regexp_replace(F.coalesce("q", F.lit("")), '[\\t\\n\\r"]', " ")
         words = F.filter(F.split(F.regexp_replace(F.coalesce("a", F.lit("")), "['\"\\\\\\\\]", ""),
                                  "[ \\t\\n\\r\\f]+"), lambda w: F.length(w) > 0)
@@ -178,9 +185,9 @@ class Fixture:
         wrap = F.col("conv_id") % 3 == 0
         raw_q = F.when(wrap, F.concat(F.lit('"say ""this"" '), q_clean, F.lit('"'))).otherwise(q_clean)
         raw_a = F.when(wrap, F.concat(F.lit('"'), literal, F.lit('"'))).otherwise(literal)
-        base = first.select(F.struct(F.lit(0).alias("again"), "conv_id").alias("line_no"), "conv_id",
+        base = turns.select(F.struct(F.lit(0).alias("again"), "conv_id", "turn").alias("line_no"), "conv_id", "turn",
                             raw_q.alias("raw_question"), raw_a.alias("raw_answers"))
         dups = base.filter(F.col("conv_id") % 10 == 0).select(
-            F.struct(F.lit(1).alias("again"), "conv_id").alias("line_no"), "conv_id", "raw_question",
+            F.struct(F.lit(1).alias("again"), "conv_id", "turn").alias("line_no"), "conv_id", "turn", "raw_question",
             F.lit("['dup']").alias("raw_answers"))
         return base.unionByName(dups)

@@ -10,7 +10,7 @@ their dependencies; ``sql(body, *ctes)`` assembles a self-contained query.
 from __future__ import annotations
 
 from conceptsearch.functions.scalar import BM25_B, BM25_K1, BM25_K2
-from conceptsearch.plans.fixtures import (DENSE_K, DICTIONARY_SIZE, MAX_LATENTS, QREL_DEPTH,
+from conceptsearch.plans.fixtures import (DENSE_K, DICTIONARY_SIZE, JUDGED_POOL, MAX_LATENTS,
                                           QUERY_EVERY, SPARSE_K, THETA)
 
 
@@ -92,10 +92,11 @@ cte("run", f"""SELECT qid, docid, rnk, score FROM (
         FROM scores) WHERE rnk <= {SPARSE_K}""", "scores")
 cte("dense_all", """SELECT q.qid, p.docid AS pid, list_dot_product(q.v, p.v) AS score
         FROM qv q, pv p""", "qv", "pv")
-cte("qrels_g", f"""SELECT n.qid, n.pid, CAST(1 + n.pid % 3 AS INTEGER) AS rel FROM (
-        SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rn
-        FROM dense_all) n JOIN qv q ON q.qid = n.qid JOIN pv p ON p.docid = n.pid
-        WHERE n.rn <= {QREL_DEPTH} AND p.label = q.label""", "dense_all", "qv", "pv")
+cte("pools", f"SELECT greatest(1, count(*) // {JUDGED_POOL}) AS n FROM pv", "pv")
+POOL = "CAST('0x' || substr(md5('j:' || {}), 1, 8) AS BIGINT) % (SELECT n FROM pools)"
+cte("qrels_g", f"""SELECT q.qid, p.docid AS pid, CAST(1 + p.docid % 3 AS INTEGER) AS rel FROM (
+        SELECT qid, label FROM qv UNION ALL SELECT max(vec_id) + 1, 0 FROM emb) q
+        JOIN pv p ON p.label = q.label AND {POOL.format("p.docid")} = {POOL.format("q.qid")}""", "emb", "qv", "pv", "pools")
 cte("qrels_b", "SELECT qid, pid, 1 AS rel FROM qrels_g", "qrels_g")
 cte("dense_run", f"""SELECT qid, pid, rnk, score FROM (
         SELECT qid, pid, score,

@@ -12,10 +12,10 @@ ORACLE["scan_queries"] = f"""SELECT CAST(item_id AS VARCHAR) AS qid,
     regexp_replace(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')
         || CASE WHEN item_id % 2 = 0 THEN ' (v2)' ELSE '' END, '^{WS}+|{WS}+$', '', 'g') AS query
     FROM benchmark"""
-ORACLE["scan_qa_queries"] = sql(f"""SELECT CASE WHEN conv_id % 3 = 0 THEN 'say "this" ' || qc
-        ELSE regexp_replace(qc, '^{WS}+', '', 'g') END AS query,
-    array_to_string(words, '|') AS answers, CAST(len(words) AS BIGINT) AS n_answers FROM qa_clean""",
-                                "qa_clean")
+ORACLE["scan_qa_queries"] = sql(f"""SELECT query, arg_min(array_to_string(words, '|'), line) AS answers,
+        CAST(len(arg_min(words, line)) AS BIGINT) AS n_answers FROM (
+    SELECT CASE WHEN conv_id % 3 = 0 THEN 'say "this" ' || qc ELSE regexp_replace(qc, '^{WS}+', '', 'g') END AS query,
+           words, [conv_id, turn] AS line FROM qa_clean) GROUP BY query""", "qa_clean")
 ORACLE["scan_qrels"] = sql("""SELECT f.form, CAST(qid AS VARCHAR) AS qid, CAST(pid AS VARCHAR) AS pid,
         CAST(CASE WHEN pid % 5 = 0 THEN 0 ELSE rel END AS INTEGER) AS rel
     FROM qrels_g, (VALUES ('tab'), ('blank')) f(form)""", "qrels_g")
@@ -27,8 +27,9 @@ ORACLE["sink_run"] = sql("""SELECT CAST(qid AS VARCHAR) AS qid, CAST(pid AS VARC
     CAST(rnk AS INTEGER) AS "rank", score FROM run3""", "run3")
 ORACLE["scan_vector_shards"] = sql("""SELECT vec_id, CAST(len(v) AS BIGINT) AS dim,
     round(list_sum(v), 6) AS checksum FROM emb""", "emb")
-ORACLE["sink_vector_shards"] = """SELECT CAST(vec_id >= 250 AS INTEGER) AS worker, count(*) AS n_rows
-    FROM embeddings GROUP BY 1"""
+ORACLE["sink_vector_shards"] = sql("""SELECT CAST(vec_id >= 250 AS BIGINT) AS worker,
+        (vec_id - CASE WHEN vec_id >= 250 THEN 250 ELSE 0 END) // 97 AS shard, count(*) AS n_rows,
+        round(sum(list_sum(v)), 4) AS checksum FROM emb GROUP BY 1, 2""", "emb")
 ORACLE["scan_recon_vectors"] = ORACLE["sae_reconstruct"]
 ORACLE["sink_recon_vectors"] = ORACLE["sae_reconstruct"]
 ORACLE["scan_train_records"] = ORACLE["train_records"]

@@ -122,14 +122,14 @@ ORACLE["pool_first"] = sql(f"""SELECT t.doc_id, r.dim, CASE WHEN {HEX8.format(x=
         THEN {SIGN.format(x="t.token")} ELSE 0.0 END::DOUBLE AS value
     FROM tokens t CROSS JOIN range({EMBED_DIM}) r(dim) WHERE pos = 0""", "tokens")
 
-cte("qa_first", """SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q,
-        arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id""")
-cte("qa_clean", f"""SELECT conv_id, regexp_replace(coalesce(q, ''), '[\\t\\n\\r"]', ' ', 'g') AS qc,
+cte("qa_turns", """SELECT q.conv_id, q.turn, q.text AS q, a.text AS a FROM conversations q LEFT JOIN conversations a
+        ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""")
+cte("qa_clean", f"""SELECT conv_id, turn, regexp_replace(coalesce(q, ''), '[\\t\\n\\r"]', ' ', 'g') AS qc,
         list_filter(string_split_regex(regexp_replace(coalesce(a, ''), '[''"\\\\]', '', 'g'), '{WS}+'),
-                    lambda w: length(w) > 0) AS words FROM qa_first""", "qa_first")
-ORACLE["normalize_qa_text"] = sql("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'say "this" ' || qc
+                    lambda w: length(w) > 0) AS words FROM qa_turns""", "qa_turns")
+ORACLE["normalize_qa_text"] = sql("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'say "this" ' || qc
     ELSE qc END AS question FROM qa_clean""", "qa_clean")
-ORACLE["parse_answer_list"] = sql("""SELECT conv_id, array_to_string(words, '|') AS answers,
+ORACLE["parse_answer_list"] = sql("""SELECT conv_id, turn, array_to_string(words, '|') AS answers,
     CAST(len(words) AS BIGINT) AS n_answers FROM qa_clean""", "qa_clean")
 ORACLE["parse_interpretation"] = f"""SELECT conv_id, turn, regexp_replace(string_split(
         CASE WHEN turn % 2 = 0 THEN text || chr(10) || '[interpretation]:  ' || role || ' ' ELSE text END,

@@ -110,14 +110,14 @@ def q_pool_first(spark, sf):
 @register("normalize_qa_text")
 def q_normalize_qa_text(spark, sf):
     lines = Fixture(spark, sf).qa_lines().filter(F.col("line_no.again") == 0)
-    return lines.select("conv_id", normalize_qa_text(F.col("raw_question")).alias("question"))
+    return lines.select("conv_id", "turn", normalize_qa_text(F.col("raw_question")).alias("question"))
 
 
 @register("parse_answer_list")
 def q_parse_answer_list(spark, sf):
     lines = Fixture(spark, sf).qa_lines().filter(F.col("line_no.again") == 0)
     answers = parse_answer_list(normalize_qa_text(F.col("raw_answers")))
-    return lines.select("conv_id", F.array_join(answers, "|").alias("answers"),
+    return lines.select("conv_id", "turn", F.array_join(answers, "|").alias("answers"),
                         F.size(answers).cast("long").alias("n_answers"))
 
 

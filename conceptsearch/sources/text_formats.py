@@ -41,10 +41,10 @@ LATENTS_SCHEMA = T.StructType([
     T.StructField("weight", T.ArrayType(T.DoubleType())),
 ])
 
-QUERY_LATENTS_MAP = T.MapType(T.StringType(), T.StructType([
+QUERY_LATENTS_ENTRY = T.StructType([
     T.StructField("ids", T.ArrayType(T.LongType())),
     T.StructField("weight", T.ArrayType(T.DoubleType())),
-]))
+])
 
 
 def line_order(df: DataFrame) -> DataFrame:
@@ -80,6 +80,11 @@ def _exact_fields(value: Column, sep: str, least: int, most: int | None = None)
             .otherwise(F.raise_error(F.concat(F.lit("malformed line: "), value)))
 
 
+def _json(spark: SparkSession, schema: T.StructType, path) -> DataFrame:
+    """JSON lines of a declared schema; a malformed line fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def scan_corpus(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A1: JSONL / JSONL.gz corpus ``{id, title, contents}`` ->
     ``(doc_id long, title, contents)``.
@@ -87,7 +92,7 @@ def scan_corpus(spark: SparkSession, path: str, partitions: int | None = None) -
     Gzip does not split, so the rows are redistributed after the read."""
     if not (path.rstrip("/").endswith(".jsonl") or path.rstrip("/").endswith(".jsonl.gz")):
         raise ValueError("corpus path must end with .jsonl or .jsonl.gz")
-    df = spark.read.schema(CORPUS_SCHEMA).json(path)
+    df = _json(spark, CORPUS_SCHEMA, path)
     if path.endswith(".gz"):
         df = df.repartition(partitions or spark.sparkContext.defaultParallelism)
     return df.select(F.col("id").cast("long").alias("doc_id"), "title", "contents")
@@ -148,22 +153,38 @@ def scan_train_records(spark: SparkSession, paths) -> DataFrame:
     files, comma-separated string or list)."""
     if isinstance(paths, str):
         paths = [p for p in paths.split(",") if p]
-    return spark.read.schema(TRAIN_RECORD_SCHEMA).json(list(paths))
+    return _json(spark, TRAIN_RECORD_SCHEMA, list(paths))
 
 
 def scan_passage_latents(spark: SparkSession, path: str) -> DataFrame:
     """A10: JSONL ``{docid, ids, weight}``."""
-    return spark.read.schema(LATENTS_SCHEMA).json(path)
+    return _json(spark, LATENTS_SCHEMA, path)
 
 
 def scan_query_latents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``qid -> {ids, weight}`` -> ``(qid, latent, weight)``.
-
-    The format is a single object, so each file is one record; at scale the
-    JSONL form of A10 (one query per line) is the one to use."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.explode(F.from_json("value", QUERY_LATENTS_MAP)).alias("qid", "q"))
-    pairs = entries.select(F.col("qid").cast("long").alias("qid"),
-                           F.explode(F.arrays_zip(F.col("q.ids").alias("latent"),
-                                                  F.col("q.weight").alias("weight"))).alias("p"))
+    """One JSON object ``qid -> {ids, weight}`` a file -> ``(qid, latent, weight)``.
+
+    An entry ends at the only ``}`` it has, so files are read as text that is
+    split there: one large object is read by many tasks, and none holds more
+    than an entry.  A repeated qid keeps its last entry.  An entry that isn't
+    ``"number": {...}`` fails the read with its file and text; so does an
+    object whose end is missing (by the file's size, if it is not compressed)."""
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", "_metadata")
+    blank = F.col("value").rlike(r"^[\s{]*$")
+    sizes = (pieces.groupBy(F.col("_metadata.file_path").alias("file"))
+                   .agg((F.max("_metadata.file_size") - F.sum(F.octet_length("value"))).alias("ends"),
+                        F.count_if(~blank).alias("entries"))
+                   .filter("file NOT LIKE '%.gz' AND ends <> entries + 1"))
+    cut = sizes.limit(1).collect()
+    if cut:
+        raise ValueError(f"malformed object: {cut[0]['file']} has {cut[0]['entries']} entries and {cut[0]['ends']} closing braces")
+    entries = line_order(pieces.filter(~blank))
+    place = F.concat(F.lit("malformed entry in "), F.col("_metadata.file_path"), F.lit(": "), F.substring("value", 1, 200))
+    key = F.regexp_extract("value", r'^[\s{,]*"(-?[0-9]+)"\s*:\s*\{', 1)
+    body = F.from_json(F.concat(F.regexp_extract("value", r'^[^:]*:\s*(\{[\s\S]*)$', 1), F.lit("}")), QUERY_LATENTS_ENTRY)
+    whole = (key != "") & body["ids"].isNotNull() & body["weight"].isNotNull() & (F.size(body["ids"]) == F.size(body["weight"]))
+    rows = entries.select(F.when(whole, key.cast("long")).otherwise(F.raise_error(place).cast("long")).alias("qid"),
+                          body.alias("q"), "line_key")
+    last = rows.groupBy("qid").agg(F.max_by("q", "line_key").alias("q"))
+    pairs = last.select("qid", F.explode(F.arrays_zip(F.col("q.ids").alias("latent"), F.col("q.weight").alias("weight"))).alias("p"))
     return pairs.select("qid", F.col("p.latent").alias("latent"), F.col("p.weight").alias("weight"))

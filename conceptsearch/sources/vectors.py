@@ -1,7 +1,8 @@
 """Vector shards.
 
-Shards are Parquet files named ``shard_{worker}_{index}.parquet`` holding
-``embedding array<float>`` rows in encoding order.  A vector's global id is
+Shards are Parquet files, or folders of one file, named
+``shard_{worker}_{index}.parquet`` holding ``embedding array<float>`` rows in
+encoding order.  A vector's global id is
 the number of rows in all earlier shards (numeric (worker, index) order) plus
 its row index inside its own file, read from the Parquet ``row_index``
 metadata: no positional pass over the data.  The per-shard counts are one
@@ -10,19 +11,23 @@ row per shard, so their prefix sum is tiny and broadcast.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conceptsearch.functions.scalar import parse_shard_name
+from conceptsearch.operators.numbering import number_rows
 
 DEFAULT_SHARD_ROWS = 2_000_000   # Fixed value: rows per encoded shard in the reference
 
 
 def scan_vector_shards(spark: SparkSession, path: str, vec_col: str = "embedding") -> DataFrame:
     """All shards of a folder with global ids ``(vec_id, v array<double>)``."""
-    raw = spark.read.parquet(path).select(
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(path).select(
         F.col(vec_col).cast("array<double>").alias("v"),
-        F.col("_metadata.file_name").alias("file"),
+        F.regexp_extract("_metadata.file_path", r"(shard_\d+_\d+)[^/]*(?:/[^/]*)?$", 1).alias("file"),
         F.col("_metadata.row_index").alias("row"))
     worker, shard = parse_shard_name(F.col("file"))
     raw = raw.withColumn("worker", worker).withColumn("shard", shard)
@@ -39,46 +44,50 @@ def scan_recon_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("vec_id", F.col("v").cast("array<double>").alias("v"))
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    """The cluster filesystem behind ``path`` (HDFS, object store, local)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+FINISHED = "worker long, shard long, n_rows long"
+
+
+def finished_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a folder of shards: those written to their end."""
+    try:
+        return spark.read.schema(FINISHED).option("recursiveFileLookup", "true").parquet(f"{path.rstrip('/')}/_finished")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FINISHED)
 
 
 def write_vector_shards(vectors: DataFrame, path: str, worker: int = 0,
                         shard_rows: int = DEFAULT_SHARD_ROWS, id_col: str = "vec_id",
-                        vec_col: str = "v") -> None:
-    """Write vectors as ``shard_{worker}_{i}.parquet`` files of at most
-    about ``shard_rows`` rows in id order; a folder that already holds shards
-    is left as is (resume: finished output is skipped).
-
-    One range repartition on the id; each shard is written by its own task.
-    The part files get their shard names in a staging folder, and that folder
-    is renamed to ``path`` at once: a run that stops before leaves no shards.
-    """
-    spark = vectors.sparkSession
-    fs, target = _hadoop_fs(spark, path)
-    if fs.exists(target) and len(fs.listStatus(target)) > 0:
+                        vec_col: str = "v", at_once: int = 32) -> None:
+    """Write vectors as shards ``shard_{worker}_{i}.parquet`` of
+    ``shard_rows`` rows in id order (the last may have fewer).
+
+    Every shard is a write of its own, ``at_once`` of them at a time, and
+    enters the manifest when it is done.  A run that stops is taken up by
+    the next one: shards in the manifest are skipped, others (also half
+    written ones) are written.  Rows get their shard from ``number_rows``, so
+    the same input gives the same shards; a shard's job reads its own range
+    of the numbered rows.  Ids are unique."""
+    spark, path = vectors.sparkSession, path.rstrip("/")
+    total = vectors.count()
+    done = {r["shard"] for r in finished_shards(spark, path).filter(F.col("worker") == worker).collect()}
+    missing = [i for i in range(-(-total // shard_rows)) if i not in done]   # a number a shard
+    if not missing:
         return
-    n_shards = max(1, -(-vectors.count() // shard_rows))
-    tmp = path.rstrip("/") + "._parts"
-    (vectors.repartitionByRange(n_shards, id_col).sortWithinPartitions(id_col)
-            .select(F.col(vec_col).cast("array<float>").alias("embedding"))
-            .write.mode("overwrite").parquet(tmp))
-    _, jtmp = _hadoop_fs(spark, tmp)
-    parts = sorted(st.getPath().getName() for st in fs.listStatus(jtmp)
-                   if st.getPath().getName().endswith(".parquet"))
-    _, staging = _hadoop_fs(spark, path.rstrip("/") + "._shards")
-    fs.delete(staging, True)
-    fs.mkdirs(staging)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    for i, name in enumerate(parts):
-        fs.rename(Path(jtmp, name), Path(staging, f"shard_{worker}_{i}.parquet"))
-    fs.delete(target, True)        # an empty folder, see above
-    fs.mkdirs(target.getParent())
-    if not fs.rename(staging, target):
-        raise OSError(f"cannot publish the shards at {path}")
-    fs.delete(jtmp, True)
+    rows = number_rows(vectors.select(id_col, F.col(vec_col).cast("array<float>").alias("embedding")), [F.col(id_col).asc()], "_row")
+
+    def write(i: int) -> None:
+        first, last = i * shard_rows, min((i + 1) * shard_rows, total)
+        (rows.filter(F.col("_row").between(first, last - 1)).repartition(1).sortWithinPartitions("_row").select("embedding")
+             .write.mode("overwrite").parquet(f"{path}/shard_{worker}_{i}.parquet"))
+        # a folder of its own: shards end at the same time
+        (spark.createDataFrame([(worker, i, last - first)], FINISHED).coalesce(1)
+              .write.mode("overwrite").parquet(f"{path}/_finished/{worker}_{i}"))
+
+    with ThreadPoolExecutor(min(at_once, len(missing))) as pool:
+        for _ in pool.map(write, missing):
+            pass
 
 
 def write_recon_vectors(vectors: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:

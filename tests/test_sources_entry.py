@@ -10,7 +10,7 @@ from conceptsearch.session import scratch_path
 from conceptsearch.plans.catalog import QUERIES
 from conceptsearch.sources import sinks, text_formats as tf
 
-ROWS_ONLY = {"gradient_pursuit", "sae_fit"}
+ROWS_ONLY = {"sae_fit"}
 
 
 def write_text(spark, name, lines):
