@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from conceptsearch.llm.license_scan import INCLUDED, RULES, SENTENCES, normalised
-from conceptsearch.llm.secret_scan import RULES as SECRET_RULES
+from conceptsearch.llm.secret_scan import BASE, RULES as SECRET_RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -20,8 +20,9 @@ def _secrets() -> str:
   SELECT doc_id, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, {p}) AS m,
          regexp_extract_all(t, {p}, {r.group}) AS g, {r.least} AS least, string_split_regex(t, {p}) AS gaps
   FROM texts WHERE regexp_matches(t, {p})""")
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in SECRET_RULES)
-    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in SECRET_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)
+    listed = "string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k)"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(kinds)}),
@@ -32,10 +33,9 @@ spans AS (
          + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
   FROM each),
 listed AS (
-  SELECT doc_id, {counts},
-         string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k) AS spans
+  SELECT doc_id, {counts}, {listed} AS spans, {listed} FILTER (k < {len(BASE)}) AS base
   FROM spans WHERE tested >= least GROUP BY doc_id)
-SELECT t.doc_id, {zeros}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT t.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id"""
 
 

@@ -13,10 +13,13 @@ Defined cases: a null text is empty and has no findings; equal texts are one
 blob, scanned once, with findings on every row; a null path is a path; an
 empty table gives an empty result.
 
-Scale: a blob's copies are reduced map-side before the texts move, and each
-blob is scanned in the task that holds its one copy.  The join back to paths
-moves hashes and ids only, and only blobs with findings are on its other
-side; Spark splits a blob that has very many paths (skew join).
+Scale: hashes are compared with the ledger first, so an incremental run moves
+the texts of unseen blobs only; a blob's copies are reduced map-side before
+they move, and each blob is scanned in the task that holds its one copy.
+Spans are added up in blocks of ``BLOCK`` matches, so a text that is all
+matches takes little more time than its length.  The join back to paths moves
+hashes and ids only, and only blobs with findings are on its other side;
+Spark splits a blob that has very many paths (skew join).
 """
 
 from __future__ import annotations
@@ -51,19 +54,31 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),  # a run of hex digits is one match whether shorter ones match or not
 )
 
+BASE = tuple(r.kind for r in RULES)
+# Rules of this library's own, listed after the base rules.
+RULES += (
+    Rule("key", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", 0, 1),
+    Rule("provider", r"(?:ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|npm_|AIza)[A-Za-z0-9_-]+", 0, 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,200}:[^\x20\x09-\x0D/:@]{1,200}@", 0, 1),
+)
+#: Matches whose spans are added up in one go.
+BLOCK = 256
+#: Unseen hashes (65 bytes each) up to which they are broadcast.
+MAX_BROADCAST_BLOBS = 500_000
+
 SPANS = "array<struct<start:bigint,kind:string,end:bigint>>"
 
 
-def find(text: Column, rule: Rule) -> Column:
-    """The spans of a rule in a text: matches lie between the pieces that
-    splitting at them leaves, so lengths give their places."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    sized = F.zip_with(F.zip_with(found, tested, lambda m, g: F.struct(F.length(m).alias("size"), F.length(g).alias("test"))),
-                       F.slice(gaps, 1, F.size(found)),
-                       lambda m, gap: F.struct(gap.alias("gap"), m["size"].alias("size"), m["test"].alias("test")))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda, an
+    expression of the row would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _laid_out(sized: Column, rule: Rule) -> Column:
+    """Spans of matches given as (gap, size, test): running sums in blocks,
+    then the blocks moved to their places."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -73,8 +88,32 @@ def find(text: Column, rule: Rule) -> Column:
         return F.struct(end.alias("at"),
                         F.when(m["test"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(sized, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+
+    number = F.sequence(F.lit(0), F.floor((F.size(sized) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(number, lambda b: F.aggregate(F.slice(sized, b * BLOCK + 1, BLOCK), start, step))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPANS}>").alias("spans"))
+    whole = F.aggregate(blocks, none, lambda acc, x: F.struct(
+        (acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], F.array(moved(x["spans"], acc["at"]))).alias("spans")))
+    return F.flatten(whole["spans"])
+
+
+def find(text: Column, rule: Rule) -> Column:
+    """The spans of a rule in a text: matches lie between the pieces that
+    splitting at them leaves, so lengths give their places."""
+    pattern = F.lit(rule.pattern)
+    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+
+    def sized(found: Column) -> Column:
+        pairs = F.zip_with(found, tested if rule.group else found,
+                           lambda m, g: F.struct(F.length(m).alias("size"), F.length(g).alias("test")))
+        return F.zip_with(pairs, F.slice(gaps, 1, F.size(found)),
+                          lambda m, gap: F.struct(gap.alias("gap"), m["size"].alias("size"), m["test"].alias("test")))
+
+    matches = _once(F.regexp_extract_all(text, pattern, F.lit(0)), sized)
+    return F.when(text.rlike(rule.pattern), _once(matches, lambda m: _laid_out(m, rule))).otherwise(F.array().cast(SPANS))
 
 
 def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
@@ -82,20 +121,23 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     """New ledger rows (blob, rule, spans) for the blobs of ``history`` and
     the rule versions that ``ledger`` has no row for."""
     content = F.coalesce(F.col(text), F.lit(""))
-    blobs = (history.select(F.sha2(content, 256).alias("blob"), content.alias("text"))
-             .groupBy("blob").agg(F.first("text").alias("text")))
+    rows = history.select(F.sha2(content, 256).alias("blob"), content.alias("text"))
     wanted = F.array(*(F.lit(r.key) for r in rules))
     if ledger is None:
-        todo = blobs.withColumn("todo", wanted)
+        todo = rows.withColumn("todo", wanted)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # as many as there are rule versions
-        todo = (blobs.join(seen, "blob", "left")
-                .withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
-                .filter(F.size("todo") > 0))
+        unseen = (rows.select("blob").distinct().join(seen, "blob", "left")
+                  .select("blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+                  .filter(F.size("todo") > 0))
+        unseen = materialise(unseen, "unseen")
+        few = unseen.limit(MAX_BROADCAST_BLOBS + 1).count() <= MAX_BROADCAST_BLOBS
+        todo = rows.join(F.broadcast(unseen) if few else unseen, "blob")
+    blobs = todo.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     results = F.array(*(F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"),
                                                                         find(F.col("text"), r).alias("spans")))
                         for r in rules))
-    return (todo.select("blob", F.explode(results).alias("x")).filter("x is not null")
+    return (blobs.select("blob", F.explode(results).alias("x")).filter("x is not null")
             .select("blob", "x.rule", "x.spans"))
 
 
@@ -125,11 +167,12 @@ def secrets(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ledger = materialise(scan(docs), "ledger")
     out, _ = findings(docs, ledger)
-    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(r.kind) for r in RULES]
-    return out.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = joined(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    return out.select("doc_id", *map(count, BASE), F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
