@@ -25,8 +25,10 @@ an empty result.
 
 Scale: sketching is map-only; equal texts are one node, with map-side partial
 minima.  Buckets of the same texts are handled once.  A large bucket is dealt
-into blocks of ``BLOCK_SHINGLES``, and every two blocks meet in a task of
-their own, so no task holds more than two.  Shingles travel as 32-bit hashes
+into blocks of ``BLOCK_SHINGLES`` that are connected apart, with one leader of
+the bucket; only texts outside its largest group then meet other blocks (see
+``_large``), so a group of near copies is read once, and no task holds more
+than two blocks.  Shingles travel as 32-bit hashes
 in text order; two different ones are equal by chance in 1 of 4e9.  Labels
 move along links by minimum, with pointer jumping, written to the shared
 folder each round.
@@ -49,6 +51,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES = 16
 KEPT = 3
+#: Texts of few shingles, whose pairs share a sketch more rarely, have more of them.
+SHORT_SHINGLES, SHORT_SKETCHES = 40, 48
 #: Shingles of a bucket that one block holds.
 BLOCK_SHINGLES = 300_000
 
@@ -78,34 +82,45 @@ def labelled_shingles(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sketch(column: pa.Array) -> list[pa.Array]:
-    keys, sizes = [], []
+    """The keys of each text's sketches, and how many shingles it has."""
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, piece in W.texts(column).pieces():
         owner, (word,) = W.word_hashes(piece)
         text, shingle, label = labelled_shingles(owner, word)
         size = np.bincount(text, minlength=len(piece))
-        held = np.flatnonzero(size)
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))[held] if len(held) else np.zeros(0, np.int64)
-        out = np.zeros((len(piece), SKETCHES), np.uint64)
-        for s in range(SKETCHES if len(held) else 0):
-            rank = W.mix(label ^ W.mix(np.array([s + 1], np.uint64)))
-            rest = rank.copy()
-            for k in range(KEPT):
-                least = np.minimum.reduceat(rest, starts)
-                bound = np.repeat(least, size[held])
-                if k + 1 < KEPT:
-                    rest = np.where(rank <= bound, np.uint64(2**64 - 1), rank)
-            taken = np.flatnonzero(rank <= bound)
-            which = np.searchsorted(starts, taken, "right") - 1
-            before = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(held)))[:-1]))
-            place = (np.arange(len(taken)) - before[which]).astype(np.uint64)
-            part = W.mix(shingle[taken] ^ W.mix(place + np.uint64(977)))
-            out[held, s] = W.mix(np.add.reduceat(part, before) + np.uint64(s))
-        keys.append(out)
         sizes.append(size)
-    flat = np.concatenate(keys) if keys else np.zeros((0, SKETCHES), np.uint64)
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    offsets = pa.array(np.arange(len(flat) + 1) * SKETCHES, pa.int32())
-    return [pa.ListArray.from_arrays(offsets, pa.array(flat.ravel().view(np.int64))), pa.array(size, pa.int64())]
+        out = np.zeros((len(piece), SHORT_SKETCHES), np.uint64)
+        for first, last, some in ((0, SKETCHES, size > 0), (SKETCHES, SHORT_SKETCHES, (size > 0) & (size <= SHORT_SHINGLES))):
+            own = some[text]
+            _sketch_into(out, range(first, last), np.flatnonzero(some), size[some], shingle[own], label[own])
+        keys.append(out[np.arange(SHORT_SKETCHES) < _sketch_count(size)[:, None]])
+    flat, size = np.concatenate(keys), np.concatenate(sizes)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(_sketch_count(size)))), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))), pa.array(size, pa.int64())]
+
+
+def _sketch_count(size: np.ndarray) -> np.ndarray:
+    return np.where(size <= SHORT_SHINGLES, SHORT_SKETCHES, SKETCHES)
+
+
+def _sketch_into(out: np.ndarray, numbers: range, held: np.ndarray, size: np.ndarray, shingle: np.ndarray, label: np.ndarray) -> None:
+    """Sketches of these numbers of the texts ``held``, whose shingles follow one another."""
+    if not len(held):
+        return
+    starts = np.cumsum(size) - size
+    for s in numbers:
+        rank = W.mix(label ^ W.mix(np.array([s + 1], np.uint64)))
+        rest = rank
+        for k in range(KEPT):
+            bound = np.repeat(np.minimum.reduceat(rest, starts), size)
+            if k + 1 < KEPT:
+                rest = np.where(rank <= bound, np.uint64(2**64 - 1), rank)
+        taken = np.flatnonzero(rank <= bound)
+        which = np.searchsorted(starts, taken, "right") - 1
+        before = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(held)))[:-1]))
+        place = (np.arange(len(taken)) - before[which]).astype(np.uint64)
+        part = W.mix(shingle[taken] ^ W.mix(place + np.uint64(977)))
+        out[held, s] = W.mix(np.add.reduceat(part, before) + np.uint64(s))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = SIMILAR) -> float:
@@ -152,11 +167,14 @@ def _labels(column: pa.Array) -> list[pa.Array]:
 
 
 def _connect(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links a, b that connect the texts of one block, or those of one with
-    those of another; rows: node, labels, block, low, high."""
-    rows = rows.sort_values("node", kind="stable")
-    node, block = rows["node"].tolist(), rows["block"].to_numpy()
-    across = rows["low"].iat[0] != rows["high"].iat[0]
+    """Links a, b that connect all similar texts among the given ones (node, labels).
+
+    Stars first: a text that nothing holds yet meets all others and takes
+    those that are similar to it.  A pair that is still apart then has a text
+    outside the largest group, so only those meet the others as well: a group
+    of near copies costs one pass, not one for each of its texts."""
+    rows = rows.drop_duplicates("node").sort_values("node", kind="stable")
+    node = rows["node"].tolist()
     parts = [place_of(np.frombuffer(x, "<u4")) for x in rows["labels"]]
     n = len(node)
     size = np.array([len(p[0]) for p in parts])
@@ -167,23 +185,28 @@ def _connect(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.searchsorted(every[order], every)
     count = np.searchsorted(every[order], every, "right") - first
     ends = np.concatenate(([0], np.cumsum(size)))
-    group = np.arange(n)
+    group, met = np.arange(n), np.zeros(n, bool)
     found = []
-    for i in range(n):
+
+    def meet(i: int) -> None:
+        met[i] = True
         own = slice(ends[i], ends[i + 1])
         c = count[own]
         at = np.repeat(first[own] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
         shared = np.bincount(holder[at], minlength=n)
         near = shared >= SIMILAR / (1 + SIMILAR) * (size + size[i]) - 1e-9
-        near[:i + 1] = False
-        if across:
-            near &= block != block[i]
         for j in np.flatnonzero(near & (group != group[i])):
             if group[i] != group[j] and similarity(parts[i], parts[j]) > 0:
                 found.append((node[i], node[j]))
                 group[group == group[j]] = group[i]
-        if not (group != group[0]).any():
-            break
+
+    for i in range(n):
+        if np.count_nonzero(group == group[i]) == 1:
+            meet(i)
+    largest = np.bincount(group, minlength=n).argmax()
+    for i in np.flatnonzero((group != largest) & ~met):
+        if (group != group[0]).any():
+            meet(i)
     return pd.DataFrame(found, columns=["a", "b"])
 
 
@@ -242,12 +265,48 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", doc_id: str = "
             .select("node", "text"))
     held = materialise(with_arrays(held, ["text"], {"labels": "binary"}, _labels).drop("text")
                        .groupBy("node").agg(F.first("labels").alias("labels")), "labels")
+    single, large = buckets.filter("blocks = 1"), buckets.filter("blocks > 1")
+    found = single.join(held, "node").groupBy("bucket").applyInPandas(_connect, LINK).distinct()
+    if not large.limit(1).count():
+        return materialise(found, "links")
+    return materialise(materialise(found, "links").union(_large(large, held)).distinct(), "links")
+
+
+LINK = "a binary, b binary"
+
+
+def _large(buckets: DataFrame, held: DataFrame) -> DataFrame:
+    """Links in buckets of several blocks.  Each block is connected by itself,
+    together with one text of the bucket, its leader.  Where that leaves more
+    than one group in a bucket, every pair that is still apart has a text
+    outside the most frequent group: those texts, dealt into parts, meet all
+    blocks.  So a bucket that is one group of near copies is read once,
+    however many texts it has."""
     block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks"))
-    met = (buckets.withColumn("block", block)
-           .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-           .select("bucket", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
-    return materialise(met.join(held, "node").groupBy("bucket", "low", "high")
-                       .applyInPandas(_connect, "a binary, b binary").distinct(), "links")
+    rows = materialise(buckets.withColumn("block", block).select("bucket", "block", "blocks", "node"), "blocks")
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    leader = rows.groupBy("bucket", "blocks").agg(_min("node")).select("bucket", number, "node")
+    within = (rows.select("bucket", "block", "node").union(leader).join(held, "node")
+              .groupBy("bucket", "block").applyInPandas(_connect, LINK))
+    within = materialise(within.distinct(), "within")
+    labels = components(within)
+    named = materialise(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    most = (named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("texts"), F.max("n").alias("n")))
+    # as many parts of the texts outside as their share of the blocks
+    outside = (named.join(most.withColumnRenamed("n", "held"), "bucket").filter("label <> top")
+               .withColumn("parts", F.ceil(F.col("blocks") * (F.col("texts") - F.col("held")) / F.col("texts")))
+               .withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))))
+    outside = materialise(outside.select("bucket", "blocks", "parts", "part", "node"), "outside")
+    if not outside.limit(1).count():
+        return within
+    parts = outside.select("bucket", "parts").distinct()
+    spread = outside.select("bucket", number, "part", "node")
+    every = rows.join(parts, "bucket").select(
+        "bucket", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "node")
+    across = (spread.union(every.select("bucket", "block", "part", "node")).join(held, "node")
+              .groupBy("bucket", "block", "part").applyInPandas(_connect, LINK))
+    return within.union(across)
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
