@@ -12,7 +12,7 @@ unless they are too many for a shard, and a group of any size is split.
 
 Law: ``bytes``.  Defined cases: a null text has size 1; records with equal
 keys are interchangeable and share a range, whatever their number; a null id
-orders first; an empty table gives an empty result; other columns pass.
+orders first; ids that are no integers order by a hash; an empty table gives an empty result; other columns pass.
 
 Scale: one range is one task's sort, bounded by ``RANGE_ROWS`` on average and
 twice that after subdividing (but for equal keys).  The sample, the
@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptsearch.llm.tables import fresh, text_bytes
 
@@ -52,10 +53,12 @@ def _range_of(key: Column, splitters: list[tuple[int, int]]) -> Column:
                        lambda at, step: F.when(F.get(held, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def _literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
-    """A small table from values that are part of the plan."""
-    held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
-    return spark.range(1).select(F.explode(held).alias("x")).select("x.*")
+def _looked_up(values: dict[int, int], at: Column) -> Column:
+    """The value of each number, null where there is none: a bounded table
+    that is part of the plan.  (A join on ``_range_of`` lets Spark 4.1 infer a
+    filter on the table's side with the key's column, which isn't there.)"""
+    held = [values.get(k) for k in range(max(values, default=-1) + 1)]
+    return F.get(F.from_json(F.lit(json.dumps(held)), "array<bigint>"), at)
 
 
 def _sampled(rows: DataFrame, seed: int, per_range: Column, parts: Column) -> list[tuple[int, int]]:
@@ -90,9 +93,10 @@ def splitters(rows: DataFrame, n_shards: int) -> tuple[list[tuple[int, int]], li
                 for r in sums if r["rows"] > 1 and (r["rows"] > most_rows or r["bytes"] > most_bytes)}
         if not over or seed == ROUNDS + 1:
             break
-        again = _literal_rows(rows.sparkSession, [{"range": k, "bytes": b, "parts": 2 * int(x + 1)}
-                                                  for k, (b, x) in over.items()], "range:int,bytes:bigint,parts:int")
-        inside = rows.withColumn("range", _range_of(F.col("key"), cuts)).join(F.broadcast(again), "range")
+        inside = rows.withColumn("range", _range_of(F.col("key"), cuts))
+        inside = inside.withColumns({"bytes": _looked_up({k: b for k, (b, _) in over.items()}, F.col("range")),
+                                     "parts": _looked_up({k: 2 * int(x + 1) for k, (_, x) in over.items()}, F.col("range"))})
+        inside = inside.filter("parts is not null")
         more = sorted(set(cuts) | set(_sampled(inside, seed, F.col("parts") * SAMPLES_PER_RANGE, F.col("parts"))))
         if len(more) == len(cuts):
             break
@@ -100,6 +104,14 @@ def splitters(rows: DataFrame, n_shards: int) -> tuple[list[tuple[int, int]], li
     return cuts, sums
 
 
+def _id_number(docs: DataFrame, doc_id: str) -> Column:
+    """Integers as they are, a hash of other ids; null first."""
+    kind = docs.schema[doc_id].dataType
+    own = F.col(doc_id).cast("long") if isinstance(kind, T.IntegralType) else F.when(
+        F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string")))
+    return F.coalesce(own, F.lit(-(1 << 63)))
+
+
 def place(docs: DataFrame, n_shards: int = N_SHARDS, text: str = "text", doc_id: str = "doc_id"
           ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the columns shard and slot (and size), and their names."""
@@ -109,18 +121,18 @@ def place(docs: DataFrame, n_shards: int = N_SHARDS, text: str = "text", doc_id:
     keyed = docs.withColumns({
         names["size"]: text_bytes(F.col(text)),
         key: F.struct(F.xxhash64(F.col(text)).alias("a"),
-                      F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("b"))})
+                      _id_number(docs, doc_id).alias("b"))})
     cuts, sums = splitters(keyed.select(F.col(key).alias("key"), F.col(names["size"]).alias("size")), n_shards)
-    before, rows, size = [], 0, 0
+    rows, size = 0, 0
+    before: dict[int, tuple[int, int]] = {}    # one entry a range: bounded by rows / RANGE_ROWS
     for r in sorted(sums, key=lambda r: r["range"]):
-        before.append({"r": r["range"], "n": rows, "b": size})
+        before[r["range"]] = rows, size
         rows, size = rows + r["rows"], size + r["bytes"]
-    # one row a range: bounded by rows / RANGE_ROWS
-    ranges = F.broadcast(_literal_rows(docs.sparkSession, before, "r:int,n:bigint,b:bigint")
-                         .toDF(part, rows_before, bytes_before))
     inside = Window.partitionBy(part).orderBy(key)
     running = F.sum(names["size"]).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    placed = (keyed.withColumn(part, _range_of(F.col(key), cuts)).join(ranges, part)
+    placed = keyed.withColumn(part, _range_of(F.col(key), cuts))
+    placed = (placed.withColumn(rows_before, _looked_up({k: n for k, (n, _) in before.items()}, F.col(part)))
+              .withColumn(bytes_before, _looked_up({k: b for k, (_, b) in before.items()}, F.col(part)))
               .withColumn(row, F.col(rows_before) + F.row_number().over(inside) - 1)
               .withColumn(names["shard"], F.col(bytes_before) + running - F.col(names["size"]) / 2))
     placed = placed.withColumn(names["shard"], F.least(
