@@ -153,13 +153,9 @@ def _beta_prior(n: int, hosts: int, failed: int, squares: float) -> tuple[float,
     return mean, min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
 
 
-def verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with its measures, ``base_failed`` and ``kept``; and the names
-    that these columns got."""
-    measured, names = measures(docs, text)
-    slim = [docs[host].alias("host"), docs[text].alias("text")]
-    counted, own = measures(docs.select(*slim))
-    rejected = host_rates(counted, own, "host").filter("rejected").select(F.col("host").alias("bad_host"))
+def _judged(measured: DataFrame, names: dict[str, str], rates: DataFrame, host: str) -> tuple[DataFrame, dict[str, str]]:
+    """Measured rows with ``base_failed`` and ``kept``, by the rates of their hosts."""
+    rejected = rates.filter("rejected").select(F.col("host").alias("bad_host"))
     failed, kept, bad = fresh(measured, "base_failed", "kept", "bad_host")
     out = measured.join(rejected.withColumn(bad + "_hit", F.lit(True)).withColumnRenamed("bad_host", bad),
                         same(F.col(host), F.col(bad)), "left")
@@ -168,6 +164,24 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> tuple
     return out, names | {"base_failed": failed, "kept": kept}
 
 
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its measures, ``base_failed`` and ``kept``; and the names
+    that these columns got.  Texts are measured for the hosts and for the
+    rows, as neither pass moves or writes them."""
+    counted, own = measures(docs.select(docs[host].alias("host"), docs[text].alias("text")))
+    measured, names = measures(docs, text)
+    return _judged(measured, names, host_rates(counted, own, "host"), host)
+
+
+def slim_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source"
+                  ) -> tuple[DataFrame, dict[str, str]]:
+    """As ``verdicts``, of doc_id and host alone: measures are written without
+    the texts, so these are read and measured once."""
+    measured, names = measures(docs.select(doc_id, host, text), text)
+    measured = materialise(measured.drop(text), "measures")
+    return _judged(measured, names, host_rates(measured, names, host), host)
+
+
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that pass, with their columns unchanged."""
     out, names = verdicts(docs, text, host)

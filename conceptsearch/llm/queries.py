@@ -50,8 +50,7 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out, _ = quality_rules.verdicts(docs)
+    out, _ = quality_rules.slim_verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept")
 
