@@ -146,8 +146,10 @@ def _buckets(own: np.ndarray, suffix: np.ndarray, heavy: np.ndarray, buckets: in
 
 def _cuts(node: np.ndarray) -> tuple[np.ndarray, dict[int, slice]]:
     order = np.argsort(node, kind="stable")
+    if not len(node):
+        return order, {}
     sorted_node = node[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_node[1:] != sorted_node[:-1]))) if len(node) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], sorted_node[1:] != sorted_node[:-1])))
     ends = np.append(starts[1:], len(node))
     return order, {int(sorted_node[s]): slice(s, e) for s, e in zip(starts, ends, strict=True)}
 

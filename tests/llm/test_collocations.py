@@ -130,5 +130,10 @@ def test_exact_beyond_64_bits(spark, monkeypatch):
     assert got(C.collocations(spark.createDataFrame([], SCHEMA))) == [("en", 1, "x y", a, l, r, 9 * big, 1_000_000 * a * a // (l * r))]
 
 
+def test_pieces_of_one_word_have_no_phrases(spark):
+    rows = [(k, "alone. again, " * 20, "en") for k in range(3)]
+    assert got(C.collocations(spark.createDataFrame(rows, SCHEMA))) == brute(rows) == []
+
+
 def test_empty(spark):
     assert got(C.collocations(spark.createDataFrame([], SCHEMA))) == []
