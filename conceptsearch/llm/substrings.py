@@ -24,7 +24,10 @@ text of the input are read.
 Scale: chunks are written once to a table in the shared folder, bucketed by
 chunk, so what comes back joins them without moving texts again.  Hashes are
 dealt by value into buckets of about ``BUCKET_WORDS`` words; a hash that is in
-every document has one entry a chunk.  No pair of documents is ever formed.
+every document has one entry a chunk.  A chunk sends ``FAN`` rows at most,
+whatever the number of buckets: where that is larger, rows are merged and
+dealt again, level by level, so rows grow with the input.  No pair of
+documents is ever formed.
 """
 
 from __future__ import annotations
@@ -47,11 +50,13 @@ WINDOW = 20
 BLOCK = 10
 CHUNK_BYTES = 6 << 20
 BUCKET_WORDS = 3_000_000
+#: Nodes that a row's hashes are dealt to at a time.
+FAN = 256
 #: Bits of a block's hash; candidates that share them by chance are told
 #: apart by the 96 bits of a run's hash.
 BLOCK_BITS = 48
 
-CHUNK_SCHEMA = "chunk long, words long, ids binary, sizes binary, texts binary"
+CHUNK_SCHEMA = "chunk long, words long, ids binary, nones binary, sizes binary, texts binary"
 SHARED_SCHEMA = "chunk long, hashes binary"
 
 
@@ -59,6 +64,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of CHUNK_SCHEMA from (doc_id, text): whole texts, about CHUNK_BYTES."""
     task, seq = TaskContext.get().partitionId(), 0
     ids: list[np.ndarray] = []
+    nones: list[np.ndarray] = []
     held: list[W.Texts] = []
 
     def flush() -> pa.RecordBatch:
@@ -66,18 +72,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.concatenate([np.diff(t.offsets) for t in held])
         whole = W.Texts(data, np.concatenate(([0], np.cumsum(sizes))))
         n = sum(len(W.words(piece).text) for _, piece in whole.pieces())
-        row = ((task << 24) + seq, n, pack(np.concatenate(ids)), pack(sizes), zstandard.compress(data.tobytes(), 3))
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "words", "ids", "sizes", "texts"])
+        row = ((task << 24) + seq, n, pack(np.concatenate(ids)), pack(np.concatenate(nones)), pack(sizes),
+               zstandard.compress(data.tobytes(), 3))
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "words", "ids", "nones", "sizes", "texts"])
 
     for batch in batches:
         column = batch.column(0).cast(pa.int64())
         own = column.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        none = column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         for first, piece in W.texts(batch.column(1)).pieces():
             ids.append(own[first:first + len(piece)].copy())
+            nones.append(none[first:first + len(piece)].copy())
             held.append(W.Texts(piece.data.copy(), piece.offsets))
             if sum(len(t.data) for t in held) >= CHUNK_BYTES:
                 yield flush()
-                ids, held, seq = [], [], seq + 1
+                ids, nones, held, seq = [], [], [], seq + 1
     if held:
         yield flush()
 
@@ -121,18 +130,67 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == values
 
 
-def _dealt(values: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, slice) of sorted hashes of so many bits."""
-    edges = np.array([((k << bits) + buckets - 1) // buckets for k in range(1, buckets)], dtype=np.uint64)
-    cuts = np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
-    for k in range(buckets):
-        if cuts[k] < cuts[k + 1]:
-            yield k, slice(cuts[k], cuts[k + 1])
+def _bucket(values: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bucket of each hash of so many bits, by value."""
+    return ((values >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _send_grams(buckets: int):
-    """(bucket, chunk, blocks, others): the hashes of a chunk's own blocks,
-    and of its windows that are none of them."""
+#: Hashes of a chunk, or of several: a row for each node that has any.  ``chunks``
+#: lists the chunks, ``owner`` says which of them each hash is of.
+GRAMS = "node long, part long, chunks binary, blocks binary, block_owner binary, others binary, other_owner binary"
+RUNS = "node long, part long, chunks binary, hashes binary, owner binary, checks binary, ids binary"
+
+
+def _cuts(node: np.ndarray) -> dict[int, slice]:
+    """The slice of each value in a sorted array."""
+    if not len(node):
+        return {}
+    starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    return {int(node[s]): slice(s, e) for s, e in zip(starts, np.append(starts[1:], len(node)), strict=True)}
+
+
+def _owners(owner: np.ndarray, chunks: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The chunks that occur, packed, and the owners as places among them."""
+    some, at = np.unique(owner, return_inverse=True)
+    return pack(chunks[some]), at.astype(np.uint32)
+
+
+def _gram_rows(part: int, chunks: np.ndarray, blocks: np.ndarray, block_owner: np.ndarray, others: np.ndarray,
+               other_owner: np.ndarray, buckets: int, step: int) -> pa.RecordBatch:
+    """Rows of GRAMS from sorted hashes; a node is ``step`` buckets."""
+    index = _cuts(_bucket(blocks, BLOCK_BITS, buckets) // step)
+    probes = _cuts(_bucket(others, BLOCK_BITS, buckets) // step)
+    out: list[list] = [[] for _ in range(7)]
+    for k in sorted(index.keys() | probes.keys()):
+        i, o = index.get(k, slice(0, 0)), probes.get(k, slice(0, 0))
+        some, owner = _owners(np.concatenate((block_owner[i], other_owner[o])), chunks)
+        n = i.stop - i.start
+        for cells, value in zip(out, (k, part, some, pack_sorted(blocks[i]), pack(owner[:n]),
+                                      pack_sorted(others[o]), pack(owner[n:])), strict=True):
+            cells.append(value)
+    return _batch(out, GRAMS)
+
+
+def _run_rows(part: int, chunks: np.ndarray, value: np.ndarray, owner: np.ndarray, check: np.ndarray, ids: np.ndarray,
+              buckets: int, step: int) -> pa.RecordBatch:
+    """Rows of RUNS from sorted hashes."""
+    out: list[list] = [[] for _ in range(7)]
+    for k, own in _cuts(_bucket(value, 64, buckets) // step).items():
+        some, at = _owners(owner[own], chunks)
+        for cells, x in zip(out, (k, part, some, pack_sorted(value[own]), pack(at), pack(check[own]), pack(ids[own])), strict=True):
+            cells.append(x)
+    return _batch(out, RUNS)
+
+
+def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (len(columns) - 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _send_grams(buckets: int, step: int):
+    """Rows of GRAMS: the hashes of a chunk's own blocks, and of its windows
+    that are none of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = _Chunk(row)
@@ -142,46 +200,75 @@ def _send_grams(buckets: int):
             blocks = np.unique(grams[whole & (place % BLOCK == 0)])
             others = np.unique(grams[whole & (place % BLOCK != 0)])
             others = others[~_member(others, blocks)]
-            index = dict(_dealt(blocks, BLOCK_BITS, buckets))
-            probes = dict(_dealt(others, BLOCK_BITS, buckets))
-            none = slice(0, 0)
-            keys = sorted(index.keys() | probes.keys())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64()), pa.array([c.id] * len(keys), pa.int64()),
-                pa.array([pack_sorted(blocks[index.get(k, none)]) for k in keys], pa.binary()),
-                pa.array([pack_sorted(others[probes.get(k, none)]) for k in keys], pa.binary())],
-                ["bucket", "chunk", "blocks", "others"])
+            yield _gram_rows(c.id, np.array([c.id]), blocks, np.zeros(len(blocks), np.int64), others,
+                             np.zeros(len(others), np.int64), buckets, step)
+
+    return run
+
+
+def _together(rows: pd.DataFrame, chunks: list[np.ndarray], hashes: str, owner: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows, and the chunk of each."""
+    value = np.concatenate([unpack_sorted(x) for x in rows[hashes]])
+    return value, np.concatenate([c[unpack(x, "<u4")] for c, x in zip(chunks, rows[owner], strict=True)])
+
+
+def _numbered(rows: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All chunks of some rows, and where those of each row are among them."""
+    own = [unpack(x, "<i8") for x in rows["chunks"]]
+    chunks = np.unique(np.concatenate(own))
+    return chunks, [np.searchsorted(chunks, c) for c in own]
+
+
+def _grams_again(buckets: int, step: int):
+    """Rows of GRAMS for narrower nodes, from those of one node and some chunks."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        chunks, at = _numbered(rows)
+        blocks, block_owner = _together(rows, at, "blocks", "block_owner")
+        others, other_owner = _together(rows, at, "others", "other_owner")
+        i, o = np.argsort(blocks, kind="stable"), np.argsort(others, kind="stable")
+        return _gram_rows(int(key[1]), chunks, blocks[i], block_owner[i], others[o], other_owner[o], buckets, step).to_pandas()
+
+    return run
+
+
+def _runs_again(buckets: int, step: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        chunks, at = _numbered(rows)
+        value, owner = _together(rows, at, "hashes", "owner")
+        check = np.concatenate([unpack(x, "<u4") for x in rows["checks"]])
+        ids = np.concatenate([unpack(x, "<i8") for x in rows["ids"]])
+        i = np.argsort(value, kind="stable")
+        return _run_rows(int(key[1]), chunks, value[i], owner[i], check[i], ids[i], buckets, step).to_pandas()
 
     return run
 
 
-def _by_chunk(values: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """SHARED_SCHEMA from hashes and the row that each belongs to."""
+def _by_chunk(values: np.ndarray, owner: np.ndarray, chunks: np.ndarray) -> pd.DataFrame:
+    """SHARED_SCHEMA from hashes and the chunk that each is of."""
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
-    cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
-    some = [k for k in range(len(ids)) if cuts[k] < cuts[k + 1]]
-    return pd.DataFrame({"chunk": ids[some], "hashes": [pack_sorted(values[cuts[k]:cuts[k + 1]]) for k in some]})
+    cuts = _cuts(owner)
+    return pd.DataFrame({"chunk": chunks[np.array(list(cuts), np.int64)], "hashes": [pack_sorted(values[s]) for s in cuts.values()]})
 
 
 def _hit_grams(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, its hashes that are a block of another chunk."""
-    parts = [(unpack_sorted(x), k, flag) for flag, name in ((True, "blocks"), (False, "others"))
-             for k, x in enumerate(rows[name])]
-    value = np.concatenate([p for p, _, _ in parts])
-    owner = np.concatenate([np.full(len(p), k) for p, k, _ in parts])
-    block = np.concatenate([np.full(len(p), flag) for p, _, flag in parts])
+    chunks, at = _numbered(rows)
+    blocks, block_owner = _together(rows, at, "blocks", "block_owner")
+    others, other_owner = _together(rows, at, "others", "other_owner")
+    value, owner = np.concatenate((blocks, others)), np.concatenate((block_owner, other_owner))
+    block = np.arange(len(value)) < len(blocks)
     order = np.argsort(value, kind="stable")
     value, owner, block = value[order], owner[order], block[order]
     start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     n = np.repeat(np.add.reduceat(block.astype(np.int64), start), np.diff(np.append(start, len(value))))
     hit = (n > 1) | ((n == 1) & ~block)  # a chunk has a hash once, as its block or not
-    return _by_chunk(value[hit], owner[hit], rows["chunk"].to_numpy())
+    return _by_chunk(value[hit], owner[hit], chunks)
 
 
-def _send_runs(buckets: int):
-    """(bucket, chunk, hashes, checks, ids): runs of WINDOW words around hits,
-    each once, with the first document of the chunk that holds it."""
+def _send_runs(buckets: int, step: int):
+    """Rows of RUNS: runs of WINDOW words around hits, each once, with the
+    first document of the chunk that holds it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             if not row["found"]:
@@ -197,31 +284,22 @@ def _send_runs(buckets: int):
                 continue
             value, first = np.unique(c.runs()[at], return_index=True)
             at = at[first]
-            check = c.runs(1)[at].astype(np.uint32)
-            ids = c.ids[c.owner[at]]
-            dealt = list(_dealt(value, 64, buckets))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k for k, _ in dealt], pa.int64()), pa.array([c.id] * len(dealt), pa.int64()),
-                pa.array([pack_sorted(value[s]) for _, s in dealt], pa.binary()),
-                pa.array([pack(check[s]) for _, s in dealt], pa.binary()),
-                pa.array([pack(ids[s]) for _, s in dealt], pa.binary())],
-                ["bucket", "chunk", "hashes", "checks", "ids"])
+            yield _run_rows(c.id, np.array([c.id]), value, np.zeros(len(value), np.int64), c.runs(1)[at].astype(np.uint32),
+                            c.ids[c.owner[at]], buckets, step)
 
     return run
 
 
 def _later_runs(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, its hashes of runs that another chunk holds first."""
-    value = [unpack_sorted(x) for x in rows["hashes"]]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in value])
-    value = np.concatenate(value)
+    chunks, at = _numbered(rows)
+    value, owner = _together(rows, at, "hashes", "owner")
     check = np.concatenate([unpack(x, "<u4") for x in rows["checks"]])
     ids = np.concatenate([unpack(x, "<i8") for x in rows["ids"]])
-    chunk = rows["chunk"].to_numpy()
-    order = np.lexsort((chunk[owner], ids, check, value))
+    order = np.lexsort((owner, ids, check, value))
     value, owner, check = value[order], owner[order], check[order]
     later = np.concatenate(([False], (value[1:] == value[:-1]) & (check[1:] == check[:-1])))
-    return _by_chunk(value[later], owner[later], chunk)
+    return _by_chunk(value[later], owner[later], chunks)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +323,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen += len(w.text)
             kept += _joined(piece, w.text[keep], w.start[keep], w.end[keep])
         n = len(c.ids)
-        none = c.ids == np.iinfo(np.int64).max
+        none = unpack(row["nones"], "u1").astype(bool)
         yield pa.RecordBatch.from_arrays([
             pa.array(c.ids, pa.int64(), mask=none), pa.array(np.bincount(c.owner, minlength=n), pa.int64()),
             pa.array(np.bincount(c.owner[gone], minlength=n), pa.int64()), pa.array(kept, pa.string())],
@@ -274,6 +352,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     (rows.mapInArrow(_chunks, CHUNK_SCHEMA).write.option("path", new_path(spark, "chunks"))
      .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name))
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE `{name}`")   # the name only: the plan knows the files
     words = chunks.agg(F.sum("words")).first()[0] or 0
     buckets = max(1, -(-words // BUCKET_WORDS))
 
@@ -282,10 +361,23 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         lists = found.groupBy("chunk").agg(F.collect_list("hashes").alias("found"))
         return chunks.hint("merge").join(lists, "chunk", "left")
 
-    grams = chunks.mapInArrow(_send_grams(buckets), "bucket long, chunk long, blocks binary, others binary")
-    hits = grams.groupBy("bucket").applyInPandas(_hit_grams, SHARED_SCHEMA)
-    runs = back(hits).mapInArrow(_send_runs(buckets), "bucket long, chunk long, hashes binary, checks binary, ids binary")
-    later = runs.groupBy("bucket").applyInPandas(_later_runs, SHARED_SCHEMA)
+    levels = 1
+    while FAN ** levels < buckets:
+        levels += 1
+    n_chunks = chunks.count()
+
+    def dealt(sent: DataFrame, again, schema: str) -> DataFrame:
+        """Rows for single buckets, from rows for nodes of FAN ** (levels - 1):
+        level by level, rows of FAN chunks are merged and dealt to FAN nodes."""
+        for level in range(1, levels):
+            group = F.pmod(F.xxhash64("part"), F.lit(max(1, n_chunks // FAN ** level))).alias("group")
+            sent = sent.groupBy("node", group).applyInPandas(again(buckets, FAN ** (levels - 1 - level)), schema)
+        return sent.groupBy("node")
+
+    step = FAN ** (levels - 1)
+    hits = dealt(chunks.mapInArrow(_send_grams(buckets, step), GRAMS), _grams_again, GRAMS).applyInPandas(_hit_grams, SHARED_SCHEMA)
+    runs = back(hits).mapInArrow(_send_runs(buckets, step), RUNS)
+    later = dealt(runs, _runs_again, RUNS).applyInPandas(_later_runs, SHARED_SCHEMA)
     return back(later).mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
