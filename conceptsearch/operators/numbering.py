@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptsearch.session import scratch_path
@@ -34,10 +34,12 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> D
        .withColumn(own, F.monotonically_increasing_id()).write.parquet(path))
     rows = spark.read.parquet(path)
     part = F.shiftright(own, _PLACE_BITS)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # a row a partition: its size is the cluster's setting, not the data's
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    before, offsets = 0, []
+    for p, n in sorted(map(tuple, counts)):   # a row a partition: the cluster's setting, not the data
+        offsets.append((p, before))
+        before += n
+    offsets = spark.createDataFrame(offsets, "_part long, _before long")
     place = F.col(own).bitwiseAND((1 << _PLACE_BITS) - 1)
     return (rows.join(F.broadcast(offsets), part == F.col("_part"))
                 .select(*df.columns, (F.col("_before") + place).alias(name)))
