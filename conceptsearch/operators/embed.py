@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conceptsearch.functions.scalar import dot, l2_normalize
+from conceptsearch.functions.scalar import l2_normalize
+from conceptsearch.operators.text import restrict_to_ids
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _WS = re.compile(r"[ \t\n\r\f]+")
@@ -84,6 +85,17 @@ def cosine_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"query_id": pdf["query_id"], "doc_id": pdf["doc_id"], "score": s})
 
 
+def _with_vectors(pairs: DataFrame, name: str, vectors: DataFrame, out: str) -> DataFrame:
+    """Pairs with the vector of their text id ``name``.  Pairs are cast to the
+    vectors' own key, so the large table is joined by it as it is stored, and
+    only its rows that a pair names are shuffled (a semi join whose id set is
+    broadcast up to a checked size)."""
+    key, own = f"_{name}", F.col(name).try_cast(vectors.schema["id"].dataType)
+    keyed = pairs.withColumn(key, own).filter(F.col(key).cast("string") == F.col(name))
+    wanted = restrict_to_ids(vectors.select(F.col("id").alias(key), F.col("v").alias(out)), keyed.select(key), key)
+    return keyed.join(wanted, key).drop(key)
+
+
 def pair_score(pairs: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame,
                scorer: Scorer = inner_product_scorer, digits: int = 5) -> DataFrame:
     """Score (query, document) pairs with ``scorer``, rounded.
@@ -91,18 +103,9 @@ def pair_score(pairs: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame,
     ``pairs``: ``(query_id, doc_id)`` strings; vectors keyed by ``id``.  The
     pair list is filtered (depth cut, negative cap) before this step: Catalyst
     cannot push filters through the Python scorer."""
-    q = query_vecs.select(F.col("id").cast("string").alias("query_id"), F.col("v").alias("qv"))
-    d = doc_vecs.select(F.col("id").cast("string").alias("doc_id"), F.col("v").alias("dv"))
-    joined = pairs.select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id")
+    joined = pairs.select("query_id", "doc_id")
+    for name, vectors, out in (("query_id", query_vecs, "qv"), ("doc_id", doc_vecs, "dv")):
+        joined = _with_vectors(joined, name, vectors, out)
     scored = joined.select("query_id", "doc_id", "qv", "dv") \
                    .mapInPandas(scorer, "query_id string, doc_id string, score double")
     return scored.withColumn("score", F.round("score", digits))
-
-
-def sql_pair_score(pairs: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame,
-                   digits: int = 5) -> DataFrame:
-    """E19 with the inner product written as a JVM expression (no Python)."""
-    q = query_vecs.select(F.col("id").cast("string").alias("query_id"), F.col("v").alias("qv"))
-    d = doc_vecs.select(F.col("id").cast("string").alias("doc_id"), F.col("v").alias("dv"))
-    return pairs.join(q, "query_id").join(d, "doc_id") \
-                .select("query_id", "doc_id", F.round(dot("qv", "dv"), digits).alias("score"))

@@ -62,13 +62,19 @@ def join_corpus(pairs: DataFrame, corpus: DataFrame, how: str = "inner",
     return pairs.join(c, F.col(id_col).cast("string") == F.col("_cid"), how).drop("_cid")
 
 
-def join_query_text(pairs: DataFrame, queries: DataFrame, max_broadcast_rows: int = 5_000_000
-                    ) -> DataFrame:
-    """Attach the query text by ``query_id``; the query table is broadcast
-    only when its row count is below ``max_broadcast_rows``."""
+#: Bytes of query texts up to which they are broadcast.
+MAX_BROADCAST_TEXT_BYTES = 128 << 20
+
+
+def join_query_text(pairs: DataFrame, queries: DataFrame,
+                    max_broadcast_bytes: int = MAX_BROADCAST_TEXT_BYTES) -> DataFrame:
+    """Attach the query text by ``query_id``.  The texts are first cut to
+    the queries that the pairs name; they are broadcast only when the bytes
+    of what is left are below ``max_broadcast_bytes``."""
     q = queries.select(F.col("qid").cast("string").alias("query_id"), F.col("query"))
-    side = F.broadcast(q) if q.count() <= max_broadcast_rows else q
-    return pairs.join(side, "query_id", "left")
+    q = restrict_to_ids(q, pairs.select("query_id"), "query_id")
+    size = q.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    return pairs.join(F.broadcast(q) if size <= max_broadcast_bytes else q, "query_id", "left")
 
 
 def query_doc_pairs(pairs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
