@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conceptsearch.operators import search
 from conceptsearch.operators.index import build_index
@@ -54,3 +55,19 @@ def test_null_scores_come_last_in_cells(spark, monkeypatch):
     monkeypatch.setattr(search, "MAX_JOINED_QUERIES", 0)
     got = search.sparse_search(build_index(codes, 24), q, 10).orderBy("rank").collect()
     assert [(r["docid"], r["rank"]) for r in got] == [(2, 1), (1, 2)] and got[1]["score"] is None
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 1000])
+def test_every_rank_without_a_shuffle_of_pairs(spark, monkeypatch, at_once):
+    rng = np.random.default_rng(8)
+    vec = lambda ids: [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in ids]
+    q = spark.createDataFrame(vec([5, 1, 2, 5, 9, 5, 7]), "qid long, v array<double>")
+    p = spark.createDataFrame(vec([*range(40), 3, 3, 8]), "pid long, v array<double>").repartition(3)
+    monkeypatch.setattr(search, "DENSE_SCORE_CHUNK_BYTES", 32 * 43 * at_once)
+    got = search.dense_search(q, p, None)
+    assert "Window" not in plan(got) and "Exchange" not in plan(got).split("MapInArrow")[0]
+    monkeypatch.setattr(search, "RANK_PASSAGE_BYTES", 0)
+    want = search.dense_search(q, p, None)
+    row = lambda r: tuple(r[c] for c in ("qid", "pid", "rank", "score"))
+    assert sorted(map(row, got.collect())) == sorted(map(row, want.collect()))
+    assert got.filter(F.col("qid") == 5).agg(F.max("rank")).first()[0] == 3 * 43
