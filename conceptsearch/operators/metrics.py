@@ -1,6 +1,7 @@
 """IR evaluation operators.
 
-Runs are ``(qid, pid, score[, rank])``; qrels ``(qid, pid, rel)``.
+Runs are ``(qid, pid, score[, rank])``; qrels are rows ``(qid, pid, rel)``, or
+``judgements.ClassQrels`` where all topics of a class have the same judgements.
 
 Ranking for nDCG / Recall / MAP / reciprocal rank follows trec_eval: score
 (as a C float) descending, then document id as a string descending; the rank
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from conceptsearch.operators.judgements import Qrels, as_qrels
 from conceptsearch.operators.search import rank_within
 
 TREC_KS = (10, 100, 1000)          # Fixed values: cut-offs of the concept evaluation
@@ -32,21 +34,21 @@ def trec_rank(run: DataFrame, k: int | None) -> DataFrame:
     return rank_within(run.select("qid", "pid", "score"), ["qid"], order, k)
 
 
-def evaluated_queries(run: DataFrame, qrels: DataFrame, scope: str = "inner") -> DataFrame:
+def evaluated_queries(run: DataFrame, qrels: Qrels, scope: str = "inner") -> DataFrame:
     """C9 (``inner``): queries present in both run and qrels.
     C10 (``left``): every query of the qrels."""
-    q_qrels = qrels.select("qid").distinct()
+    q_qrels = as_qrels(qrels).queries()
     if scope == "left":
         return q_qrels
     return q_qrels.join(run.select("qid").distinct(), "qid")
 
 
-def _qrels_stats(qrels: DataFrame, ks) -> DataFrame:
+def _qrels_stats(qrels: Qrels, ks) -> DataFrame:
     """Per query: number of relevant judgements and ideal DCG at each k, from
     one aggregate of the qrels by (qid, grade); positions are generated only
     up to max(ks), so a query with millions of judgements stays cheap."""
     k_max = max(ks)
-    counts = (qrels.filter(F.col("rel") > 0).groupBy("qid", "rel").agg(F.count("*").alias("n")))
+    counts = as_qrels(qrels).counts().filter(F.col("rel") > 0)
     by_q = Window.partitionBy("qid")
     w = by_q.orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (counts.withColumn("end", F.sum("n").over(w))
@@ -62,7 +64,7 @@ def _qrels_stats(qrels: DataFrame, ks) -> DataFrame:
                                     .alias(f"idcg_{k}") for k in ks])
 
 
-def per_query_metrics(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str = "inner",
+def per_query_metrics(run: DataFrame, qrels: Qrels, ks=TREC_KS, scope: str = "inner",
                       measures=("ndcg", "map", "recall")) -> DataFrame:
     """Per-query NDCG@k, MAP@k, Recall@k in long form ``(qid, metric, value)``.
 
@@ -71,8 +73,7 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str =
     on ``qid``."""
     k_max = max(ks)
     ranked = trec_rank(run, k_max)
-    judged = (ranked.join(qrels.select("qid", "pid", "rel"), ["qid", "pid"], "left")
-                    .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))))
+    judged = as_qrels(qrels).judged(ranked).withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
     hit = (F.col("rel") >= 1).cast("int")
     w_run = Window.partitionBy("qid").orderBy("rank") \
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,7 +87,7 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str =
                  F.sum(F.when(in_k, hit).otherwise(0)).alias(f"relret_{k}"),
                  F.sum(F.when(in_k, prec_at_hit).otherwise(0.0)).alias(f"ap_{k}")]
     per_q = judged.groupBy("qid").agg(*aggs)
-    qrels_q = qrels.select("qid").distinct()
+    qrels_q = as_qrels(qrels).queries()
     queries = per_q.join(qrels_q, "qid") if scope != "left" else qrels_q.join(per_q, "qid", "left")
     base = queries.join(_qrels_stats(qrels, ks), "qid", "left")
     cols = []
@@ -109,7 +110,7 @@ def macro_average(per_query: DataFrame, digits: int = 5) -> DataFrame:
     return per_query.groupBy("metric").agg(F.round(F.avg("value"), digits).alias("value"))
 
 
-def trec_eval(run: DataFrame, qrels: DataFrame, ks=TREC_KS, scope: str = "inner",
+def trec_eval(run: DataFrame, qrels: Qrels, ks=TREC_KS, scope: str = "inner",
               measures=("ndcg", "map", "recall")) -> DataFrame:
     """D7 + D8 + D9 + D13: the flat metric record, long form."""
     return macro_average(per_query_metrics(run, qrels, ks, scope, measures))
@@ -121,34 +122,33 @@ def truncate_run(run: DataFrame, k: int, order_col: str = "rank") -> DataFrame:
         .drop("_cut")
 
 
-def mrr_trec(run: DataFrame, qrels: DataFrame, k: int = 10, order_col: str = "rank") -> DataFrame:
+def mrr_trec(run: DataFrame, qrels: Qrels, k: int = 10, order_col: str = "rank") -> DataFrame:
     """Truncate to k, reciprocal rank of the first relevant (rel >= 1)
     document in trec order, mean over queries in both run and qrels."""
+    qrels = as_qrels(qrels)
     cut = truncate_run(run, k, order_col)
-    queries = evaluated_queries(cut, qrels, "inner")
-    ranked = trec_rank(cut.join(queries, "qid", "left_semi"), None)
-    first = (ranked.join(qrels.filter(F.col("rel") >= 1).select("qid", "pid"), ["qid", "pid"])
-                   .groupBy("qid").agg(F.min("rank").alias("first")))
-    rr = queries.join(first, "qid", "left") \
-                .select("qid", F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"))
+    # one pass: a query of the run has rows, and first is null where none is relevant
+    first = (qrels.judged(trec_rank(cut, None)).groupBy("qid")
+                  .agg(F.min(F.when(F.col("rel") >= 1, F.col("rank"))).alias("first")))
+    rr = first.join(qrels.queries(), "qid") \
+              .select("qid", F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"))
     return rr.agg(F.coalesce(F.sum("rr") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0))
                   .alias("value")).select(F.lit(f"MRR@{k}").alias("metric"), "value")
 
 
-def rel_threshold(qrels: DataFrame) -> DataFrame:
+def rel_threshold(qrels: Qrels) -> DataFrame:
     """2 if the largest grade is at least 3, else 1 (one row)."""
-    return qrels.agg(F.when(F.max("rel") >= 3, 2).otherwise(1).cast("int").alias("threshold"))
+    return as_qrels(qrels).top_grade().agg(F.when(F.max("rel") >= 3, 2).otherwise(1).cast("int").alias("threshold"))
 
 
-def mrr_msmarco(run: DataFrame, qrels: DataFrame, k: int = 10, order_col: str = "rank") -> DataFrame:
+def mrr_msmarco(run: DataFrame, qrels: Qrels, k: int = 10, order_col: str = "rank") -> DataFrame:
     """Run order as given, threshold from D12, divided by every qrels
     query (missing run counts 0), x100, rounded to 4 decimals."""
     threshold = rel_threshold(qrels).scalar()
     in_order = rank_within(run, ["qid"], [F.asc(order_col)], k, rank_col="pos")
-    relevant = qrels.filter(F.col("rel") >= threshold).select("qid", "pid")
-    first = (in_order.join(relevant, ["qid", "pid"])
+    first = (as_qrels(qrels).judged(in_order).filter(F.col("rel") >= threshold)
                      .groupBy("qid").agg(F.min("pos").alias("first")))
-    n_qrels_queries = qrels.select(F.greatest(F.countDistinct("qid"), F.lit(1))).scalar()
+    n_qrels_queries = as_qrels(qrels).queries().select(F.greatest(F.countDistinct("qid"), F.lit(1))).scalar()
     total = first.agg(F.coalesce(F.sum(F.lit(1.0) / F.col("first")), F.lit(0.0)).alias("s"))
     return total.select(F.lit("mrr").alias("metric"),
                         F.round(F.col("s") / n_qrels_queries * 100, 4).alias("value"))
@@ -177,11 +177,12 @@ def batch_mrr(scores: DataFrame) -> DataFrame:
                  .select(F.lit("mrr").alias("metric"), "value")
 
 
-def run_counts(run: DataFrame, qrels: DataFrame) -> DataFrame:
+def run_counts(run: DataFrame, qrels: Qrels) -> DataFrame:
     """Load statistics of a run and its qrels, long form."""
     r = run.agg(F.countDistinct("qid").alias("run_queries"), F.count("*").alias("run_rows"),
                 F.countDistinct("pid").alias("run_docs"))
-    q = qrels.agg(F.countDistinct("qid").alias("qrels_queries"), F.count("*").alias("judgements"))
+    q = as_qrels(qrels).counts().agg(F.countDistinct("qid").alias("qrels_queries"),
+                                     F.coalesce(F.sum("n"), F.lit(0)).alias("judgements"))
     names = ["run_queries", "run_rows", "run_docs", "qrels_queries", "judgements"]
     both = r.unionByName(q, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
     return both.unpivot([], names, "metric", "value").select(
