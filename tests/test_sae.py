@@ -239,3 +239,25 @@ def test_fit_saves_every_epoch(spark, model):
     fitted, _ = fit_batchtopk(df, model, k=2, epochs=2, lr=1e-2, save_path=path)
     last = sae.load_model(spark, f"{path}/epoch=1")
     assert np.allclose(last.w_enc, fitted.w_enc)
+
+
+def test_a_run_of_batches_is_one_task(spark, model, monkeypatch):
+    """Steps in one task, in several, and batch by batch are the same steps."""
+    from conceptsearch.operators import sae_fit
+    rows = [(i, [float(x) for x in X[i]], i // 7) for i in range(N)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, batch_id long")
+    jobs = []
+    one_run = sae_fit._run_of_steps
+    monkeypatch.setattr(sae_fit, "_run_of_steps", lambda *a: jobs.append(1) or one_run(*a))
+    fits = []
+    for run_bytes, model_bytes in ((1 << 20, 1 << 20), (8 * D * 15, 1 << 20), (1 << 20, 0)):
+        monkeypatch.setattr(sae_fit, "RUN_BYTES", run_bytes)
+        monkeypatch.setattr(sae_fit, "RUN_MODEL_BYTES", model_bytes)
+        fitted, hist = sae_fit.fit_batchtopk(df, model, k=2, epochs=2, lr=1e-2, dead_after=1)
+        fits.append((fitted, [tuple(r) for r in hist.orderBy("step").collect()], len(jobs)))
+        jobs.clear()
+    assert fits[0][2] == 2 and fits[1][2] > 2 and fits[2][2] == 0
+    for fitted, hist, _ in fits[1:]:
+        assert np.allclose(fitted.w_enc, fits[0][0].w_enc) and np.allclose(fitted.w_dec, fits[0][0].w_dec)
+        assert [h[:3] for h in hist] == [h[:3] for h in fits[0][1]]
+        assert np.allclose([h[3:] for h in hist], [h[3:] for h in fits[0][1]])
