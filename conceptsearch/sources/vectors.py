@@ -11,6 +11,7 @@ row per shard, so their prefix sum is tiny and broadcast.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from conceptsearch.functions.scalar import parse_shard_name
 from conceptsearch.operators.numbering import number_rows
+from conceptsearch.session import scratch_path
 
 DEFAULT_SHARD_ROWS = 2_000_000   # Fixed value: rows per encoded shard in the reference
 
@@ -63,31 +65,45 @@ def write_vector_shards(vectors: DataFrame, path: str, worker: int = 0,
     """Write vectors as shards ``shard_{worker}_{i}.parquet`` of
     ``shard_rows`` rows in id order (the last may have fewer).
 
-    Every shard is a write of its own, ``at_once`` of them at a time, and
-    enters the manifest when it is done.  A run that stops is taken up by
+    Rows get their shard from ``number_rows``, so the same input gives the
+    same shards.  One job deals the rows of all missing shards into scratch
+    files, a file a shard; then every shard is a small write of its own that
+    reads its file, ``at_once`` of them at a time, and enters the manifest
+    with the next ones that are done.  A run that stops is taken up by
     the next one: shards in the manifest are skipped, others (also half
-    written ones) are written.  Rows get their shard from ``number_rows``, so
-    the same input gives the same shards; a shard's job reads its own range
-    of the numbered rows.  Ids are unique."""
+    written ones) are written.  Ids are unique."""
     spark, path = vectors.sparkSession, path.rstrip("/")
     total = vectors.count()
     done = {r["shard"] for r in finished_shards(spark, path).filter(F.col("worker") == worker).collect()}
     missing = [i for i in range(-(-total // shard_rows)) if i not in done]   # a number a shard
     if not missing:
         return
-    rows = number_rows(vectors.select(id_col, F.col(vec_col).cast("array<float>").alias("embedding")), [F.col(id_col).asc()], "_row")
-
-    def write(i: int) -> None:
-        first, last = i * shard_rows, min((i + 1) * shard_rows, total)
-        (rows.filter(F.col("_row").between(first, last - 1)).repartition(1).sortWithinPartitions("_row").select("embedding")
-             .write.mode("overwrite").parquet(f"{path}/shard_{worker}_{i}.parquet"))
-        # a folder of its own: shards end at the same time
-        (spark.createDataFrame([(worker, i, last - first)], FINISHED).coalesce(1)
-              .write.mode("overwrite").parquet(f"{path}/_finished/{worker}_{i}"))
-
+    rows = number_rows(vectors.select(id_col, F.col(vec_col).cast("array<float>").alias("embedding")), [F.col(id_col).asc()], "row") \
+        .select("embedding", "row", F.floor(F.col("row") / shard_rows).cast("long").alias("shard"))
+    if done:
+        rows = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in missing], "shard long")), "shard", "left_semi")
+    dealt = scratch_path(spark, f"shards-{uuid.uuid4().hex}")
+    rows.repartition("shard").sortWithinPartitions("shard", "row").write.partitionBy("shard").parquet(dealt)
+
+    def write(i: int) -> tuple:
+        (spark.read.schema("embedding array<float>, row long").parquet(f"{dealt}/shard={i}").coalesce(1).sortWithinPartitions("row")
+              .select("embedding").write.mode("overwrite").parquet(f"{path}/shard_{worker}_{i}.parquet"))
+        return worker, i, min((i + 1) * shard_rows, total) - i * shard_rows
+
+    def finished(written: list) -> None:
+        spark.createDataFrame(written, FINISHED).coalesce(1).write.parquet(f"{path}/_finished/{worker}_{uuid.uuid4().hex}")
+
+    written = []
     with ThreadPoolExecutor(min(at_once, len(missing))) as pool:
-        for _ in pool.map(write, missing):
-            pass
+        try:
+            for shard in pool.map(write, missing):
+                written.append(shard)
+                if len(written) == at_once:
+                    finished(written)
+                    written = []
+        finally:
+            if written:
+                finished(written)
 
 
 def write_recon_vectors(vectors: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:

@@ -93,3 +93,22 @@ def test_shard_files_without_folders_are_read(spark, tmp_path):
     path = scratch_path(spark, f"tests/{tmp_path.name}-flat")
     vec.write_vector_shards(spark.range(5).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v")).filter("false"), path)
     assert vec.finished_shards(spark, path).count() == 0
+
+
+def test_a_shard_is_written_from_its_own_file(spark, tmp_path, monkeypatch):
+    """Work grows with the rows, not with shards times rows; each shard stays in id order."""
+    rows = spark.range(300).select(((F.col("id") * 7) % 300).alias("vec_id"), F.array(((F.col("id") * 7) % 300).cast("double")).alias("v"))
+    path = scratch_path(spark, f"tests/{tmp_path.name}-own")
+    reads, number = spark.sparkContext.accumulator(0), vec.number_rows
+    monkeypatch.setattr(vec, "number_rows", lambda df, order, name: number(df, order, name).filter(_counted(reads)(name)))
+    vec.write_vector_shards(rows.repartition(5), path, worker=1, shard_rows=10)
+    assert shards(spark, path) == {k: [float(k)] for k in range(300)}
+    assert vec.finished_shards(spark, path).agg(F.sum("n_rows"), F.count("*")).first()[:] == (300, 30)
+    assert reads.value == 300       # every numbered row is read once, not once a shard
+
+
+def _counted(reads):
+    def seen(row):
+        reads.add(1)
+        return True
+    return F.udf(seen, "boolean")
