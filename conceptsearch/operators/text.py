@@ -140,31 +140,40 @@ def token_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _word_mask_np(toks: np.ndarray, order: np.ndarray, prob: float,
+def _word_mask_np(n: int, special: np.ndarray, order: np.ndarray, prob: float,
                   max_predictions: int | None) -> np.ndarray:
-    """One document's whole-word mask given its word starts in shuffled
-    order: word lengths by ``searchsorted``/``bincount``, then the greedy pass."""
-    n = len(toks)
+    """One document's whole-word mask given its ``n`` tokens' special places and
+    its word starts in shuffled order.  Words are taken while they fit: up to
+    the first that does not by their running sum, then one at a time, each the
+    next that still fits, of which there are fewer than that one's length."""
     mask = np.zeros(n, dtype=np.int32)
     if n == 0 or order.size == 0:
         return mask
-    ns = ~((toks == CLS) | (toks == SEP))
+    ns = np.ones(n, dtype=bool)
+    ns[special] = False
     starts = np.sort(order)
+    first = np.zeros(n, dtype=np.int64)
+    first[starts] = 1
     pos = np.flatnonzero(ns)
-    word_of = np.searchsorted(starts, pos, side="right") - 1     # >= 0: first non-special starts a word
+    word_of = np.cumsum(first)[pos] - 1             # >= 0: first non-special starts a word
     lens = np.bincount(word_of, minlength=starts.size)
     target = max(1, int(round(n * prob)))
     if max_predictions is not None:
         target = min(target, max_predictions)
+    drawn = np.searchsorted(starts, order)
+    total = np.cumsum(lens[drawn])
+    at = int(np.searchsorted(total, target, side="right"))
     chosen = np.zeros(starts.size, dtype=bool)
-    taken = 0
-    for j in np.searchsorted(starts, order):
-        if taken >= target:
+    chosen[drawn[:at]] = True
+    left = target - (int(total[at - 1]) if at else 0)
+    rest = drawn[at:]
+    while left > 0 and rest.size:
+        fits = np.flatnonzero(lens[rest] <= left)
+        if not fits.size:
             break
-        if taken + lens[j] > target:
-            continue
-        chosen[j] = True
-        taken += int(lens[j])
+        chosen[rest[fits[0]]] = True
+        left -= int(lens[rest[fits[0]]])
+        rest = rest[fits[0] + 1:]
     mask[pos] = chosen[word_of]
     return mask
 
@@ -182,8 +191,9 @@ def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
 
     Map-only: a document is one row, so no token is ever shuffled.  Word
     starts and their md5 shuffle order are JVM array functions (every
-    row-level array is computed once, outside lambdas); the sequential
-    greedy pass is a small NumPy helper per row on Arrow batches.
+    row-level array is computed once, outside lambdas); the greedy pass is a
+    small NumPy helper per row on Arrow batches, which gets places only:
+    no token leaves the JVM.
     ``tokens``: ``(doc_id, toks)``; output adds ``mask array<int>``.
     """
     toks = F.col("toks")
@@ -193,22 +203,25 @@ def whole_word_mask(tokens: DataFrame, mlm_prob: float, seed: int = 42,
         return toks[i].isin(CLS, SEP)
 
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    first_ns = F.get(F.filter(idx, lambda i: ~special(i)), 0)      # null in a text without words
-    heads = F.filter(idx, lambda i: (~special(i)) & (~toks[i].startswith("##")))
-    starts = F.array_sort(F.array_distinct(F.concat(
-        heads, F.when(first_ns.isNotNull(), F.array(first_ns)).otherwise(F.array().cast("array<int>")))))
+    # columns of their own: what is named twice is worked out once
+    rows = tokens.withColumn("_plain", F.filter(idx, lambda i: ~special(i))) \
+                 .withColumn("_heads", F.filter("_plain", lambda i: ~toks[i].startswith("##")))
+    first_ns = F.get("_plain", 0)                                  # null in a text without words
+    starts = F.when(first_ns.isNull() | F.get("_heads", 0).eqNullSafe(first_ns), F.col("_heads")) \
+              .otherwise(F.concat(F.array(first_ns), "_heads"))
     doc = F.col("doc_id").cast("string")
     keyed = F.transform(starts, lambda st: F.struct(
         F.md5(F.concat_ws(":", F.lit(str(seed)), doc, st.cast("string"))).alias("h"), st.alias("s")))
     order = F.transform(F.array_sort(keyed), lambda x: x["s"])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def masks(toks_s: pd.Series, order_s: pd.Series) -> pd.Series:
-        return pd.Series([_word_mask_np(np.asarray(t, dtype=object), np.asarray(o, dtype=np.int64),
+    def masks(n_s: pd.Series, special_s: pd.Series, order_s: pd.Series) -> pd.Series:
+        return pd.Series([_word_mask_np(int(c), np.asarray(x, dtype=np.int64), np.asarray(o, dtype=np.int64),
                                         mlm_prob, max_predictions)
-                          for t, o in zip(toks_s, order_s)])
+                          for c, x, o in zip(n_s, special_s, order_s)])
 
-    return tokens.withColumn("mask", masks(toks, order))
+    return rows.withColumn("mask", masks(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), F.filter(idx, special), order)) \
+               .drop("_plain", "_heads")
 
 
 def explode_mask(masked: DataFrame, mask_col: str = "mask") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,29 @@ def test_half_published_shards_are_written_again(spark, tmp_path):
 def test_quotes(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "t string")
     assert df.select(normalize_qa_text(F.col("t")).alias("x")).first()["x"] == want
+
+
+def test_the_mask_gets_places_and_no_tokens(spark):
+    """Python receives the places of special tokens and word starts only."""
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    out = text.whole_word_mask(text.token_arrays(docs), 0.3)
+    udf = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in line][0]
+    assert "masks(toks" not in udf
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_greedy_words_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    special = np.unique(np.r_[0, rng.integers(0, n, 2), n - 1])
+    plain = np.setdiff1d(np.arange(n), special)
+    if not plain.size:
+        return
+    starts = np.unique(np.r_[plain[0], rng.choice(plain, max(1, plain.size // 4))])
+    order, prob = rng.permutation(starts), float(rng.uniform(0.05, 0.9))
+    words = {s: [i for i in plain if s <= i and not any(s < t <= i for t in starts)] for s in starts}
+    want, target = set(), max(1, round(n * prob))
+    for s in order:
+        if len(want) + len(words[s]) <= target:
+            want |= set(words[s])
+    assert set(np.flatnonzero(text._word_mask_np(n, special, order, prob, None))) == want
