@@ -51,7 +51,9 @@ DENSE_QUERY_BLOCK_BYTES = 128 << 20
 # top-k buffer (query block rows x k) in each Python worker.
 DENSE_MAX_TOPK_ENTRIES = 4_000_000
 # Bytes of one query-block x passage-chunk score matrix.
-DENSE_SCORE_CHUNK_BYTES = 64 << 20
+DENSE_SCORE_CHUNK_BYTES = 16 << 20
+# Bytes of passage vectors that a grid cell holds.
+DENSE_PASSAGE_CHUNK_BYTES = 32 << 20
 
 
 def rank_within(df: DataFrame, group_cols, order_cols, k: int | None,
@@ -342,7 +344,7 @@ def dense_search(queries: DataFrame, passages: DataFrame, k: int | None,
         block_rows = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
         if k is not None:
             block_rows = max(1, min(block_rows, DENSE_MAX_TOPK_ENTRIES // k))
-        chunk_rows = max(1, DENSE_QUERY_BLOCK_BYTES // (8 * dim))
+        chunk_rows = max(1, min(DENSE_QUERY_BLOCK_BYTES, DENSE_PASSAGE_CHUNK_BYTES) // (8 * dim))
         if k is None:                                   # a cell's pairs are one result
             chunk_rows = max(1, min(chunk_rows, DENSE_SCORE_CHUNK_BYTES // (8 * block_rows)))
         partial = dense_grid(q, p, k, -(-q.count() // block_rows), max(1, -(-p.count() // chunk_rows)))

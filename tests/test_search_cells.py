@@ -71,3 +71,13 @@ def test_every_rank_without_a_shuffle_of_pairs(spark, monkeypatch, at_once):
     row = lambda r: tuple(r[c] for c in ("qid", "pid", "rank", "score"))
     assert sorted(map(row, got.collect())) == sorted(map(row, want.collect()))
     assert got.filter(F.col("qid") == 5).agg(F.max("rank")).first()[0] == 3 * 43
+
+
+def test_a_grid_cell_holds_a_bounded_chunk_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(search, "DENSE_QUERY_BLOCK_BYTES", 4 * 8192)
+    monkeypatch.setattr(search, "DENSE_PASSAGE_CHUNK_BYTES", 8 * 2 * 10)
+    rng = np.random.default_rng(2)
+    vec = lambda n, name: spark.createDataFrame([(i, [float(x) for x in rng.normal(size=2)]) for i in range(n)], f"{name} long, v array<double>")
+    q, p, grids, grid = vec(20, "qid"), vec(35, "pid"), [], search.dense_grid
+    monkeypatch.setattr(search, "dense_grid", lambda *a: grids.append(a[3:]) or grid(*a))
+    assert search.dense_search(q, p, 3).count() == 60 and grids == [(1, 4)]
