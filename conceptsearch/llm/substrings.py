@@ -26,8 +26,9 @@ chunk, so what comes back joins them without moving texts again.  Hashes are
 dealt by value into buckets of about ``BUCKET_WORDS`` words; a hash that is in
 every document has one entry a chunk.  A chunk sends ``FAN`` rows at most,
 whatever the number of buckets: where that is larger, rows are merged and
-dealt again, level by level, so rows grow with the input.  No pair of
-documents is ever formed.
+dealt again, level by level, so rows grow with the input.  All levels deal to
+about as many nodes, and rows are merged up to about ``BUCKET_WORDS`` words, so
+no task holds more than a bucket.  No pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptsearch.llm import words as W
-from conceptsearch.llm.tables import new_path, pack, pack_sorted, unpack, unpack_sorted
+from conceptsearch.llm.tables import deal_levels, new_path, pack, pack_sorted, unpack, unpack_sorted
 
 WINDOW = 20
 BLOCK = 10
@@ -361,20 +362,16 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         lists = found.groupBy("chunk").agg(F.collect_list("hashes").alias("found"))
         return chunks.hint("merge").join(lists, "chunk", "left")
 
-    levels = 1
-    while FAN ** levels < buckets:
-        levels += 1
-    n_chunks = chunks.count()
+    step, levels = deal_levels(buckets, FAN)
 
     def dealt(sent: DataFrame, again, schema: str) -> DataFrame:
-        """Rows for single buckets, from rows for nodes of FAN ** (levels - 1):
-        level by level, rows of FAN chunks are merged and dealt to FAN nodes."""
-        for level in range(1, levels):
-            group = F.pmod(F.xxhash64("part"), F.lit(max(1, n_chunks // FAN ** level))).alias("group")
-            sent = sent.groupBy("node", group).applyInPandas(again(buckets, FAN ** (levels - 1 - level)), schema)
+        """Rows for single buckets, from rows for nodes of ``step``: level by
+        level, rows are merged to about a bucket's words and dealt again."""
+        for groups, narrower in levels:
+            group = F.pmod(F.xxhash64("part"), F.lit(groups)).alias("group")
+            sent = sent.groupBy("node", group).applyInPandas(again(buckets, narrower), schema)
         return sent.groupBy("node")
 
-    step = FAN ** (levels - 1)
     hits = dealt(chunks.mapInArrow(_send_grams(buckets, step), GRAMS), _grams_again, GRAMS).applyInPandas(_hit_grams, SHARED_SCHEMA)
     runs = back(hits).mapInArrow(_send_runs(buckets, step), RUNS)
     later = dealt(runs, _runs_again, RUNS).applyInPandas(_later_runs, SHARED_SCHEMA)

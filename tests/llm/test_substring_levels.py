@@ -41,3 +41,40 @@ def test_levels_give_the_same_repeats(spark, monkeypatch, fan, bucket, chunk):
     # rows of one id are ordered as they are read: which of the two keeps the passage is open
     assert [g for g in got if g[0] != 7] == [w for w in want if w[0] != 7]
     assert sum(n for i, _, n, _ in got if i == 7) == sum(n for i, _, n, _ in want if i == 7)
+
+
+def test_a_task_merges_a_bucket_of_words(spark, monkeypatch, tmp_path):
+    """With a few more buckets than nodes, rows are not merged by whole chunks."""
+    rng = random.Random(5)
+    words = [" ".join(f"w{rng.randrange(9000)}" for _ in range(100)) for _ in range(158)] + [" ".join(f"p{k}" for k in range(100))] * 2
+    monkeypatch.setattr(substrings, "FAN", 16)
+    monkeypatch.setattr(substrings, "BUCKET_WORDS", 800)   # 20 buckets
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 1000)
+    folder = str(tmp_path)
+
+    def watched(make):
+        def again(buckets, step):
+            inner = make(buckets, step)
+
+            def run(key, rows):
+                import uuid
+
+                from conceptsearch.llm.tables import unpack_sorted
+                held = [c for c in ("blocks", "others", "hashes") if c in rows]
+                n = sum(len(unpack_sorted(x)) for c in held for x in rows[c])
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(f"{held[-1]} {n}")
+                return inner(key, rows)
+
+            return run
+
+        return again
+
+    for name in ("_grams_again", "_runs_again"):
+        monkeypatch.setattr(substrings, name, watched(getattr(substrings, name)))
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartition(40)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.kept_digests(df).collect()}
+    assert got == {k: 100 * (k == 159) for k in range(160)}
+    seen = [p.read_text().split() for p in tmp_path.iterdir()]
+    assert {kind for kind, _ in seen} == {"others", "hashes"}
+    assert max(int(n) for _, n in seen) <= 4 * 800
