@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and
 these into words.  Every word starts a suffix of its piece; the first
 ``LONGEST`` words of it are what matters.
 
-A chunk of texts counts its distinct suffixes and words, and deals them out:
-suffixes by a hash of their two leading words, so all that start with a
+A chunk of texts counts its distinct suffixes and words; a task adds up those of
+some chunks and deals them out: suffixes by a hash of their two leading words, so all that start with a
 phrase meet in one bucket.  A bucket sorts its suffix pointers by multikey
 three-way quicksort: each segment is split by a pivot's word at its depth
 into smaller, equal and greater ones, and the equal part goes on at the next
@@ -27,8 +27,9 @@ an empty table gives an empty result.  Counts are exact up to 3e15.
 
 Scale: texts are read once (and a sample of them once more).  A chunk sends
 ``FAN`` rows at most, whatever the number of buckets: where that is larger,
-rows are merged and dealt again, level by level.  A word, pair or phrase that
-a third of all words are is one entry of each chunk.
+rows are merged, about a bucket's words at a time, and dealt again, level by
+level.  A word, pair or phrase that a third of all words are is one entry of
+each chunk.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conceptsearch.llm import words as W
-from conceptsearch.llm.tables import materialise, pack, pack_sorted, unpack, unpack_sorted
+from conceptsearch.llm.tables import deal_levels, materialise, pack, pack_sorted, unpack, unpack_sorted
 
 LEAST = 10
 LONGEST = 3
@@ -54,6 +55,8 @@ TOP = 2000
 SHARE = 50
 
 CHUNK_BYTES = 3 << 20
+#: Distinct suffixes and words of a task's chunks that are added up before they are dealt.
+HELD = 2_000_000
 BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 32
 FAN = 256
 SAMPLE_BYTES = 32 << 20
@@ -164,7 +167,9 @@ def _rows(chunk: int, node_w: np.ndarray, node_s: np.ndarray, langs: list[str],
         w, s = order_w[cuts_w.get(k, slice(0, 0))], order_s[cuts_s.get(k, slice(0, 0))]
         kinds, of = np.unique(lang[w], return_inverse=True)
         known, at = np.unique(suffix[s], return_inverse=True)
-        at = at.reshape(-1, LONGEST).astype(np.uint32)
+        at = at.reshape(-1, LONGEST)
+        sort = np.argsort(at[:, 0] * len(known) + at[:, 1], kind="stable")   # leading words in order take little room
+        s, at = s[sort], at[sort].astype(np.uint32)
         cells = {"node": k, "chunk": chunk, "langs": [langs[x] for x in kinds],
                  "words": zstandard.compress(b"\n".join([found[x] for x in w.tolist()]), 1),
                  "of": pack(of.astype(np.uint32)), "hashes": pack(own[w]), "counts": pack(n[w].astype(np.int64)),
@@ -177,30 +182,60 @@ def _rows(chunk: int, node_w: np.ndarray, node_s: np.ndarray, langs: list[str],
          *((c, pa.binary()) for c in list(out)[3:])]))
 
 
+def _added_up(own: np.ndarray, n: np.ndarray, lang: np.ndarray, found: list[bytes], suffix: np.ndarray, times: np.ndarray) -> tuple:
+    """Entries that are equal become one with the sum of their counts."""
+    order = np.argsort(own, kind="stable")
+    own, lang, words = own[order], lang[order], np.array(found, object)[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (lang[1:] != lang[:-1]) | (words[1:] != words[:-1])   # two words with one hash stay two
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    order = np.argsort(W.mix(_pair(suffix) + suffix[:, 2]), kind="stable")
+    suffix, times = suffix[order], times[order]
+    new = np.ones(len(suffix), bool)
+    new[1:] = (suffix[1:] != suffix[:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    return own[first], n, lang[first], words[first].tolist(), suffix[at], np.add.reduceat(times, at) if len(at) else times
+
+
 def _deal(buckets: int, step: int, heavy: np.ndarray, stream: int):
     """Rows of DEALT from (lang, text); nodes are ``step`` buckets wide."""
-    def flush(chunk: int, langs: list[str], held: list[W.Texts]) -> pa.RecordBatch:
+    def counted(langs: list[str], held: list[W.Texts]) -> tuple:
         sizes = np.concatenate([np.diff(t.offsets) for t in held])
         w = _Words(langs, W.Texts(np.concatenate([t.data for t in held]), np.concatenate(([0], np.cumsum(sizes)))), stream)
         own, n, lang, found, at = w.vocabulary()
-        suffix, times = w.suffixes(own, at)
+        return w.langs, own, n, lang, found, *w.suffixes(own, at)
+
+    def flush(chunk: int, parts: list[tuple]) -> pa.RecordBatch:
+        langs = sorted({x for part in parts for x in part[0]})
+        number = {x: k for k, x in enumerate(langs)}
+        own, n, lang, suffix, times = (np.concatenate(x) for x in zip(*(
+            (own, n, np.array([number[x] for x in names], np.int64)[lang], suffix, times)
+            for names, own, n, lang, _, suffix, times in parts), strict=True))
+        own, n, lang, found, suffix, times = _added_up(own, n, lang, [w for part in parts for w in part[4]], suffix, times)
         node_w, node_s = _buckets(own, suffix, heavy, buckets)
-        return _rows(chunk, node_w // step, node_s // step, w.langs, own, n, lang, found, suffix, times)
+        return _rows(chunk, node_w // step, node_s // step, langs, own, n, lang, found, suffix, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         langs: list[str] = []
         held: list[W.Texts] = []
+        parts: list[tuple] = []
         for batch in batches:
             own = batch.column(0).to_pylist()
             for first, piece in W.texts(batch.column(1)).pieces():
                 langs += own[first:first + len(piece)]
                 held.append(W.Texts(piece.data.copy(), piece.offsets))
                 if sum(len(t.data) for t in held) >= CHUNK_BYTES:
-                    yield flush((task << 24) + seq, langs, held)
-                    langs, held, seq = [], [], seq + 1
+                    parts.append(counted(langs, held))
+                    langs, held = [], []
+                if sum(len(part[1]) + len(part[6]) for part in parts) >= HELD:
+                    yield flush((task << 24) + seq, parts)
+                    parts, seq = [], seq + 1
         if held:
-            yield flush((task << 24) + seq, langs, held)
+            parts.append(counted(langs, held))
+        if parts:
+            yield flush((task << 24) + seq, parts)
 
     return run
 
@@ -224,7 +259,8 @@ def _merged(rows: pd.DataFrame) -> tuple:
 def _deal_again(buckets: int, step: int, heavy: np.ndarray):
     """Rows of DEALT for narrower nodes from those of one node and some chunks."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        langs, own, n, lang, found, suffix, times = _merged(rows)
+        langs, *entries = _merged(rows)
+        own, n, lang, found, suffix, times = _added_up(*entries)
         node_w, node_s = _buckets(own, suffix, heavy, buckets)
         return _rows(int(key[1]), node_w // step, node_s // step, langs, own, n, lang, found, suffix, times).to_pandas()
 
@@ -355,14 +391,11 @@ def count_phrases(docs: DataFrame, text: Column, lang: Column, least: int = LEAS
         heavy = np.sort(np.array([r["pair"] for r in most if r["pair"] != 0 and r["n"] * HEAVY >= words], np.int64).view(np.uint64))
         scale = max(1.0, size / SAMPLE_BYTES)
         buckets = max(LEAST_BUCKETS, int(words * scale) // BUCKET_WORDS)
-        levels = 1
-        while FAN ** levels < buckets:
-            levels += 1
-        dealt = rows.mapInArrow(_deal(buckets, FAN ** (levels - 1), heavy, stream), DEALT)
-        for level in range(1, levels):
-            merged = max(1, int(size / CHUNK_BYTES) // FAN ** level)
-            group = F.pmod(F.xxhash64("chunk"), F.lit(merged)).alias("group")
-            dealt = dealt.groupBy("node", group).applyInPandas(_deal_again(buckets, FAN ** (levels - 1 - level), heavy), DEALT)
+        step, levels = deal_levels(buckets, FAN)
+        dealt = rows.mapInArrow(_deal(buckets, step, heavy, stream), DEALT)
+        for groups, narrower in levels:
+            group = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("group")
+            dealt = dealt.groupBy("node", group).applyInPandas(_deal_again(buckets, narrower, heavy), DEALT)
         found = materialise(dealt.groupBy("node").applyInPandas(_mine(least, heavy), FOUND), "phrases")
         if not found.filter(F.col("kind") == CLASH).limit(1).count():
             return found

@@ -137,3 +137,32 @@ def test_pieces_of_one_word_have_no_phrases(spark):
 
 def test_empty(spark):
     assert got(C.collocations(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_a_task_merges_a_bucket_of_words(spark, monkeypatch, tmp_path):
+    """With a few more buckets than nodes, rows are not merged by whole chunks."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(100)) + ". same three words", "en") for k in range(160)]
+    monkeypatch.setattr(C, "FAN", 16)
+    monkeypatch.setattr(C, "LEAST_BUCKETS", 20)
+    monkeypatch.setattr(C, "CHUNK_BYTES", 2000)
+    folder, make = str(tmp_path), C._deal_again
+
+    def again(*args):
+        inner = make(*args)
+
+        def run(key, some):
+            import uuid
+
+            n = sum(len(C.unpack(x, "<u8")) for x in some["hashes"])
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(n))
+            return inner(key, some)
+
+        return run
+
+    monkeypatch.setattr(C, "_deal_again", again)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(40)
+    assert got(C.collocations(df)) == brute(rows) != []
+    seen = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert seen and max(seen) <= 4 * sum(len(t.split()) for _, t, _ in rows) // 20
