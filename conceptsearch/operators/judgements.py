@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conceptsearch.operators.search import class_scores
+
 
 @dataclass
 class PairQrels:
@@ -51,6 +53,11 @@ class ClassQrels:
         members = self.members.withColumn("_part", F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int"))
         return topics.join(members, ["label", "_part"]).select("qid", "pid", "rel", *more)
 
+    def dots(self, topic_v: str, member_v: str, parts: int = 64) -> DataFrame:
+        """``dot`` (H8) of the two vectors of every judgement ``(qid, pid,
+        score)``, worked out block by block (``class_scores``)."""
+        return class_scores(self.topics.withColumnRenamed(topic_v, "qv"), self.members.withColumnRenamed(member_v, "pv"), parts)
+
     def judged(self, run: DataFrame) -> DataFrame:
         # a topic's labels and a document's grades: one each, but where ids repeat
         labels = self.topics.groupBy("qid").agg(F.collect_list("label").alias("_labels"))

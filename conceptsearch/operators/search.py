@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -437,3 +438,76 @@ def topk_merge(partials: DataFrame, k: int, qid_col: str = "qid", pid_col: str =
     top k by (score desc, id asc)."""
     return rank_within(partials.select(qid_col, pid_col, score_col), [qid_col],
                        [F.desc(score_col), F.asc(pid_col)], k)
+
+
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors filled up with zeros, and their sizes (-1: one with a null, or none)."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    values, at = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), np.maximum(sizes, 0)
+    if not flat.null_count and (at == width).all():
+        return values.reshape(len(at), width), sizes
+    row, first = np.repeat(np.arange(len(at)), at), np.cumsum(at) - at
+    mat = np.zeros((len(at), width))
+    mat[row, np.arange(len(row)) - first[row]] = values
+    sizes[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return mat, sizes
+
+
+def _all_pairs(topics: pa.Table, members: pa.RecordBatch):
+    """Batches (qid, pid, score) of every topic with every member."""
+    qv, pv = topics.column("v").combine_chunks(), members.column("v")
+    width = max(pc.max(pc.list_value_length(x)).as_py() or 0 for x in (qv, pv))
+    (q, q_size), (p, p_size) = _padded(qv, width), _padded(pv, width)
+    qids, pids = topics.column("id").combine_chunks(), members.column("other")
+    every, plain = np.arange(len(q)), (q_size == width).all() and (p_size == width).all()
+    for lo in range(0, len(p), step := max(1, CELL_OUTPUT_ROWS // len(q))):
+        own = p[lo: lo + step]
+        unknown = None if plain else ((p_size[lo: lo + step, None] != q_size) | (p_size[lo: lo + step, None] < 0)).ravel()
+        yield pa.RecordBatch.from_arrays(
+            [qids.take(pa.array(np.tile(every, len(own)))), pids.take(pa.array(np.repeat(np.arange(lo, lo + len(own)), len(q)))),
+             pa.array((own @ q.T).ravel(), mask=unknown)], ["qid", "pid", "score"])
+
+
+def class_scores(topics: DataFrame, members: DataFrame, parts: int = 64) -> DataFrame:
+    """Inner products of every topic ``(qid, label, qv)`` with every member ``(pid,
+    label, pv)`` of its label: ``(qid, pid, score)``, null where a vector has a
+    null or the widths differ.
+
+    A label's members are dealt into ``parts`` and its topics into blocks of
+    about ``DENSE_PASSAGE_CHUNK_BYTES``; a task holds one block and meets the
+    members of one part batch by batch, so no pair is a row before it has its
+    score."""
+    spark = topics.sparkSession
+    topics, members = topics.filter("label IS NOT NULL"), members.filter("label IS NOT NULL")
+    size = topics.agg(F.sum(F.greatest(F.size("qv"), F.lit(0)) * F.lit(8).cast("long"))).first()[0] or 0
+    blocks = max(1, -(-size // DENSE_PASSAGE_CHUNK_BYTES))
+    label = F.col("label").cast("string").alias("label")
+    kinds = T.StructType([T.StructField("qid", topics.schema["qid"].dataType),
+                          T.StructField("pid", members.schema["pid"].dataType), T.StructField("score", T.DoubleType())])
+    cells = [_dealt(topics.select(label, F.col("qid").alias("id"), F.col("qv").cast("array<double>").alias("v")),
+                    "id", "block", blocks, "part", parts).withColumn("kind", F.lit(0)),
+             _dealt(members.select(label, F.col("pid").alias("other"), F.col("pv").cast("array<double>").alias("v")),
+                    "other", "part", parts, "block", blocks).withColumn("kind", F.lit(1))]
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = ["label", "part", "block"]
+    rows = cells[0].unionByName(cells[1], allowMissingColumns=True).repartition(n, *key).sortWithinPartitions(*key, "kind")
+
+    def score(batches):
+        cell, held = None, []
+        for batch in batches:
+            own = list(zip(*(batch.column(c).to_pylist() for c in (*key, "kind"))))
+            cuts = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1]), len(own)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if own[lo][:3] != cell:
+                    cell, held = own[lo][:3], []
+                piece = batch.slice(lo, hi - lo)
+                if own[lo][3] == 0:
+                    held.append(piece)
+                elif held:
+                    held = [pa.Table.from_batches(held)] if not isinstance(held[0], pa.Table) else held
+                    yield from _all_pairs(held[0], piece)
+
+    return rows.mapInArrow(score, kinds)
