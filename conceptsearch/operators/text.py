@@ -268,13 +268,14 @@ def mask_tokens(masked: DataFrame, seed: int = 42, all_use_mask_token: bool = Fa
     Input ``(doc_id, toks, mask)``; output adds ``inputs`` and ``labels``
     (with ``prefix``).  With ``vocab`` the positions to replace, about one in
     a hundred tokens at a mask rate of 15 %, meet the vocabulary by hashed id
-    and their documents by doc_id; documents are written once before."""
+    and their documents by doc_id; documents are written once before, in
+    buckets by doc_id, and not shuffled."""
     inputs, labels = f"{prefix}inputs", f"{prefix}labels"
     if all_use_mask_token:
         keep = F.transform("toks", lambda t, i: F.when(F.col(mask_col)[i] == 1, F.lit(MASK)).otherwise(t))
         return masked.withColumn(inputs, keep).withColumn(labels, _label(mask_col))
     if vocab is not None:
-        return _mask_from_vocabulary(masked, seed, vocab, mask_col, inputs, labels)
+        return _mask_from_vocabulary(masked, vocab, [(seed, mask_col, inputs, labels)])
 
     def replace(t, i):
         m = F.col(mask_col)[i] == 1
@@ -285,32 +286,51 @@ def mask_tokens(masked: DataFrame, seed: int = 42, all_use_mask_token: bool = Fa
     return masked.withColumn(inputs, F.transform("toks", replace)).withColumn(labels, _label(mask_col))
 
 
-def _mask_from_vocabulary(masked: DataFrame, seed: int, vocab: DataFrame, mask_col: str,
-                          inputs: str, labels: str) -> DataFrame:
-    spark = masked.sparkSession
+def _drawn(mask_col: str, seed: int) -> Column:
+    """Places whose token is replaced by a random one."""
     n = F.size("toks")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    drawn = F.filter(at, lambda i: (F.col(mask_col)[i] == 1) & (_uniform(seed, "r", i) >= 0.8)
-                     & (_uniform(seed, "x", i) < 0.5))
-    path = scratch_path(spark, f"masked-{uuid.uuid4().hex}")
-    masked.withColumn("_drawn", drawn).write.parquet(path)
-    rows = spark.read.parquet(path)
+    return F.filter(at, lambda i: (F.col(mask_col)[i] == 1) & (_uniform(seed, "r", i) >= 0.8)
+                    & (_uniform(seed, "x", i) < 0.5))
+
+
+def _mask_from_vocabulary(masked: DataFrame, vocab: DataFrame, tracks: list[tuple[int, str, str, str]]) -> DataFrame:
+    """``mask_tokens`` with ``vocab`` on one or more masks at once: a track is
+    (seed, mask, inputs, labels), by their column names."""
+    spark = masked.sparkSession
+    columns, name = masked.columns, f"masked_{uuid.uuid4().hex}"
+    drawn = {f"_drawn{k}": _drawn(mask_col, seed) for k, (seed, mask_col, _, _) in enumerate(tracks)}
+    # bucketed by document, so that what comes back for a document meets it where it lies
+    (masked.withColumns(drawn).withColumn("_key", F.xxhash64("doc_id"))
+     .write.option("path", scratch_path(spark, name)).option("compression", "zstd")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key").saveAsTable(name))
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE `{name}`")   # the name only: the plan knows the files
     size = vocab.count()
-    picks = (rows.select("doc_id", F.explode("_drawn").alias("pos")).distinct()
-                 .withColumn("token_id", F.pmod(_hash_number(seed, "p", F.col("pos"), 15), F.lit(max(size, 1)))))
-    # by document: bounded by its own row, which holds all its tokens
+
+    def picked(k: int, seed: int) -> Column:
+        return F.transform(f"_drawn{k}", lambda i: F.struct(
+            F.lit(k).alias("track"), i.alias("pos"), F.pmod(_hash_number(seed, "p", i, 15), F.lit(max(size, 1))).alias("token_id")))
+
+    each = [picked(k, seed) for k, (seed, *_) in enumerate(tracks)]
+    picks = rows.select("_key", "doc_id", F.explode(F.concat(*each)).alias("p")).select("_key", "doc_id", "p.*")
+    # equal picks (documents of one id) have one token id, so they are where the join brings them
     found = (picks.join(vocab.select("token_id", "token"), "token_id")
-                  .groupBy(F.col("doc_id").alias("_doc"))
-                  .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_found")))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"]), "left")
+                  .groupBy("token_id", "_key", "doc_id", "track", "pos").agg(F.first("token").alias("token")))
+    # by document: bounded by its own row, which holds all its tokens
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("track") == k, F.struct("pos", "token")))).alias(f"_found{k}")
+            for k in range(len(tracks))]
+    found = found.groupBy("_key", "doc_id").agg(*maps).withColumnRenamed("doc_id", "_doc").withColumnRenamed("_key", "_of")
+    out = rows.join(found.hint("shuffle_hash"), (rows["_key"] == found["_of"]) & rows["doc_id"].eqNullSafe(found["_doc"]), "left")
 
-    def replace(t, i):
-        m = F.col(mask_col)[i] == 1
-        return (F.when(m & (_uniform(seed, "r", i) < 0.8), F.lit(MASK))
-                 .when(F.array_contains("_drawn", i), F.try_element_at("_found", i)).otherwise(t))
+    def replaced(k: int, seed: int, mask_col: str) -> Column:
+        return F.transform("toks", lambda t, i: F.when((F.col(mask_col)[i] == 1) & (_uniform(seed, "r", i) < 0.8), F.lit(MASK))
+                           .when(F.array_contains(f"_drawn{k}", i), F.try_element_at(f"_found{k}", i)).otherwise(t))
 
-    return out.withColumn(inputs, F.transform("toks", replace)).withColumn(labels, _label(mask_col)) \
-              .drop("_drawn", "_doc", "_found")
+    added = {}
+    for k, (seed, mask_col, inputs, labels) in enumerate(tracks):
+        added |= {inputs: replaced(k, seed, mask_col), labels: _label(mask_col)}
+    return out.withColumns(added).select(*columns, *added)
 
 
 def clean_labels(toks: str = "toks") -> Column:
@@ -325,6 +345,9 @@ def dual_mask_inputs(dual: DataFrame, seed: int = 42, vocab: DataFrame | None =
     their own (replacements are drawn independently), and the clean labels.
     Input ``dual_mask``'s output; adds ``enc_inputs, enc_labels, dec_inputs,
     dec_labels, labels``."""
+    if vocab is not None and not all_use_mask_token:    # both tracks at once: documents are written once
+        tracks = [(seed + k, c, f"{c}_inputs", f"{c}_labels") for k, c in enumerate(("enc", "dec"))]
+        return _mask_from_vocabulary(dual, vocab, tracks).withColumn("labels", clean_labels())
     enc = mask_tokens(dual, seed, all_use_mask_token, vocab, "enc", "enc_")
     both = mask_tokens(enc, seed + 1, all_use_mask_token, vocab, "dec", "dec_")
     return both.withColumn("labels", clean_labels())

@@ -88,3 +88,24 @@ def test_all_mask_tokens(spark):
     dual = text.dual_mask(docs(spark).filter("doc_id = 3"), 0.5, 0.5)
     r = text.dual_mask_inputs(dual, all_use_mask_token=True).first()
     assert r["enc_inputs"] == r["dec_inputs"] == ["[MASK]" if m else t for t, m in zip(r["toks"], r["enc"])]
+
+
+def test_documents_of_both_tracks_are_written_once_and_not_shuffled(spark, monkeypatch):
+    rows = [(k, ["[CLS]", *(f"t{k}_{i}" for i in range(60)), "[SEP]"]) for k in range(20)]
+    rows += [(3, ["[CLS]", *(f"again{i}" for i in range(90)), "[SEP]"]), rows[4], (None, ["[CLS]", *(f"n{i}" for i in range(70)), "[SEP]"])]
+    tokens = spark.createDataFrame(rows, "doc_id long, toks array<string>")
+    vocab = text.vocabulary(tokens)
+    words = [r["token"] for r in vocab.orderBy("token_id").collect()]
+    dual = text.dual_mask(tokens, 0.4, 0.7, 3)
+    paths, real, before = [], text.scratch_path, spark.catalog.listTables()
+    monkeypatch.setattr(text, "scratch_path", lambda *a: paths.append(a) or real(*a))
+    out = text.dual_mask_inputs(dual, 9, vocab)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == [*dual.columns, "enc_inputs", "enc_labels", "dec_inputs", "dec_labels", "labels"]
+    for r in got:
+        assert r["enc_inputs"] == brute_inputs(r["toks"], r["enc"], r["doc_id"], 9, words)
+        assert r["dec_inputs"] == brute_inputs(r["toks"], r["dec"], r["doc_id"], 10, words)
+    assert len(paths) == 1 and spark.catalog.listTables() == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert not [x for x in plan.splitlines() if "Arguments: hashpartitioning" in x and "toks" in x]
